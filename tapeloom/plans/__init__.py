@@ -1,0 +1,4 @@
+"""All registered queries of the reference's operators."""
+
+from tapeloom.plans import candles, measures, tables, windows  # noqa: F401
+from tapeloom.plans.registry import ORACLES, QUERIES  # noqa: F401
