@@ -47,8 +47,24 @@ TABLES = {
 NEEDS = {"members": ["bars_w"], "macro": ["macro_d"], "book": ["bars_h"]}
 
 
+def _no_negative_zero(sql: str) -> str:
+    """sql with ``+ 0.0`` behind every round(): a rounded -0.0 compares as 0.0 everywhere."""
+    out, at = [], 0
+    for m in re.finditer(r"\bround\(", sql):
+        if m.start() < at:
+            continue
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out.append(f"{sql[at : m.start()]}(round({_no_negative_zero(sql[m.end() : end - 1])}) + 0.0)")
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def with_tables(sql: str) -> str:
     """sql, with the definitions of the derived tables it names before it."""
+    sql = _no_negative_zero(sql)
     named = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
     order: list[str] = []
     for t in named:
