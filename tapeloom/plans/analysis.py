@@ -216,10 +216,10 @@ def val_entry_ladder(spark, sf):
     return x.select("symbol", "period_end", F.round(avg, 4).alias("average_entry"), F.round(F.element_at("ladder", -1)["price"] * 0.92, 4).alias("stop"), F.round(F.col("fair") * 1.15, 2).alias("target"))
 
 
-@query(f"WITH {FAIR}, s AS (SELECT symbol, period_end, 100.0 * (count(*) OVER (PARTITION BY period_end) - row_number() OVER (PARTITION BY period_end ORDER BY round(fair / price, 9) DESC, symbol)) / nullif(count(*) OVER (PARTITION BY period_end) - 1, 0) AS pct, n FROM d) SELECT symbol, period_end, round(least(100, pct * (0.4 + 0.3 * n / 3.0 + 0.3)), 4) AS confidence, CASE WHEN pct * (0.7 + 0.1 * n) >= 70 THEN 'high' WHEN pct * (0.7 + 0.1 * n) >= 45 THEN 'medium' ELSE 'low' END AS band FROM s")
+@query(f"WITH {FAIR}, s AS (SELECT symbol, period_end, 100.0 * (count(*) OVER (PARTITION BY period_end) - row_number() OVER (PARTITION BY period_end ORDER BY round(fair / price, 9) DESC, symbol)) / nullif(count(*) OVER (PARTITION BY period_end) - 1, 0) AS pct, n FROM d) SELECT symbol, period_end, round(least(100, pct * (0.4 + 0.3 * n / 3.0 + 0.3)), 4) AS confidence, CASE WHEN round(pct * (0.7 + 0.1 * n), 6) >= 70 THEN 'high' WHEN round(pct * (0.7 + 0.1 * n), 6) >= 45 THEN 'medium' ELSE 'low' END AS band FROM s")
 def val_confidence(spark, sf):
     x = fair_rows(spark, sf).withColumn("pct", xs.rank_percentile([F.desc(F.round(F.col("fair") / F.col("price"), 9)), F.col("symbol")], "period_end"))
-    score = F.col("pct") * (0.7 + 0.1 * F.col("n_methods"))
+    score = F.round(F.col("pct") * (0.7 + 0.1 * F.col("n_methods")), 6)
     return x.select("symbol", "period_end", F.round(F.least(F.lit(100.0), F.col("pct") * (0.4 + 0.3 * F.col("n_methods") / 3 + 0.3)), 4).alias("confidence"), F.when(score >= 70, "high").when(score >= 45, "medium").otherwise("low").alias("band"))
 
 
