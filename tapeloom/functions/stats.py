@@ -20,16 +20,11 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - half).otherwise(half)
 
 
-@F.pandas_udf("double")
-def phi(x: pd.Series) -> pd.Series:
-    """Phi by erf, to full precision."""
+def _phi(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))
 
 
-@F.pandas_udf("double")
-def phi_inverse(p: pd.Series) -> pd.Series:
-    """Inverse of Phi: bisection-free Newton steps from a logistic start, to full precision; null outside (0, 1)."""
-
+def _phi_inverse(p: pd.Series) -> pd.Series:
     def one(v: float) -> float:
         if not 0 < v < 1:
             return math.nan
@@ -45,6 +40,16 @@ def phi_inverse(p: pd.Series) -> pd.Series:
     return p.map(one)
 
 
+def phi(x: Column | str) -> Column:
+    """Phi by erf, to full precision, as an Arrow function: Spark has no erf."""
+    return F.pandas_udf(_phi, "double")(x)
+
+
+def phi_inverse(p: Column | str) -> Column:
+    """Inverse of Phi by damped Newton steps from a logistic start, to full precision; null outside (0, 1)."""
+    return F.pandas_udf(_phi_inverse, "double")(p)
+
+
 def psr(sr: Column, n: Column, skew: Column, kurt: Column, sr0: Column) -> Column:
     """z of the probabilistic Sharpe ratio (per period); its Phi is the probability. Null where the denominator isn't positive."""
     var = 1 - skew * sr + (kurt - 1) / 4 * sr * sr

@@ -73,6 +73,6 @@ def beta(series: DataFrame, y: str, x: str, by: str, n: int = 126, least: int =
 
 def return_profile(bars: DataFrame, lengths: tuple[int, ...] = (21, 63, 126)) -> DataFrame:
     """Per cent returns over the last k bars of each series, from its first bar where it is shorter."""
-    first = F.first("close").over(f.SERIES.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.first("close").over(f.series().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = bars.withColumns({f"ret_{k}": (F.col("close") / F.coalesce(f.lag("close", k), first) - 1) * 100 for k in lengths})
     return out.withColumn("__n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where("__n = 1").drop("__n")

@@ -104,7 +104,7 @@ def strength(bars: DataFrame) -> DataFrame:
 
 def confirm(bars: DataFrame) -> DataFrame:
     """Pattern rows with the next bar's confirmation: a close beyond the signal bar's extreme in the pattern's direction."""
-    nxt = bars.select("symbol", "ts", "high", "low", F.lead("close").over(f.SERIES).alias("next_close"), F.lead("ts").over(f.SERIES).alias("confirm_ts"))
+    nxt = bars.select("symbol", "ts", "high", "low", F.lead("close").over(f.series()).alias("next_close"), F.lead("ts").over(f.series()).alias("confirm_ts"))
     out = strength(bars).join(nxt, ["symbol", "ts"]).where("direction <> 'neutral'")
     ok = F.when(F.col("direction") == "bullish", F.col("next_close") > F.col("high")).otherwise(F.col("next_close") < F.col("low"))
     return out.withColumn("confirmed", F.coalesce(ok, F.lit(False)))

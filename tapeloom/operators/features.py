@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("symbol").orderBy("ts")
+
+def series():
+    """The window of one series in time order."""
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def last(n: int, end: int = 0):
     """Frame of n rows that ends ``end`` rows before the current one."""
-    return SERIES.rowsBetween(-(n - 1) - end, -end)
+    return series().rowsBetween(-(n - 1) - end, -end)
 
 
 def lag(c: str | Column, k: int = 1) -> Column:
-    return F.lag(c, k).over(SERIES)
+    return F.lag(c, k).over(series())
 
 
 def over(agg: Column, n: int, end: int = 0) -> Column:
@@ -31,7 +34,7 @@ def full(agg: Column, n: int, counted: str | Column = "close", end: int = 0) ->
 
 
 def running(agg: Column) -> Column:
-    return agg.over(SERIES.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return agg.over(series().rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -123,13 +126,13 @@ def prior_trend(bars: DataFrame, n: int = 5) -> DataFrame:
 
 def pivots(bars: DataFrame, left: int = 3, right: int = 3, strict: bool = True) -> DataFrame:
     """Swing highs and lows with the bar that confirms them, right bars later; needs full windows on both sides."""
-    before = SERIES.rowsBetween(-left, -1)
-    after = SERIES.rowsBetween(1, right)
+    before = series().rowsBetween(-left, -1)
+    after = series().rowsBetween(1, right)
     enough = (F.count("close").over(before) >= left) & (F.count("close").over(after) >= right)
     hb, ha, lb, la = F.max("high").over(before), F.max("high").over(after), F.min("low").over(before), F.min("low").over(after)
     up = (F.col("high") > hb) & (F.col("high") > ha) if strict else (F.col("high") >= hb) & (F.col("high") >= ha)
     down = (F.col("low") < lb) & (F.col("low") < la) if strict else (F.col("low") <= lb) & (F.col("low") <= la)
-    return bars.withColumns({"pivot_high": enough & up, "pivot_low": enough & down, "confirmed_ts": F.lead("ts", right).over(SERIES)})
+    return bars.withColumns({"pivot_high": enough & up, "pivot_low": enough & down, "confirmed_ts": F.lead("ts", right).over(series())})
 
 
 def pivot_labels(bars: DataFrame, left: int = 3, right: int = 3) -> DataFrame:

@@ -18,7 +18,7 @@ def detect(bars: DataFrame, *, min_gap_atr: float = 0.15, body_mult: float = 1.1
     b = f.true_range(bars)
     body = F.abs(F.col("close") - F.col("open"))
     b = b.withColumns({
-        "__n": F.row_number().over(f.SERIES), "__atr": f.over(F.avg("tr"), atr_period), "__high1": f.lag("high", 2), "__low1": f.lag("low", 2), "__open2": f.lag("open"), "__close2": f.lag("close"),
+        "__n": F.row_number().over(f.series()), "__atr": f.over(F.avg("tr"), atr_period), "__high1": f.lag("high", 2), "__low1": f.lag("low", 2), "__open2": f.lag("open"), "__close2": f.lag("close"),
         "__mean": f.over(F.avg(body), body_lookback, 2),
     })
     bull, bear = F.col("low") > F.col("__high1"), F.col("__low1") > F.col("high")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("series_id").orderBy("asof_date")
+def series():
+    """The window of one series in time order."""
+    return Window.partitionBy("series_id").orderBy("asof_date")
 
 
 def latest_vintage(macro: DataFrame) -> DataFrame:

@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from tapeloom.operators import crosssection as xs
 from tapeloom.operators import features as f
 
-DATE = Window.partitionBy("ts")
+def date():
+    """The window of one date's names."""
+    return Window.partitionBy("ts")
 
 
 def equal_weights(names: DataFrame) -> DataFrame:
-    return names.withColumn("weight", 1.0 / F.count("*").over(DATE))
+    return names.withColumn("weight", 1.0 / F.count("*").over(date()))
 
 
 def inverse_vol(names: DataFrame, vol: str = "vol") -> DataFrame:
     """1 / vol, normalised per date; equal where no name has a positive one."""
     inv = F.when(F.col(vol) > 0, 1 / F.col(vol)).otherwise(F.lit(0.0))
-    total = F.sum(inv).over(DATE)
-    return names.withColumn("weight", F.when(total > 0, inv / total).otherwise(1.0 / F.count("*").over(DATE)))
+    total = F.sum(inv).over(date())
+    return names.withColumn("weight", F.when(total > 0, inv / total).otherwise(1.0 / F.count("*").over(date())))
 
 
 def capped(weights: DataFrame, cap: float, rounds: int = 10) -> DataFrame:
@@ -31,7 +33,7 @@ def capped(weights: DataFrame, cap: float, rounds: int = 10) -> DataFrame:
     for _ in range(rounds):
         over = F.greatest(F.col("weight") - cap, F.lit(0.0))
         room = F.when(F.col("weight") < cap, F.col("weight")).otherwise(F.lit(0.0))
-        spill, base = F.sum(over).over(DATE), F.sum(room).over(DATE)
+        spill, base = F.sum(over).over(date()), F.sum(room).over(date())
         out = out.withColumn("__next", F.when(F.col("weight") >= cap, F.lit(cap)).otherwise(F.when(base > 0, F.col("weight") + spill * F.col("weight") / base).otherwise(F.col("weight")))).drop("weight").withColumnRenamed("__next", "weight")
     return out
 
@@ -61,7 +63,7 @@ def rotation_panel(bars: DataFrame, *, lookback: int = 12, top_n: int = 5, every
     """
     cal = rebalance_dates(bars, every, lookback)
     held = momentum_holdings(bars, lookback, top_n).join(cal.where("is_rebalance").select("ts", "period"), "ts")
-    held = held.withColumn("weight", 1.0 / F.count("*").over(DATE)).select("period", "symbol", "weight", F.col("ts").alias("rebalance_ts"))
+    held = held.withColumn("weight", 1.0 / F.count("*").over(date())).select("period", "symbol", "weight", F.col("ts").alias("rebalance_ts"))
     nxt = f.returns(bars).select("symbol", "ts", "ret")
     dates = cal.withColumn("earn_ts", F.lead("ts").over(Window.orderBy("ts"))).select("period", F.col("earn_ts").alias("ts")).where("ts IS NOT NULL")
     grid = dates.join(held, "period").join(nxt, ["ts", "symbol"], "left")

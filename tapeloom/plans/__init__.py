@@ -1,4 +1,4 @@
 """All registered queries of the reference's operators."""
 
-from tapeloom.plans import analysis, candles, market, measures, selection, tables, windows  # noqa: F401
+from tapeloom.plans import analysis, candles, ingest, live, market, measures, selection, signals, tables, windows  # noqa: F401
 from tapeloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -328,13 +328,13 @@ def mac_rate_probs(spark, sf):
 
 @query(f"WITH {VINT} SELECT series_id, asof_date, CASE WHEN value - lag(value) OVER w > 0.125 THEN 'hike' WHEN value - lag(value) OVER w < -0.125 THEN 'cut' ELSE 'hold' END AS decision FROM v WINDOW w AS (PARTITION BY series_id ORDER BY asof_date)")
 def mac_rate_decision(spark, sf):
-    d = F.col("value") - F.lag("value").over(mac.SERIES)
+    d = F.col("value") - F.lag("value").over(mac.series())
     return vintage(spark, sf).select("series_id", "asof_date", F.when(d > 0.125, "hike").when(d < -0.125, "cut").otherwise("hold").alias("decision"))
 
 
 @query(f"WITH {VINT}, f AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY asof_date) AS fc FROM v) SELECT series_id, count(fc) AS n, round(avg(abs(value - fc)), 6) AS mae, round(sqrt(avg((value - fc) ** 2)), 6) AS rmse, round(avg(CASE WHEN abs(value - fc) <= 2 THEN 1.0 ELSE 0 END), 6) AS coverage FROM f WHERE fc IS NOT NULL GROUP BY 1")
 def mac_ledger_score(spark, sf):
-    x = vintage(spark, sf).withColumn("e", F.col("value") - F.lag("value").over(mac.SERIES)).where("e IS NOT NULL")
+    x = vintage(spark, sf).withColumn("e", F.col("value") - F.lag("value").over(mac.series())).where("e IS NOT NULL")
     return x.groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("e")), 6).alias("mae"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 6).alias("rmse"), F.round(F.avg((F.abs("e") <= 2).cast("double")), 6).alias("coverage"))
 
 

@@ -159,7 +159,7 @@ IC = f"{COMPOSITE}, q AS (SELECT symbol, ts, lead(close, 4) OVER ({S}) / close -
 
 
 def scored(spark, sf):
-    fwd = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close", 4).over(f.SERIES) / F.col("close") - 1).alias("fwd")).where("fwd IS NOT NULL")
+    fwd = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close", 4).over(f.series()) / F.col("close") - 1).alias("fwd")).where("fwd IS NOT NULL")
     return composite(spark, sf).join(fwd, ["ts", "symbol"])
 
 
@@ -205,7 +205,7 @@ def xs_residual_bucket(spark, sf):
 
 @query(f"WITH x AS ({MOM}), q AS (SELECT symbol, ts, lead(close, 4) OVER ({S}) / close - 1 AS fwd FROM bars_w), j AS (SELECT * FROM x JOIN q USING (symbol, ts) WHERE mom IS NOT NULL AND fwd IS NOT NULL), k AS (SELECT ts, fwd, row_number() OVER (PARTITION BY ts ORDER BY mom DESC, symbol) AS n FROM j), g AS (SELECT ts, avg(fwd) FILTER (n <= 5) AS top, avg(fwd) AS eq FROM k GROUP BY 1) SELECT count(*) AS n, round(avg(top), 6) AS mean_top, round(avg(eq), 6) AS mean_equal, round(avg(CASE WHEN top > eq THEN 1.0 ELSE 0 END), 6) AS win_rate FROM g")
 def st_replication(spark, sf):
-    fwd = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close", 4).over(f.SERIES) / F.col("close") - 1).alias("fwd")).where("fwd IS NOT NULL")
+    fwd = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close", 4).over(f.series()) / F.col("close") - 1).alias("fwd")).where("fwd IS NOT NULL")
     k = mom(spark, sf).where("mom IS NOT NULL").join(fwd, ["symbol", "ts"]).withColumn("n", F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("mom"), "symbol")))
     g = k.groupBy("ts").agg(F.avg(F.when(F.col("n") <= 5, F.col("fwd"))).alias("top"), F.avg("fwd").alias("eq"))
     return g.agg(F.count("*").alias("n"), F.round(F.avg("top"), 6).alias("mean_top"), F.round(F.avg("eq"), 6).alias("mean_equal"), F.round(F.avg((F.col("top") > F.col("eq")).cast("double")), 6).alias("win_rate"))
@@ -231,7 +231,7 @@ def st_stress_windows(spark, sf):
 
 @query(f"WITH x AS ({RET}), c AS (SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1) // 26 AS chunk, ret FROM x WHERE ret IS NOT NULL), g AS (SELECT symbol, chunk, avg(ret) / stddev_samp(ret) AS sr FROM c GROUP BY 1, 2 HAVING count(*) = 26) SELECT symbol, round(var_samp(sr), 6) AS dispersion FROM g GROUP BY 1")
 def st_regime_dispersion(spark, sf):
-    x = f.returns(src.weekly(spark, sf)).where("ret IS NOT NULL").withColumn("chunk", F.floor((F.row_number().over(f.SERIES) - 1) / 26))
+    x = f.returns(src.weekly(spark, sf)).where("ret IS NOT NULL").withColumn("chunk", F.floor((F.row_number().over(f.series()) - 1) / 26))
     g = x.groupBy("symbol", "chunk").agg(F.count("*").alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr")).where("n = 26")
     return g.groupBy("symbol").agg(F.round(F.var_samp("sr"), 6).alias("dispersion"))
 

@@ -150,7 +150,7 @@ SLEEVES = f"""{VOL}, m AS (SELECT ts, symbol, close / lag(close, 12) OVER ({S})
 
 
 def sleeves(spark, sf):
-    v = vols(spark, sf).withColumns({"mom": F.col("close") / f.lag("close", 12) - 1, "nxt": F.lead("ret").over(f.SERIES)})
+    v = vols(spark, sf).withColumns({"mom": F.col("close") / f.lag("close", 12) - 1, "nxt": F.lead("ret").over(f.series())})
     a = xs.top(v.where("mom > 0"), 5, [F.desc("mom"), F.desc("symbol")]).groupBy("ts").agg(F.avg("nxt").alias("ra"))
     return a.join(xs.top(v.where("vol IS NOT NULL"), 5, [F.col("vol"), F.col("symbol")]).groupBy("ts").agg(F.avg("nxt").alias("rb")), "ts")
 
@@ -240,8 +240,8 @@ def pf_crash_apply(spark, sf):
 @query(f"{INV}, p AS (SELECT ts, right(symbol, 1) AS pod, 1 / avg(vol) AS b FROM k GROUP BY 1, 2), t AS (SELECT ts, pod, b / sum(b) OVER (PARTITION BY ts) * CASE WHEN pod IN ('1', '2') THEN 1.2 ELSE 0.8 END AS b FROM p) SELECT ts, pod, round(b / sum(b) OVER (PARTITION BY ts), 6) AS budget FROM t")
 def pf_pod_alloc(spark, sf):
     p = vols(spark, sf).where("vol IS NOT NULL AND substr(symbol, 7) < '2'").groupBy("ts", F.substring("symbol", -1, 1).alias("pod")).agg((1 / F.avg("vol")).alias("b"))
-    t = p.withColumn("b", F.col("b") / F.sum("b").over(pf.DATE) * F.when(F.col("pod").isin("1", "2"), 1.2).otherwise(0.8))
-    return t.select("ts", "pod", F.round(F.col("b") / F.sum("b").over(pf.DATE), 6).alias("budget"))
+    t = p.withColumn("b", F.col("b") / F.sum("b").over(pf.date()) * F.when(F.col("pod").isin("1", "2"), 1.2).otherwise(0.8))
+    return t.select("ts", "pod", F.round(F.col("b") / F.sum("b").over(pf.date()), 6).alias("budget"))
 
 
 TSM = f"""WITH x AS (SELECT symbol, ts, close / lag(close) OVER ({S}) - 1 AS ret, CASE WHEN close / lag(close, 20) OVER ({S}) - 1 > 0 THEN 1 ELSE 0 END AS signal FROM bars_d), p AS (SELECT *, coalesce(lag(signal) OVER ({S}), 0) AS position FROM x),
@@ -272,13 +272,13 @@ def pf_rotation_panel(spark, sf):
 
 @query(f"{VOL}, n AS (SELECT ts, symbol, vol, lead(ret) OVER ({S}) AS nxt FROM v) SELECT ts, round(avg(nxt), 6) AS ret FROM (SELECT * FROM n WHERE vol IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ts ORDER BY vol, symbol) <= 5) GROUP BY 1")
 def pf_lowvol_window(spark, sf):
-    v = vols(spark, sf).withColumn("nxt", F.lead("ret").over(f.SERIES))
+    v = vols(spark, sf).withColumn("nxt", F.lead("ret").over(f.series()))
     return xs.top(v.where("vol IS NOT NULL"), 5, [F.col("vol"), F.col("symbol")]).groupBy("ts").agg(F.round(F.avg("nxt"), 6).alias("ret"))
 
 
 @query(f"WITH x AS (SELECT symbol, ts, lag(close, 4) OVER ({S}) / lag(close, 52) OVER ({S}) - 1 AS m, lead(close) OVER ({S}) / close - 1 AS nxt FROM bars_w) SELECT ts, round(sum(CASE WHEN m > 0 THEN nxt ELSE 0 END) / count(*), 6) AS ret FROM x WHERE m IS NOT NULL AND nxt IS NOT NULL GROUP BY 1")
 def pf_tsmom_window(spark, sf):
-    x = src.weekly(spark, sf).select("symbol", "ts", (f.lag("close", 4) / f.lag("close", 52) - 1).alias("m"), (F.lead("close").over(f.SERIES) / F.col("close") - 1).alias("nxt"))
+    x = src.weekly(spark, sf).select("symbol", "ts", (f.lag("close", 4) / f.lag("close", 52) - 1).alias("m"), (F.lead("close").over(f.series()) / F.col("close") - 1).alias("nxt"))
     return x.where("m IS NOT NULL AND nxt IS NOT NULL").groupBy("ts").agg(F.round(F.sum(F.when(F.col("m") > 0, F.col("nxt")).otherwise(0.0)) / F.count("*"), 6).alias("ret"))
 
 
@@ -286,14 +286,14 @@ def pf_tsmom_window(spark, sf):
 def pf_buyhold_panel(spark, sf):
     b = src.weekly(spark, sf).select("symbol", "ts", "close")
     grid = b.select("ts").distinct().crossJoin(b.select("symbol").distinct()).join(b, ["symbol", "ts"], "left")
-    w = f.SERIES.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = f.series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = grid.withColumns({"mark": F.last("close", ignorenulls=True).over(w), "entry": F.first("close", ignorenulls=True).over(w)}).where("mark IS NOT NULL")
     return held.groupBy("ts").agg(F.round(F.avg(F.col("mark") / F.col("entry")), 6).alias("nav"))
 
 
 @query(f"{HOLD}, q AS (SELECT symbol, ts, lead(close) OVER ({S}) / close - 1 AS nxt FROM bars_w) SELECT q.ts, round(sum(h.weight * nxt), 6) AS strategy, round(avg(nxt), 6) AS benchmark FROM q LEFT JOIN h USING (ts, symbol) WHERE nxt IS NOT NULL GROUP BY 1")
 def pf_weighted_return(spark, sf):
-    q = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close").over(f.SERIES) / F.col("close") - 1).alias("nxt")).where("nxt IS NOT NULL")
+    q = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close").over(f.series()) / F.col("close") - 1).alias("nxt")).where("nxt IS NOT NULL")
     j = q.join(holdings(spark, sf).select("ts", "symbol", "weight"), ["ts", "symbol"], "left")
     return j.groupBy("ts").agg(F.round(F.sum(F.col("weight") * F.col("nxt")), 6).alias("strategy"), F.round(F.avg("nxt"), 6).alias("benchmark"))
 
