@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import WORD
+from tapeloom.llm.common import WORD, stash
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -74,13 +74,16 @@ def mix(docs: DataFrame, *, size_col: str = "size", source_col: str = "source",
     sources = rows.groupBy(*key).agg(F.sum(size_col).alias("__total"))
     aimed = targets(sources).withColumn("__blocks", F.floor(F.sum("__target").over(Window.partitionBy()) / block))
     aimed = seats(aimed, [], key, "__target", "__blocks", "__seats").withColumn("__shards", F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("__total") / shard_words))).cast("int"))
-    dealt = rows.join(aimed.select(*key, "__total", "__target", "__seats", "__shards"), key)
+    # Written first, so that the planner knows its size: no row of docs moves for a short list of sources.
+    dealt = rows.join(stash(aimed.select(*key, "__total", "__target", "__seats", "__shards"), "mix-sources"), key)
     dealt = dealt.withColumn("__seed", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("__shard", F.pmod(F.xxhash64("__seed", F.lit(1)), F.col("__shards")).cast("int"))
     shard = [*key, "__shard"]
     held = dealt.groupBy(*shard).agg(F.sum(size_col).alias("__words"), F.first("__seats").alias("__seats"))
-    quota = seats(held, key, ["__shard"], "__words", "__seats", "__quota").select(*shard, "__words", "__quota")
+    quota = stash(seats(held, key, ["__shard"], "__words", "__seats", "__quota").select(*shard, "__words", "__quota"), "mix-quotas")
     axis = Window.partitionBy(*shard).orderBy("__seed", id_col, size_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = dealt.withColumn("__end", F.sum(size_col).over(axis)).join(quota, shard)
+    # Dealt by shard at any rate: were the join's partitioning by source kept, a large source would be one task.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = dealt.repartition(parts, *shard).withColumn("__end", F.sum(size_col).over(axis)).join(quota, shard)
     take = F.least(F.col("__quota") * block, F.col("__words") * MAX_EPOCHS)
     laid = laid.withColumn("__run", F.when(F.col("__words") > 0, take % F.col("__words")).otherwise(0)).withColumn("__full", F.when(F.col("__words") > 0, F.floor(take / F.col("__words"))).otherwise(0).cast("long"))
     blocks = F.ceil(F.col("__words") / block)
