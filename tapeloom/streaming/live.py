@@ -25,6 +25,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back: for what several plans read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def events(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """A Parquet table as a stream, with ts as a timestamp; its schema is read from the files once.
 
