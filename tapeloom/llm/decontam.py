@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.common import slices
+
 WINDOW = 10
 BLOCK = 2
 #: A word is a run of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased; all else becomes a space.
@@ -88,7 +90,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", part_
 
     def run(batches):
         only = tables(parts[0].value) if len(parts) == 1 else None
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).cast(pa.binary()).to_pylist()
             marks: dict[int, np.ndarray] = {}
             items: dict[int, set] = {}

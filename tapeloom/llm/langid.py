@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import held_out
+from tapeloom.llm.common import held_out, slices
 
 ORDER = 3
 BLOCK = 1 << 19
@@ -49,7 +49,7 @@ def train(docs: DataFrame, *, per_lang: int = 400, max_langs: int = 200, max_con
 
     def grams(batches):
         """Counts of the four-byte strings per language; what a task holds is bounded by its batch."""
-        for b in batches:
+        for b in slices(batches):
             langs, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
             out: list[tuple] = []
             for lang in sorted(set(langs)):
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFram
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             pred, post = [], []
             for text, letter in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names) - 1).to_pylist(), strict=True):
                 if not letter or not m["langs"]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import held_out
+from tapeloom.llm.common import held_out, slices
 
 PASSAGE = 1024
 PAIRS = 256
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_bags: int = 3000, max_passa
     )
 
     def passages(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 x = np.concatenate(list(_features(text or b"")))
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
     names = [c for c in docs.columns if c != score_col]
 
     def scored(batches):
-        for b in batches:
+        for b in slices(batches):
             s = [round(model.score(x or b""), 6) for x in b.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(c)) for c in names), pa.array(s, pa.float64())], names=[*names, score_col])
 

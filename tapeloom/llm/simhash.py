@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import stash
+from tapeloom.llm.common import slices, stash
 from tapeloom.llm.components import components
 
 SHINGLE = 4
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp): the fingerprint's bits as a signed long, for every row."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.fromiter(map(fingerprint, b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
@@ -167,7 +167,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     at = own.index(text_col)
 
     def mark(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.fromiter(map(fingerprint, b.column(at).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "__own"])
 

@@ -7,8 +7,7 @@ A row of a file is a sequence: ``ids`` and two bit masks of SEQ entries each (``
 sequence is padded. Nothing is compressed, so a memory map gives row i of a batch by its offset alone.
 
 Encoding is by the tokenizers library. A byte-level BPE never joins a word with the space that follows it, so a text
-is the sequence of its space-parted pieces: each different piece is encoded once, a task's frequent ones are
-remembered, and texts in which white space meets a space are encoded whole.
+is the sequence of its space-parted pieces: each different piece is encoded once and remembered for a while, and texts in which white space meets a space are encoded whole.
 
 Defined results: null counts as the empty text and yields the end id alone; rows of one doc_id stand together in order
 of text; null ids come first; an empty table gives no rows.
@@ -25,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import fresh_path
+from tapeloom.llm.common import fresh_path, slices
 
 SEQ = 2048
 ROWS = 256  # sequences of a record batch
 END_ID = 2
-GROUP = 4_000_000  # characters encoded at once
-MEMO = 300_000  # pieces that a task remembers
+GROUP = 2_000_000  # characters encoded at once
+MEMO = 250_000  # pieces that a worker process remembers, about 200 bytes each
 
 
 def filesystem(uri: str):
@@ -72,23 +71,21 @@ class Encoder:
         return {x: raw[a:b] for x, a, b in zip(new, [0, *cut], cut)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        parts = [t.partition(" ") for t in texts]
+        split = [rest.split(" ") if space else [] for _, space, rest in parts]
         memo = self.memo
-        own: dict[str, bytes] = {}
-        seen = set().union(*(w[1:] for w in split))
-        new = [x for x in seen if x not in memo and x and not x[0].isspace() and not x[-1].isspace()]
-        own = self.pieces(new)
-        if len(memo) < MEMO:
-            memo.update(own)
+        if len(memo) > MEMO:
+            memo.clear()
+        memo.update(self.pieces([x for x in set().union(*split) if x not in memo and x and not x[0].isspace() and not x[-1].isspace()]))
+        heads = self.whole([head for head, _, _ in parts])
         out: list[bytes | None] = []
         odd = []
-        heads = self.whole([w[0] for w in split])
-        for i, (w, head) in enumerate(zip(split, heads, strict=True)):
+        for i, ((head, space, _), words, ids) in enumerate(zip(parts, split, heads, strict=True)):
             try:
-                if w[0] and w[0][-1].isspace() and len(w) > 1:
-                    raise KeyError
-                out.append(head + b"".join([memo[x] if x in memo else own[x] for x in w[1:]]))
-            except KeyError:
+                if space and head[-1:].isspace():
+                    raise KeyError(head)
+                out.append(ids + b"".join(map(memo.__getitem__, words)))
+            except KeyError:  # white space meets a space
                 odd.append(i)
                 out.append(None)
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
@@ -96,6 +93,16 @@ class Encoder:
         return out
 
 
+#: The encoder of each vocabulary that this worker process has loaded; later tasks of the process use it again.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _groups(texts: list[str]) -> Iterator[slice]:
     at = room = 0
     for i, t in enumerate(texts):
@@ -162,11 +169,11 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, *, id_col: s
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()
         name, own = f"{base}/shard-{task.partitionId():07d}.arrow", f"{base}/_attempt-{task.taskAttemptId()}"
-        coder, n = Encoder(tokenizer), 0
+        coder, n = encoder(tokenizer), 0
         end = np.array([END_ID], coder.dtype).tobytes()
         with fs.open_output_stream(own) as sink:
             to = ShardWriter(sink, coder.dtype, seq)
-            for b in batches:
+            for b in slices(batches):
                 ids, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
                 for part in _groups(texts):
                     for doc, raw in zip(ids[part], coder.encode(texts[part]), strict=True):
@@ -207,7 +214,7 @@ def read_documents(spark: SparkSession, path: str, manifest: list[tuple[int, int
         return spark.createDataFrame([], schema)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for shard, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 crc = n = 0
                 for ids, mask, last, docs in sequences(path, shard):
