@@ -73,6 +73,33 @@ def rotation_panel(bars: DataFrame, *, lookback: int = 12, top_n: int = 5, every
     return gross.join(cost, "ts", "left").select("ts", "gross", "n_held", (F.col("gross") - F.coalesce("cost", F.lit(0.0))).alias("net"))
 
 
+def rotation_grid(bars: DataFrame, lookbacks: tuple[int, ...], tops: tuple[int, ...], *, every: int = 4, fee: float = 0.0005) -> DataFrame:
+    """rotation_panel() for all pairs of lookback and size in one plan: (lookback, top_n, ts, gross, n_held, net).
+
+    The parameters are columns: scores are exploded once and ranked by lookback, and each size keeps a part of that rank.
+    """
+    b = bars.withColumns({f"__m{k}": F.col("close") / f.lag("close", k) - 1 for k in lookbacks})
+    b = b.withColumn("__m", F.explode(F.array(*(F.struct(F.lit(k).alias("lookback"), F.col(f"__m{k}").alias("score")) for k in lookbacks))))
+    scored = b.where("__m.score > 0").select("ts", "symbol", "__m.lookback", "__m.score")
+    best = xs.top(scored, max(tops), [F.desc("score"), F.desc("symbol")], ["lookback", "ts"])
+    best = best.withColumn("top_n", F.explode(F.array(*map(F.lit, tops)))).where("rank <= top_n")
+    cal = bars.select("ts").distinct().withColumns({"n": F.row_number().over(Window.orderBy("ts")) - 1, "earn_ts": F.lead("ts").over(Window.orderBy("ts"))})
+    cal = cal.withColumn("lookback", F.explode(F.array(*map(F.lit, lookbacks)))).where("n >= lookback").withColumns({"period": F.floor((F.col("n") - F.col("lookback")) / every), "first": (F.col("n") - F.col("lookback")) % every == 0})
+    config = ["lookback", "top_n"]
+    held = best.join(cal.where("first").select("lookback", "ts", "period"), ["lookback", "ts"])
+    held = held.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy(*config, "period"))).select(*config, "period", "symbol", "weight")
+    dates = cal.where("earn_ts IS NOT NULL").select("lookback", "period", F.col("earn_ts").alias("ts"))
+    ret = f.returns(bars).select("symbol", "ts", "ret")
+    gross = dates.join(held, ["lookback", "period"]).join(ret, ["ts", "symbol"], "left").groupBy(*config, "ts", "period").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"), F.count("*").alias("n_held"))
+    order = Window.partitionBy(*config).orderBy("period")
+    nxt = held.select(*config, "period").distinct().withColumn("next", F.lead("period").over(order))
+    legs = held.unionByName(held.join(nxt, [*config, "period"]).where("next IS NOT NULL").select(*config, F.col("next").alias("period"), "symbol", (-F.col("weight")).alias("weight")))
+    cost = legs.groupBy(*config, "period", "symbol").agg(F.sum("weight").alias("c")).groupBy(*config, "period").agg((F.sum(F.abs("c")) * fee).alias("cost"))
+    start = dates.groupBy("lookback", "period").agg(F.min("ts").alias("ts"))
+    due = cost.join(start, ["lookback", "period"]).select(*config, "ts", "cost")
+    return gross.join(due, [*config, "ts"], "left").select(*config, "ts", "gross", "n_held", (F.col("gross") - F.coalesce("cost", F.lit(0.0))).alias("net"))
+
+
 def ts_momentum_panel(bars: DataFrame, *, k: int = 20, fee: float = 0.0005) -> DataFrame:
     """Per series yesterday's signal times today's return, less the fee on a changed position."""
     b = f.returns(f.ts_momentum_signal(bars, k)).withColumn("position", F.coalesce(f.lag("signal"), F.lit(0)))

@@ -208,12 +208,8 @@ def st_block_permutation(spark, sf):
 
 def _grid(spark, sf, lookbacks=(4, 12, 26), tops=(3, 7)):
     """Returns of the rotation for every pair of parameters, one long table."""
-    b, out = written(src.weekly(spark, sf), "grid-bars"), None  # read by every pair
-    for k in lookbacks:
-        for n in tops:
-            p = pf.rotation_panel(b, lookback=k, top_n=n).select("ts", F.lit(f"k{k}n{n}").alias("config"), F.col("net").alias("ret"))
-            out = p if out is None else out.unionByName(p)
-    return out
+    g = pf.rotation_grid(written(src.weekly(spark, sf), "grid-bars"), lookbacks, tops)
+    return g.select("ts", F.concat(F.lit("k"), F.col("lookback").cast("string"), F.lit("n"), F.col("top_n").cast("string")).alias("config"), F.col("net").alias("ret"))
 
 
 def _sharpes(panel):
