@@ -91,3 +91,71 @@ def target_or_stop(entries: DataFrame, bars: DataFrame, horizon: int = 20) -> Da
     g = j.groupBy("symbol", "ts", "entry", "target", "stop").agg(F.min(F.when(hit, F.col("__k") - F.col("__e"))).alias("target_bar"), F.min(F.when(lost, F.col("__k") - F.col("__e"))).alias("stop_bar"))
     out = F.when(F.col("stop_bar").isNotNull() & (F.col("target_bar").isNull() | (F.col("stop_bar") <= F.col("target_bar"))), "stop").when(F.col("target_bar").isNotNull(), "target").otherwise("open")
     return g.withColumn("outcome", out)
+
+
+def obv_divergence(bars: DataFrame, *, period: int = 20, lookback: int = 20) -> DataFrame:
+    """bearish where the last two confirmed close pivots rise while the smoothed volume balance falls, bullish mirrored.
+
+    A pivot row carries the pivot before it, so the last two at any bar are one ``last`` over the rows that confirm.
+    """
+    from tapeloom.operators import states
+
+    b = bars.join(states.obv_ema(bars, period).select("symbol", "ts", "ema"), ["symbol", "ts"])
+    b = b.withColumns({"__n": F.row_number().over(f.series()), "__up": (F.col("close") > f.lag("close")) & (F.col("close") > F.lead("close").over(f.series())), "__down": (F.col("close") < f.lag("close")) & (F.col("close") < F.lead("close").over(f.series()))})
+    upto = f.series().rowsBetween(Window.unboundedPreceding, -1)
+    seen = f.series().rowsBetween(Window.unboundedPreceding, -2)  # a pivot is known one bar later, and used from the next
+    for side in ("up", "down"):
+        own = F.when(F.col(f"__{side}"), F.struct(F.col("__n").alias("n"), F.col("close").alias("p"), F.col("ema").alias("e")))
+        b = b.withColumn(f"__{side}_before", F.last(own, ignorenulls=True).over(upto)).withColumn(f"__{side}_own", own)
+        b = b.withColumn(f"__{side}_pair", F.last(F.when(F.col(f"__{side}"), F.struct(F.col(f"__{side}_own").alias("b"), F.col(f"__{side}_before").alias("a"))), ignorenulls=True).over(seen))
+    pair = lambda s, t: F.col(f"__{s}_pair.{t}")
+    near = lambda s: pair(s, "a.n") >= F.col("__n") - lookback
+    bear = near("up") & (pair("up", "b.p") > pair("up", "a.p")) & (pair("up", "b.e") < pair("up", "a.e"))
+    bull = near("down") & (pair("down", "b.p") < pair("down", "a.p")) & (pair("down", "b.e") > pair("down", "a.e"))
+    return b.select("symbol", "ts", F.when(bear, "bearish").when(bull, "bullish").otherwise("none").alias("divergence"))
+
+
+def flags(bars: DataFrame, *, pole_least: float = 0.04, retrace: float = 0.5) -> DataFrame:
+    """Bars that end a flag: a pole of 3 to 29 bars that moves ``pole_least``, then 5 to 20 bars that give back at most
+    ``retrace`` of it on less volume. (symbol, ts, direction, pole, flag); the longest pole of the shortest flag."""
+    import numpy as np
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("ts").reset_index(drop=True)
+        c, v = p["close"].to_numpy(), np.concatenate([[0.0], p["volume"].cumsum().to_numpy()])
+        n, found = len(p), {}
+        for flag in range(20, 4, -1):
+            for pole in range(3, 30):
+                end = np.arange(flag + pole, n)
+                if not len(end):
+                    continue
+                top, base = c[end - flag], c[end - flag - pole]
+                move = np.divide(top - base, base, out=np.zeros(len(end)), where=base > 0)
+                back = np.divide(top - c[end], top - base, out=np.full(len(end), 9.0), where=top != base)
+                calm = (v[end + 1] - v[end - flag + 1]) / flag < (v[end - flag + 1] - v[end - flag - pole + 1]) / pole
+                ok = (np.abs(move) >= pole_least) & (back >= 0) & (back <= retrace) & calm
+                found |= {int(i): ("up" if m > 0 else "down", pole, flag) for i, m in zip(end[ok], move[ok], strict=True)}
+        return pd.DataFrame([(p["symbol"][0], p["ts"][i], *x) for i, x in sorted(found.items())], columns=["symbol", "ts", "direction", "pole", "flag"])
+
+    return bars.select("symbol", "ts", "close", "volume").groupBy("symbol").applyInPandas(run, "symbol string, ts date, direction string, pole long, flag long")
+
+
+def lines(bars: DataFrame, *, pivots: int = 8, flat: float = 0.0005) -> DataFrame:
+    """Line fits on the last ``pivots`` pivots at each one: slopes of the upper and lower line per bar and the shape.
+
+    (symbol, ts, upper, lower, kind): rectangle, ascending, descending or symmetrical triangle, rising or falling wedge,
+    or none. The fits are moments over a frame of pivot rows, so no series is collected.
+    """
+    n = bars.withColumn("__n", F.row_number().over(f.series())).select("symbol", "ts", "__n")
+    p = f.pivot_labels(bars).join(n, ["symbol", "ts"])
+    w = Window.partitionBy("symbol").orderBy("ts", "side").rowsBetween(-(pivots - 1), 0)
+
+    def slope(side: str) -> Column:
+        x, y = F.when(F.col("side") == side, F.col("__n")), F.when(F.col("side") == side, F.col("price"))
+        return F.when(F.count(x).over(w) >= 2, F.covar_pop(x, y).over(w) / F.var_pop(x).over(w) / F.avg(y).over(w))
+
+    p = p.withColumns({"upper": slope("high"), "lower": slope("low")}).where("upper IS NOT NULL AND lower IS NOT NULL")
+    up, low = F.col("upper"), F.col("lower")
+    fu, fl = F.abs(up) <= flat, F.abs(low) <= flat
+    kind = F.when(fu & fl, "rectangle").when(fu & (low > flat), "ascending_triangle").when((up < -flat) & fl, "descending_triangle").when((up < -flat) & (low > flat), "symmetrical_triangle").when((up > flat) & (low > up), "rising_wedge").when((low < -flat) & (up < low), "falling_wedge").otherwise("none")
+    return p.select("symbol", "ts", "side", "upper", "lower", kind.alias("kind"))

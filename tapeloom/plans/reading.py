@@ -533,3 +533,31 @@ def udtf_state(spark, sf):
     from tapeloom.streaming import live
 
     return live.drain(live.imbalance_state(ticks(spark, sf), history=50, least=20), "append", "state-long").drop("batch")
+
+
+@query()
+def w_obv_divergence(spark, sf):
+    return rd.obv_divergence(src.daily(spark, sf))
+
+
+@query()
+def pat_flag(spark, sf):
+    return rd.flags(src.daily(spark, sf))
+
+
+@query()
+def pat_triangle_wedge(spark, sf):
+    return rd.lines(src.daily(spark, sf), flat=0.02).where("kind <> 'none' AND kind <> 'rectangle'")
+
+
+@query()
+def pat_rectangle_cup(spark, sf):
+    return rd.lines(src.daily(spark, sf), pivots=10, flat=0.05).where("kind = 'rectangle'")
+
+
+@query()
+def pat_scan(spark, sf):
+    b = src.daily(spark, sf)
+    name = lambda df, kind: df.select("symbol", "ts", F.lit(kind).alias("pattern"))
+    found = name(rd.double_tops(b), "double_top").unionByName(name(rd.double_tops(b, side="low"), "double_bottom")).unionByName(name(rd.head_shoulders(b), "head_shoulders")).unionByName(name(rd.flags(b), "flag"))
+    return found.unionByName(rd.lines(b, flat=0.02).where("kind <> 'none'").select("symbol", "ts", F.col("kind").alias("pattern")))
