@@ -29,6 +29,7 @@ from tapeloom.llm.common import fresh_path, slices
 SEQ = 2048
 ROWS = 256  # sequences of a record batch
 END_ID = 2
+TAIL = ".,;:!?|)$%&#*"
 GROUP = 2_000_000  # characters encoded at once
 MEMO = 250_000  # pieces that a worker process remembers, about 200 bytes each
 
@@ -54,6 +55,7 @@ class Encoder:
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.bytes_of[i] = len(token.content.encode())
         self.memo: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,10 +75,27 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.partition(" ") for t in texts]
         split = [rest.split(" ") if space else [] for _, space, rest in parts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        memo.update(self.pieces([x for x in set().union(*split) if x not in memo and x and not x[0].isspace() and not x[-1].isspace()]))
+        seen, memo = set().union(*split), self.memo
+        if len(memo) > MEMO:  # what this group has too is likely to come again
+            memo = self.memo = {x: memo[x] for x in seen if x in memo}
+        # Punctuation behind a letter or digit is a word of its own, so " word," is " word" and ",".
+        tails: dict[str, str] = {}
+        alone: set[str] = set()
+        for x in seen:
+            if x not in memo and x and not x[0].isspace() and not x[-1].isspace():
+                base = x.rstrip(TAIL)
+                if base != x and base and base[-1].isalnum():
+                    tails[x] = base
+                    if base not in memo:
+                        alone.add(base)
+                else:
+                    alone.add(x)
+        memo.update(self.pieces(list(alone)))
+        for x, base in tails.items():
+            tail = x[len(base) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.whole([tail])[0]
+            memo[x] = memo[base] + self.tails[tail]
         heads = self.whole([head for head, _, _ in parts])
         out: list[bytes | None] = []
         odd = []
