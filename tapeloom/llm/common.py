@@ -15,12 +15,16 @@ WORD = rf"[^{SPACE}]+"
 FOLDS, HELD_FOLD = 4, 2
 
 
+#: Where the session names no shared folder (tests): one of our own per application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one made here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tapeloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="tapeloom-shared-")
     return base.rstrip("/")
 
 
