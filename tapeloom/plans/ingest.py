@@ -119,7 +119,7 @@ def src_macro_json(spark, sf):
 @query("SELECT asof_date, round(value, 4) AS value FROM macro_d WHERE series_id = 'click'")
 def src_macro_xml(spark, sf):
     m = src.macro(spark, sf).where("series_id = 'click' AND revision_n = 0").select(F.concat(F.lit("<entry><day>"), F.col("asof_date").cast("string"), F.lit("</day><bc10>"), F.round("value", 4).cast("string"), F.lit("</bc10></entry>")).alias("value"))
-    rows = fm.read_xml(spark, as_text(m, "macro-xml"), "entry", "day date, bc10 double")
+    rows = fm.read_xml(spark, as_text(m, "macro-xml"), "day date, bc10 double")
     return rows.select(F.col("day").alias("asof_date"), F.col("bc10").alias("value"))
 
 
@@ -192,7 +192,7 @@ def src_filings_facts_json(spark, sf):
 @query("SELECT o_orderkey AS id, o_orderpriority AS owner, o_totalprice AS value FROM orders WHERE o_orderstatus IN ('P', 'F')")
 def src_insider_xml(spark, sf):
     o = src.read(spark, sf, "orders").select(F.concat(F.lit("<transaction><id>"), F.col("o_orderkey").cast("string"), F.lit("</id><owner>"), F.col("o_orderpriority"), F.lit("</owner><code>"), F.col("o_orderstatus"), F.lit("</code><value>"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("</value></transaction>")).alias("value"))
-    x = fm.read_xml(spark, as_text(o, "insider"), "transaction", "id long, owner string, code string, value double")
+    x = fm.read_xml(spark, as_text(o, "insider"), "id long, owner string, code string, value double")
     return x.where("code IN ('P', 'F')").select("id", "owner", "value")
 
 

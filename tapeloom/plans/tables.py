@@ -211,7 +211,7 @@ def interval_delisting(spark, sf):
 
     cal = src.weekly(spark, sf).select("ts").distinct().withColumn("next_ts", F.lead("ts").over(Window.orderBy("ts")))
     d = delistings(spark, sf).withColumnRenamed("ts", "exit_ts")
-    return cal.join(F.broadcast(d), (F.col("exit_ts") > F.col("ts")) & (F.col("exit_ts") <= F.col("next_ts"))).select("symbol", "ts", "exit_ts", "return_pct")
+    return cal.join(d, (F.col("exit_ts") > F.col("ts")) & (F.col("exit_ts") <= F.col("next_ts"))).select("symbol", "ts", "exit_ts", "return_pct")
 
 
 HELD = "SELECT b.* FROM bars_w b JOIN members m ON b.symbol = m.symbol AND (m.end_date IS NULL OR b.ts <= m.end_date)"

@@ -59,9 +59,10 @@ def arrays_to_rows(df: DataFrame, keys: list[str], arrays: list[str]) -> DataFra
     return df.select(*keys, F.explode(F.arrays_zip(*arrays)).alias("z")).select(*keys, *(F.col(f"z.{a}").alias(a) for a in arrays))
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
-    """Elements of an XML feed; what is malformed yields no row."""
-    return spark.read.format("xml").option("rowTag", row_tag).option("mode", "DROPMALFORMED").schema(schema).load(path)
+def read_xml(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Elements of an XML feed, one a line, so that any split of a file can be read alone; the malformed yield no row."""
+    x = spark.read.text(path).select(F.from_xml("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    return x.select("x.*").dropna("all")
 
 
 def fixed_width(lines: DataFrame, fields: dict[str, tuple[int, int, str]]) -> DataFrame:
