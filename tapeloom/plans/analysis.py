@@ -424,7 +424,7 @@ def dq_universe_audit(spark, sf):
     return src.members(spark, sf).join(g, "symbol").select("symbol", (F.datediff("lo", "start_date") > 7).alias("late_start"), F.coalesce(F.datediff("end_date", "hi") > 7, F.lit(False)).alias("early_end"))
 
 
-@query("SELECT user_id, event_type, round(greatest(-2, least(2, sum(CASE WHEN value > 75 THEN 1 WHEN value < 25 THEN -1 ELSE 0 END))), 6) AS adjust FROM events GROUP BY 1, 2")
+@query("SELECT user_id, event_type, CAST(greatest(-2, least(2, sum(CASE WHEN value > 75 THEN 1 WHEN value < 25 THEN -1 ELSE 0 END))) AS DOUBLE) AS adjust FROM events GROUP BY 1, 2")
 def nw_signal_adjust(spark, sf):
     v = F.when(F.col("value") > 75, 1).when(F.col("value") < 25, -1).otherwise(0)
     return src.read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.greatest(F.lit(-2), F.least(F.lit(2), F.sum(v))).cast("double").alias("adjust"))

@@ -100,7 +100,7 @@ def w_half_life(spark, sf):
     return sg.half_life(_pairs(spark, sf).withColumn("s", F.col("y") - F.col("x")), ["sa", "sb"], "s").select("sa", "sb", *r("half_life", n=5))
 
 
-@query(f"WITH {ROLL}, g AS (SELECT *, (y - (my - hedge * mx) - hedge * x) / sqrt(greatest(0, vy - hedge * c)) AS z FROM h WHERE hedge IS NOT NULL) SELECT sa, sb, ts, CASE WHEN abs(round(z, 6)) >= 2 THEN -sign(z) WHEN abs(round(z, 6)) <= 0.5 THEN 0 END AS entry FROM g")
+@query(f"WITH {ROLL}, g AS (SELECT *, (y - (my - hedge * mx) - hedge * x) / sqrt(greatest(0, vy - hedge * c)) AS z FROM h WHERE hedge IS NOT NULL) SELECT sa, sb, ts, CASE WHEN abs(round(z, 6)) >= 2 THEN CAST(-sign(z) AS DOUBLE) WHEN abs(round(z, 6)) <= 0.5 THEN CAST(0 AS DOUBLE) END AS entry FROM g")
 def pf_pair_panel(spark, sf):
     z = F.round("z", 6)
     p = sg.rolling_pair(_pairs(spark, sf), ["sa", "sb"]).where("hedge IS NOT NULL")
