@@ -176,7 +176,7 @@ INV = f"{VOL}, k AS (SELECT ts, symbol, vol, substr(symbol, 7, 1) AS sector FROM
 
 
 def inv(spark, sf):
-    return pf.inverse_vol(vols(spark, sf).where("vol IS NOT NULL AND substr(symbol, 7) < '2'").select("ts", "symbol", "vol"))
+    return pf.inverse_vol(vols(spark, sf).where("vol IS NOT NULL").select("ts", "symbol", "vol"))
 
 
 @query(f"{INV} SELECT ts, symbol, round(weight, 6) AS weight FROM iv")
@@ -239,7 +239,7 @@ def pf_crash_apply(spark, sf):
 
 @query(f"{INV}, p AS (SELECT ts, right(symbol, 1) AS pod, 1 / avg(vol) AS b FROM k GROUP BY 1, 2), t AS (SELECT ts, pod, b / sum(b) OVER (PARTITION BY ts) * CASE WHEN pod IN ('1', '2') THEN 1.2 ELSE 0.8 END AS b FROM p) SELECT ts, pod, round(b / sum(b) OVER (PARTITION BY ts), 6) AS budget FROM t")
 def pf_pod_alloc(spark, sf):
-    p = vols(spark, sf).where("vol IS NOT NULL AND substr(symbol, 7) < '2'").groupBy("ts", F.substring("symbol", -1, 1).alias("pod")).agg((1 / F.avg("vol")).alias("b"))
+    p = vols(spark, sf).where("vol IS NOT NULL").groupBy("ts", F.substring("symbol", -1, 1).alias("pod")).agg((1 / F.avg("vol")).alias("b"))
     t = p.withColumn("b", F.col("b") / F.sum("b").over(pf.date()) * F.when(F.col("pod").isin("1", "2"), 1.2).otherwise(0.8))
     return t.select("ts", "pod", F.round(F.col("b") / F.sum("b").over(pf.date()), 6).alias("budget"))
 
