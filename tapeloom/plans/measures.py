@@ -33,8 +33,8 @@ WORDS = (("risk", ("worthless", "pathetic")), ("license", ("license", "cc by")),
 
 @query(f"SELECT doc_id, {_signal('substr(text, 1, 120)', WORDS)} AS signal, {_signal('substr(text, 1, 120)', s.SIGNALS)} AS headline FROM documents")
 def str_keyword_signal(spark, sf):
-    title = F.substring("text", 1, 120)
-    return src.read(spark, sf, "documents").select("doc_id", s.headline_signal(title, WORDS).alias("signal"), s.headline_signal(title).alias("headline"))
+    text = F.col("text")
+    return src.read(spark, sf, "documents").select("doc_id", s.headline_signal(text, WORDS).alias("signal"), s.headline_signal(text).alias("headline"))
 
 
 @query("""SELECT o_orderkey, round(o_totalprice, 2) AS plain, floor(o_totalprice / 1000) * 1000 AS thousands, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 100) / 100.0 END AS share FROM orders""")

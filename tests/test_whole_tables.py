@@ -1,4 +1,4 @@
-"""Queries that once read a part of the symbols: all of them are there."""
+"""Queries that once read a part of the symbols or of the texts: all of it counts."""
 
 import pytest
 
@@ -53,3 +53,10 @@ def test_rolling_pairs_cover_all_symbols(spark, sf_dir, name):
         weeks.setdefault(r["symbol"], set()).add(r["ts"])
     got = {(r["sa"], r["sb"]) for r in plans.QUERIES[name](spark, sf_dir).select("sa", "sb").distinct().collect()}
     assert got == {(a, b) for a in weeks for b in weeks if a < b and len(weeks[a] & weeks[b]) > 26}  # a window is 26 weeks before the row
+
+
+def test_keywords_behind_the_first_characters(spark, tmp_path):
+    rows = [(1, "x " * 100 + "a Worthless claim"), (2, "y " * 5000 + "the token"), (3, "z " * 200), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["signal"] for r in plans.QUERIES["str_keyword_signal"](spark, str(tmp_path)).collect()}
+    assert got == {1: "risk", 2: "secret", 3: None, 4: None}
