@@ -308,6 +308,21 @@ def test_chat_round_trip_and_expansion(spark):
     assert chat.read_back(chat.write(turns.limit(0))).count() == 0
 
 
+def test_chat_examples_hold_their_prefix_and_mask(spark):
+    say = [("user", "a\\b<|im_end|>"), ("assistant", "one\n"), ("user", "two"), ("assistant", ""), ("assistant", "three"), ("user", "four")]
+    turns = spark.createDataFrame([(7, i, role, x) for i, (role, x) in enumerate(say)], "conv_id long, turn long, role string, text string")
+    formatted = chat.write(turns)
+    stream = [f"{chat.START}{role}\n{x.replace(chr(92), chr(92) * 2).replace('<|', '<' + chr(92) + '|')}{chat.END}" for role, x in say]
+    rows = {r["pos"]: r for r in formatted.collect()}
+    assert {p: r["text"] for p, r in rows.items()} == {p: "".join(stream[:p]) for p in (2, 4, 5, 6)}
+    assert {p: r["text"][r["target_start"] : r["target_end"]] for p, r in rows.items() if p < 6} == {2: "one\n", 4: "", 5: "three"}
+    assert {p: r["context_end"] for p, r in rows.items()} == {2: len(stream[0]), 4: len("".join(stream[:3])), 5: len("".join(stream[:4])), 6: None}
+    assert [r["n_examples"] for r in chat.read_back(formatted).collect()] == [3]
+    for broken in (formatted.withColumn("text", F.regexp_replace("text", "two", F.concat(F.lit("tw"), F.col("pos").cast("string")))), formatted.withColumn("target_start", F.col("target_start") - 1), formatted.withColumn("text", F.regexp_replace("text", "(?s)^.*?im_end.>\n", ""))):
+        with pytest.raises(Exception, match="example"):
+            chat.read_back(broken).collect()
+
+
 def windows_brute(text, items):
     fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w = fold(text)
