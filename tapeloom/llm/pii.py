@@ -1,8 +1,8 @@
 """Personal data: base patterns and bootstrapped contextual extraction. DataFrame functions only.
 
 Base spans come from one pattern a kind. The bootstrap then looks for identifiers that the patterns miss: in texts
-with a digit or ``@``, every identifier-like token is an instance with its lexical patterns, the two words before it
-and the word behind it. Instances that a base pattern covers are seeds. Patterns and instances form a bipartite
+with a digit, ``@``, ``(at)``, ``[at]`` or groups between colons, every identifier-like token is an instance with its
+lexical patterns, the two words before it and the word behind it. Instances that a base pattern covers are seeds. Patterns and instances form a bipartite
 graph, counted once; each round scores a pattern by the share of its occurrences that are credible instances of a
 kind, and an instance by the patterns around it (noisy-or). Only patterns seen with at least ``min_seeds``
 different seeds count, and an instance above ``accept`` becomes a span of that kind, beside the base ones.
@@ -30,8 +30,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may be an identifier: phone-like, grouped digits, or a token with a digit or @.
-CANDIDATE = r"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9])[0-9](?:[\x20-]?+[0-9]){6,}+|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: What a token holds that may be an identifier without a digit or @: a written-out at, or the groups of an IPv6 address.
+WORDED = r"(?i:\(at\)|\[at\])|:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:"
+#: What may be an identifier: phone-like, grouped digits, or a token with a digit, @ or WORDED.
+CANDIDATE = r"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9])[0-9](?:[\x20-]?+[0-9]){6,}+|(?<!\S)(?=[^\s0-9@]*+[0-9@]|\S*?(?:" + WORDED + r"))\S++"
 CONTEXT = 80  # characters beside a candidate in which its context words are sought
 SHAPES = {
     "email": r"^[^\s@]+(@|\(at\)|\[at\])[^\s@]+$",
@@ -96,12 +98,13 @@ def base_spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with __base, an array per kind in KINDS order of struct<start, end, m>, and __cands."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     some = text.contains("@") | text.rlike("[0-9]")
+    may = some | text.rlike(WORDED)
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
     spans = []
     for k in KINDS:
         found = _located(text, PATTERNS[k])
         spans.append(F.coalesce(F.when(some, _passing(found, k)), none).alias(k))
-    cands = F.coalesce(F.when(some, _located(text, CANDIDATE, True)), F.array().cast("array<struct<start:int,end:int,m:string,left:string,right:string>>"))
+    cands = F.coalesce(F.when(may, _located(text, CANDIDATE, True)), F.array().cast("array<struct<start:int,end:int,m:string,left:string,right:string>>"))
     return docs.withColumns({"__base": F.struct(*spans), "__cands": cands})
 
 

@@ -126,6 +126,13 @@ def test_pii_bootstrap_adds_credible_instances_only(spark):
     assert all(got[i]["spans"] == got[i]["base"] for i in range(60))
 
 
+def test_pii_bootstrap_finds_identifiers_without_a_digit(spark):
+    rows = [(i, f"please contact staff{i}@mail.example.com today") for i in range(60)] + [(200 + i, f"the host answers 10.0.0.{i} since noon") for i in range(60)]
+    rows += [(100, "please contact john(at)example.com today"), (101, "please contact Jane[AT]example.com today"), (102, "the host answers fe::ab:cd:ef since noon"), (103, "please contact nobody today"), (104, "(at) please [at] a:b:c")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(100, 105)] == [[("email", 15, 34)], [("email", 15, 34)], [("ip", 17, 29)], [], []]
+
+
 def test_url_rules_and_propagation(spark):
     page = lambda i, url, html=None: (i, url, html)
     rows = [
