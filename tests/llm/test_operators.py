@@ -146,6 +146,17 @@ def test_url_rules_and_propagation(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_distrust_reaches_hosts_far_from_the_seeds(spark):
+    n = 14
+    rows = [(i, f"http://h{i}.com/x", f'<a href="http://h{i + 1}.com/">') for i in range(n)] + [(n, f"http://h{n}.com/x", '<a href="http://bad.net/">'), (n + 1, "http://bad.net/x", None), (n + 2, "http://lone.com/x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urlfilter.judge(pages).collect()}
+    assert [got[i]["verdict"] for i in range(n + 3)] == ["block"] * (n + 2) + ["allow"]
+    assert all(abs(got[n - d]["host_distrust"] - 0.15 * 0.85 ** (d + 1)) < 1e-4 * 0.85**d for d in range(n + 1))
+    with pytest.raises(RuntimeError, match="converged"):
+        urlfilter.judge(pages, max_rounds=5)
+
+
 def test_propagation_matches_power_iteration(spark):
     rng = np.random.default_rng(5)
     pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2)) if a != b})
