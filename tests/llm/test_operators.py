@@ -289,26 +289,68 @@ def test_simhash_edges(spark, docs):
     assert int(np.int64(spark_hash).view(np.uint64)) == xxhash.xxh64_intdigest(b"the quick brown fox", 42)
 
 
+def tokens_of(rows, plain):
+    """(doc_id, ids with the end id) in the order of the files: ids, then the texts' hashes."""
+    return [(r["doc_id"], [*plain.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.asc_nulls_first("doc_id"), "h", "text").collect()]
+
+
+ODD_TEXTS = ["two  spaces", " lead and trail ", "tab\t mix \n new", "it's we're <|endoftext|> x", "a" * 20_000, "a\nb c,\nd e,,. f)", "x \n", "ǆ Ÿs, don't.) a1 1a é.é", "a×b ÷ c", "nb\u00a0 x \u2003y", "\u3000 a", "x\x1c\x1dy z\x00", "日本 語 ab", "ɏɐ ʰx q", "«quote» – dash…", "1,000.5 2²", "\u0301x a\u0301b", "_x__ y_", "<|endoftext|>", "\x85 \x85a"]
+
+
 def test_token_files_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    extra = [(20, "two  spaces", None, None, 0, 0.0, ""), (21, " lead and trail ", None, None, 0, 0.0, ""), (22, "tab\t mix \n new", None, None, 0, 0.0, ""), (23, "it's we're <|endoftext|> x", None, None, 0, 0.0, ""), (24, "a" * 20_000, None, None, 0, 0.0, "")]
-    rows = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
+    rows = docs.unionByName(spark.createDataFrame([(20 + i, x, None, None, 0, 0.0, "") for i, x in enumerate(ODD_TEXTS)], SCHEMA))
     folder, manifest = tokenout.write(rows, path, seq=64, shards=3)
-    got = sorted(tokenout.read_documents(spark, folder, manifest).collect(), key=lambda r: r["start"])
-    want = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in rows.collect()))
-    at = 0
-    for r, (_, _, text) in zip(got, want, strict=True):
-        ids = plain.encode(text, add_special_tokens=False).ids + [2]
-        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    got, at = sorted(tokenout.read_documents(spark, folder, manifest).collect(), key=lambda r: r["start"]), 0
+    for r, (doc, ids) in zip(got, tokens_of(rows, plain), strict=True):
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     for ids, mask, last, _ in tokenout.sequences(folder, manifest[0][0]):
         assert len(ids) % 64 == 0 and len(ids) == len(mask) == len(last) and not ids.flags.owndata
     assert tokenout.read_documents(spark, *tokenout.write(docs.limit(0), path, shards=2)).count() == 0
 
 
+def test_one_id_may_fill_several_shards(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(5 if i % 3 else i, f"text number {i % 50} of many") for i in range(300)], "doc_id long, text string")
+    folder, manifest = tokenout.write(rows, path, seq=16, shards=6)
+    got, at = sorted(tokenout.read_documents(spark, folder, manifest).collect(), key=lambda r: r["start"]), 0
+    for r, (doc, ids) in zip(got, tokens_of(rows, Tokenizer.from_file(path)), strict=True):
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert len(manifest) >= 4 and max(n for _, n in manifest) < at / 2
+
+
+def test_all_documents_and_other_tokenizers_equal_the_plain_encoder(spark, sf_dir):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = [r["text"] or "" for r in documents(spark, sf_dir)] + ODD_TEXTS
+    for name in (path, public_tokenizers.path("word_bpe_49k.json")):
+        coder, tokenizer = tokenout.Encoder(name), Tokenizer.from_file(name)
+        some = texts if name == path else texts[:200]
+        ids, sizes = coder.encode([x.encode() for x in some])
+        want = [[*e.ids, 2] for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    coder = tokenout.Encoder(path)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.text(st.sampled_from(" \n\tabZ019.,'’é×ß日\u00a0\u0301<|"), max_size=30), min_size=1, max_size=5))
+    def agree(some):
+        ids, _ = coder.encode([x.encode() for x in some])
+        assert ids.tolist() == [i for x in some for i in [*plain.encode(x, add_special_tokens=False).ids, 2]]
+
+    agree()
+
+
 def test_chat_round_trip_and_expansion(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "a\\b <\\| \\n", "", None, "multi\nline <", "|pipe"]
     rows = [(c, t, ("user", "assistant", "system", None, "we\\ird\nrole")[(c + t) % 5], odd[(c * 7 + t) % len(odd)]) for c in range(6) for t in range(c + 2)] + [(None, 0, "assistant", "x"), (9, 0, "user", "only a user"), (9, 0, "user", "only a user")]
