@@ -92,11 +92,33 @@ def symbol_norm(raw: Column) -> Column:
     return F.upper(F.trim(raw))
 
 
-#: Needles of the headline signals, first hit wins.
+#: Needles of the headline signals, the first list with a hit wins.
 SIGNALS = (
-    ("guidance_negative", ("cuts guidance", "lowers guidance", "lowers outlook")), ("guidance_positive", ("raises guidance", "raises outlook")), ("contract_negative", ("loses contract", "contract terminated")),
-    ("contract_positive", ("wins contract", "awarded contract")), ("demand_negative", ("weak demand", "slowing demand")), ("demand_positive", ("strong demand", "record demand")), ("margin_negative", ("margin pressure",)), ("legal_negative", ("lawsuit", "investigation", "recall")),
+    ("guidance_negative", ("cuts guidance", "cut guidance", "lowers guidance", "guidance cut", "profit warning", "warns", "misses estimates", "demand slows", "weak demand")),
+    ("guidance_positive", ("raises guidance", "raised guidance", "boosts forecast", "raises outlook", "beats estimates", "raises forecast")),
+    ("contract_negative", ("loses contract", "lost contract", "contract terminated", "terminates contract", "contract canceled", "contract cancelled", "contract dispute")),
+    ("contract_positive", ("wins contract", "contract win", "contract award", "awarded contract", "multi-year cloud contract", "multi-year deal", "customer win", "strategic partnership")),
+    ("demand_negative", ("order slowdown", "orders slow", "backlog declines", "churn rises", "renewal rates fall")),
+    ("demand_positive", ("strong demand", "orders rise", "record backlog", "backlog rises", "usage growth")),
+    ("margin_negative", ("margin pressure", "costs rise", "cost inflation", "supply shortage", "capacity constraint")),
+    ("legal_negative", ("investigation", "lawsuit", "probe", "antitrust", "regulatory scrutiny")),
 )
+#: Forms of filings that are watched where no needle hits.
+WATCH_FORMS = ("8-K", "10-Q", "10-K", "S-1", "S-3", "DEF 14A")
+
+
+def classified(title: Column, origin: Column, form: Column, signals=SIGNALS) -> Column:
+    """headline_signal, or ``filing_watch`` for a watched form of a filing."""
+    return F.coalesce(headline_signal(title, signals), F.when((F.upper(origin) == "SEC") & F.upper(form).isin(*WATCH_FORMS), "filing_watch"))
+
+
+def direction(signal: Column) -> Column:
+    return F.substring_index(signal, "_", -1)
+
+
+def impact(signal: Column) -> Column:
+    """Confidence of a signal's kind."""
+    return F.when(F.split_part(signal, F.lit("_"), F.lit(1)).isin("guidance", "contract"), "high").when(signal.isNotNull(), "medium")
 
 
 def headline_signal(title: Column, signals=SIGNALS) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import crosssection as xs
 from tapeloom.operators import features as f
+from tapeloom.operators.joins import asof_backward
 
 def date():
     """The window of one date's names."""
@@ -125,3 +126,19 @@ def strategy_health(panel: DataFrame, ret: str, periods: int, by: str) -> DataFr
     nav = nav.withColumn("__dd", 1 - F.col("__nav") / F.greatest(F.lit(1.0), F.max("__nav").over(w)))
     sd = F.stddev_pop(ret)
     return nav.groupBy(by).agg(F.count("*").alias("n"), (F.exp(F.sum(F.log1p(F.col(ret)))) - 1).alias("total"), F.when(sd > 0, F.avg(ret) / sd * periods**0.5).otherwise(0.0).alias("sharpe"), F.max("__dd").alias("max_drawdown"))
+
+
+def ma_overlay(returns: DataFrame, bench: DataFrame, *, n: int = 200, fee: float = 0.001, per_year: int = 52) -> DataFrame:
+    """returns (ts, ret) in cash while the benchmark's last value is not above its mean of n; a change of regime costs ``fee``.
+
+    Both are calendars, a row a date, and so ordered by windows without a partition. Too short a history stays invested.
+    """
+    w = Window.orderBy("ts")
+    ma = F.when(F.count("*").over(w.rowsBetween(1 - n, 0)) == n, F.avg("bench").over(w.rowsBetween(1 - n, 0)))
+    regime = bench.withColumn("above", F.round(F.col("bench") - ma, 9) > 0).select(F.lit(1).alias("__k"), F.col("ts").alias("day"), "above")
+    x = asof_backward(returns.withColumn("__k", F.lit(1)), regime, ("__k",), "ts", "day", ("above",)).withColumn("invested", F.coalesce("fact.above", F.lit(True)))
+    turned = F.col("invested") != F.coalesce(F.lag("invested").over(w), F.lit(True))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("overlaid", F.when(F.col("invested"), F.col("ret")).otherwise(0.0) - F.when(turned, fee).otherwise(0.0)).withColumn("nav", F.exp(F.sum(F.log1p("overlaid")).over(upto)))
+    all_ = Window.partitionBy()
+    return x.withColumns({"drawdown": 1 - F.col("nav") / F.max("nav").over(upto), "sharpe": F.avg("overlaid").over(all_) / F.stddev_samp("overlaid").over(all_) * per_year**0.5})

@@ -93,6 +93,52 @@ def rolling_pair(pairs: DataFrame, by: list[str], n: int = 26) -> DataFrame:
     return p.withColumn("z", F.when(sd > 1e-12, (F.col("y") - F.col("__a") - F.col("hedge") * F.col("x")) / sd)).drop("__a")
 
 
+def pair_state(pairs: DataFrame, by: list[str], *, lookback: int = 104, least: int = 60, entry: float = 2.0, leave: float = 0.5) -> DataFrame:
+    """The last spread of each pair against the line fitted on its last ``lookback`` common rows. pairs: (by, ts, y, x).
+
+    n, hedge, corr, z (rounded), half_life of the spread and state (entry, exit, watch). Everything comes from one
+    aggregation: the spread's own regression on its lag is a quadratic form of the prices' covariances.
+    """
+    newest = Window.partitionBy(*by).orderBy(F.desc("ts"))
+    own = Window.partitionBy(*by).orderBy("ts")
+    p = pairs.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= lookback)
+    p = p.withColumns({"__y": F.lag("y").over(own), "__x": F.lag("x").over(own)}).withColumns({"__dy": F.col("y") - F.col("__y"), "__dx": F.col("x") - F.col("__x")})
+    mean = {c: F.avg(c).alias(f"m_{c}") for c in ("y", "x")}
+    moved = {f"{a}_{b}": F.covar_pop(a, b).alias(f"{a}_{b}") for a, b in (("__dy", "__y"), ("__dy", "__x"), ("__dx", "__y"), ("__dx", "__x"), ("__y", "__x"))}
+    g = p.groupBy(*by).agg(
+        F.count("*").alias("n"), *mean.values(), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("y", "x").alias("c"), F.corr("y", "x").alias("corr"), F.max_by(F.struct("y", "x"), "ts").alias("last"),
+        *moved.values(), F.var_pop("__y").alias("vly"), F.var_pop("__x").alias("vlx"),
+    ).where((F.col("n") >= least) & (F.col("vx") > 0)).withColumn("hedge", F.col("c") / F.col("vx"))
+    b = F.col("hedge")
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("vy") - b * F.col("c")))
+    z = F.round((F.col("last.y") - F.col("m_y") - b * (F.col("last.x") - F.col("m_x"))) / sd, 4)
+    cov = F.col("__dy___y") - b * F.col("__dy___x") - b * F.col("__dx___y") + b * b * F.col("__dx___x")
+    slope = cov / (F.col("vly") - 2 * b * F.col("__y___x") + b * b * F.col("vlx"))
+    g = g.where(sd > 1e-12).withColumns({"z": z, "half_life": F.when(slope < 0, -F.log(F.lit(2.0)) / slope)})
+    return g.withColumn("state", F.when(F.abs("z") >= entry, "entry").when(F.abs("z") <= leave, "exit").otherwise("watch"))
+
+
+def pair_positions(pairs: DataFrame, by: list[str], *, n: int = 26, entry: float = 2.0, leave: float = 0.5, cost: float = 0.0004, trades: int = 3, drawdown: float = 0.2) -> DataFrame:
+    """rolling_pair() with the position that is held, its return to the next row, and whether the pair passes its gates.
+
+    A row of |z| >= entry opens against the spread, one of |z| <= leave closes, and between them the last such row
+    holds: that is one window, no loop. All windows share the partitioning of the fit.
+    """
+    own = Window.partitionBy(*by).orderBy("ts")
+    upto, whole = own.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*by)
+    p = rolling_pair(pairs.withColumns({"__ny": F.lead("y").over(own), "__nx": F.lead("x").over(own)}), by, n).where("z IS NOT NULL")
+    near = F.round("z", 6)
+    mark = F.when(F.abs(near) <= leave, F.lit(0.0)).when(F.abs(near) >= entry, -F.signum(near))
+    p = p.withColumn("position", F.coalesce(F.last(mark, ignorenulls=True).over(upto), F.lit(0.0)))
+    turn = F.abs(F.col("position") - F.coalesce(F.lag("position").over(own), F.lit(0.0)))
+    p = p.withColumn("__turn", F.when(F.col("__ny").isNotNull(), turn))
+    p = p.withColumn("gross", F.col("position") * (F.col("__ny") - F.col("y") - F.col("hedge") * (F.col("__nx") - F.col("x"))) / (1 + F.abs("hedge"))).withColumn("net", F.col("gross") - cost * F.col("__turn"))
+    p = p.withColumn("__equity", F.product(1 + F.col("net")).over(upto)).withColumn("__fall", 1 - F.col("__equity") / F.greatest(F.lit(1.0), F.max("__equity").over(upto)))
+    opened = F.sum(((F.col("__turn") > 0) & (F.col("position") != 0)).cast("int")).over(whole)
+    gates = (opened >= trades) & (F.round(F.product(1 + F.col("net")).over(whole) - 1, 9) > 0) & (F.round(F.avg("net").over(whole), 12) >= 0) & (F.round(F.max("__fall").over(whole), 9) <= drawdown)
+    return p.withColumn("passed", F.coalesce(gates, F.lit(False)))
+
+
 def half_life(series: DataFrame, by: list[str], value: str) -> DataFrame:
     """-ln 2 / slope of the change on the level before it; null unless the slope is negative."""
     w = Window.partitionBy(*by).orderBy("ts")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions import scalars as sc
+from tapeloom.functions import stats as st
 from tapeloom.operators import crosssection as xs
 from tapeloom.operators import features as f
 from tapeloom.operators import joins as j
 from tapeloom.operators import macro as mac
 from tapeloom.operators import risk as rk
+from tapeloom.operators import signals as sg
 from tapeloom.operators import valuation as val
+from tapeloom.plans.market import MOMENTS, moments, ncdf
 from tapeloom.plans.registry import query
 from tapeloom.plans.selection import MOM, mom, zsql
 from tapeloom.plans.windows import TR, S, r, rows
@@ -79,23 +83,43 @@ def xs_momentum_screen(spark, sf):
     return last.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mom"), "symbol")).cast("long")).withColumn("mom", F.round("mom", 6))
 
 
-@query("""WITH q AS (SELECT *, lag(revenue, 4) OVER (PARTITION BY symbol ORDER BY period_end) AS r1, lag(revenue, 12) OVER (PARTITION BY symbol ORDER BY period_end) AS r3 FROM fund_q)
-    SELECT symbol, period_end, round(net_income / revenue, 6) AS net_margin, round(gross_profit / revenue, 6) AS gross_margin, round(net_income / total_equity, 6) AS roe, round(net_income / total_assets, 6) AS roa, round(total_debt / total_equity, 6) AS leverage, round(revenue / r1 - 1, 6) AS growth, round(CASE WHEN r3 > 0 THEN power(revenue / r3, 1.0 / 3) - 1 END, 6) AS cagr3 FROM q""")
+def _years(n: int) -> str:
+    """The record nearest to n years before the last, of those before it and at most 120 days off; the earlier on a tie."""
+    gap = f"abs(date_diff('day', CAST(last_end - INTERVAL {round(365.25 * n)} DAY AS DATE), period_end))"
+    return f"arg_min({{'rev': revenue, 'eps': eps, 'sh': shares_out}}, row({gap}, period_end)) FILTER (period_end < last_end AND {gap} <= 120) AS y{n}"
+
+
+METRICS = f"""WITH k AS (SELECT *, net_income / shares_out AS eps, max(period_end) OVER (PARTITION BY symbol) AS last_end, row_number() OVER (PARTITION BY symbol ORDER BY period_end) - 1 AS i, greatest(-1, least(1, CASE WHEN revenue > 0 THEN net_income / revenue END)) AS m FROM fund_q),
+    g AS (SELECT symbol, {_years(1)}, {_years(2)}, {_years(3)}, CASE WHEN count(m) >= 2 THEN regr_slope(m, i) END AS trend FROM k GROUP BY 1), p AS (SELECT symbol, arg_max(close, ts) AS price FROM bars_w GROUP BY 1),
+    l AS (SELECT k.*, y1, y2, y3, trend, price, price * shares_out AS cap FROM k JOIN g USING (symbol) LEFT JOIN p USING (symbol) WHERE period_end = last_end)"""
+RATIOS = {
+    "revenue_cagr": "CASE WHEN y3.rev > 0 AND revenue > 0 THEN power(revenue / y3.rev, 1.0 / 3) - 1 END", "revenue_growth_acceleration": "CASE WHEN revenue > 0 AND y1.rev > 0 AND y2.rev > 0 THEN revenue / y1.rev - y1.rev / y2.rev END", "eps_growth": "CASE WHEN y3.eps <> 0 THEN (eps - y3.eps) / abs(y3.eps) END",
+    "operating_margin": "CASE WHEN revenue > 0 THEN operating_income / revenue END", "net_margin": "CASE WHEN revenue > 0 THEN net_income / revenue END", "gross_margin": "CASE WHEN revenue > 0 THEN gross_profit / revenue END", "gross_profitability": "CASE WHEN total_assets > 0 THEN gross_profit / total_assets END",
+    "margin_trend": "trend", "roic": "CASE WHEN total_equity + total_debt > 0 THEN net_income / (total_equity + total_debt) END", "fcf_margin": "CASE WHEN revenue > 0 THEN free_cash_flow / revenue END", "fcf_conversion": "CASE WHEN net_income > 0 THEN free_cash_flow / net_income END",
+    "debt_to_equity": "CASE WHEN total_equity > 0 THEN total_debt / total_equity END", "share_growth": "CASE WHEN y3.sh > 0 AND shares_out > 0 THEN power(shares_out / y3.sh, 1.0 / 3) - 1 END", "pe": "CASE WHEN eps > 0 THEN price / eps END", "pfcf": "CASE WHEN free_cash_flow > 0 THEN cap / free_cash_flow END",
+    "ps": "CASE WHEN revenue > 0 THEN cap / revenue END", "pb": "CASE WHEN total_equity > 0 THEN cap / total_equity END", "market_cap": "CASE WHEN shares_out > 0 THEN cap END",
+}
+
+
+@query(f"{METRICS} SELECT symbol, period_end, {', '.join(f'round({v}, 6) AS {k}' for k, v in RATIOS.items())} FROM l")
 def xs_compounder_metrics(spark, sf):
-    w = Window.partitionBy("symbol").orderBy("period_end")
-    rev = F.col("revenue")
-    part = lambda a, b, n: F.round(F.col(a) / F.col(b), 6).alias(n)
-    return src.fundamentals(spark, sf).select(
-        "symbol", "period_end", part("net_income", "revenue", "net_margin"), part("gross_profit", "revenue", "gross_margin"), part("net_income", "total_equity", "roe"), part("net_income", "total_assets", "roa"), part("total_debt", "total_equity", "leverage"),
-        F.round(rev / F.lag(rev, 4).over(w) - 1, 6).alias("growth"), F.round(F.pow(rev / F.lag(rev, 12).over(w), 1 / 3) - 1, 6).alias("cagr3"),
-    )
+    price = src.weekly(spark, sf).groupBy("symbol").agg(F.max_by("close", "ts").alias("price"))
+    m = val.compounder_metrics(src.fundamentals(spark, sf).withColumn("eps", F.col("net_income") / F.col("shares_out")), price)
+    return m.select("symbol", "period_end", *r(*val.METRICS))
+
 
+def _steps(v: str, table, sign: str = ">=", missing: int = 0) -> str:
+    return f"CASE WHEN {v} IS NULL THEN {missing} " + " ".join(f"WHEN {v} {sign} {k} THEN {n}" for k, n in table) + " ELSE 0 END"
 
-@query("SELECT symbol, period_end, CASE WHEN net_income / total_equity >= 0.08 THEN 30 WHEN net_income / total_equity >= 0.06 THEN 20 ELSE 0 END + CASE WHEN net_income / revenue >= 0.08 THEN 20 ELSE 10 END + CASE WHEN total_debt / total_equity <= 0.6 THEN 25 WHEN total_debt / total_equity <= 0.8 THEN 15 ELSE 0 END AS score FROM fund_q")
+
+@query(f"""WITH q AS (SELECT symbol, period_end, round(100 * net_income / total_equity, 9) AS roe, round(100 * operating_income / revenue, 9) AS margin, round(100 * (revenue / lag(revenue, 4) OVER (PARTITION BY symbol ORDER BY period_end) - 1), 9) AS growth, round(100 * net_income / total_assets, 9) AS roa, round((total_assets - total_equity) / total_equity, 9) AS lev, round(0.5 * revenue / net_income, 9) AS pe FROM fund_q), p AS (SELECT *, CASE WHEN growth > 0 THEN round(pe / growth, 9) END AS peg FROM q)
+    SELECT symbol, period_end, {_steps('roe', val.ROE_STEPS)} + {_steps('margin', val.MARGIN_STEPS)} + {_steps('growth', val.GROWTH_STEPS)} + {_steps('roa', val.ROA_STEPS)} + {_steps('lev', val.LEVERAGE_STEPS, '<=')} AS quality, {_steps('pe', val.PE_STEPS, '<=')} + {_steps('peg', val.PEG_STEPS, '<=', 25)} AS value FROM p""")
 def xs_quality_value_score(spark, sf):
-    roe, margin, lev = F.col("net_income") / F.col("total_equity"), F.col("net_income") / F.col("revenue"), F.col("total_debt") / F.col("total_equity")
-    score = F.when(roe >= 0.08, 30).when(roe >= 0.06, 20).otherwise(0) + F.when(margin >= 0.08, 20).otherwise(10) + F.when(lev <= 0.6, 25).when(lev <= 0.8, 15).otherwise(0)
-    return src.fundamentals(spark, sf).select("symbol", "period_end", score.alias("score"))
+    c = F.col
+    w = Window.partitionBy("symbol").orderBy("period_end")
+    near = lambda x: F.round(x, 9)
+    s = val.quality_value(near(100 * c("net_income") / c("total_equity")), near(100 * c("operating_income") / c("revenue")), c("growth"), near(100 * c("net_income") / c("total_assets")), near((c("total_assets") - c("total_equity")) / c("total_equity")), near(0.5 * c("revenue") / c("net_income")))
+    return src.fundamentals(spark, sf).withColumn("growth", near(100 * (c("revenue") / F.lag("revenue", 4).over(w) - 1))).select("symbol", "period_end", *(v.alias(k) for k, v in s.items()))
 
 
 @query("SELECT symbol, period_end, round(revenue, 2) AS latest, round(lag(revenue) OVER (PARTITION BY symbol ORDER BY period_end), 2) AS prior, round(revenue / lag(revenue) OVER (PARTITION BY symbol ORDER BY period_end) - 1, 6) AS growth FROM fund_q QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) = 1")
@@ -154,14 +178,17 @@ def sig_vix_term(spark, sf):
     return side("Brand#1", "a").join(side("Brand#2", "b"), "ts").select("ts", F.round(F.col("a") / F.col("b"), 6).alias("ratio"), (F.col("a") / F.col("b") > 1).alias("backwardation"))
 
 
-@query("""WITH x AS (SELECT a.symbol AS sa, b.symbol AS sb, a.ts, ln(a.close) AS y, ln(b.close) AS x FROM bars_w a JOIN bars_w b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.symbol < 'Brand#12' AND b.symbol < 'Brand#12'), h AS (SELECT sa, sb, regr_slope(y, x) AS slope, corr(y, x) AS corr FROM x GROUP BY 1, 2),
-    s AS (SELECT x.sa, x.sb, slope, corr, y - slope * x AS spread, ts FROM x JOIN h USING (sa, sb)) SELECT sa AS symbol_a, sb AS symbol_b, round(any_value(slope), 5) AS hedge, round(any_value(corr), 5) AS corr, round((arg_max(spread, ts) - avg(spread)) / stddev_samp(spread), 4) AS z FROM s GROUP BY 1, 2""")
+PAIRS104 = "pr AS (SELECT sa, sb, ts, y, x FROM (SELECT a.symbol AS sa, b.symbol AS sb, a.ts, ln(a.close) AS y, ln(b.close) AS x FROM bars_w a JOIN bars_w b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.close > 0 AND b.close > 0) QUALIFY row_number() OVER (PARTITION BY sa, sb ORDER BY ts DESC) <= 104)"
+
+
+@query(f"""WITH {PAIRS104}, h AS (SELECT sa, sb, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS cut, corr(y, x) AS corr FROM pr GROUP BY 1, 2 HAVING count(*) >= 60 AND var_pop(x) > 0),
+    s AS (SELECT sa, sb, n, slope, corr, ts, y - (cut + slope * x) AS s FROM pr JOIN h USING (sa, sb)), l AS (SELECT *, lag(s) OVER (PARTITION BY sa, sb ORDER BY ts) AS p FROM s),
+    g AS (SELECT sa, sb, n, slope, corr, round((arg_max(s, ts) - avg(s)) / stddev_pop(s), 4) AS z, regr_slope(s - p, p) AS k FROM l GROUP BY ALL)
+    SELECT sa AS symbol_a, sb AS symbol_b, n, round(slope, 5) AS hedge, round(corr, 5) AS corr, z, round(CASE WHEN k < 0 THEN -ln(2) / k END, 4) AS half_life, CASE WHEN abs(z) >= 2 THEN 'entry' WHEN abs(z) <= 0.5 THEN 'exit' ELSE 'watch' END AS state, CASE WHEN z >= 2 THEN sb WHEN z <= -2 THEN sa END AS long_symbol FROM g""")
 def sig_pair(spark, sf):
-    b = src.weekly(spark, sf)
+    b = src.weekly(spark, sf).where("close > 0")
     x = b.select(F.col("symbol").alias("symbol_a"), "ts", F.log("close").alias("y")).join(b.select(F.col("symbol").alias("symbol_b"), "ts", F.log("close").alias("x")), "ts").where("symbol_a < symbol_b")
-    h = x.groupBy("symbol_a", "symbol_b").agg((F.covar_pop("y", "x") / F.var_pop("x")).alias("hedge"), F.corr("y", "x").alias("corr"))
-    s = x.join(h, ["symbol_a", "symbol_b"]).withColumn("spread", F.col("y") - F.col("hedge") * F.col("x"))
-    return s.groupBy("symbol_a", "symbol_b").agg(F.round(F.first("hedge"), 5).alias("hedge"), F.round(F.first("corr"), 5).alias("corr"), F.round((F.max_by("spread", "ts") - F.avg("spread")) / F.stddev_samp("spread"), 4).alias("z"))
+    return sg.pair_state(x, ["symbol_a", "symbol_b"]).select("symbol_a", "symbol_b", "n", *r("hedge", "corr", n=5), "z", F.round("half_life", 4).alias("half_life"), "state", F.when(F.col("z") >= 2, F.col("symbol_b")).when(F.col("z") <= -2, F.col("symbol_a")).alias("long_symbol"))
 
 
 @query(f"WITH x AS ({TR}), a AS (SELECT symbol, ts, close, CASE WHEN count(tr) OVER {rows(14)} = 14 THEN avg(tr) OVER {rows(14)} END AS atr FROM x) SELECT symbol, ts, round(close - 0.5 * atr, 6) AS entry, round(close - 2 * atr, 6) AS stop, round(close + 3 * atr, 6) AS target FROM a WHERE atr > 0 AND close - 2 * atr > 0")
@@ -203,12 +230,6 @@ def val_fair_value(spark, sf):
     return fair_rows(spark, sf).select("symbol", "period_end", F.round(F.col("fair") / F.col("price") - 1, 5).alias("upside"), (F.count("*").over(Window.partitionBy("period_end")) - 1).alias("n_peers"))
 
 
-@query(f"WITH {FAIR}, s AS (SELECT *, row_number() OVER (PARTITION BY period_end ORDER BY round(fair / price, 9) DESC, symbol) AS rank FROM d) SELECT symbol, period_end, rank, CASE WHEN fair / price >= 1.15 THEN 'buy' WHEN fair / price >= 0.9 THEN 'hold' ELSE 'avoid' END AS action FROM s")
-def val_scan(spark, sf):
-    up = F.col("fair") / F.col("price")
-    return fair_rows(spark, sf).select("symbol", "period_end", F.row_number().over(Window.partitionBy("period_end").orderBy(F.desc(F.round(up, 9)), "symbol")).cast("long").alias("rank"), F.when(up >= 1.15, "buy").when(up >= 0.9, "hold").otherwise("avoid").alias("action"))
-
-
 @query(f"WITH {FAIR} SELECT symbol, period_end, round(price * 0.3 + price * 0.97 * 0.4 + price * 0.94 * 0.3, 4) AS average_entry, round(price * 0.94 * 0.92, 4) AS stop, round(fair * 1.15, 2) AS target FROM d")
 def val_entry_ladder(spark, sf):
     x = fair_rows(spark, sf).withColumn("ladder", val.entry_ladder(F.col("price"), F.col("fair")))
@@ -216,11 +237,41 @@ def val_entry_ladder(spark, sf):
     return x.select("symbol", "period_end", F.round(avg, 4).alias("average_entry"), F.round(F.element_at("ladder", -1)["price"] * 0.92, 4).alias("stop"), F.round(F.col("fair") * 1.15, 2).alias("target"))
 
 
-@query(f"WITH {FAIR}, s AS (SELECT symbol, period_end, 100.0 * (count(*) OVER (PARTITION BY period_end) - row_number() OVER (PARTITION BY period_end ORDER BY round(fair / price, 9) DESC, symbol)) / nullif(count(*) OVER (PARTITION BY period_end) - 1, 0) AS pct, n FROM d) SELECT symbol, period_end, round(least(100, pct * (0.4 + 0.3 * n / 3.0 + 0.3)), 4) AS confidence, CASE WHEN round(pct * (0.7 + 0.1 * n), 6) >= 70 THEN 'high' WHEN round(pct * (0.7 + 0.1 * n), 6) >= 45 THEN 'medium' ELSE 'low' END AS band FROM s")
+#: Per date: percentile of the upside, method agreement, membership, and the symbol's own record of weekly returns.
+CONF = f"""{MOMENTS}, w AS (SELECT symbol, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END) AS wf FROM x WHERE ret IS NOT NULL GROUP BY 1), z AS (SELECT symbol, 1 - skew * sr + (kurt - 1) / 4 * sr * sr AS v, sr, n FROM m), e AS (SELECT symbol, CASE WHEN v > 0 THEN sr * sqrt(n - 1) / sqrt(v) END AS z1, CASE WHEN v > 0 THEN (sr - 0.02) * sqrt(n - 1) / sqrt(v) END AS z2 FROM z), {FAIR},
+    c AS (SELECT *, sqrt((coalesce((a - mean) ** 2, 0) + coalesce((b - mean) ** 2, 0) + coalesce((c - mean) ** 2, 0)) / n) / fair AS spread FROM d),
+    s AS (SELECT c.symbol, c.period_end, c.fair, c.price, 100.0 * (count(*) OVER (PARTITION BY c.period_end) - row_number() OVER (PARTITION BY c.period_end ORDER BY round(fair / price, 9) DESC, c.symbol)) / nullif(count(*) OVER (PARTITION BY c.period_end) - 1, 0) AS pct, row_number() OVER (PARTITION BY c.period_end ORDER BY round(fair / price, 9) DESC, c.symbol) AS rank,
+      CASE WHEN n < 2 OR spread > 0.5 THEN 0.8 WHEN spread > 0.25 THEN 0.9 ELSE 1.0 END AS factor, 0.4 * wf + 0.3 * coalesce({ncdf('z1')}, 0) + 0.3 * coalesce({ncdf('z2')}, 0) AS reliability, mb.end_date IS NULL AS inside FROM c LEFT JOIN w USING (symbol) LEFT JOIN e USING (symbol) LEFT JOIN members mb USING (symbol)),
+    f AS (SELECT *, round(CASE WHEN inside THEN pct * reliability * factor ELSE least(pct * reliability * factor, 25) END, 4) AS confidence FROM s), h AS (SELECT *, CASE WHEN confidence >= 70 THEN 'high' WHEN confidence >= 45 THEN 'medium' ELSE 'low' END AS band FROM f)"""
+
+
+def confident(spark, sf):
+    own = f.returns(src.weekly(spark, sf)).where("ret IS NOT NULL").groupBy("symbol").agg(F.avg((F.col("ret") > 0).cast("double")).alias("wf"))
+    m = moments(spark, sf)
+    phi = lambda base: F.coalesce(st.normal_cdf(st.psr(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"), F.lit(base))), F.lit(0.0))
+    m = m.select("symbol", phi(0.0).alias("psr"), phi(0.02).alias("dsr"))
+    best = [F.desc(F.round(F.col("fair") / F.col("price"), 9)), F.col("symbol")]
+    x = fair_rows(spark, sf).withColumns({"pct": xs.rank_percentile(best, "period_end"), "rank": F.row_number().over(Window.partitionBy("period_end").orderBy(*best))})
+    x = x.join(own, "symbol", "left").join(m, "symbol", "left").join(src.members(spark, sf).select("symbol", F.col("end_date").isNull().alias("inside")), "symbol", "left")
+    return x.withColumn("confidence", F.round(val.confidence(F.col("pct"), F.col("inside"), F.col("wf"), F.col("psr"), F.col("dsr"), val.valuation_factor(F.col("n_methods"), F.col("dispersion"))), 4)).withColumn("band", F.when(F.col("confidence") >= 70, "high").when(F.col("confidence") >= 45, "medium").otherwise("low"))
+
+
+@query(f"{CONF} SELECT symbol, period_end, confidence, band, inside FROM h")
 def val_confidence(spark, sf):
-    x = fair_rows(spark, sf).withColumn("pct", xs.rank_percentile([F.desc(F.round(F.col("fair") / F.col("price"), 9)), F.col("symbol")], "period_end"))
-    score = F.round(F.col("pct") * (0.7 + 0.1 * F.col("n_methods")), 6)
-    return x.select("symbol", "period_end", F.round(F.least(F.lit(100.0), F.col("pct") * (0.4 + 0.3 * F.col("n_methods") / 3 + 0.3)), 4).alias("confidence"), F.when(score >= 70, "high").when(score >= 45, "medium").otherwise("low").alias("band"))
+    return confident(spark, sf).select("symbol", "period_end", "confidence", "band", "inside")
+
+
+@query(f"""{CONF} SELECT symbol, period_end, rank, round(fair, 2) AS fair, round(fair / price - 1, 5) AS upside, confidence, band, round(price * 0.97, 4) AS average_entry, round(price * 0.94 * 0.92, 4) AS stop, round(fair * 1.15, 2) AS target,
+    CASE WHEN NOT inside THEN 'AVOID' WHEN rank <= 5 THEN CASE WHEN band IN ('high', 'medium') THEN 'BUY' ELSE 'HOLD' END WHEN band IN ('high', 'medium') THEN 'HOLD' ELSE 'AVOID' END AS action FROM h""")
+def val_scan(spark, sf):
+    x = confident(spark, sf).withColumn("ladder", val.entry_ladder(F.col("price"), F.col("fair")))
+    sure = F.col("band").isin("high", "medium")
+    action = F.when(~F.col("inside"), "AVOID").when(F.col("rank") <= 5, F.when(sure, "BUY").otherwise("HOLD")).when(sure, "HOLD").otherwise("AVOID")
+    entry = F.aggregate("ladder", F.lit(0.0), lambda a, s: a + s["pct"] * s["price"])
+    return x.select(
+        "symbol", "period_end", F.col("rank").cast("long").alias("rank"), *r("fair", n=2), F.round(F.col("fair") / F.col("price") - 1, 5).alias("upside"), "confidence", "band", F.round(entry, 4).alias("average_entry"),
+        F.round(F.element_at("ladder", -1)["price"] * 0.92, 4).alias("stop"), F.round(F.col("fair") * 1.15, 2).alias("target"), action.alias("action"),
+    )
 
 
 OPT = "q AS (SELECT p_brand AS expiry, 0.05 + 0.01 * CAST(substr(p_brand, 7) AS INT) AS t, p_size::DOUBLE + 70 AS strike, max(greatest(0, 100 - p_size - 70.0) + 5 + (p_retailprice % 7) / 10) AS call, max(greatest(0, p_size + 70.0 - 100) + 5 + (p_retailprice % 5) / 10) AS put FROM part GROUP BY 1, 2, 3)"
@@ -252,15 +303,36 @@ def opt_vix_index(spark, sf):
     return n.select(F.round(100 * F.sqrt((F.col("t1") * F.col("v1") * w + F.col("t2") * F.col("v2") * (1 - w)) / 0.155), 4).alias("index"))
 
 
-@query(f"WITH {OPT} SELECT expiry, count(*) AS n, count(*) FILTER (call > put) AS n_call_over, count(*) FILTER (call + put > 25) AS n_wide, min(strike) AS lo, max(strike) AS hi FROM q GROUP BY 1")
+#: Quotes with sides, trades and ages, by fixed shares of the mids: some are crossed, missing, old or wide.
+QUOTES = f"""{OPT}, b AS (SELECT expiry, t, strike, CAST(round(t * 365) AS INT) AS days, call * 0.98 AS cb, call * CASE WHEN CAST(strike AS INT) % 11 = 0 THEN 0.97 ELSE 1.02 END AS ca, CASE WHEN CAST(strike AS INT) % 13 > 0 THEN put * 0.95 END AS pb, CASE WHEN CAST(strike AS INT) % 13 > 0 THEN put * CASE WHEN CAST(strike AS INT) % 7 = 0 THEN 1.2 ELSE 1.02 END END AS pa,
+    CAST(strike AS INT) % 9 AS call_age, CASE WHEN CAST(strike AS INT) % 10 > 0 THEN CAST(strike AS INT) % 8 END AS put_age FROM q)"""
+
+
+def quotes(spark, sf):
+    k = F.col("strike").cast("int")
+    part = lambda n, then, other: F.when(k % n == 0, then).otherwise(other)
+    return options(spark, sf).select(
+        "expiry", "t", "strike", F.round(F.col("t") * 365).cast("int").alias("days"), (F.col("call") * 0.98).alias("cb"), (F.col("call") * part(11, 0.97, 1.02)).alias("ca"),
+        F.when(k % 13 > 0, F.col("put") * 0.95).alias("pb"), F.when(k % 13 > 0, F.col("put") * part(7, 1.2, 1.02)).alias("pa"), (k % 9).alias("call_age"), F.when(k % 10 > 0, k % 8).alias("put_age"),
+    )
+
+
+@query(f"""WITH {QUOTES}, s AS (SELECT expiry, any_value(days) AS days, count(*) AS n, count(DISTINCT strike) AS n_strikes, count(*) FILTER (ca < cb OR coalesce(pa < pb, false)) AS inverted, count(*) FILTER (ca < cb OR pb IS NULL OR pa < pb) AS missing_sides, count(*) FILTER (call_age > 5) + count(*) FILTER (put_age > 5) AS stale, count(*) FILTER (put_age IS NULL) AS missing_trades,
+      count(*) FILTER (ca >= cb AND (ca - cb) / ((ca + cb) / 2) > 0.1) + count(*) FILTER (pa >= pb AND (pa - pb) / ((pa + pb) / 2) > 0.1) AS wide FROM b GROUP BY 1),
+    m AS (SELECT max(days) FILTER (days <= 45) AS lo, min(days) FILTER (days >= 45) AS hi FROM s)
+    SELECT expiry, days, days IN (lo, hi) AS bracket, n, n_strikes, inverted, missing_sides, stale, missing_trades, wide, CASE WHEN n_strikes < 3 THEN 1 ELSE 0 END AS n_errors,
+      CAST(n_strikes BETWEEN 3 AND 4 AS INT) + CAST(inverted > 0 AS INT) + CAST(missing_sides > 0 AS INT) + CAST(stale > 0 AS INT) + CAST(missing_trades > 0 AS INT) + CAST(wide > 0 AS INT) AS n_warnings FROM s, m""")
 def opt_chain_quality(spark, sf):
-    return options(spark, sf).groupBy("expiry").agg(F.count("*").alias("n"), F.count(F.when(F.col("call") > F.col("put"), 1)).alias("n_call_over"), F.count(F.when(F.col("call") + F.col("put") > 25, 1)).alias("n_wide"), F.min("strike").alias("lo"), F.max("strike").alias("hi"))
+    return val.chain_quality(quotes(spark, sf), target_days=45, max_age=5, max_spread=0.1)
 
 
-@query(f"SELECT DISTINCT symbol, ts, arg_min(expiry, abs(t - 0.12)) OVER () AS nearest FROM (SELECT DISTINCT p_brand AS expiry, 0.05 + 0.01 * CAST(substr(p_brand, 7) AS INT) AS t FROM part), (SELECT symbol, max(ts) AS ts FROM bars_w GROUP BY 1)")
+@query("""WITH e AS (SELECT DISTINCT p_brand AS expiry, CAST(round((0.05 + 0.01 * CAST(substr(p_brand, 7) AS INT)) * 365) AS INT) AS days FROM part), g AS (SELECT unnest([10, 30, 45, 60, 90, 150, 400]) AS target), j AS (SELECT * FROM g, e),
+    a AS (SELECT target, max(row(days, expiry)) FILTER (days <= target) AS below, min(row(days, expiry)) FILTER (days >= target) AS above, count(*) AS n, list(row(abs(days - target), days, expiry) ORDER BY abs(days - target), days, expiry) AS near FROM j GROUP BY 1),
+    s AS (SELECT target, CASE WHEN below IS NOT NULL AND above IS NOT NULL THEN [below, above] ELSE list_sort([row(near[1][2], near[1][3]), row(near[least(2, n)][2], near[least(2, n)][3])]) END AS pick FROM a)
+    SELECT target, pick[1][2] AS near_expiry, pick[1][1] AS near_days, pick[2][2] AS far_expiry, pick[2][1] AS far_days FROM s""")
 def select_bracketing_expiry(spark, sf):
-    e = options(spark, sf).groupBy("expiry", "t").agg(F.count("*").alias("n")).agg(F.min_by("expiry", F.abs(F.col("t") - 0.12)).alias("nearest"))
-    return src.weekly(spark, sf).groupBy("symbol").agg(F.max("ts").alias("ts")).crossJoin(F.broadcast(e))
+    e = options(spark, sf).select("expiry", F.round(F.col("t") * 365).cast("int").alias("days")).distinct()
+    return val.bracketing(e.withColumn("target", F.explode(F.array(*map(F.lit, (10, 30, 45, 60, 90, 150, 400))))))
 
 
 VINT = "v AS (SELECT series_id, asof_date, arg_max(value, revision_n) AS value FROM macro GROUP BY 1, 2)"
@@ -319,17 +391,26 @@ def w_hysteresis(spark, sf):
     return mac.hysteresis(regimes(spark, sf), "series_id", "month", "raw", ("crisis",)).select("series_id", "month", "raw", "regime")
 
 
-@query(f"WITH {VINT}, x AS (SELECT series_id, asof_date, value - avg(value) OVER (PARTITION BY series_id) AS d FROM v) SELECT series_id, asof_date, round(exp(-d / 10) / (exp(-d / 10) + exp(0.2) + exp(d / 10)), 6) AS cut, round(exp(0.2) / (exp(-d / 10) + exp(0.2) + exp(d / 10)), 6) AS hold, round(exp(d / 10) / (exp(-d / 10) + exp(0.2) + exp(d / 10)), 6) AS hike FROM x")
-def mac_rate_probs(spark, sf):
-    d = (F.col("value") - F.avg("value").over(Window.partitionBy("series_id"))) / 10
-    p = mac.softmax({"cut": -d, "hold": F.lit(0.2), "hike": d})
-    return vintage(spark, sf).select("series_id", "asof_date", *(F.round(c, 6).alias(k) for k, c in p.items()))
+RATES = f"""{MONTHLY}, v AS (SELECT *, value / 1000 AS rate, lag(value) OVER w / 1000 AS before, lead(value) OVER w / 1000 AS after, lag(month) OVER w = month - INTERVAL 1 MONTH AND lead(month) OVER w = month + INTERVAL 1 MONTH AS whole FROM mo WINDOW w AS (PARTITION BY series_id ORDER BY month)),
+    b AS (SELECT series_id, month AS meeting, round((after - before) * 100, 6) AS bp FROM v WHERE whole AND month(month) % 2 = 1), d AS (SELECT *, CASE WHEN abs(bp) < 12.5 THEN 'hold' WHEN bp > 0 THEN 'hike' ELSE 'cut' END AS decision, CASE WHEN abs(bp) < 12.5 THEN 0 ELSE round(bp, 1) END AS moved FROM b),
+    k AS (SELECT *, sum(CASE WHEN decision = 'hold' THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY meeting ROWS UNBOUNDED PRECEDING) AS island FROM d), rd AS (SELECT series_id, meeting, decision, moved, sum(CASE WHEN decision = 'hold' THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, island ORDER BY meeting ROWS UNBOUNDED PRECEDING) AS streak FROM k)"""
+
 
+def rates(spark, sf):
+    return monthly(spark, sf).select("series_id", "month", (F.col("value") / 1000).alias("rate"))
 
-@query(f"WITH {VINT} SELECT series_id, asof_date, CASE WHEN value - lag(value) OVER w > 0.125 THEN 'hike' WHEN value - lag(value) OVER w < -0.125 THEN 'cut' ELSE 'hold' END AS decision FROM v WINDOW w AS (PARTITION BY series_id ORDER BY asof_date)")
+
+@query(f"WITH {RATES} SELECT series_id, meeting, decision, moved AS bp, CAST(streak AS BIGINT) AS streak FROM rd")
 def mac_rate_decision(spark, sf):
-    d = F.col("value") - F.lag("value").over(mac.series())
-    return vintage(spark, sf).select("series_id", "asof_date", F.when(d > 0.125, "hike").when(d < -0.125, "cut").otherwise("hold").alias("decision"))
+    return mac.rate_decisions(rates(spark, sf)).select("series_id", F.col("month").alias("meeting"), "decision", "bp", "streak")
+
+
+@query(f"""WITH {RATES}, u AS (SELECT series_id, month, rate, round((avg(rate) OVER (PARTITION BY series_id ORDER BY month ROWS 2 PRECEDING) - rate) * 100, 9) AS spread, CASE WHEN lag(month, 12) OVER w = month - INTERVAL 12 MONTH THEN (rate / lag(rate, 12) OVER w - 1) * 100 END AS yoy FROM v WINDOW w AS (PARTITION BY series_id ORDER BY month)),
+    t AS (SELECT *, greatest(-2, least(2, spread / 50)) AS market, CASE WHEN yoy IS NOT NULL THEN greatest(-3, least(3, (1 + yoy + 0.5 * (yoy - 2) - (rate - 0.125)) / 0.25)) * 0.33 END AS taylor FROM u), p AS (SELECT t.series_id, month AS meeting, (0.5 * market + coalesce(0.3 * taylor, 0)) / (0.5 + CASE WHEN taylor IS NULL THEN 0 ELSE 0.3 END) AS pressure, 1 + 0.15 * least(coalesce(streak, 0), 6) AS hold FROM t LEFT JOIN rd ON rd.series_id = t.series_id AND rd.meeting = t.month)
+    SELECT series_id, meeting, round(pressure, 6) AS pressure, {', '.join(f'round(exp({x}) / (exp(-0.8 * pressure) + exp(hold) + exp(0.8 * pressure)), 4) AS {k}' for k, x in (('cut', '-0.8 * pressure'), ('hold_p', 'hold'), ('hike', '0.8 * pressure')))} FROM p""")
+def mac_rate_probs(spark, sf):
+    p = mac.rate_probabilities(rates(spark, sf))
+    return p.select("series_id", F.col("month").alias("meeting"), *r("pressure"), *r("cut", n=4), F.round("hold", 4).alias("hold_p"), *r("hike", n=4))
 
 
 @query(f"WITH {VINT}, f AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY asof_date) AS fc FROM v) SELECT series_id, count(fc) AS n, round(avg(abs(value - fc)), 6) AS mae, round(sqrt(avg((value - fc) ** 2)), 6) AS rmse, round(avg(CASE WHEN abs(value - fc) <= 2 THEN 1.0 ELSE 0 END), 6) AS coverage FROM f WHERE fc IS NOT NULL GROUP BY 1")
@@ -430,10 +511,20 @@ def nw_signal_adjust(spark, sf):
     return src.read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.greatest(F.lit(-2), F.least(F.lit(2), F.sum(v))).cast("double").alias("adjust"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'worthless') OR contains(lower(text), 'pathetic') THEN -1 WHEN contains(lower(text), 'license') THEN 1 ELSE 0 END AS screen FROM documents")
+#: Own needles for the given texts, beside the fixed ones.
+TEXTS = (*sc.SIGNALS, ("license_positive", ("license",)), ("tone_negative", ("worthless", "pathetic")))
+
+
+@query(f"""WITH e AS (SELECT 'Brand#' || (doc_id % 25 + 1) AS symbol, CASE {' '.join('WHEN ' + ' OR '.join(f"contains(lower(text), '{n}')" for n in ns) + f" THEN '{k.rsplit('_', 1)[1]}'" for k, ns in TEXTS)} END AS direction FROM documents), g AS (SELECT symbol, count(*) FILTER (direction = 'positive') AS up, count(*) FILTER (direction = 'negative') AS down FROM e GROUP BY 1),
+    c AS (SELECT symbol, ts, round((close / lag(close) OVER ({S}) - 1) * 100, 6) AS change FROM bars_w QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)
+    SELECT symbol, ts, change, coalesce(up, 0) AS n_positive, coalesce(down, 0) AS n_negative, CASE WHEN change >= 2 THEN 1 WHEN change <= -2 THEN -1 ELSE 0 END + 3 * coalesce(up, 0) - 3 * coalesce(down, 0) AS score FROM c LEFT JOIN g USING (symbol)""")
 def nw_event_screen(spark, sf):
-    t = F.lower("text")
-    return src.read(spark, sf, "documents").select("doc_id", F.when(t.contains("worthless") | t.contains("pathetic"), -1).when(t.contains("license"), 1).otherwise(0).alias("screen"))
+    d = src.read(spark, sf, "documents").select(F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string")).alias("symbol"), sc.direction(sc.headline_signal(F.col("text"), TEXTS)).alias("direction"))
+    g = d.groupBy("symbol").agg(*(F.count(F.when(F.col("direction") == k, 1)).alias(f"n_{k}") for k in ("positive", "negative")))
+    last = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    b = src.weekly(spark, sf).select("symbol", "ts", F.round((F.col("close") / f.lag("close") - 1) * 100, 6).alias("change"), F.row_number().over(last).alias("n")).where("n = 1").drop("n")
+    up, down = (F.coalesce(f"n_{k}", F.lit(0)) for k in ("positive", "negative"))
+    return b.join(g, "symbol", "left").select("symbol", "ts", "change", up.alias("n_positive"), down.alias("n_negative"), (F.when(F.col("change") >= 2, 1).when(F.col("change") <= -2, -1).otherwise(0) + 3 * up - 3 * down).alias("score"))
 
 
 @query("WITH u AS (SELECT event_type AS provider, event_id AS id, CAST(ts AS TIMESTAMP) AS seen_at FROM events UNION ALL SELECT 'orders', o_orderkey, CAST(o_orderdate AS TIMESTAMP) FROM orders) SELECT provider, id, seen_at FROM u ORDER BY seen_at DESC, provider, id LIMIT 200")

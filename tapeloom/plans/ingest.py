@@ -222,13 +222,13 @@ def src_holdings_csv(spark, sf):
     return x.where("kind = 'Equity' AND weight IS NOT NULL").select("ticker", "weight")
 
 
-@query("SELECT symbol, known_date AS announce_date, 'earnings' AS kind FROM fund_q WHERE symbol IN ('Brand#3', 'Brand#4')")
+@query("SELECT symbol, known_date AS announce_date, 'earnings' AS kind FROM fund_q")
 def src_earnings_calendar(spark, sf):
     q = src.fundamentals(spark, sf).select("symbol", F.col("known_date").alias("reportDate"))
-    a = fm.read_csv(spark, as_csv(q.where("symbol < 'Brand#2'").unionByName(q.where("symbol = 'Brand#3'")), "calendar"), ("symbol", "reportdate"))
-    b = fm.read_json(spark, as_json(q.where("symbol >= 'Brand#4'"), "calendar-json"), "symbol string, reportDate date")
+    a = fm.read_csv(spark, as_csv(q.where("symbol < 'Brand#2'"), "calendar"), ("symbol", "reportdate"))
+    b = fm.read_json(spark, as_json(q.where("symbol >= 'Brand#2'"), "calendar-json"), "symbol string, reportDate date")
     both = a.select("symbol", F.col("reportdate").cast("date").alias("announce_date")).unionByName(b.select("symbol", F.col("reportDate").alias("announce_date")))
-    return both.where(F.col("symbol").isin("Brand#3", "Brand#4")).withColumn("kind", F.lit("earnings"))
+    return both.withColumn("kind", F.lit("earnings"))
 
 
 @query("SELECT event_id, 'T' || (user_id % 20) AS ticker, value AS sentiment FROM events WHERE user_id % 20 < 10")

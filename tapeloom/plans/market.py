@@ -83,7 +83,14 @@ def vp_nodes(spark, sf):
 
 
 RET = f"SELECT symbol, ts, close / lag(close) OVER ({S}) - 1 AS ret FROM bars_w"
-MOMENTS = f"WITH x AS ({RET}), d AS (SELECT *, ret - avg(ret) OVER (PARTITION BY symbol) AS d FROM x WHERE ret IS NOT NULL), m AS (SELECT symbol, count(*) AS n, avg(ret) / stddev_samp(ret) AS sr, avg(d ** 3) / avg(d ** 2) ** 1.5 AS skew, avg(d ** 4) / avg(d ** 2) ** 2 AS kurt FROM d GROUP BY 1)"
+def ncdf(z: str) -> str:
+    """SQL of stats.normal_cdf, the same rational approximation."""
+    t = f"(1 / (1 + 0.3275911 * abs({z}) / {2**0.5!r}))"
+    half = f"0.5 * {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({z}) * ({z}) / 2)"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {half} ELSE {half} END"
+
+
+MOMENTS = f"WITH x AS ({RET}), dv AS (SELECT *, ret - avg(ret) OVER (PARTITION BY symbol) AS d FROM x WHERE ret IS NOT NULL), m AS (SELECT symbol, count(*) AS n, avg(ret) / stddev_samp(ret) AS sr, avg(d ** 3) / avg(d ** 2) ** 1.5 AS skew, avg(d ** 4) / avg(d ** 2) ** 2 AS kurt FROM dv GROUP BY 1)"
 
 
 def moments(spark, sf):
@@ -91,10 +98,10 @@ def moments(spark, sf):
     return x.groupBy("symbol").agg(F.count("*").alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr"), *a.moments("ret"))
 
 
-@query(f"{MOMENTS} SELECT symbol, n, round(sr, 5) AS sr, round((sr - 0.02) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr), 4) AS z FROM m")
+@query(f"{MOMENTS}, v AS (SELECT *, 1 - skew * sr + (kurt - 1) / 4 * sr * sr AS v FROM m WHERE n > 1), z AS (SELECT *, CASE WHEN v > 0 THEN (sr - 0.02) * sqrt(n - 1) / sqrt(v) END AS z FROM v) SELECT symbol, n, round(sr, 5) AS sr, round(z, 4) AS z, round(coalesce({ncdf('z')}, 0), 5) AS psr FROM z")
 def st_psr(spark, sf):
-    m = moments(spark, sf)
-    return m.select("symbol", "n", *r("sr", n=5), F.round(st.psr(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"), F.lit(0.02)), 4).alias("z"))
+    m = moments(spark, sf).where("n > 1").withColumn("z", st.psr(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"), F.lit(0.02)))
+    return m.select("symbol", "n", *r("sr", n=5), *r("z", n=4), F.round(F.when(F.col("z").isNull(), 0.0).otherwise(st.normal_cdf(F.col("z"))), 5).alias("psr"))
 
 
 @query(f"{MOMENTS} SELECT symbol, round(CASE WHEN sr > 0.01 THEN 1 + (1 - skew * sr + (kurt - 1) / 4 * sr * sr) * (1.6448536269514722 / (sr - 0.01)) ** 2 ELSE 1e300 END, 2) AS needed FROM m")
@@ -203,24 +210,36 @@ def xs_residual_bucket(spark, sf):
     return k.groupBy("ts").agg(pick(4).alias("top"), F.round(F.avg("fwd"), 6).alias("universe"), pick(0).alias("bottom"))
 
 
-@query(f"WITH x AS ({MOM}), q AS (SELECT symbol, ts, lead(close, 4) OVER ({S}) / close - 1 AS fwd FROM bars_w), j AS (SELECT * FROM x JOIN q USING (symbol, ts) WHERE mom IS NOT NULL AND fwd IS NOT NULL), k AS (SELECT ts, fwd, row_number() OVER (PARTITION BY ts ORDER BY mom DESC, symbol) AS n FROM j), g AS (SELECT ts, avg(fwd) FILTER (n <= 5) AS top, avg(fwd) AS eq FROM k GROUP BY 1) SELECT count(*) AS n, round(avg(top), 6) AS mean_top, round(avg(eq), 6) AS mean_equal, round(avg(CASE WHEN top > eq THEN 1.0 ELSE 0 END), 6) AS win_rate FROM g")
+@query(f"""WITH cal AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT DISTINCT ts FROM bars_w)), q AS (SELECT symbol, ts, lag(close, 4) OVER ({S}) / lag(close, 56) OVER ({S}) - 1 AS m, lead(close, 4) OVER ({S}) / close - 1 AS fwd FROM bars_w),
+    j AS (SELECT ts, symbol, round(m, 9) AS m, fwd FROM q JOIN cal USING (ts) WHERE i >= 56 AND (i - 56) % 4 = 0 AND m IS NOT NULL AND fwd IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY m DESC, symbol) AS n, count(*) OVER (PARTITION BY ts) AS names, rank() OVER (PARTITION BY ts ORDER BY m) + (count(*) OVER (PARTITION BY ts, m) - 1) / 2.0 AS rm, rank() OVER (PARTITION BY ts ORDER BY round(fwd, 9)) + (count(*) OVER (PARTITION BY ts, round(fwd, 9)) - 1) / 2.0 AS rf FROM j),
+    g AS (SELECT ts, avg(fwd) FILTER (n <= 5) AS top, avg(fwd) AS eq, corr(rm, rf) AS ic FROM k WHERE names >= 6 GROUP BY 1)
+    SELECT count(*) AS n, round(avg(top) / stddev_samp(top) * sqrt(13), 5) AS long_sharpe, round(avg(eq) / stddev_samp(eq) * sqrt(13), 5) AS bench_sharpe, round(avg(top - eq) * 13, 6) AS excess_ann, round(avg(ic), 6) AS mean_ic, round(avg(CASE WHEN top > eq THEN 1.0 ELSE 0 END), 6) AS win_rate FROM g""")
 def st_replication(spark, sf):
-    fwd = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close", 4).over(f.series()) / F.col("close") - 1).alias("fwd")).where("fwd IS NOT NULL")
-    k = mom(spark, sf).where("mom IS NOT NULL").join(fwd, ["symbol", "ts"]).withColumn("n", F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("mom"), "symbol")))
-    g = k.groupBy("ts").agg(F.avg(F.when(F.col("n") <= 5, F.col("fwd"))).alias("top"), F.avg("fwd").alias("eq"))
-    return g.agg(F.count("*").alias("n"), F.round(F.avg("top"), 6).alias("mean_top"), F.round(F.avg("eq"), 6).alias("mean_equal"), F.round(F.avg((F.col("top") > F.col("eq")).cast("double")), 6).alias("win_rate"))
+    b = src.weekly(spark, sf)
+    cal = b.select("ts").distinct().withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1).where("i >= 56 AND (i - 56) % 4 = 0").select("ts")
+    q = b.select("symbol", "ts", F.round(f.lag("close", 4) / f.lag("close", 56) - 1, 9).alias("m"), (F.lead("close", 4).over(f.series()) / F.col("close") - 1).alias("fwd"))
+    by = Window.partitionBy("ts")
+    k = q.join(cal, "ts").where("m IS NOT NULL AND fwd IS NOT NULL").withColumn("near", F.round("fwd", 9))
+    k = k.withColumns({"n": F.row_number().over(by.orderBy(F.desc("m"), "symbol")), "names": F.count("*").over(by), "rm": xs.avg_rank("m"), "rf": xs.avg_rank("near")}).where("names >= 6")
+    g = k.groupBy("ts").agg(F.avg(F.when(F.col("n") <= 5, F.col("fwd"))).alias("top"), F.avg("fwd").alias("eq"), F.corr("rm", "rf").alias("ic"))
+    sharpe = lambda c: F.round(F.avg(c) / F.stddev_samp(c) * 13**0.5, 5)
+    return g.agg(F.count("*").alias("n"), sharpe("top").alias("long_sharpe"), sharpe("eq").alias("bench_sharpe"), F.round(F.avg(F.col("top") - F.col("eq")) * 13, 6).alias("excess_ann"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(F.avg((F.col("top") > F.col("eq")).cast("double")), 6).alias("win_rate"))
+
+
+TESTS = "WITH g AS (SELECT p_brand AS symbol, count(*)::DOUBLE AS n, avg(p_retailprice) AS m, var_samp(p_retailprice) AS v, count(*) FILTER (p_size > 25)::DOUBLE AS w FROM part GROUP BY 1), t AS (SELECT count(*)::DOUBLE AS n, avg(p_retailprice) AS m, var_samp(p_retailprice) AS v, count(*) FILTER (p_size > 25)::DOUBLE AS w FROM part), z AS (SELECT g.symbol, (g.m - t.m) / sqrt(g.v / g.n + t.v / t.n) AS welch, (g.m - 1300) / sqrt(g.v / g.n) AS one_sample, (g.w / g.n - t.w / t.n) / sqrt((g.w + t.w) / (g.n + t.n) * (1 - (g.w + t.w) / (g.n + t.n)) * (1 / g.n + 1 / t.n)) AS prop_z FROM g, t)"
 
 
-@query("WITH g AS (SELECT p_brand AS symbol, count(*)::DOUBLE AS n, avg(p_retailprice) AS m, var_samp(p_retailprice) AS v, count(*) FILTER (p_size > 25)::DOUBLE AS w FROM part GROUP BY 1), t AS (SELECT count(*)::DOUBLE AS n, avg(p_retailprice) AS m, var_samp(p_retailprice) AS v, count(*) FILTER (p_size > 25)::DOUBLE AS w FROM part) SELECT g.symbol, round((g.m - t.m) / sqrt(g.v / g.n + t.v / t.n), 5) AS welch, round((g.m - 1300) / sqrt(g.v / g.n), 5) AS one_sample, round((g.w / g.n - t.w / t.n) / sqrt((g.w + t.w) / (g.n + t.n) * (1 - (g.w + t.w) / (g.n + t.n)) * (1 / g.n + 1 / t.n)), 5) AS prop_z FROM g, t")
+@query(f"{TESTS} SELECT symbol, {', '.join(f'round({c}, 5) AS {c}, round(2 * (1 - ({ncdf(f"abs({c})")})), 5) AS p_{c}' for c in ('welch', 'one_sample', 'prop_z'))} FROM z")
 def st_tests(spark, sf):
     p = src.read(spark, sf, "part")
     aggs = lambda k: [F.count("*").cast("double").alias(f"n{k}"), F.avg("p_retailprice").alias(f"m{k}"), F.var_samp("p_retailprice").alias(f"v{k}"), F.count(F.when(F.col("p_size") > 25, 1)).cast("double").alias(f"w{k}")]
     x = p.groupBy(F.col("p_brand").alias("symbol")).agg(*aggs("")).crossJoin(F.broadcast(p.agg(*aggs("2"))))
     pool = (F.col("w") + F.col("w2")) / (F.col("n") + F.col("n2"))
-    return x.select(
-        "symbol", F.round((F.col("m") - F.col("m2")) / F.sqrt(F.col("v") / F.col("n") + F.col("v2") / F.col("n2")), 5).alias("welch"), F.round((F.col("m") - 1300) / F.sqrt(F.col("v") / F.col("n")), 5).alias("one_sample"),
-        F.round((F.col("w") / F.col("n") - F.col("w2") / F.col("n2")) / F.sqrt(pool * (1 - pool) * (1 / F.col("n") + 1 / F.col("n2"))), 5).alias("prop_z"),
-    )
+    z = {
+        "welch": (F.col("m") - F.col("m2")) / F.sqrt(F.col("v") / F.col("n") + F.col("v2") / F.col("n2")), "one_sample": (F.col("m") - 1300) / F.sqrt(F.col("v") / F.col("n")),
+        "prop_z": (F.col("w") / F.col("n") - F.col("w2") / F.col("n2")) / F.sqrt(pool * (1 - pool) * (1 / F.col("n") + 1 / F.col("n2"))),
+    }
+    return x.withColumns(z).select("symbol", *(c for k in z for c in (F.round(k, 5).alias(k), F.round(2 * (1 - st.normal_cdf(F.abs(F.col(k)))), 5).alias(f"p_{k}"))))
 
 
 @query("SELECT symbol, w.name, round(arg_max(close, ts) / arg_min(close, ts) - 1, 6) AS ret FROM bars_d JOIN (VALUES ('first', DATE '1995-03-01', DATE '1995-06-30'), ('second', DATE '1997-01-01', DATE '1997-04-30')) w(name, lo, hi) ON ts BETWEEN w.lo AND w.hi GROUP BY 1, 2")

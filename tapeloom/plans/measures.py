@@ -31,10 +31,17 @@ def _signal(col: str, signals) -> str:
 WORDS = (("risk", ("worthless", "pathetic")), ("license", ("license", "cc by")), ("secret", ("token",)))
 
 
-@query(f"SELECT doc_id, {_signal('substr(text, 1, 120)', WORDS)} AS signal, {_signal('substr(text, 1, 120)', s.SIGNALS)} AS headline FROM documents")
+#: The table has no filings: every second text counts as one, with a form by its id.
+FORMS = ("8-K", "10-Q", "4", "S-1", "13F", "DEF 14A")
+FORM = f"CASE WHEN doc_id % 2 = 0 AND list_extract([{', '.join(f"'{x}'" for x in FORMS)}], CAST(doc_id % 6 + 1 AS INT)) IN ({', '.join(f"'{x}'" for x in s.WATCH_FORMS)}) THEN 'filing_watch' END"
+
+
+@query(f"WITH h AS (SELECT doc_id, {_signal('text', WORDS)} AS signal, coalesce({_signal('text', s.SIGNALS)}, {FORM}) AS headline FROM documents) SELECT doc_id, signal, headline, string_split(headline, '_')[2] AS direction, CASE WHEN string_split(headline, '_')[1] IN ('guidance', 'contract') THEN 'high' WHEN headline IS NOT NULL THEN 'medium' END AS confidence FROM h")
 def str_keyword_signal(spark, sf):
     text = F.col("text")
-    return src.read(spark, sf, "documents").select("doc_id", s.headline_signal(text, WORDS).alias("signal"), s.headline_signal(text).alias("headline"))
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    x = src.read(spark, sf, "documents").select("doc_id", s.headline_signal(text, WORDS).alias("signal"), s.classified(text, F.when(F.col("doc_id") % 2 == 0, "sec"), form).alias("headline"))
+    return x.select("doc_id", "signal", "headline", s.direction(F.col("headline")).alias("direction"), s.impact(F.col("headline")).alias("confidence"))
 
 
 @query("""SELECT o_orderkey, round(o_totalprice, 2) AS plain, floor(o_totalprice / 1000) * 1000 AS thousands, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 100) / 100.0 END AS share FROM orders""")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions import scalars as sc
 from tapeloom.functions import stats as st
 from tapeloom.operators import candles, gaps, macro as mac, portfolio as pf, reading as rd, risk as rk, signals as sg, states
 from tapeloom.operators import crosssection as xs
@@ -265,10 +266,12 @@ def st_event_study(spark, sf):
     return rd.target_or_stop(e, src.daily(spark, sf))
 
 
-@query("SELECT symbol, period_end, round(revenue, 2) AS revenue FROM fund_q WHERE CAST(date_diff('day', DATE '1970-01-01', period_end) * 7919 % 100 AS INT) < 60")
+@query("SELECT symbol, period_end, round(revenue, 2) AS revenue FROM fund_q QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY md5('7' || symbol || CAST(period_end AS VARCHAR)), period_end) <= greatest(1, round(0.6 * count(*) OVER (PARTITION BY symbol)))")
 def st_degrade_sample(spark, sf):
-    keep = (F.datediff("period_end", F.lit("1970-01-01").cast("date")) * 7919) % 100 < 60
-    return src.fundamentals(spark, sf).where(keep).select("symbol", "period_end", *r("revenue", n=2))
+    by = Window.partitionBy("symbol")
+    seeded = F.row_number().over(by.orderBy(F.md5(F.concat(F.lit("7"), "symbol", F.col("period_end").cast("string"))), "period_end"))
+    x = src.fundamentals(spark, sf).withColumns({"__n": seeded, "__keep": F.greatest(F.lit(1.0), F.round(0.6 * F.count("*").over(by)))})
+    return x.where("__n <= __keep").select("symbol", "period_end", *r("revenue", n=2))
 
 
 @query()
@@ -447,10 +450,15 @@ def sig_pead(spark, sf):
     return src.fundamentals(spark, sf).withColumn("s", s).where("abs(s) >= 0.05").select("symbol", "known_date", F.when(F.col("s") > 0, "long").otherwise("short").alias("direction"))
 
 
-@query(f"WITH {FAIR}, g AS (SELECT symbol, period_end, round((fair - price) / price, 9) AS g FROM d) SELECT symbol, period_end, CASE WHEN g >= 0.5 THEN 3 ELSE 2 END AS rating FROM g WHERE g >= 0.25")
+#: A quarter of the price that the valuation queries use, so that names of every rating appear.
+CHEAP = 0.25
+
+
+@query(f"WITH {FAIR}, g AS (SELECT symbol, period_end, round((fair - {CHEAP} * price) / ({CHEAP} * price), 9) AS g FROM d) SELECT symbol, period_end, CASE WHEN g >= 0.5 THEN 3 ELSE 2 END AS rating, round(g, 6) AS gap FROM g WHERE g >= 0.25")
 def sig_value_long(spark, sf):
-    g = F.round((F.col("fair") - F.col("price")) / F.col("price"), 9)
-    return fair_rows(spark, sf).withColumn("g", g).where("g >= 0.25").select("symbol", "period_end", F.when(F.col("g") >= 0.5, 3).otherwise(2).alias("rating"))
+    price = CHEAP * F.col("price")
+    x = fair_rows(spark, sf).withColumns({"rating": sc.rating(F.col("fair"), price), "gap": F.round((F.col("fair") - price) / price, 9)})
+    return x.where("rating >= 2").orderBy(F.desc("rating"), F.desc("gap"), "symbol").select("symbol", "period_end", "rating", *r("gap"))
 
 
 def _scores(spark, sf):

@@ -172,7 +172,7 @@ def pf_equal_weights(spark, sf):
     return holdings(spark, sf).select("ts", "symbol", *r("weight"))
 
 
-INV = f"{VOL}, k AS (SELECT ts, symbol, vol, substr(symbol, 7, 1) AS sector FROM v WHERE vol IS NOT NULL AND substr(symbol, 7) < '2'), w AS (SELECT *, CASE WHEN vol > 0 THEN 1 / vol ELSE 0 END AS inv FROM k), iv AS (SELECT ts, symbol, sector, inv / sum(inv) OVER (PARTITION BY ts) AS weight FROM w)"
+INV = f"{VOL}, k AS (SELECT ts, symbol, vol, substr(symbol, 7, 1) AS sector FROM v WHERE vol IS NOT NULL), w AS (SELECT *, CASE WHEN vol > 0 THEN 1 / vol ELSE 0 END AS inv FROM k), iv AS (SELECT ts, symbol, sector, inv / sum(inv) OVER (PARTITION BY ts) AS weight FROM w)"
 
 
 def inv(spark, sf):

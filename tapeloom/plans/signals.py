@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import funding_label
-from tapeloom.operators import aggregates as a
 from tapeloom.operators import features as f
 from tapeloom.operators import gaps
 from tapeloom.operators import signals as sg
 from tapeloom.operators import states
+from tapeloom.operators import portfolio as pf
 from tapeloom.plans.registry import query
+from tapeloom.plans.selection import HOLD, holdings
 from tapeloom.plans.windows import TR, S, r, rows
 from tapeloom.sources import adapters as src
 
@@ -78,7 +79,7 @@ def oi_signal(spark, sf):
     return x.select("symbol", "ts", d.alias("direction"), (flags / 10).alias("strength"))
 
 
-PAIR = "pr AS (SELECT a.symbol AS sa, b.symbol AS sb, a.ts, ln(a.close) AS y, ln(b.close) AS x FROM bars_w a JOIN bars_w b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.symbol < 'Brand#13' AND b.symbol < 'Brand#13')"
+PAIR = "pr AS (SELECT a.symbol AS sa, b.symbol AS sb, a.ts, ln(a.close) AS y, ln(b.close) AS x FROM bars_w a JOIN bars_w b ON a.ts = b.ts AND a.symbol < b.symbol)"
 PW = "(PARTITION BY sa, sb ORDER BY ts ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)"
 
 
@@ -87,7 +88,7 @@ def _pairs(spark, sf):
     return b.select(F.col("symbol").alias("sa"), "ts", F.log("close").alias("y")).join(b.select(F.col("symbol").alias("sb"), "ts", F.log("close").alias("x")), "ts").where("sa < sb")
 
 
-ROLL = f"{PAIR}, h AS (SELECT *, CASE WHEN count(*) OVER {PW} >= 26 AND var_pop(x) OVER {PW} > 0 THEN covar_pop(y, x) OVER {PW} / var_pop(x) OVER {PW} END AS hedge, avg(y) OVER {PW} AS my, avg(x) OVER {PW} AS mx, var_pop(y) OVER {PW} AS vy, covar_pop(y, x) OVER {PW} AS c FROM pr)"
+ROLL = f"{PAIR}, h AS (SELECT *, CASE WHEN count(*) OVER {PW} >= 26 AND var_pop(x) OVER {PW} > 0 THEN covar_pop(y, x) OVER {PW} / var_pop(x) OVER {PW} END AS hedge, lead(y) OVER (PARTITION BY sa, sb ORDER BY ts) AS ny, lead(x) OVER (PARTITION BY sa, sb ORDER BY ts) AS nx, avg(y) OVER {PW} AS my, avg(x) OVER {PW} AS mx, var_pop(y) OVER {PW} AS vy, covar_pop(y, x) OVER {PW} AS c FROM pr)"
 
 
 @query(f"WITH {ROLL} SELECT sa, sb, ts, round(hedge, 5) AS hedge, round((y - (my - hedge * mx) - hedge * x) / sqrt(greatest(0, vy - hedge * c)), 4) AS z FROM h WHERE hedge IS NOT NULL")
@@ -100,11 +101,15 @@ def w_half_life(spark, sf):
     return sg.half_life(_pairs(spark, sf).withColumn("s", F.col("y") - F.col("x")), ["sa", "sb"], "s").select("sa", "sb", *r("half_life", n=5))
 
 
-@query(f"WITH {ROLL}, g AS (SELECT *, (y - (my - hedge * mx) - hedge * x) / sqrt(greatest(0, vy - hedge * c)) AS z FROM h WHERE hedge IS NOT NULL) SELECT sa, sb, ts, CASE WHEN abs(round(z, 6)) >= 2 THEN CAST(-sign(z) AS DOUBLE) WHEN abs(round(z, 6)) <= 0.5 THEN CAST(0 AS DOUBLE) END AS entry FROM g")
+@query(f"""WITH {ROLL},
+    g AS (SELECT *, (y - (my - hedge * mx) - hedge * x) / sqrt(greatest(0, vy - hedge * c)) AS z FROM h WHERE hedge IS NOT NULL AND vy - hedge * c > 1e-24),
+    m AS (SELECT *, coalesce(last_value(CASE WHEN abs(round(z, 6)) <= 0.5 THEN 0.0::DOUBLE WHEN round(z, 6) >= 2 THEN -1 WHEN round(z, 6) <= -2 THEN 1 END IGNORE NULLS) OVER (PARTITION BY sa, sb ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS position FROM g),
+    t AS (SELECT *, CASE WHEN ny IS NOT NULL THEN abs(position - coalesce(lag(position) OVER (PARTITION BY sa, sb ORDER BY ts), 0)) END AS turn, position * (ny - y - hedge * (nx - x)) / (1 + abs(hedge)) AS gross FROM m),
+    e AS (SELECT *, gross - 0.0004 * turn AS net, product(1 + gross - 0.0004 * turn) OVER (PARTITION BY sa, sb ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM t), d AS (SELECT *, 1 - equity / greatest(1, max(equity) OVER (PARTITION BY sa, sb ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS fall FROM e),
+    k AS (SELECT sa, sb, coalesce(count(*) FILTER (turn > 0 AND position <> 0) >= 3 AND round(product(1 + net) - 1, 9) > 0 AND round(avg(net), 12) >= 0 AND round(max(fall), 9) <= 0.2, false) AS passed FROM d GROUP BY 1, 2)
+    SELECT sa, sb, ts, round(z, 4) AS z, position, round(gross, 6) AS gross, round(net, 6) AS net, passed FROM d JOIN k USING (sa, sb)""")
 def pf_pair_panel(spark, sf):
-    z = F.round("z", 6)
-    p = sg.rolling_pair(_pairs(spark, sf), ["sa", "sb"]).where("hedge IS NOT NULL")
-    return p.select("sa", "sb", "ts", F.when(F.abs(z) >= 2, -F.signum("z")).when(F.abs(z) <= 0.5, F.lit(0.0)).alias("entry"))
+    return sg.pair_positions(_pairs(spark, sf), ["sa", "sb"]).select("sa", "sb", "ts", *r("z", n=4), "position", *r("gross", "net"), "passed")
 
 
 CORR = f"WITH j AS (SELECT symbol, ts, close / lag(close) OVER ({S}) - 1 AS y, bench / lag(bench) OVER ({S}) - 1 AS x, bench, avg(bench) OVER {rows(20)} AS ma FROM bars_w JOIN bench_w USING (ts))"
@@ -141,10 +146,14 @@ def w_obv_ema(spark, sf):
     return states.obv_ema(src.weekly(spark, sf)).select("symbol", "ts", "obv", *r("ema", n=4))
 
 
-@query(f"WITH d AS (SELECT symbol, ts, round(1 - close / max(close) OVER ({S} ROWS UNBOUNDED PRECEDING), 9) AS dd FROM bars_w) SELECT symbol, ts, coalesce(last_value(CASE WHEN dd >= 0.08 THEN false WHEN dd <= 0.03 THEN true END IGNORE NULLS) OVER ({S} ROWS UNBOUNDED PRECEDING), true) AS invested FROM d")
+@query(f"""{HOLD}, q AS (SELECT symbol, ts, lead(close) OVER ({S}) / close - 1 AS nxt FROM bars_w), st AS (SELECT ts, sum(weight * nxt) AS ret FROM h JOIN q USING (ts, symbol) WHERE nxt IS NOT NULL GROUP BY 1),
+    b AS (SELECT ts, bench, CASE WHEN count(*) OVER w = 200 THEN avg(bench) OVER w END AS ma FROM bench_d WINDOW w AS (ORDER BY ts ROWS 199 PRECEDING)), j AS (SELECT st.ts, ret, coalesce(round(bench - ma, 9) > 0, true) AS invested FROM st ASOF LEFT JOIN b ON st.ts >= b.ts),
+    o AS (SELECT *, CASE WHEN invested THEN ret ELSE 0 END - CASE WHEN invested <> coalesce(lag(invested) OVER (ORDER BY ts), true) THEN 0.001 ELSE 0 END AS overlaid FROM j), n AS (SELECT *, exp(sum(ln(1 + overlaid)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS nav FROM o)
+    SELECT ts, invested, round(ret, 6) AS ret, round(overlaid, 6) AS overlaid, round(nav, 6) AS nav, round(1 - nav / max(nav) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) AS drawdown, round(avg(overlaid) OVER () / stddev_samp(overlaid) OVER () * sqrt(52), 5) AS sharpe FROM n""")
 def pf_ma_overlay(spark, sf):
-    nav = a.drawdowns(src.weekly(spark, sf), "close").withColumn("drawdown", F.round("drawdown", 9))
-    return states.drawdown_latch(nav).select("symbol", "ts", "invested")
+    q = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close").over(f.series()) / F.col("close") - 1).alias("nxt")).where("nxt IS NOT NULL")
+    held = holdings(spark, sf).select("ts", "symbol", "weight").join(q, ["ts", "symbol"]).groupBy("ts").agg(F.sum(F.col("weight") * F.col("nxt")).alias("ret"))
+    return pf.ma_overlay(held, src.benchmark(spark, sf, "day"), fee=0.001).select("ts", "invested", *r("ret", "overlaid", "nav", "drawdown"), *r("sharpe", n=5))
 
 
 @query()

@@ -238,12 +238,9 @@ def benchmark_join(spark, sf):
 
 @query("SELECT a.ts, a.close AS close_a, b.close AS close_b FROM bars_w a JOIN bars_w b ON a.ts = b.ts WHERE a.symbol = 'Brand#11' AND b.symbol = 'Brand#12' AND a.close > 0 AND b.close > 0 QUALIFY row_number() OVER (ORDER BY a.ts DESC) <= 100")
 def pair_align(spark, sf):
-    from pyspark.sql import Window
-
     b = src.weekly(spark, sf).where("close > 0")
     side = lambda s, n: b.where(F.col("symbol") == s).select("ts", F.col("close").alias(n))
-    both = side("Brand#11", "close_a").join(side("Brand#12", "close_b"), "ts")
-    return both.withColumn("__n", F.row_number().over(Window.orderBy(F.desc("ts")))).where("__n <= 100").drop("__n")
+    return side("Brand#11", "close_a").join(side("Brand#12", "close_b"), "ts").orderBy(F.desc("ts")).limit(100)
 
 
 @query(f"WITH x AS (SELECT symbol, ts, close / lag(close) OVER ({S}) - 1 AS ret FROM bars_w) SELECT a.symbol AS symbol_a, b.symbol AS symbol_b, count(*) AS n, round(corr(a.ret, b.ret), 6) AS corr FROM x a JOIN x b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2")
