@@ -78,24 +78,21 @@ def patterns() -> dict[str, Column]:
     }
 
 
-def scan(bars: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
-    """A row per bar and pattern found: symbol, ts, pattern, direction."""
-    found = patterns()
+def scan(bars: DataFrame, names: tuple[str, ...] | None = None, also: dict[str, Column] | None = None) -> DataFrame:
+    """A row per bar and pattern found: symbol, ts, pattern, direction, and ``also`` of the bar: all from one window."""
+    found, also = patterns(), also or {}
     chosen = F.array(*(F.when(F.coalesce(found[n], F.lit(False)), F.lit(n)) for n in names or found))
-    out = geometry(bars).select("symbol", "ts", F.explode(F.filter(chosen, lambda x: x.isNotNull())).alias("pattern"))
+    out = geometry(bars).withColumns(also).select("symbol", "ts", *also, F.explode(F.filter(chosen, lambda x: x.isNotNull())).alias("pattern"))
     return out.withColumn("direction", F.when(F.col("pattern").isin(*BULLISH), "bullish").when(F.col("pattern").isin(*BEARISH), "bearish").otherwise("neutral"))
 
 
-def strength(bars: DataFrame) -> DataFrame:
+def strength(bars: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
     """Pattern rows with strength 1 to 3: a body above 1.2 times the mean of the ten bars before, a volume above 1.5
     times, +1 for three bars and -1 for one; 1 where the volume is under 0.8 of its mean."""
     b = Bar(0)
-    part = f.over(F.avg(b.part), 10, 1)
-    vol = f.over(F.avg("volume"), 10, 1)
-    measured = bars.withColumns({"body_part": b.part, "__mean_part": part, "__mean_vol": vol})
-    ratio = F.when(F.coalesce("__mean_vol", "volume") > 0, F.col("volume") / F.coalesce("__mean_vol", "volume")).otherwise(F.lit(1.0))
-    measured = measured.withColumn("vol_ratio", ratio).select("symbol", "ts", "body_part", "vol_ratio", F.coalesce("__mean_part", "body_part").alias("__mean_part"))
-    out = scan(bars).join(measured, ["symbol", "ts"])
+    mean = F.coalesce(f.over(F.avg("volume"), 10, 1), F.col("volume"))
+    measured = {"body_part": b.part, "vol_ratio": F.when(mean > 0, F.col("volume") / mean).otherwise(F.lit(1.0)), "__mean_part": F.coalesce(f.over(F.avg(b.part), 10, 1), b.part)}
+    out = scan(bars, also=measured | (also or {}))
     span = F.when(F.col("pattern").isin(*THREE_BARS), 1).when(F.col("pattern").isin(*TWO_BARS), 0).otherwise(-1)
     score = F.when(F.col("body_part") > 1.2 * F.col("__mean_part"), 1).otherwise(0) + F.when(F.col("vol_ratio") > 1.5, 1).otherwise(0) + span
     s = F.greatest(F.lit(1), F.least(F.lit(3), score + 1))
@@ -104,7 +101,7 @@ def strength(bars: DataFrame) -> DataFrame:
 
 def confirm(bars: DataFrame) -> DataFrame:
     """Pattern rows with the next bar's confirmation: a close beyond the signal bar's extreme in the pattern's direction."""
-    nxt = bars.select("symbol", "ts", "high", "low", F.lead("close").over(f.series()).alias("next_close"), F.lead("ts").over(f.series()).alias("confirm_ts"))
-    out = strength(bars).join(nxt, ["symbol", "ts"]).where("direction <> 'neutral'")
-    ok = F.when(F.col("direction") == "bullish", F.col("next_close") > F.col("high")).otherwise(F.col("next_close") < F.col("low"))
-    return out.withColumn("confirmed", F.coalesce(ok, F.lit(False)))
+    nxt = {"__high": F.col("high"), "__low": F.col("low"), "next_close": F.lead("close").over(f.series()), "confirm_ts": F.lead("ts").over(f.series())}
+    out = strength(bars, nxt).where("direction <> 'neutral'")
+    ok = F.when(F.col("direction") == "bullish", F.col("next_close") > F.col("__high")).otherwise(F.col("next_close") < F.col("__low"))
+    return out.withColumn("confirmed", F.coalesce(ok, F.lit(False))).drop("__high", "__low")

@@ -1,7 +1,9 @@
-"""Fair-value gaps and first-hit joins of zones against later bars."""
+"""Fair-value gaps and the first later bars that hit a zone."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +32,76 @@ def detect(bars: DataFrame, *, min_gap_atr: float = 0.15, body_mult: float = 1.1
     return b.where((F.col("gap") >= min_gap_atr * F.col("__atr")) & (middle >= body_mult * F.col("__mean")) & moved).withColumn("body_ratio", middle / F.col("__mean")).select("symbol", "ts", "direction", "bottom", "top", "gap", "body_ratio")
 
 
-def first_hits(zones: DataFrame, bars: DataFrame, hits: dict[str, Column], keys: tuple[str, ...]) -> DataFrame:
-    """Per zone (symbol, ts, *keys) the first later bar on which each condition over the zone's columns and ``b`` holds.
+#: Bars whose extremes stand for them: a zone looks into a block only where they allow a hit.
+BLOCK = 256
+OPS = {"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal}
 
-    Equi join on the series with the time as a further condition, then min with a filter: rows are aggregated as
-    they are joined, so no zone's later bars are collected.
+
+def _first(values: dict[str, np.ndarray], start: np.ndarray, tests: list[tuple[str, str, np.ndarray]]) -> np.ndarray:
+    """For each zone the first bar from ``start`` on that meets all tests (bar column, comparison, threshold), or -1."""
+    out, n = np.full(len(start), -1), len(next(iter(values.values())))
+    left = np.flatnonzero(np.all([~np.isnan(t) for _, _, t in tests], axis=0) & (start < n))
+    for at in range(0, n, BLOCK):
+        end = min(n, at + BLOCK)
+        live = left[start[left] < end]
+        for column, op, limit in tests:
+            x = values[column][at:end]
+            live = live[OPS[op](x.min() if op[0] == "<" else x.max(), limit[live])]
+        if not len(live):
+            continue
+        ok = np.arange(at, end)[None, :] >= start[live, None]
+        for column, op, limit in tests:
+            ok &= OPS[op](values[column][at:end][None, :], limit[live, None])
+        hit = ok.any(1)
+        out[live[hit]] = at + ok.argmax(1)[hit]
+        left = left[out[left] < 0]
+        if not len(left):
+            break
+    return out
+
+
+def first_hits(zones: DataFrame, bars: DataFrame, hits: dict[str, list[tuple[str, str, Column]]], keys: tuple[str, ...]) -> DataFrame:
+    """Per zone (symbol, ts, *keys) the first later bar that meets all tests of each hit: (bar column, comparison, threshold).
+
+    Thresholds are columns of the zone; a null one is never met. Zones and bars of a series meet in one task, ordered by
+    time, and open zones are held against blocks of bars by the blocks' extremes first: the work follows the bars and
+    the hits, and no zone is joined with all bars behind it.
     """
-    later = bars.select(F.col("symbol").alias("__s"), F.struct("ts", "open", "high", "low", "close", "volume").alias("b"))
-    joined = zones.join(later, (F.col("symbol") == F.col("__s")) & (F.col("b.ts") > F.col("ts")), "left")
-    return joined.groupBy("symbol", "ts", *keys).agg(*(F.min(F.when(c, F.col("b.ts"))).alias(n) for n, c in hits.items()))
+    limits = {f"__{n}{i}": t for n, tests in hits.items() for i, (_, _, t) in enumerate(tests)}
+    columns = sorted({c for tests in hits.values() for c, _, _ in tests})
+    z = zones.withColumns(limits).select("symbol", F.unix_date("ts").alias("__day"), "ts", *keys, *(F.col(c).cast("double").alias(c) for c in limits)).dropDuplicates(["symbol", "ts", *keys])
+    b = bars.select(F.col("symbol").alias("__s"), F.unix_date("ts").alias("__day"), *(F.col(c).cast("double").alias(c) for c in columns))
+    schema = z.select("symbol", "ts", *keys, *(F.lit(None).cast("int").alias(n) for n in hits)).schema
+
+    plain = {n: [(c, op) for c, op, _ in tests] for n, tests in hits.items()}
+
+    def run(zdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
+        bdf = bdf.sort_values("__day")
+        day = bdf["__day"].to_numpy()
+        values = {c: bdf[c].to_numpy(float) for c in columns}
+        start = np.searchsorted(day, zdf["__day"].to_numpy(), "right")
+        out = zdf[["symbol", "ts", *keys]].copy()
+        for n, tests in plain.items():
+            at = _first(values, start, [(c, op, zdf[f"__{n}{i}"].to_numpy(float)) for i, (c, op) in enumerate(tests)]) if len(day) else np.full(len(zdf), -1)
+            out[n] = pd.array(np.where(at >= 0, day[np.maximum(at, 0)] if len(day) else 0, 0), dtype="Int32")
+            out.loc[at < 0, n] = pd.NA
+        return out
+
+    found = z.groupBy("symbol").cogroup(b.groupBy("__s")).applyInPandas(run, schema)
+    return found.withColumns({n: F.date_from_unix_date(n) for n in hits})
 
 
 def lifecycle(bars: DataFrame, **options) -> DataFrame:
     """Gaps with the first later touch of their middle, of their far edge, and the first close beyond that edge."""
     up, mid = F.col("direction") == "bullish", (F.col("bottom") + F.col("top")) / 2
-    either = lambda a, b: F.when(up, a).otherwise(b)
-    hits = {
-        "ce_ts": either(F.col("b.low") <= mid, F.col("b.high") >= mid),
-        "mitigated_ts": either(F.col("b.low") <= F.col("bottom"), F.col("b.high") >= F.col("top")),
-        "inverted_ts": either(F.col("b.close") < F.col("bottom"), F.col("b.close") > F.col("top")),
-    }
-    return first_hits(detect(bars, **options), bars, hits, ("direction",))
+    return first_hits_by_side(detect(bars, **options), bars, up, {
+        "ce_ts": ([("low", "<=", mid)], [("high", ">=", mid)]),
+        "mitigated_ts": ([("low", "<=", F.col("bottom"))], [("high", ">=", F.col("top"))]),
+        "inverted_ts": ([("close", "<", F.col("bottom"))], [("close", ">", F.col("top"))]),
+    }, ("direction",))
+
+
+def first_hits_by_side(zones: DataFrame, bars: DataFrame, up: Column, hits: dict[str, tuple[list, list]], keys: tuple[str, ...]) -> DataFrame:
+    """first_hits() with one list of tests for the zones where ``up`` holds and one for the others."""
+    one = {f"{n}__{k}": [(c, op, F.when(up if not k else ~up, t)) for c, op, t in tests] for n, sides in hits.items() for k, tests in enumerate(sides)}
+    return first_hits(zones, bars, one, keys).select("symbol", "ts", *keys, *(F.coalesce(f"{n}__0", f"{n}__1").alias(n) for n in hits))

@@ -81,14 +81,13 @@ def decision(confluence: Column, veto: Column) -> Column:
 
 def target_or_stop(entries: DataFrame, bars: DataFrame, horizon: int = 20) -> DataFrame:
     """entries (symbol, ts, entry, target, stop) with the first bar that meets either within ``horizon`` bars; the stop wins a tie."""
-    n = bars.withColumn("__k", F.row_number().over(f.series()))
-    e = entries.join(n.select("symbol", "ts", F.col("__k").alias("__e")), ["symbol", "ts"])
-    later = n.select(F.col("symbol").alias("__s"), "__k", F.col("high").alias("__h"), F.col("low").alias("__l"))
-    j = e.join(later, (F.col("symbol") == F.col("__s")) & (F.col("__k") > F.col("__e")) & (F.col("__k") <= F.col("__e") + horizon), "left")
+    ahead = F.collect_list(F.struct("high", "low")).over(f.series().rowsBetween(1, horizon))  # at most horizon bars a row
+    j = entries.join(bars.withColumn("__next", ahead).select("symbol", "ts", "__next"), ["symbol", "ts"])
     up = F.col("target") > F.col("entry")
-    hit = F.when(up, F.col("__h") >= F.col("target")).otherwise(F.col("__l") <= F.col("target"))
-    lost = F.when(up, F.col("__l") <= F.col("stop")).otherwise(F.col("__h") >= F.col("stop"))
-    g = j.groupBy("symbol", "ts", "entry", "target", "stop").agg(F.min(F.when(hit, F.col("__k") - F.col("__e"))).alias("target_bar"), F.min(F.when(lost, F.col("__k") - F.col("__e"))).alias("stop_bar"))
+    at = lambda test: F.array_min(F.filter(F.transform("__next", lambda x, i: F.when(test(x), i + 1)), lambda i: i.isNotNull()))
+    hit = at(lambda x: F.when(up, x["high"] >= F.col("target")).otherwise(x["low"] <= F.col("target")))
+    lost = at(lambda x: F.when(up, x["low"] <= F.col("stop")).otherwise(x["high"] >= F.col("stop")))
+    g = j.withColumns({"target_bar": hit, "stop_bar": lost}).drop("__next").distinct()
     out = F.when(F.col("stop_bar").isNotNull() & (F.col("target_bar").isNull() | (F.col("stop_bar") <= F.col("target_bar"))), "stop").when(F.col("target_bar").isNotNull(), "target").otherwise("open")
     return g.withColumn("outcome", out)
 

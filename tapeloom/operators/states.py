@@ -1,6 +1,6 @@
 """Order-dependent detectors: one pass over each series in time order.
 
-Recursive means run in the JVM over the series' array. The structure and zone machines are grouped-map functions: Spark
+Recursive means run in the JVM, in blocks. The structure and zone machines are grouped-map functions: Spark
 partitions by series, a function sees one series and loops over its bars only.
 """
 
@@ -13,39 +13,38 @@ from pyspark.sql import functions as F
 from tapeloom.operators import features as f
 
 
-def _series(bars: DataFrame, *cols: str) -> DataFrame:
-    return bars.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", *cols))).alias("s"))
+RUN = 128  # rows of a series that one step of a recurrence spans
 
 
-def wilder_atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    """(symbol, ts, atr): the mean of the first n true ranges, then atr + (tr - atr) / n; null before that."""
+def recurrence(series: DataFrame, value: str, k: float, out: str) -> DataFrame:
+    """series (symbol, ts, ...) with out = k * value + (1 - k) * the row before's out, seeded with the first value.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("ts")
-        out, value, tr = [], None, p["tr"].tolist()
-        for i, x in enumerate(tr):
-            if i == n - 1:
-                value = sum(tr[:n]) / n
-            elif i >= n:
-                value += (x - value) / n
-            out.append(value)
-        return pd.DataFrame({"symbol": p["symbol"], "ts": p["ts"], "atr": pd.array(out, dtype="Float64")})
+    In blocks of RUN rows: a running sum of rescaled values gives what a block adds, one row a block carries the state
+    across (the only collected part, a 128th of a series), and both meet again on the block.
+    """
+    keep = 1 - k
+    n = series.withColumn("__n", F.row_number().over(f.series()) - 1).withColumns({"__b": F.floor(F.col("__n") / RUN), "__i": F.col("__n") % RUN})
+    scaled = F.when(F.col("__n") == 0, F.col(value)).otherwise(k * F.col(value)) * F.pow(F.lit(keep), -F.col("__i"))
+    within = Window.partitionBy("symbol", "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = n.withColumn("__own", F.sum(scaled).over(within) * F.pow(F.lit(keep), F.col("__i")))
+    ends = n.groupBy("symbol", "__b").agg(F.max_by("__own", "__i").alias("own"), F.pow(F.lit(keep), F.max("__i") + 1).alias("keep"))
+    start = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<double>").alias("out"))
+    carried = F.aggregate("s", start, lambda a, x: F.struct((x["keep"] * a["e"] + x["own"]).alias("e"), F.array_append(a["out"], a["e"]).alias("out")))["out"]
+    before = ends.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("__b", "own", "keep"))).alias("s")).select("symbol", F.explode(F.arrays_zip(F.col("s.__b").alias("b"), carried.alias("e"))).alias("z")).select("symbol", F.col("z.b").alias("__b"), F.col("z.e").alias("__before"))
+    return n.join(before, ["symbol", "__b"]).withColumn(out, F.col("__own") + F.pow(F.lit(keep), F.col("__i") + 1) * F.col("__before")).drop("__n", "__b", "__i", "__own", "__before")
 
-    return f.true_range(bars).select("symbol", "ts", "tr").groupBy("symbol").applyInPandas(run, "symbol string, ts date, atr double")
+
+def wilder_atr(bars: DataFrame, n: int = 14) -> DataFrame:
+    """(symbol, ts, atr): the mean of the first n true ranges, then atr + (tr - atr) / n; null before that."""
+    t = f.true_range(bars).withColumns({"__r": F.row_number().over(f.series()), "__mean": f.over(F.avg("tr"), n)})
+    t = t.select("symbol", "ts", "__r", F.when(F.col("__r") == n, F.col("__mean")).otherwise(F.col("tr")).alias("tr"))
+    warm = t.where(F.col("__r") < n).select("symbol", "ts", F.lit(None).cast("double").alias("atr"))
+    return warm.unionByName(recurrence(t.where(F.col("__r") >= n), "tr", 1 / n, "atr").select("symbol", "ts", "atr"))
 
 
 def obv_ema(bars: DataFrame, period: int = 20) -> DataFrame:
     """(symbol, ts, obv, ema): exponential mean of the on-balance volume, seeded with its first value."""
-    k = 2 / (period + 1)
-    s = _series(f.obv(bars), "obv")
-    start = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast("array<double>").alias("out"))
-
-    def step(a, x):
-        e = F.when(a["e"].isNull(), x["obv"]).otherwise(k * x["obv"] + (1 - k) * a["e"])
-        return F.struct(e.alias("e"), F.array_append(a["out"], e).alias("out"))
-
-    s = s.withColumn("e", F.aggregate("s", start, step)["out"])
-    return s.select("symbol", F.explode(F.arrays_zip("s", "e")).alias("z")).select("symbol", "z.s.ts", "z.s.obv", F.col("z.e").alias("ema"))
+    return recurrence(f.obv(bars).select("symbol", "ts", "obv"), "obv", 2 / (period + 1), "ema")
 
 
 def structure(bars: DataFrame, left: int = 3, right: int = 3) -> DataFrame:

@@ -34,7 +34,7 @@ def pat_hs(spark, sf):
 @query()
 def pat_breakout(spark, sf):
     b = src.daily(spark, sf)
-    hits = {"breakout_ts": F.col("b.close") < F.col("neckline"), "failed_ts": F.col("b.close") > F.greatest("first_price", "second_price")}
+    hits = {"breakout_ts": [("close", "<", F.col("neckline"))], "failed_ts": [("close", ">", F.greatest("first_price", "second_price"))]}
     tops = rd.double_tops(b).drop("ts").withColumnRenamed("confirmed_ts", "ts")
     return gaps.first_hits(tops, b, hits, ("first_price", "second_price", "neckline"))
 
@@ -94,7 +94,7 @@ def liq_analyze(spark, sf):
 def ob_score(spark, sf):
     b = src.daily(spark, sf)
     blocks = states.order_blocks(b)
-    revisited = gaps.first_hits(blocks, b, {"visited_ts": (F.col("b.low") <= F.col("top")) & (F.col("b.high") >= F.col("bottom"))}, ("direction", "bottom", "top"))
+    revisited = gaps.first_hits(blocks, b, {"visited_ts": [("low", "<=", F.col("top")), ("high", ">=", F.col("bottom"))]}, ("direction", "bottom", "top"))
     trend = f.momentum(b, 60, out="m").select("symbol", "ts", "m")
     agrees = F.when(F.col("direction") == "up", F.col("m") > 0).otherwise(F.col("m") < 0)
     score = 0.6 + F.when(agrees, 0.15).otherwise(0.0) - F.when(F.col("visited_ts").isNotNull(), 0.15).otherwise(0.0)
@@ -113,7 +113,8 @@ def _wyckoff(spark, sf):
     b = f.zscore(src.daily(spark, sf), n=50, least=20).withColumn("wide", sg.spread_ratio())
     sc = b.where("z >= 1.5 AND wide > 1.3 AND close < open").groupBy("symbol").agg(F.min_by(F.struct("ts", "low", "high", "volume"), "low").alias("c")).select("symbol", "c.ts", "c.low", "c.high", "c.volume")
     zone = sc.select("symbol", "ts", F.col("low").alias("floor"), F.col("high").alias("roof"), F.col("volume").alias("force"))
-    hits = {"ar_ts": F.col("b.close") > F.col("roof"), "st_ts": (F.col("b.low") <= F.col("floor") * 1.1) & (F.col("b.volume") < F.col("force")), "spring_ts": (F.col("b.low") < F.col("floor")) & (F.col("b.close") > F.col("floor")), "sos_ts": (F.col("b.close") > F.col("roof") * 1.05) & (F.col("b.volume") > F.col("force") * 0.5)}
+    floor, roof, force = F.col("floor"), F.col("roof"), F.col("force")
+    hits = {"ar_ts": [("close", ">", roof)], "st_ts": [("low", "<=", floor * 1.1), ("volume", "<", force)], "spring_ts": [("low", "<", floor), ("close", ">", floor)], "sos_ts": [("close", ">", roof * 1.05), ("volume", ">", force * 0.5)]}
     return gaps.first_hits(zone, src.daily(spark, sf), hits, ("floor", "roof", "force"))
 
 

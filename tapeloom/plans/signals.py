@@ -177,17 +177,15 @@ def liq_pools(spark, sf):
 @query()
 def struct_eqh_eql(spark, sf):
     p = states.pools(src.daily(spark, sf), 0.02).withColumn("ts", F.col("last_ts"))
-    hit = F.when(F.col("side") == "high", F.col("b.high") > F.col("price")).otherwise(F.col("b.low") < F.col("price"))
-    return gaps.first_hits(p, src.daily(spark, sf), {"mitigated_ts": hit}, ("side", "price", "touches"))
+    return gaps.first_hits_by_side(p, src.daily(spark, sf), F.col("side") == "high", {"mitigated_ts": ([("high", ">", F.col("price"))], [("low", "<", F.col("price"))])}, ("side", "price", "touches"))
 
 
 @query()
 def liq_sweeps(spark, sf):
     p = states.pools(src.daily(spark, sf), 0.02).withColumn("ts", F.col("last_ts"))
-    up = F.col("side") == "high"
-    swept = F.when(up, (F.col("b.high") > F.col("price")) & (F.col("b.close") < F.col("price"))).otherwise((F.col("b.low") < F.col("price")) & (F.col("b.close") > F.col("price")))
-    broken = F.when(up, F.col("b.close") > F.col("price")).otherwise(F.col("b.close") < F.col("price"))
-    out = gaps.first_hits(p, src.daily(spark, sf), {"sweep_ts": swept, "broken_ts": broken}, ("side", "price", "touches"))
+    price = F.col("price")
+    hits = {"sweep_ts": ([("high", ">", price), ("close", "<", price)], [("low", "<", price), ("close", ">", price)]), "broken_ts": ([("close", ">", price)], [("close", "<", price)])}
+    out = gaps.first_hits_by_side(p, src.daily(spark, sf), F.col("side") == "high", hits, ("side", "price", "touches"))
     return out.withColumn("valid", F.col("sweep_ts").isNotNull() & (F.col("broken_ts").isNull() | (F.col("sweep_ts") < F.col("broken_ts"))))
 
 
@@ -199,8 +197,6 @@ def ob_detect(spark, sf):
 @query()
 def ob_lifecycle(spark, sf):
     b = src.daily(spark, sf)
-    up = F.col("direction") == "up"
-    either = lambda x, y: F.when(up, x).otherwise(y)
-    touched = (F.col("b.low") <= F.col("top")) & (F.col("b.high") >= F.col("bottom"))
-    broken = either(F.col("b.close") < F.col("bottom"), F.col("b.close") > F.col("top"))
-    return gaps.first_hits(states.order_blocks(b), b, {"visited_ts": touched, "mitigated_ts": broken}, ("direction", "bottom", "top"))
+    touched = [("low", "<=", F.col("top")), ("high", ">=", F.col("bottom"))]
+    hits = {"visited_ts": (touched, touched), "mitigated_ts": ([("close", "<", F.col("bottom"))], [("close", ">", F.col("top"))])}
+    return gaps.first_hits_by_side(states.order_blocks(b), b, F.col("direction") == "up", hits, ("direction", "bottom", "top"))
