@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from itertools import combinations
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -21,23 +22,23 @@ def normal_cdf(x: Column) -> Column:
 
 
 def _phi(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))
+    erf = np.frompyfunc(math.erf, 1, 1)
+    return pd.Series(0.5 * (1 + erf(x.to_numpy(float) / math.sqrt(2)).astype(float)))
 
 
 def _phi_inverse(p: pd.Series) -> pd.Series:
-    def one(v: float) -> float:
-        if not 0 < v < 1:
-            return math.nan
-        x = math.log(v / (1 - v)) / 1.702
-        for _ in range(50):
-            d = math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-            step = (0.5 * math.erfc(-x / math.sqrt(2)) - v) / max(d, 1e-300)
-            x -= max(-1.0, min(1.0, step))
-            if abs(step) < 1e-14:
-                break
-        return x
-
-    return p.map(one)
+    v = p.to_numpy(float)
+    ok = (v > 0) & (v < 1)
+    erfc = np.frompyfunc(math.erfc, 1, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.where(ok, np.log(v / (1 - v)) / 1.702, 0.0)
+    for _ in range(50):  # all values of a batch step together
+        d = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        step = (0.5 * erfc(-x / math.sqrt(2)).astype(float) - v) / np.maximum(d, 1e-300)
+        x = x - np.where(ok, np.clip(step, -1.0, 1.0), 0.0)
+        if not ok.any() or np.abs(step[ok]).max() < 1e-14:
+            break
+    return pd.Series(np.where(ok, x, np.nan))
 
 
 def phi(x: Column | str) -> Column:
@@ -95,6 +96,40 @@ def block_bootstrap(returns: DataFrame, by: str, value: str, *, block: int = 10,
     return returns.select(by, "ts", value).groupBy(by).applyInPandas(run, f"{by} string, n long, sharpe double, low double, high double, p_positive double, p_null double")
 
 
+BOOTSTRAP = ("n", "sharpe", "mean", "median", "sd", "low", "high", "p_positive", "p_null")
+
+
+def bootstrap_values(x: np.ndarray, *, samples: int, block: int, seed: int, per_year: int = 52, confidence: float = 0.95) -> list[float]:
+    """BOOTSTRAP of a return series: its annual Sharpe ratio, and those of circular blocks drawn from it and, for the
+    null, from it less its mean. Draws come in slices, so memory is bounded by the series."""
+    n, year = len(x), per_year**0.5
+    block = max(1, min(block, n))
+    rng = np.random.default_rng(seed)
+    sharpe = lambda m: m.mean(1) / np.where((s := m.std(1, ddof=1)) > 0, s, np.inf) * year
+    own = float(sharpe(x[None, :])[0]) if n > 1 else 0.0
+
+    def drawn(values: np.ndarray) -> np.ndarray:
+        out = []
+        for at in range(0, samples, 250):
+            starts = rng.integers(0, n, (min(250, samples - at), -(-n // block)))
+            out.append(sharpe(values[((starts[:, :, None] + np.arange(block)) % n).reshape(len(starts), -1)[:, :n]]))
+        return np.concatenate(out)
+
+    got, null = drawn(x), drawn(x - x.mean())
+    tail = (1 - confidence) / 2
+    return [float(n), own, float(got.mean()), float(np.median(got)), float(got.std()), float(np.quantile(got, tail)), float(np.quantile(got, 1 - tail)), float((got > 0).mean()), float((null >= own).mean())]
+
+
+def bootstrap_aggregate(*, samples: int, block: int, seed: int):
+    """A grouped aggregate (order, return) -> array of BOOTSTRAP."""
+
+    def run(order, value):
+        return bootstrap_values(value.to_numpy()[np.argsort(order.to_numpy(), kind="stable")], samples=samples, block=block, seed=seed)
+
+    run.__annotations__ = {"order": pd.Series, "value": pd.Series, "return": Any}  # series to one value: a grouped aggregate
+    return F.pandas_udf(run, "array<double>")
+
+
 def cscv(returns: DataFrame, config: str, value: str, splits: int = 8) -> DataFrame:
     """Combinatorially symmetric cross-validation, in Spark: a row per way of taking half of the blocks in sample.
 

@@ -142,3 +142,20 @@ def ma_overlay(returns: DataFrame, bench: DataFrame, *, n: int = 200, fee: float
     x = x.withColumn("overlaid", F.when(F.col("invested"), F.col("ret")).otherwise(0.0) - F.when(turned, fee).otherwise(0.0)).withColumn("nav", F.exp(F.sum(F.log1p("overlaid")).over(upto)))
     all_ = Window.partitionBy()
     return x.withColumns({"drawdown": 1 - F.col("nav") / F.max("nav").over(upto), "sharpe": F.avg("overlaid").over(all_) / F.stddev_samp("overlaid").over(all_) * per_year**0.5})
+
+
+def guarded(book: DataFrame, bench: DataFrame, *, target: float = 0.15, n: int = 12, filter_n: int = 100, hedge: float = 0.3, stop: float = 0.2, resume: float = 0.1, per_year: int = 52) -> DataFrame:
+    """A book's raw returns (ts, raw) under its guards: a volatility target on the n rows before, a hedge sleeve of cash
+    while the benchmark is not above its mean of ``filter_n``, and a latch that leaves the market from a drawdown of ``stop``
+    of the scaled book on until it is under ``resume``. A calendar, a row a date, in windows without a partition."""
+    w = Window.orderBy("ts")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = w.rowsBetween(1 - filter_n, 0)
+    trend = bench.withColumn("__calm", F.round(F.col("bench") - F.when(F.count("*").over(last) == filter_n, F.avg("bench").over(last)), 9) > 0).select("ts", "__calm")
+    x = book.join(trend, "ts", "left").withColumn("calm", F.coalesce("__calm", F.lit(True)))
+    vol = F.stddev_pop("raw").over(w.rowsBetween(-n, -1)) * per_year**0.5
+    x = x.withColumn("scale", F.coalesce(vol_target_scale(vol, target, 1.0), F.lit(1.0)) * F.when(F.col("calm"), 1.0).otherwise(1 - hedge)).withColumn("__ret", F.col("raw") * F.col("scale"))
+    x = x.withColumn("__nav", F.product(1 + F.col("__ret")).over(upto)).withColumn("__dd", F.round(1 - F.col("__nav") / F.max("__nav").over(upto), 9))
+    mark = F.when(F.col("__dd") >= stop, F.lit(False)).when(F.col("__dd") <= resume, F.lit(True))
+    x = x.withColumn("invested", F.coalesce(F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    return x.withColumn("ret", F.when(F.col("invested"), F.col("__ret")).otherwise(0.0))

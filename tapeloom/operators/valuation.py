@@ -164,3 +164,37 @@ def confidence(percentile: Column, inside: Column, positive: Column, psr: Column
     """
     raw = percentile * (0.4 * positive + 0.3 * psr + 0.3 * dsr) * factor
     return F.when(inside, raw).otherwise(F.least(raw, F.lit(cap)))
+
+
+#: Weights of the archetypes over METRICS; a negative one counts the lower the better.
+ARCHETYPES = {
+    "profitable_compounder": (("roic", 0.30), ("fcf_margin", 0.25), ("margin_trend", 0.20), ("revenue_cagr", 0.15), ("share_growth", -0.10)),
+    "hypergrowth_disruptor": (("revenue_cagr", 0.40), ("revenue_growth_acceleration", 0.35), ("margin_trend", 0.25)),
+    "value_turnaround": (("pfcf", -0.30), ("pb", -0.20), ("margin_trend", 0.30), ("fcf_margin", 0.20)),
+}
+
+
+def archetypes(metrics: DataFrame, *, clip: float = 3.0, least: float = 0.5) -> DataFrame:
+    """metrics with z_* of the used ones, and per archetype its coverage c_* and score s_* of 100; best, top, flags, present.
+
+    A score is Phi of the weighted mean of the clipped z of what is there; 0 under the least coverage. Means and
+    deviations of the universe are one row of aggregates, joined to all.
+    """
+    from tapeloom.functions.stats import normal_cdf
+
+    used = sorted({m for ws in ARCHETYPES.values() for m, _ in ws})
+    ends = metrics.agg(*(x for m in used for x in (F.avg(m).alias(f"__a_{m}"), F.stddev_pop(m).alias(f"__s_{m}"), F.count(m).alias(f"__n_{m}"))))
+    x = metrics.crossJoin(F.broadcast(ends))
+    z = lambda m: F.when((F.col(f"__n_{m}") >= 2) & (F.col(f"__s_{m}") > 1e-12), (F.col(m) - F.col(f"__a_{m}")) / F.col(f"__s_{m}")).otherwise(0.0)
+    x = x.withColumns({f"z_{m}": F.when(F.col(m).isNotNull(), z(m)) for m in used}).drop(*(f"__{k}_{m}" for k in "asn" for m in used))
+    for name, ws in ARCHETYPES.items():
+        signed = {m: F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col(f"z_{m}") if w > 0 else -F.col(f"z_{m}"))) for m, w in ws}
+        there = {m: F.col(f"z_{m}").isNotNull() for m, _ in ws}
+        held = sum((F.when(there[m], abs(w)).otherwise(0.0) for m, w in ws), F.lit(0.0))
+        total = sum((F.when(there[m], abs(w) * signed[m]).otherwise(0.0) for m, w in ws), F.lit(0.0))
+        x = x.withColumn(f"c_{name}", F.round(held, 9)).withColumn(f"s_{name}", F.when(F.col(f"c_{name}") < least, 0.0).otherwise(100 * normal_cdf(total / held)))
+    flags = F.concat_ws(",", F.when(F.col("share_growth") > 0.05, "high-dilution"), F.when(F.col("debt_to_equity") > 2, "high-debt"), F.when(F.col("margin_trend") < 0, "margin-declining"), F.when(F.col("fcf_margin") < 0, "negative-fcf"))
+    top = F.greatest(*(F.round(f"s_{k}", 6) for k in ARCHETYPES))
+    best = F.coalesce(*(F.when(F.round(f"s_{k}", 6) == F.col("top"), F.lit(k)) for k in ARCHETYPES))
+    present = sum((F.col(m).isNotNull().cast("int") for m in METRICS), F.lit(0))
+    return x.withColumns({"top": top, "flags": flags, "present": present}).withColumn("best", best)

@@ -103,9 +103,12 @@ RATIOS = {
 
 @query(f"{METRICS} SELECT symbol, period_end, {', '.join(f'round({v}, 6) AS {k}' for k, v in RATIOS.items())} FROM l")
 def xs_compounder_metrics(spark, sf):
+    return compounders(spark, sf).select("symbol", "period_end", *r(*val.METRICS))
+
+
+def compounders(spark, sf):
     price = src.weekly(spark, sf).groupBy("symbol").agg(F.max_by("close", "ts").alias("price"))
-    m = val.compounder_metrics(src.fundamentals(spark, sf).withColumn("eps", F.col("net_income") / F.col("shares_out")), price)
-    return m.select("symbol", "period_end", *r(*val.METRICS))
+    return val.compounder_metrics(src.fundamentals(spark, sf).withColumn("eps", F.col("net_income") / F.col("shares_out")), price)
 
 
 def _steps(v: str, table, sign: str = ">=", missing: int = 0) -> str:

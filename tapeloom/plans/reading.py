@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import scalars as sc
 from tapeloom.functions import stats as st
-from tapeloom.operators import candles, gaps, macro as mac, portfolio as pf, reading as rd, risk as rk, signals as sg, states
+from tapeloom.operators import candles, gaps, macro as mac, portfolio as pf, reading as rd, risk as rk, signals as sg, states, valuation as val
 from tapeloom.operators import crosssection as xs
 from tapeloom.operators import features as f
-from tapeloom.plans.analysis import AQR, FAIR, aqr, fair_rows, monthly, regimes
-from tapeloom.plans.market import profile
+from tapeloom.plans.analysis import AQR, FAIR, METRICS as METRICS_SQL, MONTHLY, RATIOS, REG, aqr, compounders, fair_rows, monthly, regimes
+from tapeloom.plans.candles import GAP
+from tapeloom.plans.market import PROFILE, exact_cdf, ncdf, profile
 from tapeloom.plans.registry import query
+from tapeloom.plans.selection import HOLD, MOM
 from tapeloom.plans.windows import S, r, rows
 from tapeloom.sources import adapters as src
 from tapeloom.streaming.live import written
@@ -44,21 +46,22 @@ def vp_value_area(spark, sf):
     return rd.value_area(profile(spark, sf), ["symbol", "year"])
 
 
-@query()
+@query(f"WITH {PROFILE}, q AS (SELECT *, max(volume) OVER (PARTITION BY symbol, year) AS top FROM p), g AS (SELECT symbol, year, round(sum(bin * volume) / sum(volume) / 23, 6) AS centre, arg_max(bin, row(round(volume, 6), -bin)) AS poc, count(*) FILTER (volume >= 0.8 * top) AS n_peaks FROM q GROUP BY 1, 2) SELECT symbol, year, poc, n_peaks, CASE WHEN n_peaks > 8 THEN 'B' WHEN centre > 0.6 AND poc > 13 THEN 'P' WHEN centre < 0.4 AND poc < 10 THEN 'b' ELSE 'D' END AS shape FROM g")
 def vp_shape(spark, sf):
     p = profile(spark, sf)
     w = Window.partitionBy("symbol", "year")
-    where = F.sum(F.col("bin") * F.col("volume")) / F.sum("volume") / 23
-    g = p.withColumn("top", F.max("volume").over(w)).groupBy("symbol", "year").agg(where.alias("centre"), F.max_by("bin", F.round("volume", 6)).alias("poc"), F.count(F.when(F.col("volume") >= 0.8 * F.col("top"), 1)).alias("n_peaks"))
+    where = F.round(F.sum(F.col("bin") * F.col("volume")) / F.sum("volume") / 23, 6)
+    g = p.withColumn("top", F.max("volume").over(w)).groupBy("symbol", "year").agg(where.alias("centre"), F.max_by("bin", F.struct(F.round("volume", 6), -F.col("bin"))).alias("poc"), F.count(F.when(F.col("volume") >= 0.8 * F.col("top"), 1)).alias("n_peaks"))
     shape = F.when(F.col("n_peaks") > 8, "B").when((F.col("centre") > 0.6) & (F.col("poc") > 13), "P").when((F.col("centre") < 0.4) & (F.col("poc") < 10), "b").otherwise("D")
     return g.select("symbol", "year", "poc", "n_peaks", shape.alias("shape"))
 
 
-@query()
+@query(f"WITH {PROFILE}, c AS (SELECT symbol, year, bin FROM p QUALIFY row_number() OVER (PARTITION BY symbol, year ORDER BY round(volume, 6) DESC, bin) = 1), pr AS (SELECT c.symbol, c.year, any_value(wlo) + (c.bin + 0.5) * any_value(step) AS price FROM c JOIN w ON w.symbol = c.symbol AND w.y = c.year GROUP BY c.symbol, c.year, c.bin), y AS (SELECT symbol, year(ts) AS y, min(low) AS lo, max(high) AS hi FROM bars_d GROUP BY 1, 2) SELECT symbol, year, round(price, 4) AS price FROM pr WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.symbol = pr.symbol AND y.y > pr.year AND round(pr.price, 6) BETWEEN round(lo, 6) AND round(hi, 6))")
 def vp_naked_poc(spark, sf):
-    poc = profile(spark, sf).groupBy("symbol", "year").agg(F.max_by((F.col("lo") + F.col("hi")) / 2, F.round("volume", 6)).alias("price"))
-    later = src.daily(spark, sf).select(F.col("symbol").alias("s"), F.year("ts").alias("y"), "low", "high").groupBy("s", "y").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return poc.join(later, (F.col("symbol") == F.col("s")) & (F.col("y") > F.col("year")) & F.col("price").between(F.col("low"), F.col("high")), "left_anti")
+    best = F.max_by((F.col("lo") + F.col("hi")) / 2, F.struct(F.round("volume", 6), -F.col("bin")))
+    poc = profile(spark, sf).groupBy("symbol", "year").agg(F.round(best, 6).alias("price"))
+    later = src.daily(spark, sf).select(F.col("symbol").alias("s"), F.year("ts").alias("y"), "low", "high").groupBy("s", "y").agg(F.round(F.min("low"), 6).alias("low"), F.round(F.max("high"), 6).alias("high"))
+    return poc.join(later, (F.col("symbol") == F.col("s")) & (F.col("y") > F.col("year")) & F.col("price").between(F.col("low"), F.col("high")), "left_anti").select("symbol", "year", *r("price", n=4))
 
 
 @query()
@@ -215,56 +218,93 @@ def _grid(spark, sf, lookbacks=(4, 12, 26), tops=(3, 7)):
 
 
 def _sharpes(panel):
+    """Sharpe ratio and growth, in logarithms, of each configuration and year."""
     sd = F.stddev_pop("ret")
-    return panel.groupBy("config", F.year("ts").alias("year")).agg(F.when(sd > 0, F.avg("ret") / sd).otherwise(0.0).alias("sr"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("total"))
+    return panel.groupBy("config", F.year("ts").alias("year")).agg(F.when(sd > 0, F.avg("ret") / sd).otherwise(0.0).alias("sr"), F.sum(F.log1p("ret")).alias("total"))
 
 
 def _walk(spark, sf):
     y = _sharpes(_grid(spark, sf))
     best = y.withColumn("n", F.row_number().over(Window.partitionBy("year").orderBy(F.desc(F.round("sr", 9)), "config"))).where("n = 1").select((F.col("year") + 1).alias("year"), "config", F.col("sr").alias("train_sr"))
-    bench = src.benchmark(spark, sf).groupBy(F.year("ts").alias("year")).agg((F.max_by("bench", "ts") / F.min_by("bench", "ts") - 1).alias("bench"))
+    bench = src.benchmark(spark, sf).groupBy(F.year("ts").alias("year")).agg(F.log(F.max_by("bench", "ts") / F.min_by("bench", "ts")).alias("bench"))
     return best.join(y.withColumnsRenamed({"sr": "test_sr", "total": "test_total"}), ["year", "config"]).join(bench, "year")
 
 
-@query()
+def _rotated(k: int, n: int) -> str:
+    """SQL of one configuration's net returns: ts, config, ret."""
+    return f"""SELECT * FROM (WITH x AS (SELECT symbol, ts, close / lag(close, {k}) OVER ({S}) - 1 AS mom FROM bars_w), cal AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS n FROM (SELECT DISTINCT ts FROM bars_w)), c AS (SELECT ts, (n - {k}) // 4 AS period, (n - {k}) % 4 = 0 AS reb, lead(ts) OVER (ORDER BY ts) AS earn FROM cal WHERE n >= {k}),
+    h AS (SELECT period, symbol, 1.0 / count(*) OVER (PARTITION BY period) AS weight FROM (SELECT ts, symbol FROM x WHERE mom > 0 QUALIFY row_number() OVER (PARTITION BY ts ORDER BY mom DESC, symbol DESC) <= {n}) JOIN c USING (ts) WHERE reb), q AS (SELECT symbol, ts, close / lag(close) OVER ({S}) - 1 AS ret FROM bars_w),
+    g AS (SELECT c.earn AS ts, c.period, sum(weight * coalesce(ret, 0)) AS gross FROM c JOIN h USING (period) LEFT JOIN q ON q.ts = c.earn AND q.symbol = h.symbol WHERE c.earn IS NOT NULL GROUP BY 1, 2), d AS (SELECT period, lead(period) OVER (ORDER BY period) AS nx FROM (SELECT DISTINCT period FROM h)),
+    l AS (SELECT period, symbol, weight FROM h UNION ALL SELECT nx, symbol, -weight FROM h JOIN d USING (period) WHERE nx IS NOT NULL), tt AS (SELECT period, sum(abs(ch)) * 0.0005 AS cost FROM (SELECT period, symbol, sum(weight) AS ch FROM l GROUP BY 1, 2) GROUP BY 1), ff AS (SELECT period, min(earn) AS ts FROM c WHERE earn IS NOT NULL GROUP BY 1)
+    SELECT g.ts, 'k{k}n{n}' AS config, gross - coalesce(cost, 0) AS ret FROM g LEFT JOIN (SELECT ff.ts, cost FROM tt JOIN ff USING (period)) z ON z.ts = g.ts)"""
+
+
+GRID = f"gr AS ({' UNION ALL '.join(_rotated(k, n) for k in (4, 12, 26) for n in (3, 7))})"
+WALK = f"""WITH {GRID}, yr AS (SELECT config, year(ts) AS year, CASE WHEN stddev_pop(ret) > 0 THEN avg(ret) / stddev_pop(ret) ELSE 0 END AS sr, sum(ln(1 + ret)) AS total FROM gr GROUP BY 1, 2), bt AS (SELECT year + 1 AS year, config, sr AS train_sr FROM yr QUALIFY row_number() OVER (PARTITION BY year ORDER BY round(sr, 9) DESC, config) = 1),
+    bb AS (SELECT year(ts) AS year, ln(arg_max(bench, ts) / arg_min(bench, ts)) AS bench FROM bench_w GROUP BY 1), wk AS (SELECT year, config, train_sr, yr.sr AS test_sr, yr.total AS test_total, bench FROM bt JOIN yr USING (year, config) JOIN bb USING (year))"""
+
+
+@query(f"{WALK} SELECT year, config, round(train_sr, 6) AS train_sr, round(test_sr, 6) AS test_sr, round(test_total, 5) AS test_total, round(bench, 6) AS bench FROM wk")
 def st_walk_forward(spark, sf):
-    return _walk(spark, sf).select("year", "config", *r("train_sr", "test_sr", "test_total", "bench"))
+    return _walk(spark, sf).select("year", "config", *r("train_sr", "test_sr"), *r("test_total", n=5), *r("bench"))
 
 
-@query()
+@query(f"WITH {GRID} SELECT config, CASE WHEN year(ts) <= 1997 THEN 'train' ELSE 'test' END AS half, count(*) AS n, round(CASE WHEN stddev_pop(ret) > 0 THEN avg(ret) / stddev_pop(ret) ELSE 0 END, 6) AS sr FROM gr GROUP BY 1, 2")
 def st_robustness_grid(spark, sf):
     p = _grid(spark, sf).withColumn("half", F.when(F.year("ts") <= 1997, "train").otherwise("test"))
     sd = F.stddev_pop("ret")
     return p.groupBy("config", "half").agg(F.count("*").alias("n"), F.round(F.when(sd > 0, F.avg("ret") / sd).otherwise(0.0), 6).alias("sr"))
 
 
-@query()
+@query(f"{WALK} SELECT count(*) AS n, round(avg(CASE WHEN test_total > bench THEN 1.0 ELSE 0 END), 6) AS positive_rate, round(quantile_cont(test_total - bench, 0.5), 5) AS median_excess, round(avg(test_total - bench), 5) AS mean_excess, round(min(test_total - bench), 5) AS worst_excess FROM wk")
 def st_grid_summary(spark, sf):
     w = _walk(spark, sf).withColumn("excess", F.col("test_total") - F.col("bench"))
-    return w.agg(F.count("*").alias("n"), F.avg((F.col("excess") > 0).cast("double")).alias("positive_rate"), F.expr("percentile(excess, 0.5)").alias("median_excess"), F.avg("excess").alias("mean_excess"))
+    near = lambda c, n: F.round(c, 5).alias(n)
+    return w.agg(F.count("*").alias("n"), F.round(F.avg((F.col("excess") > 0).cast("double")), 6).alias("positive_rate"), near(F.expr("percentile(excess, 0.5)"), "median_excess"), near(F.avg("excess"), "mean_excess"), near(F.min("excess"), "worst_excess"))
 
 
-@query()
-def st_validation_suite(spark, sf):
-    w = _walk(spark, sf).agg(F.avg((F.col("test_total") > F.col("bench")).cast("double")).alias("win_rate"), F.avg("test_sr").alias("mean_sr"), F.min("test_total").alias("worst_year"))
-    reasons = F.filter(F.array(F.when(F.col("win_rate") < 0.6, "win_rate"), F.when(F.col("mean_sr") <= 0, "sharpe"), F.when(F.col("worst_year") < -0.3, "worst_year")), lambda x: x.isNotNull())
-    return w.withColumn("reasons", F.concat_ws(",", reasons)).withColumn("promoted", F.col("reasons") == "")
+#: Rows of the suite: the walk-forward, the mean excess after fees of 5 and 10 basis points a week, the spread over the
+#: parameters, and the windows of stress.
+STRESS = (("first", "1995-03-01", "1995-06-30"), ("second", "1997-01-01", "1997-04-30"))
 
 
-@query()
+@query(f"""{WALK}, fees AS (SELECT unnest([0.0, 0.0005, 0.001]) AS fee), m AS (SELECT ts, avg(ret) AS ret FROM gr GROUP BY 1), s AS (SELECT config, avg(ret) / stddev_pop(ret) AS sr FROM gr GROUP BY 1), rows_ AS (
+    SELECT 'walk_forward' AS part, 'win_rate' AS name, avg(CASE WHEN test_total > bench THEN 1.0 ELSE 0 END) AS value FROM wk UNION ALL SELECT 'walk_forward', 'worst_year', min(test_total) FROM wk
+    UNION ALL SELECT 'fees', printf('%.4f', fee), avg(ret - fee) FROM m, fees GROUP BY fee UNION ALL SELECT 'parameters', 'least', min(sr) FROM s UNION ALL SELECT 'parameters', 'spread', max(sr) - min(sr) FROM s
+    UNION ALL SELECT 'stress', w.name, exp(sum(ln(1 + ret))) - 1 FROM m JOIN (VALUES ('first', DATE '1995-03-01', DATE '1995-06-30'), ('second', DATE '1997-01-01', DATE '1997-04-30')) w(name, lo, hi) ON ts BETWEEN w.lo AND w.hi GROUP BY 2)
+    SELECT part, name, round(value, 6) AS value, round(value, 6) >= CASE part WHEN 'walk_forward' THEN CASE name WHEN 'win_rate' THEN 0.6 ELSE -0.3 END WHEN 'stress' THEN -0.25 WHEN 'parameters' THEN CASE name WHEN 'spread' THEN -1 ELSE 0 END ELSE 0 END AS passed FROM rows_""")
+def st_validation_suite(spark, sf):
+    g = written(_grid(spark, sf), "suite")
+    w = _walk(spark, sf)
+    mean = g.groupBy("ts").agg(F.avg("ret").alias("ret"))
+    part = lambda df, p, pairs: df.select(F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in pairs))).alias("x")).select("x.*")
+    walk = part(w.agg(F.avg((F.col("test_total") > F.col("bench")).cast("double")).alias("a"), F.min("test_total").alias("b")), "walk_forward", (("win_rate", "a"), ("worst_year", "b")))
+    fees = part(mean.agg(*(F.avg(F.col("ret") - fee).alias(n) for n, fee in (("a", 0.0), ("b", 0.0005), ("c", 0.001)))), "fees", (("0.0000", "a"), ("0.0005", "b"), ("0.0010", "c")))
+    sr = g.groupBy("config").agg((F.avg("ret") / F.stddev_pop("ret")).alias("sr")).agg(F.min("sr").alias("a"), (F.max("sr") - F.min("sr")).alias("b"))
+    inside = {n: F.col("ts").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")) for n, lo, hi in STRESS}
+    stress = part(mean.agg(*((F.exp(F.sum(F.when(c, F.log1p("ret")))) - 1).alias(n) for n, c in inside.items())), "stress", tuple((n, n) for n in inside)).where("value IS NOT NULL")
+    all_ = walk.unionByName(fees).unionByName(part(sr, "parameters", (("least", "a"), ("spread", "b")))).unionByName(stress).withColumn("value", F.round("value", 6))
+    least = F.when(F.col("part") == "walk_forward", F.when(F.col("name") == "win_rate", 0.6).otherwise(-0.3)).when(F.col("part") == "stress", -0.25).when(F.col("name") == "spread", -1.0).otherwise(0.0)
+    return all_.withColumn("passed", F.col("value") >= least)
+
+
+@query(f"WITH x AS (SELECT symbol, close / lag(close) OVER ({S}) - 1 AS ret FROM bars_w), m AS (SELECT symbol, round(avg(ret) / stddev_samp(ret), 9) AS sr, count(ret) AS n FROM x WHERE ret IS NOT NULL GROUP BY 1) SELECT symbol, concat_ws(',', CASE WHEN sr < 0.2 THEN 'sharpe' END, CASE WHEN n < 300 THEN 'history' END) AS reasons, NOT (sr < 0.2 OR n < 300) AS promoted FROM m")
 def st_promotion_gate(spark, sf):
-    m = f.returns(src.weekly(spark, sf)).where("ret IS NOT NULL").groupBy("symbol").agg((F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.count("*").alias("n"))
-    reasons = F.filter(F.array(F.when(F.col("sr") < 0.05, "sharpe"), F.when(F.col("n") < 100, "history")), lambda x: x.isNotNull())
+    m = f.returns(src.weekly(spark, sf)).where("ret IS NOT NULL").groupBy("symbol").agg(F.round(F.avg("ret") / F.stddev_samp("ret"), 9).alias("sr"), F.count("*").alias("n"))
+    reasons = F.filter(F.array(F.when(F.col("sr") < 0.2, "sharpe"), F.when(F.col("n") < 300, "history")), lambda x: x.isNotNull())
     return m.select("symbol", F.concat_ws(",", reasons).alias("reasons"), (F.size(reasons) == 0).alias("promoted"))
 
 
-@query()
+@query(f"""{GAP}, tr AS (SELECT *, row_number() OVER ({S}) AS k, CASE WHEN lag(close) OVER ({S}) IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER ({S})), abs(low - lag(close) OVER ({S}))) END AS tr1 FROM bars_d), ar AS (SELECT *, avg(tr1) OVER {rows(14)} AS atr FROM tr),
+    e AS (SELECT g.symbol, g.ts, g.direction = 'bullish' AS up, ar.k, close AS entry, close + CASE WHEN g.direction = 'bullish' THEN 2 ELSE -2 END * ar.atr AS target, close - CASE WHEN g.direction = 'bullish' THEN 1 ELSE -1 END * ar.atr AS stop FROM g JOIN ar USING (symbol, ts)),
+    h AS (SELECT e.symbol, e.ts, e.entry, e.target, e.stop, min(b.k - e.k) FILTER (CASE WHEN up THEN b.high >= target ELSE b.low <= target END) AS target_bar, min(b.k - e.k) FILTER (CASE WHEN up THEN b.low <= stop ELSE b.high >= stop END) AS stop_bar FROM e LEFT JOIN ar b ON b.symbol = e.symbol AND b.k > e.k AND b.k <= e.k + 20 GROUP BY ALL)
+    SELECT symbol, ts, round(entry, 5) AS entry, round(target, 4) AS target, round(stop, 4) AS stop, target_bar, stop_bar, CASE WHEN stop_bar IS NOT NULL AND (target_bar IS NULL OR stop_bar <= target_bar) THEN 'stop' WHEN target_bar IS NOT NULL THEN 'target' ELSE 'open' END AS outcome FROM h""")
 def st_event_study(spark, sf):
     b = f.atr(src.daily(spark, sf))
     z = gaps.detect(src.daily(spark, sf)).join(b.select("symbol", "ts", "close", "atr_prefix"), ["symbol", "ts"])
     sign = F.when(F.col("direction") == "bullish", 1).otherwise(-1)
     e = z.select("symbol", "ts", F.col("close").alias("entry"), (F.col("close") + sign * 2 * F.col("atr_prefix")).alias("target"), (F.col("close") - sign * F.col("atr_prefix")).alias("stop"))
-    return rd.target_or_stop(e, src.daily(spark, sf))
+    return rd.target_or_stop(e, src.daily(spark, sf)).select("symbol", "ts", *r("entry", n=5), *r("target", "stop", n=4), F.col("target_bar").cast("long").alias("target_bar"), F.col("stop_bar").cast("long").alias("stop_bar"), "outcome")
 
 
 @query("SELECT symbol, period_end, round(revenue, 2) AS revenue FROM fund_q QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY md5('7' || symbol || CAST(period_end AS VARCHAR)), period_end) <= greatest(1, round(0.6 * count(*) OVER (PARTITION BY symbol)))")
@@ -288,13 +328,13 @@ def st_pattern_mining(spark, sf):
     return g.withColumn("bound", wilson(F.col("wins"), F.col("n"))[0])
 
 
-@query()
+@query(f"{HOLD}, q AS (SELECT symbol, ts, lead(close) OVER ({S}) / close - 1 AS nxt FROM bars_w), j AS (SELECT ts, sum(weight * nxt) AS ret FROM h JOIN q USING (ts, symbol) WHERE nxt IS NOT NULL GROUP BY 1), a AS (SELECT ts, avg(nxt) AS bench FROM q WHERE nxt IS NOT NULL GROUP BY 1) SELECT count(*) AS n, round(avg(ret - bench), 6) AS excess, round(avg(CASE WHEN ret > bench THEN 1.0 ELSE 0 END), 6) AS hit_rate FROM j JOIN a USING (ts)")
 def st_ledger_score(spark, sf):
     h = pf.equal_weights(pf.momentum_holdings(src.weekly(spark, sf), 12, 5)).select("ts", "symbol", "weight")
-    nxt = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close").over(f.series()) / F.col("close") - 1).alias("nxt"), F.lead("ts").over(f.series()).alias("marked"))
-    j = h.join(nxt.where("marked IS NOT NULL"), ["symbol", "ts"]).groupBy("ts").agg(F.sum(F.col("weight") * F.col("nxt")).alias("ret"))
-    all_ = nxt.where("nxt IS NOT NULL").groupBy("ts").agg(F.avg("nxt").alias("bench"))
-    return j.join(all_, "ts").agg(F.count("*").alias("n"), F.avg(F.col("ret") - F.col("bench")).alias("excess"), F.avg((F.col("ret") > F.col("bench")).cast("double")).alias("hit_rate"))
+    nxt = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close").over(f.series()) / F.col("close") - 1).alias("nxt")).where("nxt IS NOT NULL")
+    j = h.join(nxt, ["symbol", "ts"]).groupBy("ts").agg(F.sum(F.col("weight") * F.col("nxt")).alias("ret"))
+    all_ = nxt.groupBy("ts").agg(F.avg("nxt").alias("bench"))
+    return j.join(all_, "ts").agg(F.count("*").alias("n"), F.round(F.avg(F.col("ret") - F.col("bench")), 6).alias("excess"), F.round(F.avg((F.col("ret") > F.col("bench")).cast("double")), 6).alias("hit_rate"))
 
 
 def _ridge(lags: int, ridge: float):
@@ -337,43 +377,58 @@ def mac_ensemble(spark, sf):
     return x.select("series_id", "month", "value", "ensemble", F.when(n >= 12, F.col("ensemble") - 1.96 * F.stddev_samp("e").over(past)).alias("low95"), F.when(n >= 12, F.col("ensemble") + 1.96 * F.stddev_samp("e").over(past)).alias("high95"))
 
 
-@query()
+@query(f"""WITH {MONTHLY} SELECT series_id, month, round(value, 5) AS value, round(value / lag(value) OVER w - 1, 6) AS mom, round(value / lag(value, 3) OVER w - 1, 6) AS qoq, round(value / lag(value, 12) OVER w - 1, 6) AS yoy, round(stddev_samp(value) OVER y, 4) AS sd12, round(value / max(value) OVER y - 1, 6) AS off_high, round(value / min(value) OVER y - 1, 6) AS off_low,
+    round(value / avg(value) OVER q - 1, 6) AS gap3, round(value / avg(value) OVER y - 1, 6) AS gap12, round((value - avg(value) OVER y) / nullif(stddev_samp(value) OVER y, 0), 5) AS z12, round((value / lag(value, 3) OVER w - 1) - (lag(value, 3) OVER w / lag(value, 6) OVER w - 1), 6) AS accel
+    FROM mo WINDOW w AS (PARTITION BY series_id ORDER BY month), y AS (PARTITION BY series_id ORDER BY month ROWS 11 PRECEDING), q AS (PARTITION BY series_id ORDER BY month ROWS 2 PRECEDING)""")
 def mac_indicator_panel(spark, sf):
     w = Window.partitionBy("series_id").orderBy("month")
     v = F.col("value")
     roll = lambda n: w.rowsBetween(-(n - 1), 0)
-    return monthly(spark, sf).select("series_id", "month", v, (v / F.lag(v, 1).over(w) - 1).alias("mom"), (v / F.lag(v, 3).over(w) - 1).alias("qoq"), (v / F.lag(v, 12).over(w) - 1).alias("yoy"), F.stddev_samp(v).over(roll(12)).alias("sd12"), (v / F.max(v).over(roll(12)) - 1).alias("off_high"), (v / F.min(v).over(roll(12)) - 1).alias("off_low"))
+    back = lambda n: F.lag(v, n).over(w)
+    sd, mean = F.stddev_samp(v).over(roll(12)), F.avg(v).over(roll(12))
+    made = {
+        "mom": v / back(1) - 1, "qoq": v / back(3) - 1, "yoy": v / back(12) - 1, "off_high": v / F.max(v).over(roll(12)) - 1, "off_low": v / F.min(v).over(roll(12)) - 1, "gap3": v / F.avg(v).over(roll(3)) - 1, "gap12": v / mean - 1,
+        "accel": (v / back(3) - 1) - (back(3) / back(6) - 1),
+    }
+    return monthly(spark, sf).select("series_id", "month", F.round(v, 5).alias("value"), *(F.round(c, 6).alias(k) for k, c in made.items()), F.round(sd, 4).alias("sd12"), F.round(F.when(sd != 0, (v - mean) / sd), 5).alias("z12"))
 
 
-@query()
+@query(f"WITH {REG} SELECT month, raw AS regime, round(count(*) / sum(count(*)) OVER (PARTITION BY month), 6) AS confidence FROM l GROUP BY 1, 2")
 def mac_regime_classify(spark, sf):
     n = F.count("*").over(Window.partitionBy("month"))
-    return regimes(spark, sf).withColumn("n", n).groupBy("month", F.col("raw").alias("regime")).agg((F.count("*") / F.first("n")).alias("confidence"))
+    return regimes(spark, sf).withColumn("n", n).groupBy("month", F.col("raw").alias("regime")).agg(F.round(F.count("*") / F.first("n"), 6).alias("confidence"))
 
 
-@query()
+@query(f"WITH {REG} SELECT month, round(100 * avg(CASE raw WHEN 'expansion' THEN 0.8 WHEN 'reflation' THEN 0.6 WHEN 'stagflation' THEN 0.3 WHEN 'slowdown' THEN 0.4 ELSE 0.1 END), 4) AS equity, round(100 - 100 * avg(CASE raw WHEN 'expansion' THEN 0.8 WHEN 'reflation' THEN 0.6 WHEN 'stagflation' THEN 0.3 WHEN 'slowdown' THEN 0.4 ELSE 0.1 END), 4) AS bonds FROM l GROUP BY 1")
 def mac_template_blend(spark, sf):
     conf = regimes(spark, sf).groupBy("month").pivot("raw", ["expansion", "reflation", "stagflation", "slowdown", "crisis"]).agg(F.count(F.lit(1))).fillna(0)
     equity = 0.8 * F.col("expansion") + 0.6 * F.col("reflation") + 0.3 * F.col("stagflation") + 0.4 * F.col("slowdown") + 0.1 * F.col("crisis")
     n = sum((F.col(c) for c in ("expansion", "reflation", "stagflation", "slowdown", "crisis")), F.lit(0))
-    return conf.select("month", (100 * equity / n).alias("equity"), (100 - 100 * equity / n).alias("bonds"))
+    return conf.select("month", F.round(100 * equity / n, 4).alias("equity"), F.round(100 - 100 * equity / n, 4).alias("bonds"))
 
 
-@query()
+HELD = f"{REG}, s AS (SELECT *, CASE WHEN raw = 'crisis' OR raw = lag(raw) OVER w OR lag(raw) OVER w IS NULL THEN raw END AS sure FROM l WINDOW w AS (PARTITION BY series_id ORDER BY month)), hy AS (SELECT series_id, month, last_value(sure IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY month ROWS UNBOUNDED PRECEDING) AS regime FROM s), nx AS (SELECT series_id, month, lead(value) OVER (PARTITION BY series_id ORDER BY month) / value - 1 AS fwd FROM mo)"
+
+
+@query(f"WITH {HELD}, k AS (SELECT month, fwd, CASE regime WHEN 'crisis' THEN 0.0 WHEN 'expansion' THEN 1.0 ELSE 0.5 END AS share FROM hy JOIN nx USING (series_id, month) WHERE fwd IS NOT NULL) SELECT month, round(avg(share * fwd), 6) AS ret, round(avg(share), 6) AS exposure, count(*) AS n FROM k GROUP BY 1")
 def mac_regime_returns(spark, sf):
     x = mac.hysteresis(regimes(spark, sf), "series_id", "month", "raw", ("crisis",))
     fwd = monthly(spark, sf).withColumn("fwd", F.lead("value").over(Window.partitionBy("series_id").orderBy("month")) / F.col("value") - 1).select("series_id", "month", "fwd")
     share = F.when(F.col("regime") == "crisis", 0.0).when(F.col("regime") == "expansion", 1.0).otherwise(0.5)
-    return x.join(fwd, ["series_id", "month"]).where("fwd IS NOT NULL").groupBy("month").agg(F.avg(share * F.col("fwd")).alias("ret"), F.avg(share).alias("exposure"), F.count("*").alias("n"))
+    return x.join(fwd, ["series_id", "month"]).where("fwd IS NOT NULL").groupBy("month").agg(F.round(F.avg(share * F.col("fwd")), 6).alias("ret"), F.round(F.avg(share), 6).alias("exposure"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{AQR}, tp AS (SELECT ts, symbol, 1.0 / count(*) OVER (PARTITION BY ts) AS weight FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY ts ORDER BY score DESC, symbol) <= 7)), nx AS (SELECT symbol, ts, lead(close) OVER ({S}) / close - 1 AS nxt FROM bars_w),
+    pn AS (SELECT ts, sum(weight * nxt) AS raw FROM tp JOIN nx USING (ts, symbol) WHERE nxt IS NOT NULL GROUP BY 1), bm AS (SELECT ts, bench, CASE WHEN count(*) OVER w = 100 THEN avg(bench) OVER w END AS ma FROM bench_w WINDOW w AS (ORDER BY ts ROWS 99 PRECEDING)),
+    vs AS (SELECT pn.ts, raw, stddev_pop(raw) OVER (ORDER BY pn.ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) * sqrt(52) AS vol, coalesce(round(bench - ma, 9) > 0, true) AS calm FROM pn LEFT JOIN bm USING (ts)),
+    rk AS (SELECT ts, raw, calm, CASE WHEN vol > 0 THEN least(1, 0.15 / vol) ELSE 1 END * CASE WHEN calm THEN 1.0 ELSE 0.7 END AS scale FROM vs), nv AS (SELECT *, raw * scale AS ret, product(1 + raw * scale) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nav FROM rk), dn AS (SELECT *, round(1 - nav / max(nav) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), 9) AS dd FROM nv),
+    gd AS (SELECT *, coalesce(last_value(CASE WHEN dd >= 0.2 THEN false WHEN dd <= 0.1 THEN true END IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS on_ FROM dn)
+    SELECT ts, round(raw, 6) AS raw, calm, round(scale, 6) AS scale, on_ AS invested, round(CASE WHEN on_ THEN ret ELSE 0 END, 6) AS ret FROM gd""")
 def pf_factor_panel(spark, sf):
     top = pf.equal_weights(xs.top(aqr(spark, sf), 7, [F.desc("score"), F.col("symbol")])).select("ts", "symbol", "weight")
     nxt = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close").over(f.series()) / F.col("close") - 1).alias("nxt"))
-    p = top.join(nxt, ["ts", "symbol"]).where("nxt IS NOT NULL").groupBy("ts").agg(F.sum(F.col("weight") * F.col("nxt")).alias("raw")).withColumn("symbol", F.lit("book"))
-    scale = F.coalesce(pf.vol_target_scale(F.stddev_pop("raw").over(f.last(12, 1)) * 52**0.5, 0.15, 1.0), F.lit(1.0))
-    return p.withColumn("ret", scale * F.col("raw")).select("ts", "raw", "ret")
+    p = top.join(nxt, ["ts", "symbol"]).where("nxt IS NOT NULL").groupBy("ts").agg(F.sum(F.col("weight") * F.col("nxt")).alias("raw"))
+    return pf.guarded(p, src.benchmark(spark, sf)).select("ts", *r("raw"), "calm", *r("scale"), "invested", *r("ret"))
 
 
 @query()
@@ -385,64 +440,69 @@ def pf_monthly_window(spark, sf):
     return w.groupBy("ts").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("ret"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT symbol, ts, CASE WHEN round(1 - close / max(close) OVER {rows(252)}, 9) > 0.2 THEN 0.0 WHEN round(1 - close / max(close) OVER {rows(252)}, 9) > 0.1 THEN 0.5 ELSE 1.0 END::DOUBLE AS drawdown_rule, CASE WHEN coalesce(round(close - CASE WHEN count(close) OVER {rows(200)} = 200 THEN avg(close) OVER {rows(200)} END, 6) > 0, true) THEN 1.0 ELSE 0.3 END::DOUBLE AS average_rule FROM bars_d")
 def pf_exposure_rules(spark, sf):
-    b = src.daily(spark, sf).withColumn("dd", 1 - F.col("close") / f.over(F.max("close"), 252))
-    calm = F.col("close") > f.full(F.avg("close"), 200)
+    b = src.daily(spark, sf).withColumn("dd", F.round(1 - F.col("close") / f.over(F.max("close"), 252), 9))
+    calm = F.round(F.col("close") - f.full(F.avg("close"), 200), 6) > 0
     return b.select("symbol", "ts", F.when(F.col("dd") > 0.2, 0.0).when(F.col("dd") > 0.1, 0.5).otherwise(1.0).alias("drawdown_rule"), F.when(F.coalesce(calm, F.lit(True)), 1.0).otherwise(0.3).alias("average_rule"))
 
 
-@query()
+@query(f"WITH {MONTHLY}, x AS (SELECT series_id, month, value / lag(value) OVER (PARTITION BY series_id ORDER BY month) - 1 AS ret FROM mo) SELECT series_id, month, round(ret, 6) AS ret, round(ret - 0.002 + greatest(0, -0.05 - ret), 6) AS with_put FROM x WHERE ret IS NOT NULL")
 def pf_monthly_overlay(spark, sf):
     w = Window.partitionBy("series_id").orderBy("month")
     m = monthly(spark, sf).withColumn("ret", F.col("value") / F.lag("value").over(w) - 1).where("ret IS NOT NULL")
-    return m.select("series_id", "month", "ret", (F.col("ret") - 0.002 + F.greatest(F.lit(0.0), -0.05 - F.col("ret"))).alias("with_put"))
+    return m.select("series_id", "month", F.round("ret", 6).alias("ret"), F.round(F.col("ret") - 0.002 + F.greatest(F.lit(0.0), -0.05 - F.col("ret")), 6).alias("with_put"))
 
 
-@query()
+@query(f"WITH {HELD} SELECT series_id, month, regime, CASE regime WHEN 'expansion' THEN 1.5 WHEN 'crisis' THEN 0.0 ELSE 1.0 END::DOUBLE AS leverage, round(CASE regime WHEN 'expansion' THEN 1.5 WHEN 'crisis' THEN 0.0 ELSE 1.0 END * fwd, 6) AS ret FROM hy JOIN nx USING (series_id, month) WHERE fwd IS NOT NULL")
 def pf_regime_leverage(spark, sf):
     x = mac.hysteresis(regimes(spark, sf), "series_id", "month", "raw", ("crisis",))
     lev = F.when(F.col("regime") == "expansion", 1.5).when(F.col("regime") == "crisis", 0.0).otherwise(1.0)
     nxt = monthly(spark, sf).withColumn("fwd", F.lead("value").over(Window.partitionBy("series_id").orderBy("month")) / F.col("value") - 1).select("series_id", "month", "fwd")
-    return x.join(nxt, ["series_id", "month"]).where("fwd IS NOT NULL").select("series_id", "month", "regime", lev.alias("leverage"), (lev * F.col("fwd")).alias("ret"))
+    return x.join(nxt, ["series_id", "month"]).where("fwd IS NOT NULL").select("series_id", "month", "regime", lev.alias("leverage"), F.round(lev * F.col("fwd"), 6).alias("ret"))
 
 
-METRICS = ("net_margin", "roe", "growth")
+def _arch(name: str) -> str:
+    """SQL of the blended score of an archetype and its coverage."""
+    parts = [(abs(w), f"greatest(-3, least(3, {'-' if w < 0 else ''}z_{m}))") for m, w in val.ARCHETYPES[name]]
+    held = " + ".join(f"CASE WHEN {x} IS NOT NULL AND {x.split('z_')[1].rstrip('))')} IS NOT NULL THEN {w} ELSE 0 END" for w, x in parts)
+    sums = " + ".join(f"coalesce(CASE WHEN {x.split('z_')[1].rstrip('))')} IS NOT NULL THEN {w} * {x} END, 0)" for w, x in parts)
+    return f"({sums}) / nullif({held}, 0) AS b_{name}, round({held}, 9) AS c_{name}"
 
 
-def _archetype(spark, sf):
-    from tapeloom.plans.analysis import xs_compounder_metrics
+_USED = sorted({m for ws in val.ARCHETYPES.values() for m, _ in ws})
+ARCH = f"""{METRICS_SQL}, mx AS (SELECT symbol, period_end, {', '.join(f'{v} AS {k}' for k, v in RATIOS.items())} FROM l), zx AS (SELECT *, {', '.join(f'CASE WHEN {m} IS NULL THEN NULL WHEN count({m}) OVER () >= 2 AND stddev_pop({m}) OVER () > 1e-12 THEN ({m} - avg({m}) OVER ()) / stddev_pop({m}) OVER () ELSE 0 END AS z_{m}' for m in _USED)} FROM mx),
+    bx AS (SELECT *, {', '.join(_arch(k) for k in val.ARCHETYPES)} FROM zx), sx AS (SELECT *, {', '.join(f'CASE WHEN c_{k} < 0.5 THEN 0 ELSE 100 * ({ncdf(f"b_{k}")}) END AS s_{k}' for k in val.ARCHETYPES)}, {' + '.join(f'CASE WHEN {m} IS NOT NULL THEN 1 ELSE 0 END' for m in RATIOS)} AS present FROM bx),
+    ax AS (SELECT *, greatest({', '.join(f'round(s_{k}, 6)' for k in val.ARCHETYPES)}) AS top, concat_ws(',', CASE WHEN share_growth > 0.05 THEN 'high-dilution' END, CASE WHEN debt_to_equity > 2 THEN 'high-debt' END, CASE WHEN margin_trend < 0 THEN 'margin-declining' END, CASE WHEN fcf_margin < 0 THEN 'negative-fcf' END) AS flags FROM sx),
+    kx AS (SELECT *, CASE {' '.join(f"WHEN round(s_{k}, 6) = top THEN '{k}'" for k in val.ARCHETYPES)} END AS best FROM ax)"""
 
-    m = xs_compounder_metrics(spark, sf)
-    zs = {c: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), xs.z(c, "period_end", nulls=True))) for c in METRICS}
-    m = m.withColumns({f"z_{c}": v for c, v in zs.items()})
-    n = sum((F.col(f"z_{c}").isNotNull().cast("int") for c in METRICS), F.lit(0))
-    mean = sum((F.coalesce(f"z_{c}", F.lit(0.0)) for c in METRICS), F.lit(0.0)) / F.greatest(n, F.lit(1))
-    return m.withColumns({"coverage": n / len(METRICS), "score": F.when(n / len(METRICS) >= 0.5, 100 * st.normal_cdf(mean)).otherwise(0.0)})
 
+def _archetype(spark, sf):
+    return val.archetypes(compounders(spark, sf))
 
-@query()
+
+@query(f"{ARCH} SELECT symbol, period_end, {', '.join(f'round(s_{k}, 4) AS {k}, round(c_{k}, 4) AS cover_{k}' for k in val.ARCHETYPES)}, flags FROM kx")
 def xs_archetype_score(spark, sf):
-    return _archetype(spark, sf).select("symbol", "period_end", "coverage", "score")
+    return _archetype(spark, sf).select("symbol", "period_end", *(c for k in val.ARCHETYPES for c in (F.round(f"s_{k}", 4).alias(k), F.round(f"c_{k}", 4).alias(f"cover_{k}"))), "flags")
 
 
-@query()
+@query(f"{ARCH} SELECT symbol, best, round(top, 4) AS score, row_number() OVER (ORDER BY top DESC, symbol) AS rank FROM kx WHERE present >= 5 AND ({' OR '.join(f'c_{k} >= 0.5' for k in val.ARCHETYPES)}) QUALIFY rank <= 20")
 def xs_compounder_rank(spark, sf):
-    return xs.top(_archetype(spark, sf).where("coverage >= 0.5"), 10, [F.desc(F.round("score", 6)), F.col("symbol")], "period_end").select("symbol", "period_end", "rank", "score")
+    covered = F.greatest(*(F.col(f"c_{k}") for k in val.ARCHETYPES)) >= 0.5
+    best = _archetype(spark, sf).where((F.col("present") >= 5) & covered).orderBy(F.desc("top"), "symbol").limit(20)
+    return best.select("symbol", "best", *r("top", n=4), F.row_number().over(Window.orderBy(F.desc("top"), "symbol")).cast("long").alias("rank")).withColumnRenamed("top", "score")
 
 
-@query()
+@query(f"{ARCH} SELECT symbol, best, round(top, 4) AS score, concat_ws('; ', {', '.join(f"CASE WHEN z_{m} > 1 THEN '{m} high' WHEN z_{m} < -1 THEN '{m} low' END" for m in _USED)}) AS explanation, flags FROM kx")
 def xs_dossier_rows(spark, sf):
-    a = _archetype(spark, sf)
-    say = F.concat_ws("; ", *(F.when(F.col(f"z_{c}") > 1, F.lit(f"{c} high")).when(F.col(f"z_{c}") < -1, F.lit(f"{c} low")) for c in METRICS))
-    return a.select("symbol", "period_end", say.alias("explanation"))
+    say = F.concat_ws("; ", *(F.when(F.col(f"z_{m}") > 1, F.lit(f"{m} high")).when(F.col(f"z_{m}") < -1, F.lit(f"{m} low")) for m in _USED))
+    return _archetype(spark, sf).select("symbol", "best", F.round("top", 4).alias("score"), say.alias("explanation"), "flags")
 
 
-@query()
+@query(f"{ARCH}, tx AS (SELECT *, 100 * ({ncdf('z_revenue_cagr')}) AS technology FROM kx) SELECT symbol, round(technology, 4) AS technology, round(s_profitable_compounder, 4) AS business, round(0.45 * technology + 0.55 * s_profitable_compounder, 4) AS composite FROM tx")
 def xs_sector_company(spark, sf):
-    a = _archetype(spark, sf)
-    tech = a.select("symbol", "period_end", "score", (100 * st.normal_cdf(xs.z("growth", "period_end"))).alias("technology"))
-    return tech.select("symbol", "period_end", "technology", F.col("score").alias("business"), (0.45 * F.col("technology") + 0.55 * F.col("score")).alias("composite"))
+    t = _archetype(spark, sf).withColumn("technology", 100 * st.normal_cdf(F.col("z_revenue_cagr")))
+    return t.select("symbol", *r("technology", n=4), F.round("s_profitable_compounder", 4).alias("business"), F.round(0.45 * F.col("technology") + 0.55 * F.col("s_profitable_compounder"), 4).alias("composite"))
 
 
 @query("WITH q AS (SELECT symbol, known_date, revenue / lag(revenue, 4) OVER (PARTITION BY symbol ORDER BY period_end) - 1 AS surprise FROM fund_q) SELECT symbol, known_date, CASE WHEN surprise > 0 THEN 'long' ELSE 'short' END AS direction FROM q WHERE abs(surprise) >= 0.05")
@@ -469,27 +529,30 @@ def _scores(spark, sf):
     return t.join(v, "symbol")
 
 
-@query()
+SCORES = f"{FAIR}, t AS (SELECT symbol, ts, close, mom, CASE WHEN hi > lo THEN (close - lo) / (hi - lo) ELSE 0.5 END AS range_position FROM (SELECT symbol, ts, close, close / lag(close, 12) OVER ({S}) - 1 AS mom, min(low) OVER {rows(50)} AS lo, max(high) OVER {rows(50)} AS hi FROM bars_w) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), u AS (SELECT symbol, arg_max(fair / price - 1, period_end) AS upside FROM d GROUP BY 1), sx AS (SELECT * FROM t JOIN u USING (symbol))"
+
+
+@query(f"WITH {SCORES}, k AS (SELECT symbol, round(40 * greatest(0, least(1, 0.5 + mom)) + 30 * (1 - range_position) + 30 * greatest(0, least(1, 0.5 + upside)), 5) AS score FROM sx) SELECT symbol, score, CASE WHEN score >= 60 THEN 'attack' WHEN score >= 40 THEN 'hold' ELSE 'defend' END AS label FROM k")
 def sc_playbook(spark, sf):
     s = 40 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + F.col("mom"))) + 30 * (1 - F.col("range_position")) + 30 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + F.col("upside")))
-    return _scores(spark, sf).withColumn("score", s).select("symbol", "score", F.when(F.col("score") >= 60, "attack").when(F.col("score") >= 40, "hold").otherwise("defend").alias("label"))
+    return _scores(spark, sf).withColumn("score", F.round(s, 5)).select("symbol", "score", F.when(F.col("score") >= 60, "attack").when(F.col("score") >= 40, "hold").otherwise("defend").alias("label"))
 
 
-@query()
+@query(f"WITH {SCORES}, k AS (SELECT symbol, round(0.5 * mom + 0.5 * upside, 6) AS composite FROM sx) SELECT symbol, composite, CASE WHEN composite > 0.1 THEN 'buy' WHEN composite < -0.1 THEN 'sell' ELSE 'hold' END AS action, round(greatest(0, least(0.1, composite / 5)), 6) AS size FROM k")
 def sc_factor_recommend(spark, sf):
-    x = _scores(spark, sf).withColumn("composite", F.round(0.5 * F.col("mom") + 0.5 * F.col("upside"), 9))
-    return x.select("symbol", "composite", F.when(F.col("composite") > 0.1, "buy").when(F.col("composite") < -0.1, "sell").otherwise("hold").alias("action"), F.greatest(F.lit(0.0), F.least(F.lit(0.1), F.col("composite") / 5)).alias("size"))
+    x = _scores(spark, sf).withColumn("composite", F.round(0.5 * F.col("mom") + 0.5 * F.col("upside"), 6))
+    return x.select("symbol", "composite", F.when(F.col("composite") > 0.1, "buy").when(F.col("composite") < -0.1, "sell").otherwise("hold").alias("action"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.1), F.col("composite") / 5)), 6).alias("size"))
 
 
-@query()
+@query(f"WITH {SCORES} SELECT symbol, round(upside - range_position, 6) AS directional, CASE WHEN round(upside - range_position, 6) > 0 THEN 'long' ELSE 'short' END AS side FROM sx")
 def sc_long_short(spark, sf):
-    return _scores(spark, sf).select("symbol", (F.col("upside") - F.col("range_position")).alias("directional"), F.when(F.col("upside") > F.col("range_position"), "long").otherwise("short").alias("side"))
+    d = F.round(F.col("upside") - F.col("range_position"), 6)
+    return _scores(spark, sf).select("symbol", d.alias("directional"), F.when(d > 0, "long").otherwise("short").alias("side"))
 
 
-@query()
+@query(f"WITH {SCORES} SELECT * FROM (SELECT symbol, 0.08::DOUBLE AS weight FROM sx ORDER BY round(mom, 9) DESC, symbol LIMIT 5) UNION ALL SELECT 'CORE', 0.5 UNION ALL SELECT 'CASH', 0.1")
 def sc_draft_portfolio(spark, sf):
-    x = _scores(spark, sf)
-    movers = x.orderBy(F.desc(F.round("mom", 9)), "symbol").limit(5).select("symbol", F.lit(0.08).alias("weight"))
+    movers = _scores(spark, sf).orderBy(F.desc(F.round("mom", 9)), "symbol").limit(5).select("symbol", F.lit(0.08).alias("weight"))
     return movers.unionByName(spark.range(1).select(F.explode(F.create_map(F.lit("CORE"), F.lit(0.5), F.lit("CASH"), F.lit(0.1))).alias("symbol", "weight")))
 
 
@@ -518,17 +581,16 @@ def rk_book_report(spark, sf):
     return j.select("symbol", "held", "target", "delta", F.when(F.col("delta") < 0, "sell").when(F.col("delta") > 0, "buy").otherwise("keep").alias("side"), size.alias("slippage"))
 
 
-@query()
+@query(f"SELECT event_id, round({exact_cdf('(value - 50) / 25')}, 6) AS phi FROM events")
 def udf_scalar(spark, sf):
-    return src.read(spark, sf, "events").select("event_id", st.phi((F.col("value") - 50) / 25).alias("phi"))
+    return src.read(spark, sf, "events").select("event_id", F.round(st.phi((F.col("value") - 50) / 25), 6).alias("phi"))
 
 
-@query("SELECT symbol, round(max(close), 6) AS top, round(avg(close), 4) AS mean, count(*) AS n FROM bars_d GROUP BY 1")
+@query()
 def udaf_series(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "top": [round(pdf["close"].max(), 6)], "mean": [round(pdf["close"].mean(), 4)], "n": [len(pdf)]})
-
-    return src.daily(spark, sf).select("symbol", "close").groupBy("symbol").applyInPandas(run, "symbol string, top double, mean double, n long")
+    boot = st.bootstrap_aggregate(samples=2000, block=21, seed=7)
+    x = f.returns(src.weekly(spark, sf)).where("ret IS NOT NULL").groupBy("symbol").agg(boot(F.unix_date("ts"), "ret").alias("b"))
+    return x.select("symbol", *(F.col("b")[i].alias(k) for i, k in enumerate(st.BOOTSTRAP)))
 
 
 @query()
