@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,9 +21,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, in one process (tests), one made here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="tapeloom-shared-")
     return base.rstrip("/")
@@ -52,6 +55,13 @@ def drop_stash(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def filesystem(uri: str):
+    """pyarrow's file system of a folder, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves the held-out remainder; a null id is never held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import fresh_path, slices
+from tapeloom.llm.common import filesystem, fresh_path, slices
 
 SEQ = 2048
 ROWS = 256  # sequences of a record batch
@@ -46,12 +46,6 @@ CLASS[[9, 10, 11, 12, 13, 32]], CLASS[ord("'")], CLASS[END_BYTE] = WHITE, ODD, E
 CLASS[0xC3:0xCA] = CLASS[0x80:0xC0] = LETTER  # U+00C0 to U+027F; others have an odd first byte
 
 
-def filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
-
-
 class Encoder:
     """Whole texts to their ids, little-endian unsigned."""
 
