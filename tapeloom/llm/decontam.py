@@ -5,25 +5,31 @@ length a shift table tells, for a block of BLOCK words, how far the search may j
 texts are read about every ninth word. Where the shift is 0 the block's bucket names the patterns that end with it,
 and direct comparison confirms an occurrence.
 
-The patterns travel to the tasks in parts of at most ``part_bytes`` of benchmark text, so each broadcast has a
-bound; every text is searched for all parts.
-
-Defined results: null or wordless texts have no words and no hits; an item without words can't occur; repeated items
-count once; repeated rows get equal results.
+A benchmark of at most ``part_bytes`` of text is broadcast. A larger one is dealt into files of about that size in the
+shared folder, by tasks; each task searches its texts, in stretches of HELD bytes, for one file after the other, and
+holds the tables of one.
+
+Defined results: null or wordless texts have no words and no hits; very long texts are searched whole; an item without
+words can't occur; an item without an id hits words but is not listed; repeated items count once, and items of one id
+are one; ids are listed in order as text; repeated rows get equal results; an empty table gives no rows, an empty
+benchmark no hits; columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import slices
+from tapeloom.llm.common import filesystem, fresh_path, slices
 
 WINDOW = 10
+HELD = 32 << 20
 BLOCK = 2
 #: A word is a run of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased; all else becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -73,30 +79,67 @@ def tables(items: list[tuple[int, bytes]]) -> list[Search]:
     return list(by.values())
 
 
+def _files(items: DataFrame, n: int) -> list[str]:
+    """The items as n files in the shared folder, dealt by a hash of id and text."""
+    path = fresh_path(items.sparkSession, "benchmark")
+
+    def run(batches):
+        fs, base = filesystem(path)
+        fs.create_dir(base, recursive=True)
+        task = TaskContext.get()
+        own, rows = f"{base}/_attempt-{task.taskAttemptId()}", 0
+        with fs.open_output_stream(own) as sink, pa.ipc.new_file(sink, pa.schema([("i", pa.string()), ("t", pa.binary())])) as out:
+            for b in batches:
+                out.write_batch(pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.binary())], names=["i", "t"]))
+                rows += b.num_rows
+        fs.move(own, name := f"{base}/part-{task.partitionId():07d}.arrow")
+        yield pa.RecordBatch.from_arrays([pa.array([name] if rows else [], pa.string())], names=["name"])
+
+    dealt = items.withColumn("__part", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int")).repartitionById(n, "__part").drop("__part")
+    whole = path.split("://")[0] + "://" if "://" in path else ""
+    return sorted((whole if whole != "file://" else "") + r["name"] for r in dealt.mapInArrow(run, "name string").collect())
+
+
+def _read(name: str) -> list[tuple[str | None, bytes]]:
+    fs, path = filesystem(name)
+    with fs.open_input_file(path) as source:
+        t = pa.ipc.open_file(source).read_all()
+    return list(zip(t.column("i").to_pylist(), t.column("t").to_pylist(), strict=True))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
     """docs with n_words, n_hit and hit_items (ids as text, sorted)."""
-    spark = docs.sparkSession
-    parts, held, room = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
-        if held and room + len(r["t"]) > part_bytes:
-            parts.append(spark.sparkContext.broadcast(held))
-            held, room = [], 0
-        held.append((r["i"], bytes(r["t"])))
-        room += len(r["t"])
-    parts.append(spark.sparkContext.broadcast(held))
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("t IS NOT NULL").distinct()
+    size = items.agg(F.sum(F.length("t") + 16)).first()[0] or 0
+    if size <= part_bytes:  # a proven bound of what is collected and sent
+        held = docs.sparkSession.sparkContext.broadcast([(r["i"], bytes(r["t"])) for r in items.collect()])
+        parts = [lambda: held.value]
+    else:
+        parts = [partial(_read, name) for name in _files(items, -(-size // part_bytes))]
     names = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit_items")]
     at = docs.columns.index(text_col)
     schema = docs.select(*names).withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "hit_items": F.array().cast("array<string>")}).schema
 
-    def run(batches):
-        only = tables(parts[0].value) if len(parts) == 1 else None
+    def stretches(batches):
+        held, room = [], 0
         for b in slices(batches):
-            texts = b.column(at).cast(pa.binary()).to_pylist()
+            held.append(b)
+            room += b.column(at).nbytes
+            if len(parts) == 1 or room >= HELD:
+                yield held
+                held, room = [], 0
+        if held:
+            yield held
+
+    def run(batches):
+        only = tables(parts[0]()) if len(parts) == 1 else None
+        for held in stretches(batches):
+            texts = [x for b in held for x in b.column(at).cast(pa.binary()).to_pylist()]
             marks: dict[int, np.ndarray] = {}
             items: dict[int, set] = {}
             counts = [0] * len(texts)
             for part in parts:
-                searches = only or tables(part.value)
+                searches = only or tables(part())
                 for i, text in enumerate(texts):
                     words = words_of(text)
                     counts[i] = len(words)
@@ -109,10 +152,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", part_
                             mark[start + s.length] -= 1
                             items.setdefault(i, set()).update(own)
             n_hit = [int((np.cumsum(marks[i]) > 0).sum()) if i in marks else 0 for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.names.index(c)) for c in names), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(items.get(i, ())) for i in range(len(texts))], pa.list_(pa.string()))],
-                names=[*names, "n_words", "n_hit", "hit_items"],
-            )
+            listed = [sorted(items.get(i, set()) - {None}) for i in range(len(texts))]
+            done = 0
+            for b in held:
+                own = slice(done, done := done + b.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(b.schema.names.index(c)) for c in names), pa.array(counts[own], pa.int64()), pa.array(n_hit[own], pa.int64()), pa.array(listed[own], pa.list_(pa.string()))],
+                    names=[*names, "n_words", "n_hit", "hit_items"],
+                )
 
     return docs.mapInArrow(run, schema)
 

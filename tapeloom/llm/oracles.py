@@ -38,7 +38,7 @@ FROM u GROUP BY conv_id
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP10 = f"""
-WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL), p AS (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS a FROM i WHERE len(w) > 0),
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark), p AS (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS a FROM i WHERE len(w) > 0),
      q AS (SELECT DISTINCT item, k, array_to_string(w[a : a + k - 1], ' ') AS win FROM p),
      d AS (SELECT doc_id, {_WORDS} AS w FROM documents), x AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k),
      y AS (SELECT doc_id, k, a, array_to_string(w[a : a + k - 1], ' ') AS win FROM x), h AS (SELECT doc_id, a, y.k, item FROM y JOIN q ON y.win = q.win AND y.k = q.k),
