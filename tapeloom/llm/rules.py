@@ -4,11 +4,15 @@ measure() evaluates every rule once and keeps the measurements and one failure b
 reads the bits under a versioned mask, and ablations() tells by bitwise aggregation what each rule of a policy
 decides alone. Texts stay in one pass: no join, no shuffle.
 
-Defined results: a null text has no words and fails only ``few_words``; repeated rows get equal results.
+Defined results: a null text has no words and fails only ``few_words``; very long texts are measured whole; of equal
+lines or windows all but the first line, and all windows, count; repeated rows get equal results; an empty table gives
+no rows; columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +49,7 @@ def _let(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in WINDOW-word windows found twice or more in the text.
 
-    Windows are compared by 64-bit hashes of their words; most texts have no equal pair and stop there. Else the
+    Windows are compared by 64-bit hashes, each word hashed once and the hashes joined by twos, fours and eights; most texts have no equal pair and stop there. Else the
     hashes are sorted with their places, and the stretch from each repeated window to the next one is counted.
     """
 
@@ -56,8 +60,14 @@ def repeated_words(words: Column) -> Column:
         covered = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(_let(pairs, lambda s: F.sort_array(twice(s))), covered))
 
+    def joined(h: Column, apart: int) -> Column:
+        """Hashes of twice the length: each with the one that begins where it ends."""
+        n = F.size(h) - apart
+        return F.zip_with(F.slice(h, 1, n), F.slice(h, apart + 1, n), lambda a, b: F.xxhash64(a, b))
+
     def of(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        hashes = F.transform(w, lambda x: F.xxhash64(x))
+        hashes = reduce(lambda h, apart: _let(h, lambda x: joined(x, apart)), (1, 2, 4), hashes)  # WINDOW words at last
         return F.when(F.size(w) < WINDOW + 1, F.lit(0)).otherwise(_let(hashes, count))
 
     return _let(words, of)
