@@ -5,11 +5,14 @@ the 8 in place: the guaranteed minimum. The index therefore lists fingerprints u
 Of the 56 triples 20 suffice to hold one inside every set of four positions, so no link is missed. In a list, shared bytes
 are tallied per pair, pairs below the minimum are dropped, and the bits of the rest are compared.
 
-Equal fingerprints are one entry, whatever the number of copies. A long list is searched outward from one entry at
-a time, each found entry leaving the list, so links that span the list come out and never all its pairs.
-
-Defined results: texts without a word (null, empty) have fingerprint 0 and are linked like any others; repeated
-rows are in one group; a null doc_id is never the least id, and a group of null ids only has a null component.
+Equal fingerprints are one entry, whatever the number of copies. A list longer than ``heavy`` is parted by a further
+byte: two of its fingerprints that link share one more of the other five positions, so they meet in a list of four
+bytes. A list is searched outward from one entry at a time, each found entry leaving the list, so links that span the
+list come out and never all its pairs.
+
+Defined results: texts without a word (null, empty) have fingerprint 0 and are linked like any others; very long texts
+are read whole; repeated rows are in one group; a null doc_id is never the least id, and a group of null ids only has
+a null component; an empty table gives no rows; ids are whole numbers; deduplicate() keeps columns of any name.
 """
 
 from __future__ import annotations
@@ -89,6 +92,8 @@ def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
 
 def _linked(key: np.ndarray, fp: np.ndarray, long_list: int) -> list[tuple[int, int]]:
     """Links within each stretch of equal keys."""
+    if not len(key):
+        return []
     edge = np.flatnonzero(np.diff(key)) + 1
     begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
     out: list[tuple[int, int]] = []
@@ -106,30 +111,45 @@ def _linked(key: np.ndarray, fp: np.ndarray, long_list: int) -> list[tuple[int,
     return out
 
 
-def links(fps: DataFrame, *, long_list: int = 8) -> DataFrame:
-    """(a, b): links between the different fingerprints fp that span all links of MAX_BITS or fewer bits."""
+def _entries(fps: DataFrame, heavy: int) -> DataFrame:
+    """(fp, key): every fingerprint under its triples of bytes, or under four bytes where the triple's list is long."""
     byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255).cast("long"))
-    keys = [F.lit(n << 24).cast("long") + F.shiftleft(byte(i), 16) + F.shiftleft(byte(j), 8) + byte(k) for n, (i, j, k) in enumerate(position_triples())]
+    triples = position_triples()
+    keys = [F.lit(n << 24).cast("long") + F.shiftleft(byte(i), 16) + F.shiftleft(byte(j), 8) + byte(k) for n, (i, j, k) in enumerate(triples)]
     index = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    long_keys = stash(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select(F.col("key").alias("long_key")), "simhash-long")
+    told = index.join(long_keys, F.col("key") == F.col("long_key"), "left")
+    rest = F.element_at(F.array(*(F.array(*(F.lit(p) for p in range(8) if p not in t)) for t in triples)), (F.shiftrightunsigned("key", 24) + 1).cast("int"))
+    fourth = F.transform(rest, lambda p: F.col("key") + F.shiftleft(F.lit(1).cast("long"), 45) + F.shiftleft(p.cast("long"), 40) + F.shiftleft(F.element_at(F.array(*(byte(i) for i in range(8))), p + 1), 32))
+    return told.select("fp", F.explode(F.when(F.col("long_key").isNull(), F.array("key")).otherwise(fourth)).alias("key"))
+
+
+def links(fps: DataFrame, *, long_list: int = 8, heavy: int = 4096) -> DataFrame:
+    """(a, b): links between the different fingerprints fp that span all links of MAX_BITS or fewer bits."""
 
     def search(batches):
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        """Whole lists: what is held is one list, and the batch that ends it."""
+        keys, fps, held = [], [], None
         for b in batches:
-            key = np.concatenate([key, b.column(0).to_numpy()])
-            fp = np.concatenate([fp, b.column(1).to_numpy().view(np.uint64)])
-            if len(key) and key[0] != key[-1]:  # the last list may go on in the next batch
-                cut = int(np.searchsorted(key, key[-1]))
-                yield from found(_linked(key[:cut], fp[:cut], long_list))
-                key, fp = key[cut:], fp[cut:]
-        yield from found(_linked(key, fp, long_list) if len(key) else [])
+            key, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            if not len(key):
+                continue
+            if held is not None and key[0] != held or key[0] != key[-1]:  # the last list may go on in the next batch
+                cut = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
+                yield from found(_linked(np.concatenate([*keys, key[:cut]]), np.concatenate([*fps, fp[:cut]]), long_list))
+                keys, fps, key, fp = [], [], key[cut:], fp[cut:]
+            held = key[-1]
+            keys.append(key)
+            fps.append(fp)
+        if keys:
+            yield from found(_linked(np.concatenate(keys), np.concatenate(fps), long_list))
 
     def found(pairs):
         if pairs:
             ab = np.array(pairs, np.uint64).view(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ab.min(1)), pa.array(ab.max(1))], names=["a", "b"])
 
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.select("key", "fp").repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(search, "a long, b long").distinct()
+    return _entries(fps, heavy).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(search, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
