@@ -3,14 +3,18 @@
 Targets: the sources, by code point with null last, weigh 1, 2, 3, repeating, and share all sizes; a target stops
 at MAX_EPOCHS times its source's size, and what it cannot take goes to the others by weight (water filling).
 The mix is dealt out in blocks of ``block`` words: seats go to the sources by the highest quotients
-target / (2k - 1), and a source's seats to its shards in the same way. A shard is a seeded hash bucket of
-about ``shard_words`` words; its documents lie in seeded order on one axis, and its quota is a cyclic run of
-blocks that begins at a seeded block, so whole passes first and then part of one.
+target / (2k - 1), and a source's seats in the same way to groups of GROUP shards and a group's seats to its shards.
+A shard is a seeded hash bucket of about ``shard_words`` words, however large the source; its documents lie in seeded
+order on one axis, and its quota is a cyclic run of blocks that begins at a seeded block, so whole passes first and
+then part of one.
 
-A source of any share of the rows is spread over its shards, and only sums travel before that.
+A source of any share of the rows is spread over its shards, and only sums travel before that. One task ranks the
+sources, a row each, one the groups of a source (a row for GROUP * shard_words words of it), and one a group's shards.
 
 Defined results: a null or wordless text has size 0 and takes 0; null is a source of its own, as is the empty
-string; repeated rows are separate documents; nothing is taken from an empty table.
+string; repeated rows are separate documents; rows that share id and size are ordered by all their values; of equal
+quotients the first source or shard wins; very long texts count whole; nothing is taken from an empty table; columns
+named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from tapeloom.llm.common import WORD, stash
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-#: A source has so many shards at most, so that dealing its seats to them stays small; shards then grow.
-MAX_SHARDS = 4096
+#: Shards that share in the seats of one group; only the number of groups grows with a source.
+GROUP = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -64,7 +68,7 @@ def seats(votes: DataFrame, by: list[str], order: list[str], vote: str, total: s
     return v.join(won, keys, "left").withColumn(out, F.col("__low") + F.coalesce("__won", F.lit(0).cast("long"))).drop("__sum", "__n", "__low", "__high", "__left", "__won")
 
 
-def mix(docs: DataFrame, *, size_col: str = "size", source_col: str = "source", id_col: str = "doc_id", block: int = 16, shard_words: int = 65_536, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, *, size_col: str = "size", source_col: str = "source", id_col: str = "doc_id", block: int = 16, shard_words: int = 65_536, group: int = GROUP, seed: int = 42) -> DataFrame:
     """docs with source_size, target and taken (words the mix takes of the row, repeats counted).
 
     docs is read three times; give a written table where its size column is dear. Any further columns are carried.
@@ -73,17 +77,17 @@ def mix(docs: DataFrame, *, size_col: str = "size", source_col: str = "source",
     key = ["__null", "__src"]
     sources = rows.groupBy(*key).agg(F.sum(size_col).alias("__total"))
     aimed = targets(sources).withColumn("__blocks", F.floor(F.sum("__target").over(Window.partitionBy()) / block))
-    aimed = seats(aimed, [], key, "__target", "__blocks", "__seats").withColumn("__shards", F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("__total") / shard_words))).cast("int"))
+    aimed = seats(aimed, [], key, "__target", "__blocks", "__seats").withColumn("__shards", F.greatest(F.lit(1), F.ceil(F.col("__total") / shard_words)).cast("long"))
     # Written first, so that the planner knows its size: no row of docs moves for a short list of sources.
     dealt = rows.join(stash(aimed.select(*key, "__total", "__target", "__seats", "__shards"), "mix-sources"), key)
-    dealt = dealt.withColumn("__seed", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("__shard", F.pmod(F.xxhash64("__seed", F.lit(1)), F.col("__shards")).cast("int"))
+    dealt = dealt.withColumn("__seed", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("__shard", F.pmod(F.xxhash64("__seed", F.lit(1)), F.col("__shards")))
     shard = [*key, "__shard"]
-    held = dealt.groupBy(*shard).agg(F.sum(size_col).alias("__words"), F.first("__seats").alias("__seats"))
-    quota = stash(seats(held, key, ["__shard"], "__words", "__seats", "__quota").select(*shard, "__words", "__quota"), "mix-quotas")
-    axis = Window.partitionBy(*shard).orderBy("__seed", id_col, size_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = dealt.groupBy(*shard).agg(F.sum(size_col).alias("__words"), F.first("__seats").alias("__all")).withColumn("__group", F.floor(F.col("__shard") / group))
+    groups = seats(held.groupBy(*key, "__group").agg(F.sum("__words").alias("__sum_words"), F.first("__all").alias("__all")), key, ["__group"], "__sum_words", "__all", "__part").select(*key, "__group", "__part")
+    quota = stash(seats(held.join(groups, [*key, "__group"]), [*key, "__group"], ["__shard"], "__words", "__part", "__quota").select(*shard, "__words", "__quota"), "mix-quotas")
+    axis = Window.partitionBy(*shard).orderBy("__seed", id_col, size_col, F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Dealt by shard at any rate: were the join's partitioning by source kept, a large source would be one task.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = dealt.repartition(parts, *shard).withColumn("__end", F.sum(size_col).over(axis)).join(quota, shard)
+    laid = dealt.repartition(*shard).withColumn("__end", F.sum(size_col).over(axis)).join(quota, shard)
     take = F.least(F.col("__quota") * block, F.col("__words") * MAX_EPOCHS)
     laid = laid.withColumn("__run", F.when(F.col("__words") > 0, take % F.col("__words")).otherwise(0)).withColumn("__full", F.when(F.col("__words") > 0, F.floor(take / F.col("__words"))).otherwise(0).cast("long"))
     blocks = F.ceil(F.col("__words") / block)
