@@ -8,8 +8,9 @@ Learning reads at most ``max_bags`` labelled documents, those with the least see
 and at most ``max_passages`` evenly spaced passages of each; scoring reads all passages of all texts.
 
 Defined results: null text scores as the empty text, which is one passage without bytes; repeated rows get
-equal scores; labels that contradict each other for one doc_id are not learnt from; with no labels, or of one
-class only, every score is the share of label 1 (0.5 without any).
+equal scores; labels that contradict each other for one doc_id are not learnt from; labelled documents whose hashes
+tie are taken in order of id; very long texts are scored whole, in blocks; with no labels, or of one class only, every
+score is the share of label 1 (0.5 without any); a column named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -145,13 +146,14 @@ def train(docs: DataFrame, labels: DataFrame, *, max_bags: int = 3000, max_passa
                 out.append(x.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["id", "y", "x"])
 
-    # ids is bounded by max_bags rows of two numbers, so it may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y").mapInArrow(passages, "id long, y double, x binary").collect()
-    seen: dict[int, tuple[float, bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["id"], bytes(r["x"]))):  # of repeated ids one text counts
-        seen.setdefault(r["id"], (r["y"], bytes(r["x"])))
-    bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH).astype(np.float32) for _, x in seen.values()]
-    return learn(bags, np.array([y for y, _ in seen.values()]), seed=seed)
+    # ids is bounded by max_bags rows of two numbers, so it may be broadcast; of repeated ids one text counts, so the
+    # rows that come back have that bound too.
+    rows = (
+        docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y").mapInArrow(passages, "id long, y double, x binary")
+        .groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("id", "r.x", "r.y").orderBy("id").collect()
+    )
+    bags = [np.frombuffer(bytes(r["x"]), np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows]
+    return learn(bags, np.array([r["y"] for r in rows]), seed=seed)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
