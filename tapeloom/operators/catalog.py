@@ -31,7 +31,7 @@ def write_partitions(table: DataFrame, path: str, by: tuple[str, ...]) -> None:
 
 
 def scan(table: DataFrame, *, start=None, end=None, date_col: str = "ts", **equal) -> DataFrame:
-    """Equality on key columns and a closed range on the date; all of it is pushed to the Parquet scan."""
+    """Equality on key columns and a closed range on the date: partition columns prune folders, the rest reaches the Parquet scan."""
     out = table
     for c, v in equal.items():
         out = out.where(F.col(c) == v)

@@ -9,15 +9,33 @@ from tapeloom.operators import joins as j
 from tapeloom.plans.registry import query
 from tapeloom.plans.windows import S, r
 from tapeloom.sources import adapters as src
+from tapeloom.streaming.live import shared_path
 
 D = "DATE '1996-06-30'"
 DAY = "1996-06-30"
 
 
+#: The bar catalog of each application and input: written once, then scanned.
+_CATALOG: dict[tuple[str, str], str] = {}
+
+
+def bar_catalog(spark, sf):
+    """Bars of all series as a table partitioned by market and frequency, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CATALOG:
+        path = shared_path(spark, "bars")
+        for market, freq, b in (("types", "1d", src.daily(spark, sf)), ("brands", "1w", src.weekly(spark, sf))):
+            c.write_partitions(b.withColumns({"market": F.lit(market), "freq": F.lit(freq)}).repartition("symbol").sortWithinPartitions("symbol", "ts"), path, ("market", "freq"))
+        _CATALOG[key] = path
+    schema = "symbol string, ts date, open double, high double, low double, close double, volume double, market string, freq string"
+    return spark.read.schema(schema).parquet(_CATALOG[key])
+
+
 @query("SELECT symbol, ts, open, high, low, close, volume FROM bars_d WHERE symbol = 'ECONOMY' OR (symbol >= 'S' AND ts BETWEEN DATE '1995-01-01' AND DATE '1996-12-31')")
 def bars_scan(spark, sf):
-    b = src.daily(spark, sf)
-    return c.scan(b, symbol="ECONOMY").unionByName(c.scan(b.where("symbol >= 'S'"), start="1995-01-01", end="1996-12-31"))
+    b = c.scan(bar_catalog(spark, sf), market="types", freq="1d")
+    both = c.scan(b, symbol="ECONOMY").unionByName(c.scan(b.where("symbol >= 'S'"), start="1995-01-01", end="1996-12-31"))
+    return both.select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 def _revised(b):

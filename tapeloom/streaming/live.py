@@ -6,15 +6,18 @@ run again replaces its own files. state() and latest() read what the batches hav
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+BATCH = 64 << 20  # files of one micro-batch, or a single larger one
 #: Where the session names no shared folder (tests): one of our own per application.
 _OWN: dict[str, str] = {}
 
@@ -23,6 +26,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder beside the session's checkpoints, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="tapeloom-shared-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -35,13 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def events(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+def events(spark: SparkSession, path: str, batch_bytes: int = BATCH) -> DataFrame:
     """A Parquet table as a stream, with ts as a timestamp; its schema is read from the files once.
 
     The path may be a folder or one file: as a pattern it is fit for the file source either way.
     """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
@@ -80,16 +85,21 @@ def imbalance_state(ticks: DataFrame, *, history: int = 20, least: int = 10) ->
     """Per symbol and tick the z of its value in the last ``history`` ones; the history is kept as state between batches."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for v in rows["value"].tolist():
-            past = [*past, v][-history:]
-            mean = sum(past) / len(past)
-            sd = (sum((x - mean) ** 2 for x in past) / (len(past) - 1)) ** 0.5 if len(past) > 1 else 0.0
-            out.append(None if len(past) < least else ((v - mean) / sd if sd > 0 else 0.0))
-        state.update((past,))
-        yield pd.DataFrame({"symbol": key[0], "event_id": rows["event_id"].to_numpy(), "z": out})
+        past = np.array(state.get[0] if state.exists else [], float)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])  # a micro-batch: BATCH bytes of files at most
+        seen = np.concatenate([past, rows["value"].to_numpy(float)])
+        z = np.full(len(rows), np.nan)
+        for at in range(0, len(rows), 65_536):
+            own = np.arange(at, min(len(rows), at + 65_536)) + len(past)
+            back = own[:, None] - np.arange(history)[::-1]
+            held = np.where(back >= 0, seen[np.maximum(back, 0)], np.nan)
+            n = np.minimum(own + 1, history)
+            mean = np.nansum(held, 1) / n
+            sd = np.sqrt(np.nansum((held - mean[:, None]) ** 2, 1) / np.maximum(n - 1, 1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                z[own - len(past)] = np.where(n < least, np.nan, np.where((n > 1) & (sd > 0), (seen[own] - mean) / sd, 0.0))
+        state.update((seen[-history:].tolist(),))
+        yield pd.DataFrame({"symbol": key[0], "event_id": rows["event_id"].to_numpy(), "z": pd.array(z, dtype="Float64")})  # NaN becomes null
 
     rows = ticks.select(F.col("event_type").alias("symbol"), "ts", "event_id", "value")
     return rows.groupBy("symbol").applyInPandasWithState(step, "symbol string, event_id long, z double", "past array<double>", "append", "NoTimeout")
