@@ -5,11 +5,14 @@ frozen. The cost of a byte is that of its longest known context, with method C e
 to the uniform order -1; a text's code length is the exact sum over all its bytes. The language of the
 shortest code wins (ties: the lower name), and its posterior under equal priors is the score.
 
-Learning reads about ``per_lang`` texts of each language, by a hash of their ids. The tree keeps at most
-``max_contexts`` contexts of the highest order, the most frequent first; the rest fall back to their suffix.
+Learning reads about ``per_lang`` texts of each language, by a hash of their ids, and keeps every language and every
+context that occurs in them. The tree is kept sparse, as sorted strings of one to four bytes for each language, so
+its size follows the sample's text alone. Texts are coded by their different four-byte strings: each is priced once
+for all languages, and remembered by the worker for a while.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled text every
-row is ``und``; repeated rows get equal results.
+row is ``und``; very long texts are coded whole, in blocks; repeated rows get equal results; columns named like a
+result are replaced.
 """
 
 from __future__ import annotations
@@ -19,116 +22,147 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import held_out, slices
+from tapeloom.llm.common import held_out, slices, stash
 
 ORDER = 3
-BLOCK = 1 << 19
-#: Most entries of the cost table (4 bytes each), however many languages and symbols there are.
-CELLS = 1 << 25
-_TABLES: dict[str, tuple] = {}
+PAD = b"\0" * ORDER
+BLOCK = 1 << 22  # bytes coded at once
+MEMO = 1 << 18  # strings whose prices a worker remembers, 4 bytes a language each
+_TABLES: dict[str, Tables] = {}
 
 
-def _codes(data: np.ndarray, symbol: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code of the three symbols before each byte (symbol 0 before the first), and the byte's own symbol."""
-    s = np.concatenate([np.zeros(ORDER, np.int64), symbol[data]])
-    return (s[:-3] * size + s[1:-2]) * size + s[2:-1], s[3:]
-
-
-def sample(docs: DataFrame, *, per_lang: int, max_langs: int, seed: int) -> DataFrame:
+def sample(docs: DataFrame, *, per_lang: int, seed: int) -> DataFrame:
     """About per_lang texts of each language from outside the held-out fold."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    counts = sorted((r["lang"], r["n"]) for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect())
-    if not counts:
-        return own.limit(0)
-    share = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(1.0, per_lang / n))))
-    return own.where((F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
+    counts = stash(own.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n")), "langs")  # of known size, so that no text moves
+    return own.join(counts, F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / (1 << 20) * F.col("__n") < per_lang).drop("__lang", "__n")
+
 
+def _grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The four-byte string that ends at each byte of the pieces but their first ORDER, and how many of each piece."""
+    data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32)
+    if len(data) <= ORDER:
+        return np.zeros(0, np.uint32), np.array([max(0, len(x) - ORDER) for x in pieces], np.int64)
+    gram = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
+    own, sizes = np.ones(len(gram), bool), np.array([len(x) for x in pieces], np.int64)
+    for back in range(ORDER):  # strings over the edge of two pieces
+        edge = np.cumsum(sizes)[:-1] - 1 - back
+        own[edge[(edge >= 0) & (edge < len(gram))]] = False
+    return gram[own], sizes - ORDER
 
-def train(docs: DataFrame, *, per_lang: int = 400, max_langs: int = 200, max_contexts: int = 40_000, seed: int = 7) -> dict:
-    """Frozen counts: arrays of (language, order, context, symbol, count), small enough to ship with the tasks."""
+
+def train(docs: DataFrame, *, per_lang: int = 400, seed: int = 7) -> dict:
+    """Frozen counts: arrays of (language, four-byte string, count); as large as the sample's different strings."""
 
     def grams(batches):
         """Counts of the four-byte strings per language; what a task holds is bounded by its batch."""
         for b in slices(batches):
             langs, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-            out: list[tuple] = []
             for lang in sorted(set(langs)):
-                data = [np.frombuffer(b"\0\0\0" + x, np.uint8).astype(np.uint32) for k, x in zip(langs, texts, strict=True) if k == lang]
-                key = np.concatenate([(x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:] for x in data])
-                code, n = np.unique(key, return_counts=True)
-                out += [pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])]
-            yield from out
+                code, n = np.unique(_grams([PAD + x for k, x in zip(langs, texts, strict=True) if k == lang])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = sample(docs, per_lang=per_lang, max_langs=max_langs, seed=seed).select("lang", "text").mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample(docs, per_lang=per_lang, seed=seed).select("lang", "text").mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang = np.array(counted.column("lang").to_pylist(), dtype=object)
     gram, n = counted.column("gram").to_numpy(), counted.column("n").to_numpy()
     langs = sorted(set(lang.tolist()))
-    order = np.lexsort((gram, np.searchsorted(langs, lang) if langs else gram))
-    return {"langs": langs, "of": (np.searchsorted(langs, lang[order]) if langs else order).astype(np.int16), "gram": gram[order].astype(np.uint32), "n": n[order], "max_contexts": max_contexts, "id": f"{len(gram)}-{int(n.sum())}-{int((gram * (n + 1) % 1_000_003).sum())}-{per_lang}-{max_contexts}"}
-
-
-def _tables(model: dict) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-    """symbol of a byte, number of symbols, row of a context code, and bits[row, symbol, language]."""
-    if model["id"] in _TABLES:
-        return _TABLES[model["id"]]
-    gram, n, of, langs = model["gram"], model["n"].astype(np.float64), model["of"], len(model["langs"])
-    parts = np.stack([(gram >> s) & 255 for s in (24, 16, 8, 0)]).astype(np.int64)
-    known = np.unique(parts[3])
-    symbol = np.zeros(256, np.int64)
-    symbol[known] = np.arange(1, len(known) + 1)
-    size = len(known) + 1
-    s = symbol[parts]  # the padding before a text is symbol 0, as are unknown bytes
-    bits = [np.full((1, size, langs), 8.0, np.float32)]  # order -1: a byte is one of 256
-    rows: list[np.ndarray] = []
-    below_codes, below = None, bits[0]
-    for k in range(ORDER + 1):
-        code = np.zeros(len(gram), np.int64)
-        for j in range(3 - k, 3):
-            code = code * size + s[j]
-        contexts, where = np.unique(code, return_inverse=True)
-        if k == ORDER and len(contexts) > (most := min(model["max_contexts"], CELLS // (size * langs))):
-            weight = np.bincount(where, weights=n)
-            keep = np.sort(np.lexsort((contexts, -weight))[:most])
-            inside = np.isin(where, keep)
-            contexts, where = contexts[keep], np.searchsorted(keep, where)
-        else:
-            inside = np.ones(len(gram), bool)
-        count = np.zeros((len(contexts), size, langs), np.float32)
-        np.add.at(count, (where[inside], s[3][inside], of[inside]), n[inside])
-        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        if k == 0:
-            shorter = np.broadcast_to(below, count.shape)
-        else:
-            shorter = below[np.searchsorted(below_codes, contexts % size ** (k - 1))]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, np.log2((total + kinds) / kinds), 0)
-            cost = np.where(count > 0, np.log2((total + kinds) / count), escape + shorter)
-        below, below_codes = cost.astype(np.float32), contexts
-        rows.append(contexts)
-        bits.append(below)
-    base = np.cumsum([0, *(len(x) for x in bits[1:])])
-    row = np.full(size**3, base[0], np.int32)
-    for k in range(1, ORDER + 1):  # longer contexts replace shorter ones
-        if k < ORDER:
-            shape = row.reshape(size ** (ORDER - k), size**k)
-            shape[:, rows[k]] = (base[k] + np.arange(len(rows[k])))[None, :]
-        else:
-            row[rows[k]] = base[k] + np.arange(len(rows[k]))
-    _TABLES.clear()
-    _TABLES[model["id"]] = symbol, size, row, np.concatenate(bits[1:])
+    of = np.searchsorted(langs, lang) if langs else np.zeros(0, np.int64)
+    order = np.lexsort((gram, of))
+    return {"langs": langs, "of": of[order].astype(np.int32), "gram": gram[order].astype(np.uint32), "n": n[order], "id": f"{len(gram)}-{int(n.sum())}-{int((gram * (n + 1) % 1_000_003).sum())}-{per_lang}"}
+
+
+class Tables:
+    """Per language and order: the known strings with their costs, and the known contexts with their escapes."""
+
+    def __init__(self, model: dict):
+        gram, n, of = model["gram"], model["n"].astype(np.float64), model["of"]
+        known = np.zeros(256, bool)
+        known[gram & 255] = True
+        self.symbol = np.where(known, np.arange(256), 0).astype(np.uint8)  # unknown bytes are alike, and like the padding
+        parts = [self.symbol[(gram >> s) & 255].astype(np.uint32) << s for s in (24, 16, 8, 0)]
+        gram = parts[0] | parts[1] | parts[2] | parts[3]
+        self.orders = []
+        for k in range(len(model["langs"])):
+            own, per = of == k, []
+            for order in range(ORDER, -1, -1):
+                keys, where = np.unique(gram[own] & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+                count = np.bincount(where, weights=n[own], minlength=len(keys))
+                contexts, of_key = np.unique(keys >> 8, return_inverse=True)
+                total, kinds = np.bincount(of_key, weights=count), np.bincount(of_key).astype(np.float64)
+                per.append((keys, np.log2((total + kinds)[of_key] / count), contexts, np.log2((total + kinds) / kinds)))
+            self.orders.append(per)
+        self.seen, self.bits = np.zeros(0, np.uint32), np.zeros((len(self.orders), 0), np.float32)
+
+    def price(self, grams: np.ndarray) -> np.ndarray:
+        """bits[language, string] of different strings."""
+        out = np.zeros((len(self.orders), len(grams)), np.float32)
+        for bits, per in zip(out, self.orders, strict=True):
+            left = np.arange(len(grams))
+            for order, (keys, cost, contexts, escape) in zip(range(ORDER, -1, -1), per, strict=True):
+                key = grams[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+                at, c = np.searchsorted(keys, key), np.searchsorted(contexts, key >> 8)
+                at[at == len(keys)], c[c == len(contexts)] = 0, 0
+                hit, met = keys[at] == key, contexts[c] == key >> 8
+                bits[left] += np.where(hit, cost[at], np.where(met, escape[c], 0)).astype(np.float32)
+                left = left[~hit]
+            bits[left] += 8  # order -1: a byte is one of 256
+        return out
+
+    def known(self, grams: np.ndarray) -> np.ndarray:
+        """price(), with what is remembered."""
+        at = np.searchsorted(self.seen, grams)
+        at[at == len(self.seen)] = 0
+        fresh = self.seen[at] != grams if len(self.seen) else np.ones(len(grams), bool)
+        if fresh.any():
+            new = np.sort(grams[fresh])
+            if len(self.seen) + len(new) > MEMO:
+                self.seen, self.bits = self.seen[:0], self.bits[:, :0]
+                new = np.sort(grams)
+            both, bits = np.concatenate([self.seen, new]), np.concatenate([self.bits, self.price(new)], axis=1)
+            order = np.argsort(both, kind="stable")
+            self.seen, self.bits = both[order], bits[:, order]
+            at = np.searchsorted(self.seen, grams)
+        return self.bits[:, at]
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """bits[text, language] of whole texts."""
+        total = np.zeros((len(texts), len(self.orders)))
+        held: list[tuple[int, bytes]] = []
+        room = 0
+        for i, text in enumerate(texts):
+            for at in range(0, len(text), BLOCK):
+                piece = (PAD if at == 0 else text[at - ORDER : at]) + text[at : at + BLOCK]
+                if room and room + len(piece) > BLOCK:
+                    self._add(held, total)
+                    held, room = [], 0
+                held.append((i, piece))
+                room += len(piece)
+        if held:
+            self._add(held, total)
+        return total
+
+    def _add(self, held: list[tuple[int, bytes]], total: np.ndarray) -> None:
+        data = b"".join(x for _, x in held)
+        mapped = self.symbol[np.frombuffer(data, np.uint8)].tobytes()
+        cut = np.cumsum([0, *(len(x) for _, x in held)]).tolist()
+        grams, sizes = _grams([mapped[a:b] for a, b in zip(cut, cut[1:])])
+        coded = pa.array(grams).dictionary_encode()
+        prices, at = self.known(coded.dictionary.to_numpy()), coded.indices.to_numpy()
+        of, begin = np.array([i for i, _ in held]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for k, price in enumerate(prices):
+            np.add.at(total[:, k], of, np.add.reduceat(price[at], begin, dtype=np.float64))
+
+
+def _tables(model: dict) -> Tables:
+    if model["id"] not in _TABLES:
+        _TABLES.clear()
+        _TABLES[model["id"]] = Tables(model)
     return _TABLES[model["id"]]
 
 
 def code_lengths(text: bytes, model: dict) -> np.ndarray:
     """Bits of the whole text under each language."""
-    symbol, size, row, bits = _tables(model)
-    flat = bits.reshape(-1, bits.shape[2])
-    total = np.zeros(bits.shape[2])
-    for at in range(0, len(text), BLOCK):
-        back = min(at, ORDER)
-        code, own = _codes(np.frombuffer(text, np.uint8, min(BLOCK, len(text) - at) + back, at - back), symbol, size)
-        total += flat[row[code[back:]].astype(np.int64) * size + own[back:]].sum(0, dtype=np.float64)
-    return total
+    return _tables(model).lengths([text])[0]
 
 
 def predict(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFrame:
@@ -140,16 +174,15 @@ def predict(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFram
 
     def run(batches):
         m = shared.value
-        for b in slices(batches):
-            pred, post = [], []
-            for text, letter in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names) - 1).to_pylist(), strict=True):
-                if not letter or not m["langs"]:
-                    pred.append("und"), post.append(0.0)
-                    continue
-                bits = code_lengths(text, m)
-                best = int(bits.argmin())
-                pred.append(m["langs"][best])
-                post.append(float(1 / np.exp2(np.minimum(0, bits[best] - bits)).sum()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names) - 1)), pa.array(pred, pa.string()), pa.array(post, pa.float64())], names=[*names[:-1], "lang_pred", "lang_score"])
+        for b in slices(batches, 4096):
+            texts, letters = b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names) - 1).to_numpy(zero_copy_only=False)
+            pred, post = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
+            some = np.flatnonzero(letters) if m["langs"] else np.zeros(0, int)
+            if len(some):
+                bits = _tables(m).lengths([texts[i] for i in some])
+                best = bits.argmin(1)
+                pred[some] = np.array(m["langs"], object)[best]
+                post[some] = 1 / np.exp2(np.minimum(0, bits.min(1)[:, None] - bits)).sum(1)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names) - 1)), pa.array(pred.tolist(), pa.string()), pa.array(post)], names=[*names[:-1], "lang_pred", "lang_score"])
 
     return tagged.mapInArrow(run, schema)
