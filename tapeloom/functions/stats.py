@@ -79,23 +79,6 @@ def effective_trials(correlations: DataFrame, corr: str = "corr") -> DataFrame:
     return c.select(n.cast("long").alias("n_trials"), (n * n / (n + 2 * F.col("ss"))).alias("effective"))
 
 
-def block_bootstrap(returns: DataFrame, by: str, value: str, *, block: int = 10, samples: int = 500, seed: int = 7) -> DataFrame:
-    """Per series: circular-block confidence bounds of the Sharpe ratio, the share above 0, and the null p-value."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("ts")[value].dropna().to_numpy()
-        n = len(x)
-        rng = np.random.default_rng(seed)
-        starts = rng.integers(0, n, (samples, -(-n // block)))
-        at = ((starts[:, :, None] + np.arange(block)) % n).reshape(samples, -1)[:, :n]
-        sharpe = lambda m: m.mean(1) / np.where((s := m.std(1, ddof=1)) > 0, s, np.inf)
-        got, null = sharpe(x[at]), sharpe((x - x.mean())[at])
-        own = x.mean() / x.std(ddof=1)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [n], "sharpe": [own], "low": [np.quantile(got, 0.025)], "high": [np.quantile(got, 0.975)], "p_positive": [(got > 0).mean()], "p_null": [((null >= own).sum() + 1) / (samples + 1)]})
-
-    return returns.select(by, "ts", value).groupBy(by).applyInPandas(run, f"{by} string, n long, sharpe double, low double, high double, p_positive double, p_null double")
-
-
 BOOTSTRAP = ("n", "sharpe", "mean", "median", "sd", "low", "high", "p_positive", "p_null")
 
 
@@ -130,6 +113,16 @@ def bootstrap_aggregate(*, samples: int, block: int, seed: int):
     return F.pandas_udf(run, "array<double>")
 
 
+def block_bootstrap(returns: DataFrame, by: str, value: str, *, block: int = 21, samples: int = 10_000, seed: int = 7) -> DataFrame:
+    """BOOTSTRAP of each series, one Arrow function a series."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("ts")[value].dropna().to_numpy()
+        return pd.DataFrame([[pdf[by].iloc[0], *bootstrap_values(x, samples=samples, block=block, seed=seed)]], columns=[by, *BOOTSTRAP])
+
+    return returns.select(by, "ts", value).where(F.col(value).isNotNull()).groupBy(by).applyInPandas(run, f"{by} string, " + ", ".join(f"{k} double" for k in BOOTSTRAP))
+
+
 def cscv(returns: DataFrame, config: str, value: str, splits: int = 8) -> DataFrame:
     """Combinatorially symmetric cross-validation, in Spark: a row per way of taking half of the blocks in sample.
 

@@ -77,11 +77,12 @@ def cdl_at_level(spark, sf):
 @query()
 def liq_mss(spark, sf):
     b = src.daily(spark, sf)
-    s = states.structure(b)
-    sweeps = s.where("kind = 'SWEEP'").select("symbol", "ts", F.col("direction").alias("swept"), F.date_add("ts", 14).alias("until"))
-    shifts = s.where("kind <> 'SWEEP'").select(F.col("symbol").alias("s"), F.col("ts").alias("shift_ts"), "direction")
-    j = sweeps.join(shifts, (F.col("symbol") == F.col("s")) & (F.col("shift_ts") > F.col("ts")) & (F.col("shift_ts") <= F.col("until")) & (F.col("direction") != F.col("swept")), "left")
-    return j.groupBy("symbol", "ts", "swept").agg(F.min("shift_ts").alias("mss_ts"))
+    n = b.select("symbol", "ts", F.row_number().over(f.series()).alias("n"))
+    e = states.structure(b).join(n, ["symbol", "ts"])
+    ahead = Window.partitionBy("symbol").orderBy("n").rangeBetween(1, 14)
+    shift = {d: F.min(F.when((F.col("kind") != "SWEEP") & (F.col("direction") == d), F.col("ts"))).over(ahead) for d in ("up", "down")}
+    x = e.withColumns({"__up": shift["up"], "__down": shift["down"]}).where("kind = 'SWEEP'")
+    return x.select("symbol", "ts", F.col("direction").alias("swept"), F.when(F.col("direction") == "up", F.col("__down")).otherwise(F.col("__up")).alias("mss_ts"))
 
 
 @query()
@@ -188,11 +189,12 @@ def _resample(by: str, block: int, samples: int, seed: int):
         rng, n = np.random.default_rng(seed), len(p)
         diff = lambda at, a, v: x[at][a].mean() - x[at][v].mean() if a.any() and v.any() else np.nan
         own = diff(np.arange(n), act, avoid)
-        got, null = [], []
+        got, null, blocks = [], [], np.array_split(np.arange(n), np.arange(block, n, block))
         for _ in range(samples):
             at = ((rng.integers(0, n, -(-n // block))[:, None] + np.arange(block)) % n).ravel()[:n]
             got.append(diff(at, act[at], avoid[at]))
-            null.append(diff(np.arange(n), act[at], avoid[at]))
+            mixed = np.concatenate([blocks[k] for k in rng.permutation(len(blocks))])  # every label once, in blocks
+            null.append(diff(np.arange(n), act[mixed], avoid[mixed]))
         null = np.array(null)
         return pd.DataFrame({by: [p[by].iloc[0]], "n": [n], "spread": [own], "low": [np.nanquantile(got, 0.05)], "high": [np.nanquantile(got, 0.95)], "p_value": [((np.abs(null) >= abs(own)).sum() + 1) / (samples + 1)]})
 
@@ -202,13 +204,13 @@ def _resample(by: str, block: int, samples: int, seed: int):
 @query()
 def st_bootstrap_spread(spark, sf):
     x = _panel(spark, sf).where("fwd IS NOT NULL").select("symbol", "ts", "decision", "fwd")
-    return x.groupBy("symbol").applyInPandas(_resample("symbol", 20, 200, 7), "symbol string, n long, spread double, low double, high double, p_value double").drop("p_value")
+    return x.groupBy("symbol").applyInPandas(_resample("symbol", 20, 2000, 7), "symbol string, n long, spread double, low double, high double, p_value double").drop("p_value")
 
 
 @query()
 def st_block_permutation(spark, sf):
     x = _panel(spark, sf).where("fwd IS NOT NULL").select("symbol", "ts", "decision", "fwd")
-    return x.groupBy("symbol").applyInPandas(_resample("symbol", 20, 200, 11), "symbol string, n long, spread double, low double, high double, p_value double").drop("low", "high")
+    return x.groupBy("symbol").applyInPandas(_resample("symbol", 20, 2000, 11), "symbol string, n long, spread double, low double, high double, p_value double").drop("low", "high")
 
 
 def _grid(spark, sf, lookbacks=(4, 12, 26), tops=(3, 7)):
@@ -570,15 +572,14 @@ def rk_pretrade_rules(spark, sf):
     return o.select("o_orderkey", F.concat_ws(",", *(F.when(c, F.lit(n)) for c, n in rules)).alias("breaches"))
 
 
-@query()
+@query(f"{HOLD}, lt AS (SELECT symbol, weight AS target FROM h WHERE ts = (SELECT max(ts) FROM h)), hd AS (SELECT symbol, arg_max(close, ts) AS mark, 0.04::DOUBLE AS held FROM bars_w GROUP BY 1), j AS (SELECT symbol, held, target, round(coalesce(target, 0) - coalesce(held, 0), 9) AS delta FROM hd FULL JOIN lt USING (symbol)) SELECT symbol, held, round(target, 6) AS target, round(delta, 6) AS delta, CASE WHEN delta < 0 THEN 'sell' WHEN delta > 0 THEN 'buy' ELSE 'keep' END AS side, round(sign(delta) * least(0.01, 0.0005 + 0.001 * sqrt(abs(delta) * 1000 / 10000)), 8) AS slippage FROM j")
 def rk_book_report(spark, sf):
     t = pf.equal_weights(pf.momentum_holdings(src.weekly(spark, sf), 12, 5))
-    last = t.agg(F.max("ts").alias("ts"))
-    target = t.join(last, "ts").select("symbol", F.col("weight").alias("target"))
-    held = src.weekly(spark, sf).groupBy("symbol").agg(F.max_by("close", "ts").alias("mark"), F.lit(0.04).alias("held")).where("symbol < 'Brand#2'")
-    j = held.join(target, "symbol", "full").withColumn("delta", F.coalesce("target", F.lit(0.0)) - F.coalesce("held", F.lit(0.0)))
+    target = t.join(t.agg(F.max("ts").alias("ts")), "ts").select("symbol", F.col("weight").alias("target"))
+    held = src.weekly(spark, sf).groupBy("symbol").agg(F.max_by("close", "ts").alias("mark"), F.lit(0.04).alias("held"))
+    j = held.join(target, "symbol", "full").withColumn("delta", F.round(F.coalesce("target", F.lit(0.0)) - F.coalesce("held", F.lit(0.0)), 9))
     size = rk.slippage(F.col("delta") * 1000, F.lit(10000.0), 0.0005, 0.001, 0.01)
-    return j.select("symbol", "held", "target", "delta", F.when(F.col("delta") < 0, "sell").when(F.col("delta") > 0, "buy").otherwise("keep").alias("side"), size.alias("slippage"))
+    return j.select("symbol", "held", *r("target", "delta"), F.when(F.col("delta") < 0, "sell").when(F.col("delta") > 0, "buy").otherwise("keep").alias("side"), F.round(size, 8).alias("slippage"))
 
 
 @query(f"SELECT event_id, round({exact_cdf('(value - 50) / 25')}, 6) AS phi FROM events")
