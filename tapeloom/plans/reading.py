@@ -17,12 +17,20 @@ from tapeloom.plans.candles import GAP
 from tapeloom.plans.market import PROFILE, exact_cdf, ncdf, profile
 from tapeloom.plans.registry import query
 from tapeloom.plans.selection import HOLD, MOM
-from tapeloom.plans.windows import S, r, rows
+from tapeloom.plans.windows import S, _pivot_sql, r, rows
 from tapeloom.sources import adapters as src
 from tapeloom.streaming.live import written
 
 
-@query()
+def _double(kind: str, pivot: str, price: str, edge: str) -> str:
+    return f"""{kind} AS (SELECT a.symbol, a.ts, a.confirmed_ts, a.p1 AS first_price, a.price AS second_price, {edge} AS neckline, '{kind}' AS kind FROM (SELECT symbol, ts, confirmed_ts, n, {price} AS price, lag({price}) OVER w AS p1, lag(n) OVER w AS n1, lag(n, 2) OVER w AS n0 FROM pv WHERE {pivot} WINDOW w AS (PARTITION BY symbol ORDER BY n)) a
+    JOIN pv b ON b.symbol = a.symbol AND b.n > a.n1 AND b.n < a.n WHERE abs(a.price / a.p1 - 1) <= 0.03 AND a.n - a.n1 >= 5 AND a.n - a.n0 >= 10 GROUP BY ALL)"""
+
+
+DOUBLES = f"""WITH {_pivot_sql(True)}, pv AS (SELECT b.symbol, b.ts, b.high, b.low, p.confirmed_ts, p.pivot_high, p.pivot_low, row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts) AS n FROM bars_d b JOIN p USING (symbol, ts)), {_double('top', 'pivot_high', 'high', 'min(b.low)')}, {_double('bottom', 'pivot_low', 'low', 'max(b.high)')}"""
+
+
+@query(f"{DOUBLES} SELECT * FROM top UNION ALL SELECT * FROM bottom")
 def pat_double(spark, sf):
     b = src.daily(spark, sf)
     return rd.double_tops(b).withColumn("kind", F.lit("top")).unionByName(rd.double_tops(b, side="low").withColumn("kind", F.lit("bottom")))
@@ -33,7 +41,7 @@ def pat_hs(spark, sf):
     return rd.head_shoulders(src.daily(spark, sf))
 
 
-@query()
+@query(f"{DOUBLES} SELECT t.symbol, t.confirmed_ts AS ts, first_price, second_price, neckline, min(b.ts) FILTER (b.close < neckline) AS breakout_ts, min(b.ts) FILTER (b.close > greatest(first_price, second_price)) AS failed_ts FROM top t LEFT JOIN bars_d b ON b.symbol = t.symbol AND b.ts > t.confirmed_ts GROUP BY ALL")
 def pat_breakout(spark, sf):
     b = src.daily(spark, sf)
     hits = {"breakout_ts": [("close", "<", F.col("neckline"))], "failed_ts": [("close", ">", F.greatest("first_price", "second_price"))]}
@@ -105,7 +113,10 @@ def ob_score(spark, sf):
     return revisited.join(trend, ["symbol", "ts"]).select("symbol", "ts", "direction", score.alias("score"))
 
 
-@query()
+ZV = f"zv AS (SELECT *, CASE WHEN count(volume) OVER {rows(50)} >= 20 THEN CASE WHEN stddev_samp(volume) OVER {rows(50)} > 1e-12 THEN (volume - avg(volume) OVER {rows(50)}) / stddev_samp(volume) OVER {rows(50)} ELSE 0 END END AS z, (high - low) / nullif(CASE WHEN count(close) OVER {rows(14)} = 14 THEN avg(high - low) OVER {rows(14)} END, 0) AS wide FROM bars_d)"
+
+
+@query(f"WITH {ZV} SELECT symbol, ts, CASE WHEN close < open THEN 'SC' ELSE 'BC' END AS kind, low, high, round(z, 6) AS z FROM zv WHERE z >= 1.5 AND wide > 1.3")
 def wy_climax(spark, sf):
     b = f.zscore(src.daily(spark, sf), n=50, least=20).withColumn("wide", sg.spread_ratio())
     kind = F.when((F.col("z") >= 1.5) & (F.col("wide") > 1.3), F.when(F.col("close") < F.col("open"), "SC").otherwise("BC"))
@@ -122,26 +133,30 @@ def _wyckoff(spark, sf):
     return gaps.first_hits(zone, src.daily(spark, sf), hits, ("floor", "roof", "force"))
 
 
-@query()
+WY = f"""WITH {ZV}, sc AS (SELECT symbol, arg_min({{'ts': ts, 'low': low, 'high': high, 'volume': volume}}, low) AS c FROM zv WHERE z >= 1.5 AND wide > 1.3 AND close < open GROUP BY 1), zn AS (SELECT symbol, c.ts AS ts, c.low AS floor, c.high AS roof, c.volume AS force FROM sc),
+    we AS (SELECT zn.symbol, zn.ts, floor, roof, force, min(b.ts) FILTER (b.close > roof) AS ar_ts, min(b.ts) FILTER (b.low <= floor * 1.1 AND b.volume < force) AS st_ts, min(b.ts) FILTER (b.low < floor AND b.close > floor) AS spring_ts, min(b.ts) FILTER (b.close > roof * 1.05 AND b.volume > force * 0.5) AS sos_ts FROM zn LEFT JOIN bars_d b ON b.symbol = zn.symbol AND b.ts > zn.ts GROUP BY ALL)"""
+
+
+@query(f"{WY} SELECT * FROM we")
 def wy_events(spark, sf):
     return _wyckoff(spark, sf)
 
 
-@query()
+@query(f"{WY} SELECT symbol, ts, CASE WHEN ar_ts IS NOT NULL THEN 'accumulation' ELSE 'distribution' END AS schematic FROM we")
 def wy_schematic(spark, sf):
     w = _wyckoff(spark, sf)
     return w.select("symbol", "ts", F.when(F.col("ar_ts").isNotNull(), "accumulation").otherwise("distribution").alias("schematic"))
 
 
-@query()
+@query(f"{WY} SELECT symbol, CASE WHEN sos_ts IS NOT NULL THEN 'D' WHEN spring_ts IS NOT NULL THEN 'C' WHEN st_ts IS NOT NULL THEN 'B' ELSE 'A' END AS phase, round(0.2 + 0.2 * ((ar_ts IS NOT NULL)::INT + (st_ts IS NOT NULL)::INT + (spring_ts IS NOT NULL)::INT + (sos_ts IS NOT NULL)::INT), 6) AS confidence FROM we")
 def wy_phase(spark, sf):
     w = _wyckoff(spark, sf)
     phase = F.when(F.col("sos_ts").isNotNull(), "D").when(F.col("spring_ts").isNotNull(), "C").when(F.col("st_ts").isNotNull(), "B").otherwise("A")
     n = sum((F.col(c).isNotNull().cast("int") for c in ("ar_ts", "st_ts", "spring_ts", "sos_ts")), F.lit(0))
-    return w.select("symbol", phase.alias("phase"), (F.lit(0.2) + 0.2 * n).alias("confidence"))
+    return w.select("symbol", phase.alias("phase"), F.round(F.lit(0.2) + 0.2 * n, 6).alias("confidence"))
 
 
-@query()
+@query(f"{WY}, lc AS (SELECT symbol, arg_max(close, ts) AS close FROM bars_d GROUP BY 1) SELECT symbol, CASE WHEN sos_ts IS NOT NULL AND close > roof THEN 'enter' WHEN spring_ts IS NOT NULL THEN 'watch' ELSE 'none' END AS signal, floor AS stop, close FROM we JOIN lc USING (symbol)")
 def wy_entry(spark, sf):
     w = _wyckoff(spark, sf)
     last = src.daily(spark, sf).groupBy("symbol").agg(F.max_by("close", "ts").alias("close"))
