@@ -12,7 +12,8 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a bac
 ``<\\|`` (in roles also a line end ``\\n``), so no control string stands there and reading undoes it exactly.
 
 Defined results: null text or role counts as empty; a null conv_id is a conversation; turns with equal numbers are
-ordered by role and text, null turns come first; conversations without an assistant have turns but no example.
+ordered by role and text, null turns come first; repeated turns all count; very long texts stand whole; conversations
+without an assistant have turns but no example; an empty table gives no rows; further columns are left out.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ apostrophe or an added token stays one piece. The library's merges run once for
 encoder for each different piece; both are remembered for a while, and the ids gathered as arrays.
 
 Defined results: null counts as the empty text and yields the end id alone; rows of one doc_id stand together in order
-of a hash of the text, then of their ids; null ids come first; an empty table gives no rows.
+of a hash of the text, then of their ids; null ids come first; very long texts are encoded whole; an empty table gives
+no rows; further columns are left out.
 """
 
 from __future__ import annotations
