@@ -484,3 +484,149 @@ def test_pipeline_stages_keep_columns_and_agree_with_their_operators(spark, sf_d
             want = brute_components([r["doc_id"] for r in rows], [simhash.fingerprint((r["text"] or "").encode()) for r in rows])
             assert {r["doc_id"] for r in docs.collect()} == set(want.values())
     assert p.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_three_hundred_languages_keep_all_their_contexts(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: alphabet[i % 26] + alphabet[i // 26 % 26] + alphabet[(i * 7) % 26]
+    rows = [(3 * i + k, f"lang{i:03d}", f"{word(i)} {word(i)}{word(i)} " * 20) for i in range(300) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.train(docs)
+    assert len(model["langs"]) > 290
+    known = {int(x) for x in model["gram"]}
+    learnt = {r["doc_id"] for r in docs.where(~held_out()).collect()}
+    assert all(int.from_bytes(("\0\0\0" + t).encode()[k : k + 4], "big") in known for i, _, t in rows if i in learnt for k in range(len(t)))
+    got = langid.predict(docs, model).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got if r["lang"] in model["langs"]]) >= 0.95
+
+
+def test_long_texts_cost_the_sum_of_their_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], ("the cat sat " if i % 2 else "le chat est ") * 5) for i in range(40)], "doc_id long, lang string, text string")
+    model = langid.train(docs)
+    text = ("the chat sat on le mat " * 300).encode()
+    whole = langid.code_lengths(text, model)
+    monkeypatch.setattr(langid, "BLOCK", 97)
+    langid._TABLES.clear()
+    assert np.allclose(langid.code_lengths(text, model), whole, rtol=1e-6)
+
+
+def test_quality_learning_is_bounded_and_blind_to_held_out_labels(spark):
+    rows = [(i % 40 if i % 3 else 7, f"text {i % 40} " + ("good words here " if i % 2 else "%%% $$$ ###") * 5) for i in range(600)]  # a third of all rows has one id
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.train(docs, labels, max_bags=20)
+    turned = labels.withColumn("quality", F.when(held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality.train(docs, turned, max_bags=20)
+    assert model.prior is None and all(np.array_equal(model.weights[k], again.weights[k]) for k in model.weights)
+    clash = docs.withColumns({"quality_score": F.lit("x"), "score": F.lit(1), "__y": F.lit(2)})
+    assert quality.score(clash, model).columns == ["doc_id", "text", "score", "__y", "quality_score"]
+
+
+def test_attention_gradient_lowers_the_loss_as_finite_differences_say():
+    rng = np.random.default_rng(2)
+    bags, y = [rng.random((n, quality.WIDTH)).astype(np.float32) for n in (1, 3, 2, 4)], np.array([0.0, 1.0, 1.0, 0.0])
+
+    def loss(model):
+        every = np.concatenate(bags)
+        out = []
+        for b, want in zip(bags, y, strict=True):
+            h, e = quality.Model(every.mean(0), every.std(0) + 0.01, model.weights).encode(b)
+            p = np.exp(e - e.max())
+            s = quality._sigmoid(p / p.sum() @ h @ model.weights["c"] + model.weights["d"])
+            out.append(-(want * np.log(s) + (1 - want) * np.log(1 - s)))
+        return np.mean(out)
+
+    losses = [loss(quality.learn(bags, y, hidden=5, gate=4, epochs=n, batch=4, rate=1e-3, decay=0.0)) for n in (1, 20, 60)]
+    assert losses[0] > losses[1] > losses[2]
+    # Adam's first step moves every weight by the rate against its gradient's sign: check that against the loss itself.
+    start, step = (quality.learn(bags, y, hidden=5, gate=4, epochs=n, batch=4, rate=r, decay=0.0) for n, r in ((1, 0.0), (1, 1e-3)))
+    for k in ("W", "b", "V", "U", "a", "c"):
+        flat = np.abs(step.weights[k] - start.weights[k]).ravel()
+        at = np.unravel_index(int(flat.argmax()), start.weights[k].shape)
+        around = []
+        for d in (-1e-2, 1e-2):
+            moved = {n: x.astype(np.float64).copy() for n, x in start.weights.items()}
+            moved[k][at] += d
+            around.append(loss(quality.Model(None, None, moved)))
+        assert np.sign(around[1] - around[0]) == -np.sign(step.weights[k][at] - start.weights[k][at])
+
+
+def test_a_source_of_many_shards_is_dealt_over_groups(spark):
+    rows = [(i, "big" if i % 3 else f"s{i % 5}", 1 + i % 9) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.mix(df, shard_words=200, group=4).collect()
+    taken, target = Counter(), {}
+    for r in out:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(out) == 4000 and all(abs(taken[s] - target[s]) <= max(40, 0.02 * target[s]) for s in target)
+    tied = spark.createDataFrame([(1, "a", 5, f"t{i}") for i in range(50)] + [(2, "b", 5, "x")], "doc_id long, source string, size long, text string")
+    runs = [sorted((r["text"], r["taken"]) for r in mixing.mix(tied.repartition(k)).collect()) for k in (1, 3)]
+    assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("heavy", [4096, 20])
+def test_fingerprints_of_one_triple_are_parted_and_lose_no_link(spark, heavy):
+    rng = np.random.default_rng(9)
+    low = 0x0000_0000_00AB_CDEF
+    fps = sorted({low | (int(x) << 24) for x in rng.integers(0, 1 << 39, 300)} | {low | 1 << b for b in range(24, 63)} | {low | 3 << b for b in range(24, 60)})
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    roots = {r["node"]: r["root"] for r in components.components(simhash.links(nodes, heavy=heavy)).collect()}
+    want, groups = brute_components(list(range(len(fps))), fps), defaultdict(set)
+    for i, x in enumerate(fps):
+        groups[roots.get(x, x)].add(want[i])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+
+
+def test_hosts_edges_and_verdicts_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    hosts = ["a.ok.org", "b.ok.org", "ok.org", "x.bad.net", "bad.net", "c.com", "d.c.com", "e.com", "f.de", "g.h.i.de"]
+    rows = []
+    for i in range(60):
+        h = hosts[int(rng.integers(0, len(hosts)))]
+        links = [hosts[int(k)] for k in rng.integers(0, len(hosts), rng.integers(0, 4))]
+        rows.append((i, f"https://{h}/{'fr/' if i % 5 == 0 else 'p'}", " ".join(f'<a href="http://{x}/q">' for x in links)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("old"), "path": F.lit(1), "verdict": F.lit(True), "rule": F.lit(2)})
+    count, votes = Counter(), {}
+    for _, url, html in rows:
+        h = url.split("/")[2]
+        for x in set(re.findall("http://([^/]*)", html)):
+            if x != h:
+                count[h, x] += 1
+        parts = h.split(".")
+        for k in range(len(parts) - 2):
+            a, b = ".".join(parts[k:]), ".".join(parts[k + 1 :])
+            votes.setdefault(("up", a, b), 1), votes.setdefault(("up", b, a), 1)
+    for _, a, b in votes:
+        count[a, b] += 1
+    got = {(r["src"], r["dst"]): r["n"] for r in urlfilter.host_edges(pages, url_col="url", html_col="html").collect()}
+    assert got == dict(count)
+    names = sorted({x for e in count for x in e} | {r[1].split("/")[2] for r in rows})
+    m = np.zeros((len(names),) * 2)
+    for (a, b), n in count.items():
+        m[names.index(a), names.index(b)] = n
+    rule = lambda url: "org/fr/" if url.split("/")[2].endswith("org") and url.endswith("/fr/") else "net/" if url.split("/")[2].endswith("net") else None
+    seed = {k: np.array([sum(rule(u) == r and u.split("/")[2] == x for _, u, _ in rows) for x in names], float) for k, r in (("t", "org/fr/"), ("d", "net/"))}
+    walk = {}
+    for k, step in (("t", m), ("d", m.T)):
+        p, s = step / np.maximum(step.sum(1, keepdims=True), 1e-300), seed[k] / max(1, seed[k].sum())
+        v = s.copy()
+        for _ in range(300):
+            v = 0.85 * v @ p + 0.15 * s
+        walk[k] = v / v.sum()
+    want = {i: {"net/": "block", "org/fr/": "allow", None: "block" if walk["d"][k := names.index(u.split("/")[2])] > 0.5 * (walk["t"][k] + walk["d"][k]) else "allow"}[rule(u)] for i, u, _ in rows}
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, tolerance=1e-6).collect()} == want
+
+
+def test_columns_named_like_results_are_replaced(spark, docs):
+    names = ("target", "taken", "source_size", "n_words", "rule_bits", "n_lines", "lang_pred", "lang_score", "fp", "component_id")
+    d = docs.withColumns({**{c: F.lit("old") for c in names}, "size": mixing.n_words(F.col("text"))})
+    mixed = mixing.mix(d)
+    assert sorted(mixed.columns) == sorted(d.columns) and mixed.where("CAST(target AS STRING) = 'old'").count() == 0
+    led = rules.measure(d)
+    assert len(set(led.columns)) == len(led.columns) and led.where("CAST(n_words AS STRING) = 'old'").count() == 0 and led.count() == len(ROWS)
+    said = langid.predict(d, langid.train(d.select("doc_id", "lang", "text")))
+    assert sorted(said.columns) == sorted(d.columns) and said.where("lang_pred = 'old'").count() == 0
+    assert simhash.deduplicate(d).columns == d.columns and simhash.groups(d).count() == len(ROWS)
+    assert decontam.decontaminate(d, spark.createDataFrame([(1, "brown fox")], "item_id long, text string")).columns == d.columns
