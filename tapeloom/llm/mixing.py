@@ -73,7 +73,8 @@ def mix(docs: DataFrame, *, size_col: str = "size", source_col: str = "source",
 
     docs is read three times; give a written table where its size column is dear. Any further columns are carried.
     """
-    rows = docs.drop("source_size", "target", "taken").withColumn("__null", F.col(source_col).isNull()).withColumn("__src", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    own = [c for c in docs.columns if c not in ("source_size", "target", "taken")]
+    rows = docs.select(*own).withColumn("__null", F.col(source_col).isNull()).withColumn("__src", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     key = ["__null", "__src"]
     sources = rows.groupBy(*key).agg(F.sum(size_col).alias("__total"))
     aimed = targets(sources).withColumn("__blocks", F.floor(F.sum("__target").over(Window.partitionBy()) / block))
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, *, size_col: str = "size", source_col: str = "source",
     held = dealt.groupBy(*shard).agg(F.sum(size_col).alias("__words"), F.first("__seats").alias("__all")).withColumn("__group", F.floor(F.col("__shard") / group))
     groups = seats(held.groupBy(*key, "__group").agg(F.sum("__words").alias("__sum_words"), F.first("__all").alias("__all")), key, ["__group"], "__sum_words", "__all", "__part").select(*key, "__group", "__part")
     quota = stash(seats(held.join(groups, [*key, "__group"]), [*key, "__group"], ["__shard"], "__words", "__part", "__quota").select(*shard, "__words", "__quota"), "mix-quotas")
-    axis = Window.partitionBy(*shard).orderBy("__seed", id_col, size_col, F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    axis = Window.partitionBy(*shard).orderBy("__seed", id_col, size_col, F.xxhash64(*own)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Dealt by shard at any rate: were the join's partitioning by source kept, a large source would be one task.
     laid = dealt.repartition(*shard).withColumn("__end", F.sum(size_col).over(axis)).join(quota, shard)
     take = F.least(F.col("__quota") * block, F.col("__words") * MAX_EPOCHS)
@@ -97,7 +98,7 @@ def mix(docs: DataFrame, *, size_col: str = "size", source_col: str = "source",
     zero = F.lit(0).cast("long")
     part = F.greatest(zero, F.least(end, upto) - F.greatest(start, F.col("__from"))) + F.greatest(zero, F.least(end, upto - F.col("__words")) - start)
     taken = (F.col("__full") * F.col(size_col) + part).cast("long")
-    return laid.withColumn("taken", taken).withColumn("source_size", F.col("__total").cast("long")).withColumn("target", F.col("__target")).select(*(c for c in docs.columns if c not in ("source_size", "target", "taken")), "source_size", "target", "taken")
+    return laid.withColumn("taken", taken).withColumn("source_size", F.col("__total").cast("long")).withColumn("target", F.col("__target")).select(*own, "source_size", "target", "taken")
 
 
 def materialize(mixed: DataFrame, *, size_col: str = "size") -> DataFrame:
