@@ -96,7 +96,8 @@ def rolling_pair(pairs: DataFrame, by: list[str], n: int = 26) -> DataFrame:
 def pair_state(pairs: DataFrame, by: list[str], *, lookback: int = 104, least: int = 60, entry: float = 2.0, leave: float = 0.5) -> DataFrame:
     """The last spread of each pair against the line fitted on its last ``lookback`` common rows. pairs: (by, ts, y, x).
 
-    n, hedge, corr, z (rounded), half_life of the spread and state (entry, exit, watch). Everything comes from one
+    n, hedge, corr, z (rounded), half_life of the spread and state (entry, exit, watch); null but for n where a pair has
+    fewer than ``least`` rows or no variance. Everything comes from one
     aggregation: the spread's own regression on its lag is a quadratic form of the prices' covariances.
     """
     newest = Window.partitionBy(*by).orderBy(F.desc("ts"))
@@ -108,14 +109,15 @@ def pair_state(pairs: DataFrame, by: list[str], *, lookback: int = 104, least: i
     g = p.groupBy(*by).agg(
         F.count("*").alias("n"), *mean.values(), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("y", "x").alias("c"), F.corr("y", "x").alias("corr"), F.max_by(F.struct("y", "x"), "ts").alias("last"),
         *moved.values(), F.var_pop("__y").alias("vly"), F.var_pop("__x").alias("vlx"),
-    ).where((F.col("n") >= least) & (F.col("vx") > 0)).withColumn("hedge", F.col("c") / F.col("vx"))
+    ).withColumn("hedge", F.when((F.col("n") >= least) & (F.col("vx") > 0), F.col("c") / F.col("vx")))
     b = F.col("hedge")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("vy") - b * F.col("c")))
-    z = F.round((F.col("last.y") - F.col("m_y") - b * (F.col("last.x") - F.col("m_x"))) / sd, 4)
+    z = F.round(F.when(sd > 1e-12, (F.col("last.y") - F.col("m_y") - b * (F.col("last.x") - F.col("m_x"))) / sd), 4)
     cov = F.col("__dy___y") - b * F.col("__dy___x") - b * F.col("__dx___y") + b * b * F.col("__dx___x")
-    slope = cov / (F.col("vly") - 2 * b * F.col("__y___x") + b * b * F.col("vlx"))
-    g = g.where(sd > 1e-12).withColumns({"z": z, "half_life": F.when(slope < 0, -F.log(F.lit(2.0)) / slope)})
-    return g.withColumn("state", F.when(F.abs("z") >= entry, "entry").when(F.abs("z") <= leave, "exit").otherwise("watch"))
+    var = F.col("vly") - 2 * b * F.col("__y___x") + b * b * F.col("vlx")
+    slope = F.when(var > 0, cov / var)
+    g = g.withColumns({"z": z, "corr": F.when(b.isNotNull(), F.col("corr"))}).withColumn("half_life", F.when(F.col("z").isNotNull() & (slope < 0), -F.log(F.lit(2.0)) / slope))
+    return g.withColumn("state", F.when(F.abs("z") >= entry, "entry").when(F.abs("z") <= leave, "exit").when(F.col("z").isNotNull(), "watch"))
 
 
 def pair_positions(pairs: DataFrame, by: list[str], *, n: int = 26, entry: float = 2.0, leave: float = 0.5, cost: float = 0.0004, trades: int = 3, drawdown: float = 0.2) -> DataFrame:

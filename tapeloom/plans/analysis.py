@@ -184,10 +184,10 @@ def sig_vix_term(spark, sf):
 PAIRS104 = "pr AS (SELECT sa, sb, ts, y, x FROM (SELECT a.symbol AS sa, b.symbol AS sb, a.ts, ln(a.close) AS y, ln(b.close) AS x FROM bars_w a JOIN bars_w b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.close > 0 AND b.close > 0) QUALIFY row_number() OVER (PARTITION BY sa, sb ORDER BY ts DESC) <= 104)"
 
 
-@query(f"""WITH {PAIRS104}, h AS (SELECT sa, sb, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS cut, corr(y, x) AS corr FROM pr GROUP BY 1, 2 HAVING count(*) >= 60 AND var_pop(x) > 0),
+@query(f"""WITH {PAIRS104}, h AS (SELECT sa, sb, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS cut, corr(y, x) AS corr FROM pr GROUP BY 1, 2),
     s AS (SELECT sa, sb, n, slope, corr, ts, y - (cut + slope * x) AS s FROM pr JOIN h USING (sa, sb)), l AS (SELECT *, lag(s) OVER (PARTITION BY sa, sb ORDER BY ts) AS p FROM s),
-    g AS (SELECT sa, sb, n, slope, corr, round((arg_max(s, ts) - avg(s)) / stddev_pop(s), 4) AS z, regr_slope(s - p, p) AS k FROM l GROUP BY ALL)
-    SELECT sa AS symbol_a, sb AS symbol_b, n, round(slope, 5) AS hedge, round(corr, 5) AS corr, z, round(CASE WHEN k < 0 THEN -ln(2) / k END, 4) AS half_life, CASE WHEN abs(z) >= 2 THEN 'entry' WHEN abs(z) <= 0.5 THEN 'exit' ELSE 'watch' END AS state, CASE WHEN z >= 2 THEN sb WHEN z <= -2 THEN sa END AS long_symbol FROM g""")
+    g AS (SELECT sa, sb, n, slope, corr, CASE WHEN any_value(n) >= 60 AND stddev_pop(s) > 1e-12 THEN round((arg_max(s, ts) - avg(s)) / stddev_pop(s), 4) END AS z, regr_slope(s - p, p) AS k FROM l GROUP BY ALL)
+    SELECT sa AS symbol_a, sb AS symbol_b, n, CASE WHEN n >= 60 THEN round(slope, 5) END AS hedge, CASE WHEN n >= 60 THEN round(corr, 5) END AS corr, z, CASE WHEN z IS NOT NULL AND k < 0 THEN round(-ln(2) / k, 4) END AS half_life, CASE WHEN abs(z) >= 2 THEN 'entry' WHEN abs(z) <= 0.5 THEN 'exit' WHEN z IS NOT NULL THEN 'watch' END AS state, CASE WHEN z >= 2 THEN sb WHEN z <= -2 THEN sa END AS long_symbol FROM g""")
 def sig_pair(spark, sf):
     b = src.weekly(spark, sf).where("close > 0")
     x = b.select(F.col("symbol").alias("symbol_a"), "ts", F.log("close").alias("y")).join(b.select(F.col("symbol").alias("symbol_b"), "ts", F.log("close").alias("x")), "ts").where("symbol_a < symbol_b")
