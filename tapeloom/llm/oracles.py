@@ -47,4 +47,54 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_rule_ledger": OP6, "op9_chat_prefix_target": OP9, "op10_wu_manber": OP10}
+_Q = "list_transform(embedding, lambda x: CAST(floor({0} * CAST(x AS DOUBLE)) AS BIGINT))"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
+
+OP11 = f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_Q.format(256)} AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+     s AS (SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, CAST({_DOT.format("a.v", "x.v")} AS BIGINT) AS score FROM r a JOIN r x ON a.vec_id <> x.vec_id WHERE a.vec_id % 50 = 0),
+     p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+     n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+           FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') AS w FROM documents),
+     x AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20), y AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS win FROM x),
+     z AS (SELECT doc_id, i FROM y QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+     c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM z) GROUP BY 1),
+     e AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, unnest(gone) AS p FROM c)), g AS (SELECT doc_id, count(DISTINCT run) AS n_intervals FROM e GROUP BY 1),
+     u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d), k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM u ANTI JOIN (SELECT doc_id, unnest(gone) AS p FROM c) USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_intervals, 0) AS n_intervals
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+def _kmeans(rounds: int) -> str:
+    """Rounds of nearest centroids by plain squared distances."""
+    away = "list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    nearest = "SELECT vec_id, arg_min(c.cluster, (d, c.cluster)) AS cluster, min(d) AS d FROM (SELECT x.vec_id, c.cluster, CAST({0} AS BIGINT) AS d FROM x, c{1} c) c GROUP BY 1"
+    means = """SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{0} c LEFT JOIN (SELECT cluster, list(CAST(floor_of AS BIGINT) ORDER BY i) AS v FROM
+        (SELECT cluster, i, (s - ((s % n) + n) % n) // n AS floor_of FROM (SELECT cluster, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM
+            (SELECT cluster, unnest(v) AS y, unnest(range(len(v))) AS i FROM a{0} JOIN x USING (vec_id)) GROUP BY 1, 2)) GROUP BY 1) m USING (cluster)"""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS ({nearest.format(away, k)})")
+        if k < rounds:
+            steps.append(f"c{k + 1} AS ({means.format(k)})")
+    start = "SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INT) AS cluster, v FROM x QUALIFY cluster < 16"
+    return f"""WITH x AS (SELECT vec_id, {_Q.format(64)} AS v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}), c0 AS ({start}), {", ".join(steps)}
+        SELECT vec_id, cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+ORACLES: dict[str, str] = {
+    "op6_rule_ledger": OP6,
+    "op9_chat_prefix_target": OP9,
+    "op10_wu_manber": OP10,
+    "op11_gnat_negatives": OP11,
+    "op12_rabin_karp": OP12,
+    "op13_walsh_hadamard": _kmeans(3),
+}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, decontam, langid, mixing, pii, quality, rules, simhash, tokenout, urlfilter
+from tapeloom.llm import chat, decontam, hadamard, hardneg, langid, mixing, pii, quality, rules, simhash, substring, tokenout, urlfilter
 from tapeloom.llm.common import held_out, stash, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -67,10 +67,26 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_gnat_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_intervals"))
+
+
+def op13_walsh_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = hadamard.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("centroid_sha256", hadamard.digest(centroids, F.col("cluster")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mil, op2_source_mixing, op3_pii_bootstrap, op4_url_trust, op5_language_ppm, op6_rule_ledger, op7_simhash_groups, op8_arrow_tokens, op9_chat_prefix_target, op10_wu_manber, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_mil, op2_source_mixing, op3_pii_bootstrap, op4_url_trust, op5_language_ppm, op6_rule_ledger, op7_simhash_groups, op8_arrow_tokens, op9_chat_prefix_target, op10_wu_manber, op11_gnat_negatives, op12_rabin_karp, op13_walsh_hadamard, pipeline)}
