@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators import features as f
+from tapeloom.operators.fold import Machine, fold
 
 
 def valid_bar() -> Column:
@@ -60,34 +61,56 @@ def _first(values: dict[str, np.ndarray], start: np.ndarray, tests: list[tuple[s
     return out
 
 
+class Zones(Machine):
+    """Zones of one series that wait for their hits. Bars come in batches; each is held against the zones still open.
+
+    Rows of a day: bars first, then the zones that begin to wait behind them.
+    """
+
+    def __init__(self, tests: dict[str, list[tuple[str, str]]], columns: list[str]):
+        self.tests, self.columns, self.keep = tests, columns, None
+
+    def push(self, batch: pa.RecordBatch) -> list[dict]:
+        day = batch.column("__day").to_numpy(zero_copy_only=False)
+        zone = batch.column("zone").is_valid().to_numpy(zero_copy_only=False)
+        bars, news = np.flatnonzero(~zone), np.flatnonzero(zone)
+        fresh = [{"zone": z, "start": int(np.searchsorted(bars, i)), "hit": {}} for i, z in zip(news.tolist(), batch.column("zone").take(pa.array(news)).to_pylist(), strict=True)]
+        self.keep = [z | {"start": 0} for z in self.keep or []] + fresh
+        values = {c: batch.column(c).to_numpy(zero_copy_only=False)[bars] for c in self.columns}
+        if len(bars):
+            for n, tests in self.tests.items():
+                open_ = [z for z in self.keep if n not in z["hit"]]
+                limits = [(c, op, np.array([np.nan if (x := z["zone"][f"__{n}{i}"]) is None else x for z in open_])) for i, (c, op) in enumerate(tests)]
+                at = _first(values, np.array([z["start"] for z in open_], int), limits)
+                for z, k in zip(open_, at.tolist(), strict=True):
+                    if k >= 0:
+                        z["hit"][n] = int(day[bars[k]])
+        done = [z for z in self.keep if len(z["hit"]) == len(self.tests)]
+        self.keep = [z for z in self.keep if len(z["hit"]) < len(self.tests)]
+        return [self._told(z) for z in done]
+
+    def close(self) -> list[dict]:
+        return [self._told(z) for z in self.keep or []]
+
+    def _told(self, z: dict) -> dict:
+        return {k: v for k, v in z["zone"].items() if not k.startswith("__") or k == "__ts"} | {n: z["hit"].get(n) for n in self.tests}
+
+
 def first_hits(zones: DataFrame, bars: DataFrame, hits: dict[str, list[tuple[str, str, Column]]], keys: tuple[str, ...]) -> DataFrame:
     """Per zone (symbol, ts, *keys) the first later bar that meets all tests of each hit: (bar column, comparison, threshold).
 
-    Thresholds are columns of the zone; a null one is never met. Zones and bars of a series meet in one task, ordered by
-    time, and open zones are held against blocks of bars by the blocks' extremes first: the work follows the bars and
-    the hits, and no zone is joined with all bars behind it.
+    Thresholds are columns of the zone; a null one is never met. Zones and bars of a series pass through one fold in
+    time order: a task holds a batch of bars and the zones still open, and holds these against blocks of bars by the
+    blocks' extremes first. No zone is joined with all bars behind it, and no series is held whole.
     """
     limits = {f"__{n}{i}": t for n, tests in hits.items() for i, (_, _, t) in enumerate(tests)}
     columns = sorted({c for tests in hits.values() for c, _, _ in tests})
     z = zones.withColumns(limits).select("symbol", F.unix_date("ts").alias("__day"), "ts", *keys, *(F.col(c).cast("double").alias(c) for c in limits)).dropDuplicates(["symbol", "ts", *keys])
-    b = bars.select(F.col("symbol").alias("__s"), F.unix_date("ts").alias("__day"), *(F.col(c).cast("double").alias(c) for c in columns))
     schema = z.select("symbol", "ts", *keys, *(F.lit(None).cast("int").alias(n) for n in hits)).schema
-
+    z = z.select("symbol", "__day", *(F.lit(None).cast("double").alias(c) for c in columns), F.struct("ts", *keys, *limits).alias("zone"))
+    b = bars.select("symbol", F.unix_date("ts").alias("__day"), *(F.col(c).cast("double").alias(c) for c in columns), F.lit(None).cast(z.schema["zone"].dataType).alias("zone"))
     plain = {n: [(c, op) for c, op, _ in tests] for n, tests in hits.items()}
-
-    def run(zdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
-        bdf = bdf.sort_values("__day")
-        day = bdf["__day"].to_numpy()
-        values = {c: bdf[c].to_numpy(float) for c in columns}
-        start = np.searchsorted(day, zdf["__day"].to_numpy(), "right")
-        out = zdf[["symbol", "ts", *keys]].copy()
-        for n, tests in plain.items():
-            at = _first(values, start, [(c, op, zdf[f"__{n}{i}"].to_numpy(float)) for i, (c, op) in enumerate(tests)]) if len(day) else np.full(len(zdf), -1)
-            out[n] = pd.array(np.where(at >= 0, day[np.maximum(at, 0)] if len(day) else 0, 0), dtype="Int32")
-            out.loc[at < 0, n] = pd.NA
-        return out
-
-    found = z.groupBy("symbol").cogroup(b.groupBy("__s")).applyInPandas(run, schema)
+    found = fold(b.unionByName(z), ["symbol"], ["__day", F.col("zone").isNotNull()], lambda: Zones(plain, columns), schema)
     return found.withColumns({n: F.date_from_unix_date(n) for n in hits})
 
 

@@ -1,12 +1,10 @@
 """Order-dependent detectors: one pass over each series in time order.
 
-Recursive means run in the JVM, in blocks. The structure and zone machines are grouped-map functions: Spark
-partitions by series, a function sees one series and loops over its bars only.
+Recursive means run in the JVM, in blocks; what feeds back on itself passes through operators/fold.py.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,80 +45,6 @@ def obv_ema(bars: DataFrame, period: int = 20) -> DataFrame:
     return recurrence(f.obv(bars).select("symbol", "ts", "obv"), "obv", 2 / (period + 1), "ema")
 
 
-def structure(bars: DataFrame, left: int = 3, right: int = 3) -> DataFrame:
-    """Breaks of structure: (symbol, ts, kind, direction, level, bias).
-
-    Pivots count from the bar that confirms them. A close beyond the last unbroken pivot is a BOS, or a CHOCH if it
-    turns the bias; a wick alone is a SWEEP. A pivot is broken once.
-    """
-    p = f.pivots(bars, left, right).select("symbol", "ts", "high", "low", "close", "pivot_high", "pivot_low")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("ts").reset_index(drop=True)
-        out, bias, level, swept = [], "none", {"up": None, "down": None}, {"up": False, "down": False}
-        highs, lows, closes = p["high"].tolist(), p["low"].tolist(), p["close"].tolist()
-        ph, pl = p["pivot_high"].tolist(), p["pivot_low"].tolist()
-        for i in range(len(p)):
-            for side, x, reach in (("up", level["up"], highs[i]), ("down", level["down"], lows[i])):
-                if x is None:
-                    continue
-                sign = 1 if side == "up" else -1
-                if sign * (closes[i] - x) > 0:
-                    kind = "CHOCH" if bias not in ("none", side) else "BOS"
-                    bias, level[side] = side, None
-                    out.append((p["ts"][i], kind, side, x, bias))
-                elif sign * (reach - x) > 0 and not swept[side]:
-                    swept[side] = True
-                    out.append((p["ts"][i], "SWEEP", side, x, bias))
-            k = i - right  # this bar confirms the pivot of k, usable from the next bar on
-            if k >= 0 and ph[k]:
-                level["up"], swept["up"] = highs[k], False
-            if k >= 0 and pl[k]:
-                level["down"], swept["down"] = lows[k], False
-        return pd.DataFrame([(p["symbol"].iloc[0], *x) for x in out], columns=["symbol", "ts", "kind", "direction", "level", "bias"])
-
-    return p.groupBy("symbol").applyInPandas(run, "symbol string, ts date, kind string, direction string, level double, bias string")
-
-
-def pools(bars: DataFrame, tolerance: float = 0.0015, lookback: int = 50) -> DataFrame:
-    """Liquidity pools: greedy clusters of the last ``lookback`` pivots of a side within ``tolerance`` of the first one.
-
-    (symbol, side, price, touches, first_ts, last_ts); a pool of highs lies at their maximum, of lows at their minimum.
-    """
-    p = f.pivot_labels(bars).select("symbol", "ts", "side", "price")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("ts").tail(lookback)
-        left, out = list(zip(p["ts"], p["price"], strict=True)), []
-        while left:
-            seed = left[0][1]
-            own = [x for x in left if abs(x[1] - seed) <= tolerance * seed]
-            left = [x for x in left if abs(x[1] - seed) > tolerance * seed]
-            if len(own) > 1:
-                pick = max if pdf["side"].iloc[0] == "high" else min
-                out.append((pdf["symbol"].iloc[0], pdf["side"].iloc[0], pick(x[1] for x in own), len(own), own[0][0], own[-1][0]))
-        return pd.DataFrame(out, columns=["symbol", "side", "price", "touches", "first_ts", "last_ts"])
-
-    return p.groupBy("symbol", "side").applyInPandas(run, "symbol string, side string, price double, touches long, first_ts date, last_ts date")
-
-
-def order_blocks(bars: DataFrame, *, atr_mult: float = 1.0, lookback: int = 10) -> DataFrame:
-    """Last opposite candle before a strong break of structure: (symbol, ts, direction, bottom, top, block_ts).
-
-    The break comes from the structure machine; its candle is the newest opposite one among the bars just before, by
-    one window, so only the pointer to the unbroken swing is sequential.
-    """
-    b = f.atr(bars)
-    down = F.col("close") < F.col("open")
-    before = f.last(lookback, 1)
-    zone = F.struct("ts", "low", "high")
-    b = b.withColumns({"__bear": F.last(F.when(down, zone), ignorenulls=True).over(before), "__bull": F.last(F.when(~down, zone), ignorenulls=True).over(before), "__strong": F.abs(F.col("close") - F.col("open")) >= atr_mult * F.col("atr_prefix")})
-    breaks = structure(bars).where("kind <> 'SWEEP'").select("symbol", "ts", "direction")
-    j = breaks.join(b.where("__strong").select("symbol", "ts", "__bear", "__bull"), ["symbol", "ts"])
-    z = F.when(F.col("direction") == "up", F.col("__bear")).otherwise(F.col("__bull"))
-    return j.withColumn("__z", z).where("__z IS NOT NULL").select("symbol", "ts", "direction", F.col("__z.low").alias("bottom"), F.col("__z.high").alias("top"), F.col("__z.ts").alias("block_ts"))
-
-
 def drawdown_latch(nav: DataFrame, stop: float = 0.08, resume: float = 0.03) -> DataFrame:
     """invested: off from a drawdown of ``stop`` on until it is under ``resume`` again. nav: (symbol, ts, drawdown).
 

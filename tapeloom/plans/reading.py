@@ -82,37 +82,6 @@ def cdl_at_level(spark, sf):
     return candles.scan(src.daily(spark, sf)).join(x.select("symbol", "ts", F.coalesce(near, F.lit(False)).alias("at_level")), ["symbol", "ts"])
 
 
-@query()
-def liq_mss(spark, sf):
-    b = src.daily(spark, sf)
-    n = b.select("symbol", "ts", F.row_number().over(f.series()).alias("n"))
-    e = states.structure(b).join(n, ["symbol", "ts"])
-    ahead = Window.partitionBy("symbol").orderBy("n").rangeBetween(1, 14)
-    shift = {d: F.min(F.when((F.col("kind") != "SWEEP") & (F.col("direction") == d), F.col("ts"))).over(ahead) for d in ("up", "down")}
-    x = e.withColumns({"__up": shift["up"], "__down": shift["down"]}).where("kind = 'SWEEP'")
-    return x.select("symbol", "ts", F.col("direction").alias("swept"), F.when(F.col("direction") == "up", F.col("__down")).otherwise(F.col("__up")).alias("mss_ts"))
-
-
-@query()
-def liq_analyze(spark, sf):
-    b = sg.climax(f.range_position(src.daily(spark, sf)))
-    zone = F.when(F.col("range_position") > 0.52, "premium").when(F.col("range_position") < 0.48, "discount").otherwise("equilibrium")
-    last = b.withColumn("zone", zone).groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("zone", "ts").alias("zone"))
-    pools = states.pools(src.daily(spark, sf), 0.02).groupBy("symbol").agg(F.count("*").alias("n_pools"), F.max(F.when(F.col("side") == "high", F.col("price"))).alias("buy_side"), F.min(F.when(F.col("side") == "low", F.col("price"))).alias("sell_side"))
-    return last.join(pools, "symbol", "left")
-
-
-@query()
-def ob_score(spark, sf):
-    b = src.daily(spark, sf)
-    blocks = states.order_blocks(b)
-    revisited = gaps.first_hits(blocks, b, {"visited_ts": [("low", "<=", F.col("top")), ("high", ">=", F.col("bottom"))]}, ("direction", "bottom", "top"))
-    trend = f.momentum(b, 60, out="m").select("symbol", "ts", "m")
-    agrees = F.when(F.col("direction") == "up", F.col("m") > 0).otherwise(F.col("m") < 0)
-    score = 0.6 + F.when(agrees, 0.15).otherwise(0.0) - F.when(F.col("visited_ts").isNotNull(), 0.15).otherwise(0.0)
-    return revisited.join(trend, ["symbol", "ts"]).select("symbol", "ts", "direction", score.alias("score"))
-
-
 ZV = f"zv AS (SELECT *, CASE WHEN count(volume) OVER {rows(50)} >= 20 THEN CASE WHEN stddev_samp(volume) OVER {rows(50)} > 1e-12 THEN (volume - avg(volume) OVER {rows(50)}) / stddev_samp(volume) OVER {rows(50)} ELSE 0 END END AS z, (high - low) / nullif(CASE WHEN count(close) OVER {rows(14)} = 14 THEN avg(high - low) OVER {rows(14)} END, 0) AS wide FROM bars_d)"
 
 
@@ -609,11 +578,6 @@ def udaf_series(spark, sf):
     return x.select("symbol", *(F.col("b")[i].alias(k) for i, k in enumerate(st.BOOTSTRAP)))
 
 
-@query()
-def udtf_detectors(spark, sf):
-    return states.structure(src.weekly(spark, sf))
-
-
 @query()
 def udtf_state(spark, sf):
     from tapeloom.plans.live import ticks

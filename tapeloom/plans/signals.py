@@ -154,49 +154,3 @@ def pf_ma_overlay(spark, sf):
     q = src.weekly(spark, sf).select("symbol", "ts", (F.lead("close").over(f.series()) / F.col("close") - 1).alias("nxt")).where("nxt IS NOT NULL")
     held = holdings(spark, sf).select("ts", "symbol", "weight").join(q, ["ts", "symbol"]).groupBy("ts").agg(F.sum(F.col("weight") * F.col("nxt")).alias("ret"))
     return pf.ma_overlay(held, src.benchmark(spark, sf, "day"), fee=0.001).select("ts", "invested", *r("ret", "overlaid", "nav", "drawdown"), *r("sharpe", n=5))
-
-
-@query()
-def struct_bos_choch(spark, sf):
-    return states.structure(src.daily(spark, sf))
-
-
-@query()
-def struct_swing(spark, sf):
-    b = src.daily(spark, sf)
-    scoped = states.structure(b, 5, 5).withColumn("scope", F.lit("swing")).unionByName(states.structure(b, 2, 2).withColumn("scope", F.lit("internal")))
-    last = Window.partitionBy("symbol", "scope").orderBy(F.desc("ts"))
-    return scoped.withColumn("final_bias", F.first("bias").over(last))
-
-
-@query()
-def liq_pools(spark, sf):
-    return states.pools(src.daily(spark, sf), 0.01)
-
-
-@query()
-def struct_eqh_eql(spark, sf):
-    p = states.pools(src.daily(spark, sf), 0.02).withColumn("ts", F.col("last_ts"))
-    return gaps.first_hits_by_side(p, src.daily(spark, sf), F.col("side") == "high", {"mitigated_ts": ([("high", ">", F.col("price"))], [("low", "<", F.col("price"))])}, ("side", "price", "touches"))
-
-
-@query()
-def liq_sweeps(spark, sf):
-    p = states.pools(src.daily(spark, sf), 0.02).withColumn("ts", F.col("last_ts"))
-    price = F.col("price")
-    hits = {"sweep_ts": ([("high", ">", price), ("close", "<", price)], [("low", "<", price), ("close", ">", price)]), "broken_ts": ([("close", ">", price)], [("close", "<", price)])}
-    out = gaps.first_hits_by_side(p, src.daily(spark, sf), F.col("side") == "high", hits, ("side", "price", "touches"))
-    return out.withColumn("valid", F.col("sweep_ts").isNotNull() & (F.col("broken_ts").isNull() | (F.col("sweep_ts") < F.col("broken_ts"))))
-
-
-@query()
-def ob_detect(spark, sf):
-    return states.order_blocks(src.daily(spark, sf))
-
-
-@query()
-def ob_lifecycle(spark, sf):
-    b = src.daily(spark, sf)
-    touched = [("low", "<=", F.col("top")), ("high", ">=", F.col("bottom"))]
-    hits = {"visited_ts": (touched, touched), "mitigated_ts": ([("close", "<", F.col("bottom"))], [("close", ">", F.col("top"))])}
-    return gaps.first_hits_by_side(states.order_blocks(b), b, F.col("direction") == "up", hits, ("direction", "bottom", "top"))
