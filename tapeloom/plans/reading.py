@@ -82,57 +82,6 @@ def cdl_at_level(spark, sf):
     return candles.scan(src.daily(spark, sf)).join(x.select("symbol", "ts", F.coalesce(near, F.lit(False)).alias("at_level")), ["symbol", "ts"])
 
 
-ZV = f"zv AS (SELECT *, CASE WHEN count(volume) OVER {rows(50)} >= 20 THEN CASE WHEN stddev_samp(volume) OVER {rows(50)} > 1e-12 THEN (volume - avg(volume) OVER {rows(50)}) / stddev_samp(volume) OVER {rows(50)} ELSE 0 END END AS z, (high - low) / nullif(CASE WHEN count(close) OVER {rows(14)} = 14 THEN avg(high - low) OVER {rows(14)} END, 0) AS wide FROM bars_d)"
-
-
-@query(f"WITH {ZV} SELECT symbol, ts, CASE WHEN close < open THEN 'SC' ELSE 'BC' END AS kind, low, high, round(z, 6) AS z FROM zv WHERE z >= 1.5 AND wide > 1.3")
-def wy_climax(spark, sf):
-    b = f.zscore(src.daily(spark, sf), n=50, least=20).withColumn("wide", sg.spread_ratio())
-    kind = F.when((F.col("z") >= 1.5) & (F.col("wide") > 1.3), F.when(F.col("close") < F.col("open"), "SC").otherwise("BC"))
-    return b.withColumn("kind", kind).where("kind IS NOT NULL").select("symbol", "ts", "kind", "low", "high", *r("z"))
-
-
-def _wyckoff(spark, sf):
-    """Climax of each series and side, and the first later bars that follow from it."""
-    b = f.zscore(src.daily(spark, sf), n=50, least=20).withColumn("wide", sg.spread_ratio())
-    sc = b.where("z >= 1.5 AND wide > 1.3 AND close < open").groupBy("symbol").agg(F.min_by(F.struct("ts", "low", "high", "volume"), "low").alias("c")).select("symbol", "c.ts", "c.low", "c.high", "c.volume")
-    zone = sc.select("symbol", "ts", F.col("low").alias("floor"), F.col("high").alias("roof"), F.col("volume").alias("force"))
-    floor, roof, force = F.col("floor"), F.col("roof"), F.col("force")
-    hits = {"ar_ts": [("close", ">", roof)], "st_ts": [("low", "<=", floor * 1.1), ("volume", "<", force)], "spring_ts": [("low", "<", floor), ("close", ">", floor)], "sos_ts": [("close", ">", roof * 1.05), ("volume", ">", force * 0.5)]}
-    return gaps.first_hits(zone, src.daily(spark, sf), hits, ("floor", "roof", "force"))
-
-
-WY = f"""WITH {ZV}, sc AS (SELECT symbol, arg_min({{'ts': ts, 'low': low, 'high': high, 'volume': volume}}, low) AS c FROM zv WHERE z >= 1.5 AND wide > 1.3 AND close < open GROUP BY 1), zn AS (SELECT symbol, c.ts AS ts, c.low AS floor, c.high AS roof, c.volume AS force FROM sc),
-    we AS (SELECT zn.symbol, zn.ts, floor, roof, force, min(b.ts) FILTER (b.close > roof) AS ar_ts, min(b.ts) FILTER (b.low <= floor * 1.1 AND b.volume < force) AS st_ts, min(b.ts) FILTER (b.low < floor AND b.close > floor) AS spring_ts, min(b.ts) FILTER (b.close > roof * 1.05 AND b.volume > force * 0.5) AS sos_ts FROM zn LEFT JOIN bars_d b ON b.symbol = zn.symbol AND b.ts > zn.ts GROUP BY ALL)"""
-
-
-@query(f"{WY} SELECT * FROM we")
-def wy_events(spark, sf):
-    return _wyckoff(spark, sf)
-
-
-@query(f"{WY} SELECT symbol, ts, CASE WHEN ar_ts IS NOT NULL THEN 'accumulation' ELSE 'distribution' END AS schematic FROM we")
-def wy_schematic(spark, sf):
-    w = _wyckoff(spark, sf)
-    return w.select("symbol", "ts", F.when(F.col("ar_ts").isNotNull(), "accumulation").otherwise("distribution").alias("schematic"))
-
-
-@query(f"{WY} SELECT symbol, CASE WHEN sos_ts IS NOT NULL THEN 'D' WHEN spring_ts IS NOT NULL THEN 'C' WHEN st_ts IS NOT NULL THEN 'B' ELSE 'A' END AS phase, round(0.2 + 0.2 * ((ar_ts IS NOT NULL)::INT + (st_ts IS NOT NULL)::INT + (spring_ts IS NOT NULL)::INT + (sos_ts IS NOT NULL)::INT), 6) AS confidence FROM we")
-def wy_phase(spark, sf):
-    w = _wyckoff(spark, sf)
-    phase = F.when(F.col("sos_ts").isNotNull(), "D").when(F.col("spring_ts").isNotNull(), "C").when(F.col("st_ts").isNotNull(), "B").otherwise("A")
-    n = sum((F.col(c).isNotNull().cast("int") for c in ("ar_ts", "st_ts", "spring_ts", "sos_ts")), F.lit(0))
-    return w.select("symbol", phase.alias("phase"), F.round(F.lit(0.2) + 0.2 * n, 6).alias("confidence"))
-
-
-@query(f"{WY}, lc AS (SELECT symbol, arg_max(close, ts) AS close FROM bars_d GROUP BY 1) SELECT symbol, CASE WHEN sos_ts IS NOT NULL AND close > roof THEN 'enter' WHEN spring_ts IS NOT NULL THEN 'watch' ELSE 'none' END AS signal, floor AS stop, close FROM we JOIN lc USING (symbol)")
-def wy_entry(spark, sf):
-    w = _wyckoff(spark, sf)
-    last = src.daily(spark, sf).groupBy("symbol").agg(F.max_by("close", "ts").alias("close"))
-    x = w.join(last, "symbol")
-    return x.select("symbol", F.when(F.col("sos_ts").isNotNull() & (F.col("close") > F.col("roof")), "enter").when(F.col("spring_ts").isNotNull(), "watch").otherwise("none").alias("signal"), F.col("floor").alias("stop"), "close")
-
-
 @query()
 def chart_votes(spark, sf):
     return rd.votes(src.daily(spark, sf)).select("symbol", "ts", "long_score", "short_score")
