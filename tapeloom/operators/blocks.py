@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tapeloom.operators import features as f
 from tapeloom.operators import gaps
 from tapeloom.operators.fold import Machine, fold, schema_of
-from tapeloom.operators.states import wilder_atr
 
 #: What adds to a block's strength.
 STRENGTH = {"strong": 0.30, "gap": 0.25, "volume": 0.20, "clean": 0.15, "swing": 0.10}
@@ -16,47 +15,59 @@ LEAST = 0.40
 
 
 class Extremes(Machine):
-    """Closes beyond the furthest swing confirmed since the last such close, on either side."""
+    """Closes beyond the furthest swing confirmed since the last such close, on either side, with the smoothed true range."""
 
-    def __init__(self):
-        self.high = self.low = None
+    def __init__(self, period: int = 14):
+        self.high = self.low = self.atr = None
+        self.period, self.warm = period, []
 
     def step(self, row: dict) -> list[dict]:
         out = []
+        if self.atr is not None:
+            self.atr += (row["tr"] - self.atr) / self.period
+        else:
+            self.warm.append(row["tr"])
+            if len(self.warm) == self.period:
+                self.atr = sum(self.warm) / self.period
         if row["up"] is not None:
             self.high = row["up"] if self.high is None else max(self.high, row["up"])
         if row["down"] is not None:
             self.low = row["down"] if self.low is None else min(self.low, row["down"])
-        if row["ready"]:
+        if self.atr is not None:
             if self.high is not None and row["close"] > self.high:
-                out.append({"n": row["n"], "direction": "bullish", "broken": self.high})
+                out.append({"n": row["n"], "direction": "bullish", "broken": self.high, "atr": self.atr})
                 self.high = None
             if self.low is not None and row["close"] < self.low:
-                out.append({"n": row["n"], "direction": "bearish", "broken": self.low})
+                out.append({"n": row["n"], "direction": "bearish", "broken": self.low, "atr": self.atr})
                 self.low = None
         return out
 
 
-def detect(bars: DataFrame, *, side: int = 2, lookback: int = 10, atr_mult: float = 1.0, body_ratio: float = 0.5, body_only: bool = True, least: float = LEAST, need_gap: bool = False, mean_bars: int = 14) -> DataFrame:
-    """(symbol, ts, n, direction, bottom, top, extreme, block_ts, block_n, strength, has_gap, sweep_level), known at ts.
-
-    extreme: the candle's far end, whose loss by a close ends the block; sweep_level: the last swing confirmed by ts on
-    that side. Only the pointer to the unbroken swing is a fold, all else are windows.
-    """
-    b = f.pivots(bars, side, side, strict=False).withColumn("n", F.row_number().over(f.series())).join(wilder_atr(bars), ["symbol", "ts"])
+def marked(bars: DataFrame, *, side: int = 2, lookback: int = 10, mean_bars: int = 14) -> DataFrame:
+    """bars with n, tr, the swings that a bar confirms (up, down) and, for a break at the bar, its candle, gap and swing on either side."""
+    b = f.true_range(f.pivots(bars, side, side, strict=False)).withColumn("n", F.row_number().over(f.series()))
     gap = lambda c: F.last(F.when(c, F.col("n")), ignorenulls=True).over(f.last(lookback + 1))
     swing, known = F.col("pivot_high") | F.col("pivot_low"), lambda c, mark: f.lag(F.when(F.col(mark), F.col(c)), side)
     b = b.withColumns({"up": known("high", "pivot_high"), "down": known("low", "pivot_low"), "__mean": F.avg("volume").over(f.last(mean_bars, 1))})
     candle = F.struct("n", "ts", "open", "high", "low", "close", (F.col("volume") > F.col("__mean")).alias("heavy"), swing.alias("swing"))
     opposite = lambda c: F.last(F.when(c, candle), ignorenulls=True).over(f.last(lookback, 1))
     upto = f.series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = b.withColumns({
+    return b.withColumns({
         "__bear": opposite(F.col("close") < F.col("open")), "__bull": opposite(F.col("close") > F.col("open")),
         "__up": gap(F.col("low") > f.lag("high", 2)), "__down": gap(F.col("high") < f.lag("low", 2)),
         "__low": F.last("down", ignorenulls=True).over(upto), "__high": F.last("up", ignorenulls=True).over(upto),
-    })
-    rows = b.select("symbol", "n", "close", "up", "down", F.col("atr").isNotNull().alias("ready"))
-    breaks = fold(rows, ["symbol"], ["n"], Extremes, schema_of(rows, ["symbol", "n"], "direction string, broken double"))
+    }).drop("pivot_high", "pivot_low", "confirmed_ts", "__mean")
+
+
+def detect(bars: DataFrame, *, side: int = 2, lookback: int = 10, atr_mult: float = 1.0, body_ratio: float = 0.5, body_only: bool = True, least: float = LEAST, need_gap: bool = False, mean_bars: int = 14) -> DataFrame:
+    """(symbol, ts, n, direction, bottom, top, extreme, block_ts, block_n, strength, has_gap, sweep_level), known at ts.
+
+    extreme: the candle's far end, whose loss by a close ends the block; sweep_level: the last swing confirmed by ts on
+    that side. Only the pointer to the unbroken swing is a fold, all else are windows.
+    """
+    b = marked(bars, side=side, lookback=lookback, mean_bars=mean_bars)
+    rows = b.select("symbol", "n", "close", "up", "down", "tr")
+    breaks = fold(rows, ["symbol"], ["n"], Extremes, schema_of(rows, ["symbol", "n"], "direction string, broken double, atr double"))
     j = breaks.join(b, ["symbol", "n"])
     up = F.col("direction") == "bullish"
     sign, body, span = F.when(up, 1).otherwise(-1), F.abs(F.col("close") - F.col("open")), F.col("high") - F.col("low")
@@ -75,6 +86,20 @@ def detect(bars: DataFrame, *, side: int = 2, lookback: int = 10, atr_mult: floa
     return out.where((F.col("strength") >= least) & (F.col("has_gap") | F.lit(not need_gap)))
 
 
+def candidates(b: DataFrame, *, side: int = 2, atr_mult: float = 1.0, body_ratio: float = 0.5) -> dict[str, Column]:
+    """For each direction the block that a break at a bar of marked() would make, or null; strength without its part for a strong bar."""
+    out = {}
+    for name, sign, candle, gap_n, far, near in (("bullish", 1, "__bear", "__up", "high", "low"), ("bearish", -1, "__bull", "__down", "low", "high")):
+        c, body = F.col(candle), F.abs(F.col("close") - F.col("open"))
+        ratio = body / (F.col("high") - F.col("low") + 1e-12)
+        ok = (ratio >= body_ratio) & (sign * (F.col("close") - F.col("open")) > 0) & c.isNotNull() & (sign * (F.col("close") - c[far]) > 0)
+        has_gap = F.coalesce(F.col(gap_n) >= c["n"] + 2, F.lit(False))
+        told = {"gap": has_gap, "volume": F.coalesce(c["heavy"], F.lit(False)), "clean": ratio >= 0.65, "swing": F.coalesce(c["swing"], F.lit(False)) & (c["n"] + side <= F.col("n"))}
+        strength = sum((F.when(t, STRENGTH[k]).otherwise(0.0) for k, t in told.items()), F.lit(0.0))
+        out[name] = F.when(ok, F.struct(F.least(c["open"], c["close"]).alias("bottom"), F.greatest(c["open"], c["close"]).alias("top"), c[near].alias("extreme"), c["n"].alias("place"), strength.alias("strength"), has_gap.alias("has_gap"), (body / atr_mult).alias("body")))
+    return out
+
+
 KEYS = ("direction", "bottom", "top", "extreme", "block_ts", "strength", "has_gap", "sweep_level")
 
 

@@ -86,6 +86,21 @@ def scan(bars: DataFrame, names: tuple[str, ...] | None = None, also: dict[str,
     return out.withColumn("direction", F.when(F.col("pattern").isin(*BULLISH), "bullish").when(F.col("pattern").isin(*BEARISH), "bearish").otherwise("neutral"))
 
 
+def last_pattern(bars: DataFrame) -> DataFrame:
+    """bars with candle: the last found pattern, in the order of patterns(), with its direction, strength (as strength()) and bar."""
+    found, b = patterns(), Bar(0)
+    mean, mean_part = F.coalesce(f.over(F.avg("volume"), 10, 1), F.col("volume")), F.coalesce(f.over(F.avg("__part"), 10, 1), F.col("__part"))
+    out = geometry(bars).withColumn("__part", b.part)
+    out = out.withColumns({"__name": F.coalesce(*(F.when(found[n], F.lit(n)) for n in reversed(found))), "__ratio": F.when(mean > 0, F.col("volume") / mean).otherwise(1.0), "__mean": mean_part})
+    name = F.col("__name")
+    score = F.when(F.col("__part") > 1.2 * F.col("__mean"), 1).otherwise(0) + F.when(F.col("__ratio") > 1.5, 1).otherwise(0) + F.when(name.isin(*THREE_BARS), 1).when(name.isin(*TWO_BARS), 0).otherwise(-1)
+    size = F.when(F.col("__ratio") < 0.8, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(3), score + 1)))
+    direction = F.when(name.isin(*BULLISH), "bullish").when(name.isin(*BEARISH), "bearish").otherwise("neutral")
+    candle = F.when(name.isNotNull(), F.struct(name.alias("pattern"), direction.alias("direction"), size.alias("strength"), "high", "low"))
+    lagged = [f"__{c}{k}" for k in (1, 2) for c in ("open", "high", "low", "close", "trend")]
+    return out.withColumn("candle", candle).drop("__name", "__ratio", "__mean", "__part", "trend", "trend_score", *lagged)
+
+
 def strength(bars: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
     """Pattern rows with strength 1 to 3: a body above 1.2 times the mean of the ten bars before, a volume above 1.5
     times, +1 for three bars and -1 for one; 1 where the volume is under 0.8 of its mean."""

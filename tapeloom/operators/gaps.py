@@ -15,8 +15,10 @@ def valid_bar() -> Column:
     return F.col("open").between(F.col("low"), F.col("high")) & F.col("close").between(F.col("low"), F.col("high"))
 
 
-def detect(bars: DataFrame, *, min_gap_atr: float = 0.15, body_mult: float = 1.15, body_lookback: int = 14, atr_period: int = 14) -> DataFrame:
-    """Three-bar gaps: the third bar doesn't reach the first, by at least min_gap_atr true ranges, and the middle bar
+def marked(bars: DataFrame, *, min_gap_atr: float = 0.15, body_mult: float = 1.15, body_lookback: int = 14, atr_period: int = 14) -> DataFrame:
+    """bars with direction, bottom, top, gap and body_ratio at the bars that complete a gap, else nulls.
+
+    Three-bar gaps: the third bar doesn't reach the first, by at least min_gap_atr true ranges, and the middle bar
     moves in the gap's direction with a body above body_mult times the mean of the bodies before it."""
     b = f.true_range(bars)
     body = F.abs(F.col("close") - F.col("open"))
@@ -25,12 +27,19 @@ def detect(bars: DataFrame, *, min_gap_atr: float = 0.15, body_mult: float = 1.1
         "__mean": f.over(F.avg(body), body_lookback, 2),
     })
     bull, bear = F.col("low") > F.col("__high1"), F.col("__low1") > F.col("high")
-    b = b.withColumn("direction", F.when(bull, "bullish").when(bear, "bearish")).where("__n > 2 AND direction IS NOT NULL AND __mean > 0")
+    b = b.withColumn("direction", F.when((F.col("__n") > 2) & (F.col("__mean") > 0), F.when(bull, "bullish").when(bear, "bearish")))
     up = F.col("direction") == "bullish"
     b = b.withColumns({"bottom": F.when(up, F.col("__high1")).otherwise(F.col("high")), "top": F.when(up, F.col("low")).otherwise(F.col("__low1"))}).withColumn("gap", F.col("top") - F.col("bottom"))
     middle = F.abs(F.col("__close2") - F.col("__open2"))
     moved = F.when(up, F.col("__close2") > F.col("__open2")).otherwise(F.col("__close2") < F.col("__open2"))
-    return b.where((F.col("gap") >= min_gap_atr * F.col("__atr")) & (middle >= body_mult * F.col("__mean")) & moved).withColumn("body_ratio", middle / F.col("__mean")).select("symbol", "ts", "direction", "bottom", "top", "gap", "body_ratio")
+    ok = F.coalesce((F.col("gap") >= min_gap_atr * F.col("__atr")) & (middle >= body_mult * F.col("__mean")) & moved, F.lit(False))
+    b = b.withColumn("body_ratio", F.when(F.col("__mean") > 0, middle / F.col("__mean")))
+    return b.withColumns({c: F.when(ok, F.col(c)) for c in ("direction", "bottom", "top", "gap", "body_ratio")}).drop("tr", "__n", "__atr", "__high1", "__low1", "__open2", "__close2", "__mean")
+
+
+def detect(bars: DataFrame, **options) -> DataFrame:
+    """(symbol, ts, direction, bottom, top, gap, body_ratio): the gaps of marked()."""
+    return marked(bars, **options).where("direction IS NOT NULL").select("symbol", "ts", "direction", "bottom", "top", "gap", "body_ratio")
 
 
 #: Bars whose extremes stand for them: a zone looks into a block only where they allow a hit.

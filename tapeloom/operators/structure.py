@@ -7,8 +7,6 @@ that lets it be known, so later bars change none before them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,8 +59,8 @@ class Breaks(Machine):
     whose loss turns the bias; held: a turned bias, which stands until a pivot after it brings the geometry round.
     """
 
-    def __init__(self, right: int, by_close: bool, least: float):
-        self.right, self.by_close, self.least = right, by_close, least
+    def __init__(self, by_close: bool = True, least: float = 0.0):
+        self.by_close, self.least = by_close, least
         self.target, self.newest, self.guard = {1: None, -1: None}, {1: None, -1: None}, {1: None, -1: None}
         self.held, self.anchor, self.last_pivot = 0, -1, -1
 
@@ -71,7 +69,7 @@ class Breaks(Machine):
         for side, price, label in ((1, row["up"], row["up_label"]), (-1, row["down"], row["down_label"])):
             if price is None:
                 continue
-            at = n - self.right
+            at = n - row["side"]
             self.target[side] = self.newest[side] = (price, at)
             self.last_pivot = max(self.last_pivot, at)
             if label == ("LH" if side > 0 else "HL"):
@@ -112,23 +110,28 @@ def events(bars: DataFrame, scopes: dict[str, int] | None = None, *, by_close: b
     bias is the one in force when the event came, before a CHOCH turns it (for a pivot, at the end of its bar). n counts
     the bars of the series from 1. A series with less than a full window of bars has no event.
     """
-    out = []
-    for scope, side in (scopes or SCOPES).items():
-        p = confirmed_pivots(bars, side, equal=equal).select("symbol", F.lit(scope).alias("scope"), "ts", "n", "high", "low", "close", "up", "up_label", "down", "down_label", "geo")
-        schema = schema_of(p, ["symbol", "scope", "ts", "n"], "kind string, direction string, level double, label string, bias string, strength double, pivot_n int")
-        out.append(fold(p, ["symbol", "scope"], ["n"], lambda side=side: Breaks(side, by_close, least), schema))
-    return reduce(DataFrame.unionByName, out)
+    p = scoped(bars, scopes or SCOPES, equal)
+    schema = schema_of(p, ["symbol", "scope", "ts", "n"], "kind string, direction string, level double, label string, bias string, strength double, pivot_n int")
+    return fold(p, ["symbol", "scope"], ["n"], lambda: Breaks(by_close, least), schema)
+
+
+def scoped(bars: DataFrame, scopes: dict[str, int], equal: float = EQUAL) -> DataFrame:
+    """The rows that Breaks reads, a row a bar and scope: all scopes' pivots from one pass of windows."""
+    b = bars
+    for scope, side in scopes.items():
+        b = confirmed_pivots(b, side, equal=equal).withColumns({scope: F.struct(F.lit(scope).alias("scope"), F.lit(side).alias("side"), "up", "up_label", "down", "down_label", "geo")}).drop("up", "up_label", "down", "down_label", "geo")
+    return b.select("symbol", "ts", "n", "high", "low", "close", F.explode(F.array(*scopes)).alias("s")).select("symbol", "s.scope", "ts", "n", "high", "low", "close", "s.side", "s.up", "s.up_label", "s.down", "s.down_label", "s.geo")
 
 
 class DetectStructure:
-    """The machine as a table function: TABLE(rows of confirmed_pivots) PARTITION BY (symbol, scope) ORDER BY n."""
+    """The machine as a table function: TABLE(rows of scoped) PARTITION BY (symbol, scope) ORDER BY n."""
 
     def __init__(self):
         self.machine = None
 
     def eval(self, row):
         r = row.asDict()
-        self.machine = self.machine or Breaks(SCOPES[r["scope"]], True, 0.0)
+        self.machine = self.machine or Breaks()
         for e in self.machine.step(r):
             yield (r["symbol"], r["scope"], *(e[c] for c in ("ts", "n", "kind", "direction", "level", "label", "bias", "strength", "pivot_n")))
 

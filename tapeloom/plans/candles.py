@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators import candles as k
+from tapeloom.operators import chart
 from tapeloom.operators import gaps
 from tapeloom.plans.registry import query
 from tapeloom.plans.windows import TREND, S, r, rows
@@ -112,9 +114,19 @@ GAP = f"""WITH x AS (SELECT *, CASE WHEN lag(close) OVER ({S}) IS NULL THEN high
       WHERE direction IS NOT NULL AND gap >= 0.15 * atr AND mean_body > 0 AND abs(close2 - open2) >= 1.15 * mean_body AND CASE direction WHEN 'bullish' THEN close2 > open2 ELSE close2 < open2 END)"""
 
 
-@query(f"{GAP} SELECT symbol, ts, direction, round(bottom, 6) AS bottom, round(top, 6) AS top, round(gap, 6) AS gap, round(body_ratio, 6) AS body_ratio FROM g")
+GAP_LABEL = f"""{GAP}, sr AS (SELECT symbol, ts, close, row_number() OVER ({S}) AS n, lag(high) OVER ({S}) AS h2, lag(low) OVER ({S}) AS l2, greatest(high, lag(high) OVER ({S}), lag(high, 2) OVER ({S})) AS top3, least(low, lag(low) OVER ({S}), lag(low, 2) OVER ({S})) AS bot3, high, low FROM bars_d)
+    SELECT g.symbol, g.ts, g.direction, round(g.bottom, 6) AS bottom, round(g.top, 6) AS top, round(g.gap, 6) AS gap, round(g.body_ratio, 6) AS body_ratio,
+        CASE WHEN CASE g.direction WHEN 'bullish' THEN s.close > h2 ELSE s.close < l2 END THEN 'strong' WHEN EXISTS (SELECT 1 FROM sr p WHERE p.symbol = s.symbol AND p.n BETWEEN s.n - 7 AND s.n - 3 AND p.high >= s.top3 AND p.low <= s.bot3) THEN 'weak' ELSE 'normal' END AS label,
+        (SELECT count(*) FROM g x WHERE x.symbol = g.symbol AND x.ts > g.ts) >= 50 AS evicted
+    FROM g JOIN sr s ON s.symbol = g.symbol AND s.ts = g.ts"""
+
+
+@query(GAP_LABEL)
 def fvg_detect(spark, sf):
-    return gaps.detect(src.daily(spark, sf)).select("symbol", "ts", "direction", *r("bottom", "top", "gap", "body_ratio"))
+    """Gaps with their strength; of a series only the 50 newest stay active, the others are evicted."""
+    newer = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
+    g = chart.gap_labels(src.daily(spark, sf)).where("direction IS NOT NULL").withColumn("evicted", newer > chart.OpenZones.CAP)
+    return g.select("symbol", "ts", "direction", *r("bottom", "top", "gap", "body_ratio"), "label", "evicted")
 
 
 @query(f"""{GAP} SELECT g.symbol, g.ts, g.direction, min(b.ts) FILTER (CASE g.direction WHEN 'bullish' THEN b.low <= (g.bottom + g.top) / 2 ELSE b.high >= (g.bottom + g.top) / 2 END) AS ce_ts,

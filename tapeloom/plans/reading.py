@@ -14,6 +14,7 @@ from tapeloom.operators import crosssection as xs
 from tapeloom.operators import features as f
 from tapeloom.plans.analysis import AQR, FAIR, METRICS as METRICS_SQL, MONTHLY, RATIOS, REG, aqr, compounders, fair_rows, monthly, regimes
 from tapeloom.plans.candles import GAP
+from tapeloom.plans.chart import panel
 from tapeloom.plans.market import PROFILE, exact_cdf, ncdf, profile
 from tapeloom.plans.registry import query
 from tapeloom.plans.selection import HOLD, MOM
@@ -82,37 +83,6 @@ def cdl_at_level(spark, sf):
     return candles.scan(src.daily(spark, sf)).join(x.select("symbol", "ts", F.coalesce(near, F.lit(False)).alias("at_level")), ["symbol", "ts"])
 
 
-@query()
-def chart_votes(spark, sf):
-    return rd.votes(src.daily(spark, sf)).select("symbol", "ts", "long_score", "short_score")
-
-
-def _veto():
-    return ((F.col("direction") == "long") & (F.col("range_position") > 0.95)) | ((F.col("direction") == "short") & (F.col("range_position") < 0.05)) | (F.col("direction") == "none")
-
-
-@query()
-def chart_veto(spark, sf):
-    return rd.votes(src.daily(spark, sf)).select("symbol", "ts", _veto().alias("veto"))
-
-
-def _panel(spark, sf):
-    b = rd.votes(src.daily(spark, sf))
-    return b.withColumns({"decision": rd.decision(F.col("confluence"), _veto()), "fwd": F.lead("close", 20).over(f.series()) / F.col("close") - 1})
-
-
-@query()
-def chart_read_panel(spark, sf):
-    return _panel(spark, sf).select("symbol", "ts", "direction", "confluence", "decision", "fwd")
-
-
-@query()
-def chart_read(spark, sf):
-    last = Window.partitionBy("symbol").orderBy(F.desc("ts"))
-    b = f.atr(_panel(spark, sf)).withColumn("n", F.row_number().over(last)).where("n = 1")
-    return b.select("symbol", "ts", "direction", "decision", "confluence", (F.col("close") - 0.5 * F.col("atr")).alias("entry"), (F.col("close") - 2 * F.col("atr")).alias("invalid"))
-
-
 def _resample(by: str, block: int, samples: int, seed: int):
     """Moving-block bounds of mean(ACT) - mean(AVOID), and the p-value under block-shuffled labels."""
 
@@ -136,13 +106,13 @@ def _resample(by: str, block: int, samples: int, seed: int):
 
 @query()
 def st_bootstrap_spread(spark, sf):
-    x = _panel(spark, sf).where("fwd IS NOT NULL").select("symbol", "ts", "decision", "fwd")
+    x = panel(spark, sf).where("fwd20 IS NOT NULL").select("symbol", "ts", F.col("act").alias("decision"), F.col("fwd20").alias("fwd"))
     return x.groupBy("symbol").applyInPandas(_resample("symbol", 20, 2000, 7), "symbol string, n long, spread double, low double, high double, p_value double").drop("p_value")
 
 
 @query()
 def st_block_permutation(spark, sf):
-    x = _panel(spark, sf).where("fwd IS NOT NULL").select("symbol", "ts", "decision", "fwd")
+    x = panel(spark, sf).where("fwd20 IS NOT NULL").select("symbol", "ts", F.col("act").alias("decision"), F.col("fwd20").alias("fwd"))
     return x.groupBy("symbol").applyInPandas(_resample("symbol", 20, 2000, 11), "symbol string, n long, spread double, low double, high double, p_value double").drop("low", "high")
 
 

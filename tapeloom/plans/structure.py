@@ -81,8 +81,7 @@ def swing(found):
 def udtf_detectors(spark, sf):
     """The same events by a table function, called in SQL."""
     ms.register(spark)
-    scoped = [ms.confirmed_pivots(src.daily(spark, sf), side).withColumn("scope", F.lit(scope)) for scope, side in ms.SCOPES.items()]
-    rows = scoped[0].unionByName(scoped[1]).select("symbol", "scope", "ts", "n", "high", "low", "close", "up", "up_label", "down", "down_label", "geo")
+    rows = ms.scoped(src.daily(spark, sf), ms.SCOPES)
     return swing(spark.sql("SELECT e.* FROM detect_structure(TABLE({rows}) PARTITION BY (symbol, scope) ORDER BY n) e", rows=rows))
 
 
