@@ -12,6 +12,7 @@ from tapeloom.functions import stats as st
 from tapeloom.operators import candles, gaps, macro as mac, portfolio as pf, reading as rd, risk as rk, signals as sg, states, valuation as val
 from tapeloom.operators import crosssection as xs
 from tapeloom.operators import features as f
+from tapeloom.operators.pretrade import Policy, check
 from tapeloom.plans.analysis import AQR, FAIR, METRICS as METRICS_SQL, MONTHLY, RATIOS, REG, aqr, compounders, fair_rows, monthly, regimes
 from tapeloom.plans.candles import GAP
 from tapeloom.plans.chart import panel
@@ -461,18 +462,32 @@ def sc_draft_portfolio(spark, sf):
     return movers.unionByName(spark.range(1).select(F.explode(F.create_map(F.lit("CORE"), F.lit(0.5), F.lit("CASH"), F.lit(0.1))).alias("symbol", "weight")))
 
 
-def _orders(spark, sf):
-    k = F.col("o_orderkey")
-    return src.read(spark, sf, "orders").select(k, F.col("o_custkey").alias("account"), F.col("o_totalprice").alias("notional"), (k % 3).alias("kind"), ((k % 11) / 100).alias("deviation"))
-
-
-@query("""WITH o AS (SELECT o_orderkey, o_totalprice AS notional, o_orderkey % 3 AS kind, (o_orderkey % 11) / 100 AS deviation, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS projected FROM orders)
-    SELECT o_orderkey, concat_ws(',', CASE WHEN kind = 2 THEN 'type' END, CASE WHEN deviation > 0.05 THEN 'limit_deviation' END, CASE WHEN notional > 400000 THEN 'notional' END, CASE WHEN round(projected, 2) > 2000000 THEN 'gross' END) AS breaches FROM o""")
+POLICY = Policy(order_notional=300_000.0, daily_notional=500_000.0, sector_weight=0.3, daily_orders=2)
+#: Orders as intents: everything that the tables lack follows from the keys.
+INTENTS = """SELECT o_custkey AS account, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderkey % 25 + 1 AS k, CASE WHEN o_orderkey % 29 = 0 THEN 'kr' ELSE 'us' END AS market, o_orderkey % 25 % 5 AS sector,
+    CASE WHEN o_orderkey % 31 = 0 THEN 'stop' WHEN o_orderkey % 4 = 1 THEN 'limit' ELSE 'market' END AS order_type, CASE WHEN o_orderstatus = 'F' THEN 'sell' ELSE 'buy' END AS side, floor(o_totalprice / (51 + o_orderkey % 25)) AS qty,
+    CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 31 <> 0 THEN (51 + o_orderkey % 25) * (1 + (o_orderkey % 11 - 5) / 100.0) END AS limit_price, CAST(51 + o_orderkey % 25 AS DOUBLE) AS mark, o_custkey % 101 = 0 AS halted, o_custkey % 97 = 0 AS blocked, o_custkey % 7 <> 0 AS day_trader, o_custkey % 5 AS daytrades FROM orders"""
+#: The fold as a recursion: p holds the quantities by symbol and market, places 1 to 25 for us and 26 to 50 for kr.
+PRETRADE = f"""WITH RECURSIVE i AS MATERIALIZED (SELECT *, coalesce(limit_price, mark) AS price, k + CASE market WHEN 'kr' THEN 25 ELSE 0 END AS slot, qty * coalesce(limit_price, mark) AS notional, row_number() OVER (PARTITION BY account ORDER BY day, id) AS n FROM ({INTENTS})),
+    b AS (SELECT DISTINCT account, 0::BIGINT AS n, NULL::BIGINT AS id, 400000.0::DOUBLE AS cash, [0.0::DOUBLE FOR x IN range(50)] AS p, NULL::DATE AS day, 0 AS orders, 0.0::DOUBLE AS bought, '' AS breaches FROM i
+        UNION ALL
+        SELECT account, n, id, CASE WHEN said = '' THEN cash - sign * notional ELSE cash END, CASE WHEN said = '' THEN list_transform(range(1, 51), lambda j: CASE WHEN j = slot THEN own + sign * qty ELSE p[j] END) ELSE p END, day,
+            orders + CASE WHEN said = '' THEN 1 ELSE 0 END, bought + CASE WHEN said = '' AND sign = 1 THEN notional ELSE 0 END, said
+        FROM (SELECT *, concat_ws(',', CASE WHEN halted THEN 'halted' END, CASE WHEN blocked THEN 'blocked' END, CASE WHEN market <> 'us' THEN 'market' END, CASE WHEN order_type = 'stop' THEN 'type' END, CASE WHEN qty <= 0 THEN 'qty' END,
+                CASE WHEN order_type = 'limit' AND CASE sign WHEN 1 THEN limit_price > mark * 1.03 ELSE limit_price < mark * (1 - 0.03) END THEN 'limit_deviation' END, CASE WHEN notional > 300000 THEN 'notional' END, CASE WHEN sign = 1 AND notional > cash THEN 'buying_power' END,
+                CASE WHEN sign = 1 AND bought + notional > 500000 THEN 'daily_notional' END, CASE WHEN orders >= 2 THEN 'daily_orders' END, CASE WHEN NOT day_trader AND daytrades >= 3 THEN 'daytrades' END, CASE WHEN sign = 1 AND notional > cash THEN 'cash' END,
+                CASE WHEN sign = 1 AND (cash - notional) / 1000000 < 0.05 THEN 'cash_fraction' END, CASE WHEN sign = -1 AND qty > greatest(own, 0) + 1e-8 THEN 'short' END, CASE WHEN (others + abs(own + sign * qty) * price) / 1000000 > 1 THEN 'gross' END,
+                CASE WHEN abs(own + sign * qty) * price / 1000000 > 0.25 THEN 'weight' END, CASE WHEN (same + abs(own + sign * qty) * price) / 1000000 > 0.3 AND abs(own + sign * qty) * price > abs(own) * price + 1e-9 THEN 'sector' END) AS said
+            FROM (SELECT i.account, i.n, i.id, b.cash, b.p, i.day, CASE WHEN b.day = i.day THEN b.orders ELSE 0 END AS orders, CASE WHEN b.day = i.day THEN b.bought ELSE 0 END AS bought, i.* EXCLUDE (account, n, id, day), CASE i.side WHEN 'buy' THEN 1 ELSE -1 END AS sign, b.p[i.slot] AS own,
+                list_sum(list_transform(range(1, 51), lambda j: CASE WHEN j = i.slot THEN 0 ELSE abs(b.p[j]) * (50 + (j - 1) % 25 + 1) END)) AS others, list_sum(list_transform(range(1, 51), lambda j: CASE WHEN j = i.slot OR (j - 1) % 25 % 5 <> i.sector THEN 0 ELSE abs(b.p[j]) * (50 + (j - 1) % 25 + 1) END)) AS same
+                FROM b JOIN i ON i.account = b.account AND i.n = b.n + 1)))"""
+
+
+@query(f"{PRETRADE} SELECT account, id, breaches = '' AS accepted, breaches, round(cash, 2) AS cash_after FROM b WHERE n > 0")
 def rk_pretrade_rules(spark, sf):
-    total = F.sum("notional").over(Window.partitionBy("account").orderBy("o_orderkey"))
-    o = _orders(spark, sf).withColumn("projected", F.round(total, 2))
-    rules = [(F.col("kind") == 2, "type"), (F.col("deviation") > 0.05, "limit_deviation"), (F.col("notional") > 400000, "notional"), (F.col("projected") > 2000000, "gross")]
-    return o.select("o_orderkey", F.concat_ws(",", *(F.when(c, F.lit(n)) for c, n in rules)).alias("breaches"))
+    i = spark.sql(INTENTS.replace("FROM orders", "FROM {o}"), o=src.read(spark, sf, "orders"))
+    i = i.select("account", "id", "day", F.concat(F.lit("S"), "k").alias("symbol"), "market", F.col("sector").cast("string").alias("sector"), "order_type", "side", F.col("qty").cast("double").alias("qty"), F.col("limit_price").cast("double").alias("limit_price"), "mark", F.lit(1e6).alias("equity"), F.lit(4e5).alias("cash"), F.lit(None).cast("double").alias("buying_power"), "halted", "blocked", "day_trader", "daytrades")
+    return check(i, POLICY).select("account", "id", "accepted", "breaches", *r("cash_after", n=2))
 
 
 @query(f"{HOLD}, lt AS (SELECT symbol, weight AS target FROM h WHERE ts = (SELECT max(ts) FROM h)), hd AS (SELECT symbol, arg_max(close, ts) AS mark, 0.04::DOUBLE AS held FROM bars_w GROUP BY 1), j AS (SELECT symbol, held, target, round(coalesce(target, 0) - coalesce(held, 0), 9) AS delta FROM hd FULL JOIN lt USING (symbol)) SELECT symbol, held, round(target, 6) AS target, round(delta, 6) AS delta, CASE WHEN delta < 0 THEN 'sell' WHEN delta > 0 THEN 'buy' ELSE 'keep' END AS side, round(sign(delta) * least(0.01, 0.0005 + 0.001 * sqrt(abs(delta) * 1000 / 10000)), 8) AS slippage FROM j")
