@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.plans.registry import query
+from tapeloom.plans.windows import r
 from tapeloom.sources import adapters as src
-from tapeloom.streaming import live
+from tapeloom.streaming import bookstate, live
 
 
 def ticks(spark, sf):
@@ -41,11 +42,29 @@ def ss_order_ledger(spark, sf):
     return live.latest(live.drain(t, "update", "ledger"), ["user_id"])
 
 
-@query("""WITH o AS (SELECT event_type AS symbol, event_id, value, ts FROM events), w AS (SELECT *, count(value) OVER k AS n, stddev_samp(value) OVER k AS sd, avg(value) OVER k AS m FROM o WINDOW k AS (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-    SELECT symbol, event_id, round(CASE WHEN n >= 10 THEN CASE WHEN sd > 0 THEN (value - m) / sd ELSE 0 END END, 6) AS z FROM w""")
+def _sizes(a: int, b: int, m: int, r: int) -> str:
+    return f"[((event_id * {a} + i * {b}) % 11 + 1 + CASE WHEN event_id % {m} = i THEN 60 ELSE 0 END) * CASE WHEN event_id // 7 % 5 = {r} THEN 6 ELSE 1 END FOR i IN range(1, 11)]"
+
+
+BOOKS = f"""WITH o AS (SELECT event_type AS symbol, event_id, ts, floor(value / 10) * 10 + 10 AS base, {_sizes(7, 5, 13, 0)} AS b, {_sizes(5, 3, 17, 1)} AS a FROM events),
+    q AS (SELECT *, (list_sum(b) - list_sum(a)) / (list_sum(b) + list_sum(a)) AS obi, list_concat([base * 100 + i FOR i IN range(1, 11) IF b[i] > 5 * list_median(b)], [-base * 100 - i FOR i IN range(1, 11) IF a[i] > 5 * list_median(a)]) AS walls FROM o),
+    p AS (SELECT *, lag(walls) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS before FROM q),
+    st AS (SELECT symbol, event_id, obi, CASE WHEN count(*) OVER k >= {{1}} THEN CASE WHEN stddev_samp(obi) OVER k > 1e-12 THEN (obi - avg(obi) OVER k) / stddev_samp(obi) OVER k ELSE 0 END END AS z, CAST(len(walls) AS INT) AS n_walls, before IS NOT NULL AND NOT list_has_all(before, walls) AS suspect
+        FROM p WINDOW k AS (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN {{0}} PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"{BOOKS.format(19, 10)} SELECT symbol, event_id, round(obi, 6) AS obi, round(z, 6) AS z, n_walls, suspect FROM st")
 def ss_book_state(spark, sf):
-    rows = live.drain(live.imbalance_state(ticks(spark, sf)), "append", "state")
-    return rows.select("symbol", "event_id", F.round("z", 6).alias("z"))
+    rows = live.drain(bookstate.book_state(bookstate.snapshots(ticks(spark, sf))), "append", "state")
+    return rows.select("symbol", "event_id", *r("obi", "z"), "n_walls", "suspect")
+
+
+@query(f"""{BOOKS.format(59, 10)}, rg AS (SELECT *, CASE WHEN obi >= 0.6 THEN 'strong_bid' WHEN obi >= 0.2 THEN 'bid' WHEN obi <= -0.6 THEN 'strong_ask' WHEN obi <= -0.2 THEN 'ask' ELSE 'balanced' END AS regime, n_walls > 0 AND NOT suspect AS held FROM st),
+    dr AS (SELECT *, CASE WHEN regime = 'balanced' THEN 'NEUTRAL' WHEN abs(round(z, 9)) <= 1 THEN 'WAIT' WHEN obi >= 0.6 AND NOT held THEN 'LONG' WHEN obi <= -0.6 AND NOT held THEN 'SHORT' WHEN abs(obi) >= 0.6 THEN 'WAIT' ELSE 'NEUTRAL' END AS direction FROM rg)
+    SELECT symbol, event_id, regime, direction, round(CASE WHEN direction IN ('LONG', 'SHORT') THEN least(1, abs(obi)) ELSE 0 END, 6) AS strength FROM dr""")
+def udtf_state(spark, sf):
+    rows = live.drain(bookstate.book_state(bookstate.snapshots(ticks(spark, sf)), history=60), "append", "state-long")
+    return bookstate.signals(rows.withColumn("z", F.round("z", 9))).select("symbol", "event_id", "regime", "direction", *r("strength"))
 
 
 @query("""WITH l AS (SELECT * FROM bars_w QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), q AS (SELECT symbol, CASE CAST(substr(symbol, 7) AS INT) % 3 WHEN 0 THEN ts WHEN 1 THEN ts + 7 ELSE ts - 7 END AS t, close * 1.05 AS p FROM l)

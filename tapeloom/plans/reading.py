@@ -512,14 +512,6 @@ def udaf_series(spark, sf):
     return x.select("symbol", *(F.col("b")[i].alias(k) for i, k in enumerate(st.BOOTSTRAP)))
 
 
-@query()
-def udtf_state(spark, sf):
-    from tapeloom.plans.live import ticks
-    from tapeloom.streaming import live
-
-    return live.drain(live.imbalance_state(ticks(spark, sf), history=50, least=20), "append", "state-long").drop("batch")
-
-
 @query()
 def w_obv_divergence(spark, sf):
     return rd.obv_divergence(src.daily(spark, sf))

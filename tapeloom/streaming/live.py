@@ -9,10 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,30 +78,6 @@ def last_rows(ticks: DataFrame, by: str, order: Column, values: list[str]) -> Da
     return ticks.groupBy(by).agg(F.max_by(F.struct(*values), order).alias("row")).select(by, "row.*")
 
 
-def imbalance_state(ticks: DataFrame, *, history: int = 20, least: int = 10) -> DataFrame:
-    """Per symbol and tick the z of its value in the last ``history`` ones; the history is kept as state between batches."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        past = np.array(state.get[0] if state.exists else [], float)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])  # a micro-batch: BATCH bytes of files at most
-        seen = np.concatenate([past, rows["value"].to_numpy(float)])
-        z = np.full(len(rows), np.nan)
-        for at in range(0, len(rows), 65_536):
-            own = np.arange(at, min(len(rows), at + 65_536)) + len(past)
-            back = own[:, None] - np.arange(history)[::-1]
-            held = np.where(back >= 0, seen[np.maximum(back, 0)], np.nan)
-            n = np.minimum(own + 1, history)
-            mean = np.nansum(held, 1) / n
-            sd = np.sqrt(np.nansum((held - mean[:, None]) ** 2, 1) / np.maximum(n - 1, 1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                z[own - len(past)] = np.where(n < least, np.nan, np.where((n > 1) & (sd > 0), (seen[own] - mean) / sd, 0.0))
-        state.update((seen[-history:].tolist(),))
-        yield pd.DataFrame({"symbol": key[0], "event_id": rows["event_id"].to_numpy(), "z": pd.array(z, dtype="Float64")})  # NaN becomes null
-
-    rows = ticks.select(F.col("event_type").alias("symbol"), "ts", "event_id", "value")
-    return rows.groupBy("symbol").applyInPandasWithState(step, "symbol string, event_id long, z double", "past array<double>", "append", "NoTimeout")
-
-
 def overlay_quotes(last_bars: DataFrame, quotes: DataFrame) -> DataFrame:
     """Last bar per symbol with a quote laid over it: same day widens it, a newer day begins a bar, an older one is ignored."""
     q = quotes.select(F.col("symbol").alias("__s"), F.col("ts").alias("__t"), F.col("price").alias("__p"))
