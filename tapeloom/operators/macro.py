@@ -34,12 +34,17 @@ def month_over_month(monthly: DataFrame) -> DataFrame:
 
 
 def baselines(series: DataFrame, order: str, alpha: float = 0.4, n: int = 6) -> DataFrame:
-    """Forecasts of each row from the rows before it: last, mean of n, exponential mean."""
+    """Forecasts of each month from those before it: last, mean of n, exponential mean, the same month a year ago.
+
+    The exponential mean is a recurrence in blocks, taken from the row before; the month a year ago is found by range.
+    """
+    from tapeloom.operators.states import recurrence
+
+    own = recurrence(series.withColumnsRenamed({"series_id": "symbol", order: "ts"}), "value", alpha, "__e").withColumnsRenamed({"symbol": "series_id", "ts": order})
     w = Window.partitionBy("series_id").orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    past = F.collect_list("value").over(before)
-    ewma = F.when(F.size(past) > 0, F.aggregate(past, F.element_at(past, 1), lambda a, x: alpha * x + (1 - alpha) * a))
-    return series.withColumns({"last": F.lag("value").over(w), "mean_n": F.avg("value").over(w.rowsBetween(-n, -1)), "ewma": ewma})
+    month = F.year(order) * 12 + F.month(order)
+    back = Window.partitionBy("series_id").orderBy(month).rangeBetween(-12, -12)
+    return own.withColumns({"last": F.lag("value").over(w), "mean_n": F.avg("value").over(w.rowsBetween(-n, -1)), "ewma": F.lag("__e").over(w), "year_ago": F.max("value").over(back)}).drop("__e")
 
 
 def regime(growth: Column, inflation: Column, stress: Column) -> Column:

@@ -159,3 +159,16 @@ def guarded(book: DataFrame, bench: DataFrame, *, target: float = 0.15, n: int =
     mark = F.when(F.col("__dd") >= stop, F.lit(False)).when(F.col("__dd") <= resume, F.lit(True))
     x = x.withColumn("invested", F.coalesce(F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     return x.withColumn("ret", F.when(F.col("invested"), F.col("__ret")).otherwise(0.0))
+
+
+def plan(targets: DataFrame, held: DataFrame, marks: DataFrame, *, dust: float = 0.0) -> DataFrame:
+    """(place, symbol, side, held, target, qty, notional): trades from held (symbol, held) to targets (symbol, target).
+
+    What is held but no target is sold whole; trades under ``dust`` at a known mark are left out; sells come before buys.
+    """
+    j = targets.join(held, "symbol", "full").join(marks, "symbol", "left").withColumns({"held": F.coalesce("held", F.lit(0)), "target": F.coalesce("target", F.lit(0))})
+    j = j.withColumn("delta", F.col("target") - F.col("held")).where(F.abs("delta") > 1e-9)
+    notional = F.abs("delta") * F.col("mark")
+    j = j.where(~F.coalesce((F.col("mark") > 0) & (notional < dust), F.lit(False)))
+    place = F.row_number().over(Window.orderBy(F.col("delta") > 0, "symbol"))  # a row a traded name
+    return j.select(place.alias("place"), "symbol", F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("side"), "held", "target", F.abs("delta").alias("qty"), F.round(notional, 4).alias("notional"))

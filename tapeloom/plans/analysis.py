@@ -143,13 +143,19 @@ def xs_industry_rotation(spark, sf):
     return x.select("symbol", "ts", F.round(one, 6).alias("rel_1m"), F.round(three, 6).alias("rel_3m"), F.round(one - three / 3, 6).alias("acceleration"))
 
 
-@query("WITH x AS (SELECT symbol, ts, event_id, net_value, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS n FROM flows WHERE value_kind = 'reported_value' AND confidence = 'high') SELECT symbol, round(sum(net_value), 4) AS net, CASE WHEN sum(net_value) > 0 THEN 'long' WHEN sum(net_value) < 0 THEN 'short' ELSE 'none' END AS direction FROM x WHERE n <= 5 GROUP BY 1 HAVING count(*) = 5")
+@query("""WITH x AS (SELECT symbol, ts, event_id, net_value, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS n FROM flows WHERE investor = 'view' AND value_kind = 'reported_value' AND confidence = 'high')
+    SELECT symbol, max(ts) AS as_of, round(sum(net_value), 4) AS score, CASE WHEN sum(net_value) > 0 THEN 'long' ELSE 'short' END AS direction FROM x WHERE n <= 5 GROUP BY 1 HAVING count(*) = 5""")
 def sig_foreign_flow(spark, sf):
+    return foreign_flow(src.flows(spark, sf), "view")
+
+
+def foreign_flow(flows, investor: str, lookback: int = 5):
+    """Net trusted flow of one investor over its last rows; the tables name no foreigners, so an event type stands for them."""
     from tapeloom.operators.catalog import trusted
 
-    x = xs.top(src.flows(spark, sf).where(trusted()), 5, [F.desc("ts"), F.desc("event_id")], "symbol")
-    g = x.groupBy("symbol").agg(F.sum("net_value").alias("net"), F.count("*").alias("n")).where("n = 5")
-    return g.select("symbol", F.round("net", 4).alias("net"), F.when(F.col("net") > 0, "long").when(F.col("net") < 0, "short").otherwise("none").alias("direction"))
+    x = xs.top(flows.where((F.col("investor") == investor) & trusted()), lookback, [F.desc("ts"), F.desc("event_id")], "symbol")
+    g = x.groupBy("symbol").agg(F.max("ts").alias("as_of"), F.sum("net_value").alias("net"), F.count("*").alias("n")).where(F.col("n") == lookback)
+    return g.select("symbol", "as_of", F.round("net", 4).alias("score"), F.when(F.col("net") > 0, "long").otherwise("short").alias("direction"))
 
 
 @query(f"WITH x AS (SELECT symbol, ts, CASE WHEN count(volume) OVER {rows(156)} = 156 THEN CASE WHEN max(volume) OVER {rows(156)} > min(volume) OVER {rows(156)} THEN (volume - min(volume) OVER {rows(156)}) / (max(volume) OVER {rows(156)} - min(volume) OVER {rows(156)}) * 100 ELSE 50 END END AS idx FROM bars_w) SELECT symbol, ts, CASE WHEN idx >= 90 THEN 'short' ELSE 'long' END AS direction, round(CASE WHEN idx >= 90 THEN idx - 90 ELSE 10 - idx END, 6) AS score FROM x WHERE idx >= 90 OR idx <= 10")
@@ -368,10 +374,11 @@ def mac_mom(spark, sf):
     return mac.month_over_month(monthly(spark, sf)).select("series_id", "month", *r("mom_pct", n=5))
 
 
-@query(f"""WITH RECURSIVE {MONTHLY}, o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month) AS n FROM mo), e AS (SELECT series_id, n, value AS e FROM o WHERE n = 1 UNION ALL SELECT o.series_id, o.n, 0.4 * o.value + 0.6 * e.e FROM e JOIN o ON o.series_id = e.series_id AND o.n = e.n + 1)
-    SELECT o.series_id, month, round(lag(value) OVER w, 4) AS last, round(avg(value) OVER (PARTITION BY o.series_id ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 4) AS mean_n, round(e.e, 4) AS ewma FROM o LEFT JOIN e ON e.series_id = o.series_id AND e.n = o.n - 1 WINDOW w AS (PARTITION BY o.series_id ORDER BY month)""")
+@query(f"""WITH RECURSIVE {MONTHLY}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month) AS n FROM mo), e AS (SELECT series_id, n, value AS e FROM o WHERE n = 1 UNION ALL SELECT o.series_id, o.n, 0.4 * o.value + 0.6 * e.e FROM e JOIN o ON o.series_id = e.series_id AND o.n = e.n + 1)
+    SELECT o.series_id, o.month, round(lag(o.value) OVER w, 4) AS last, round(avg(o.value) OVER (PARTITION BY o.series_id ORDER BY o.month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 4) AS mean_n, round(e.e, 4) AS ewma, round(y.value, 4) AS year_ago
+    FROM o LEFT JOIN e ON e.series_id = o.series_id AND e.n = o.n - 1 LEFT JOIN mo y ON y.series_id = o.series_id AND y.month = o.month - INTERVAL 12 MONTH WINDOW w AS (PARTITION BY o.series_id ORDER BY o.month)""")
 def mac_baselines(spark, sf):
-    return mac.baselines(monthly(spark, sf), "month").select("series_id", "month", *r("last", "mean_n", "ewma", n=4))
+    return mac.baselines(monthly(spark, sf), "month").select("series_id", "month", *r("last", "mean_n", "ewma", "year_ago", n=4))
 
 
 REG = f"{MONTHLY}, g AS (SELECT *, value / lag(value, 3) OVER w - 1 AS growth, value / lag(value, 12) OVER w - 1 AS infl, CASE WHEN value / max(value) OVER (PARTITION BY series_id ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) < 0.85 THEN 2 ELSE 0 END AS stress FROM mo WINDOW w AS (PARTITION BY series_id ORDER BY month)), l AS (SELECT series_id, month, CASE WHEN stress >= 2 THEN 'crisis' WHEN growth > 0 AND infl <= 0 THEN 'expansion' WHEN growth > 0 AND infl > 0 THEN 'reflation' WHEN growth <= 0 AND infl > 0 THEN 'stagflation' ELSE 'slowdown' END AS raw FROM g WHERE infl IS NOT NULL)"

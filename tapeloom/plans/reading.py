@@ -11,6 +11,7 @@ from tapeloom.functions import scalars as sc
 from tapeloom.functions import stats as st
 from tapeloom.operators import candles, gaps, macro as mac, portfolio as pf, reading as rd, risk as rk, signals as sg, states, valuation as val
 from tapeloom.operators import crosssection as xs
+from tapeloom.operators import exposure
 from tapeloom.operators import features as f
 from tapeloom.operators.pretrade import Policy, check
 from tapeloom.plans.analysis import AQR, FAIR, METRICS as METRICS_SQL, MONTHLY, RATIOS, REG, aqr, compounders, fair_rows, monthly, regimes
@@ -343,14 +344,36 @@ def pf_monthly_window(spark, sf):
     month_end = F.row_number().over(Window.partitionBy("symbol", F.trunc("ts", "month")).orderBy(F.desc("ts")))
     m = b.withColumn("n", month_end).where("n = 1 AND mom IS NOT NULL AND vol IS NOT NULL").withColumn("ts", F.trunc("ts", "month"))
     w = pf.capped(pf.inverse_vol(xs.top(m, 3, [F.desc("mom"), F.col("symbol")])), 0.5)
-    return w.groupBy("ts").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("ret"), F.count("*").alias("n"))
+    book = w.groupBy("ts").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("ret"), F.sort_array(F.collect_list(F.struct("symbol", "weight"))).alias("weights"))
+    rows = book.select(F.lit("book").alias("book"), "ts", "ret", F.lit(1.25).alias("base"), F.lit(True).alias("watch"), "weights")
+    return exposure.run(rows, ["book"], fee=0.0005).select("ts", "exposure", *r("turnover", "net", "equity", "drawdown"))
 
 
-@query(f"SELECT symbol, ts, CASE WHEN round(1 - close / max(close) OVER {rows(252)}, 9) > 0.2 THEN 0.0 WHEN round(1 - close / max(close) OVER {rows(252)}, 9) > 0.1 THEN 0.5 ELSE 1.0 END::DOUBLE AS drawdown_rule, CASE WHEN coalesce(round(close - CASE WHEN count(close) OVER {rows(200)} = 200 THEN avg(close) OVER {rows(200)} END, 6) > 0, true) THEN 1.0 ELSE 0.3 END::DOUBLE AS average_rule FROM bars_d")
+#: The market by month: mean and change of a 21-bar volatility index, drawdown from the 252-bar peak, and the next 21 bars of an equal book.
+MARKET = """WITH RECURSIVE br AS (SELECT ts, bench, bench / lag(bench) OVER w - 1 AS ret FROM bench_d WINDOW w AS (ORDER BY ts)), bv AS (SELECT *, CASE WHEN count(ret) OVER k >= 21 THEN stddev_samp(ret) OVER k * sqrt(252) * 10 END AS vix, bench / max(bench) OVER (ORDER BY ts ROWS 251 PRECEDING) - 1 AS fall FROM br WINDOW k AS (ORDER BY ts ROWS 20 PRECEDING)),
+    bm AS (SELECT *, avg(vix) OVER k AS mean, vix / first_value(vix) OVER k - 1 AS change FROM bv WINDOW k AS (ORDER BY ts ROWS 20 PRECEDING)), be AS (SELECT * FROM bm WHERE vix IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts DESC) = 1),
+    fw AS (SELECT symbol, ts, lead(close, 21) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS fwd FROM bars_d), bk AS (SELECT be.ts, any_value(mean) AS mean, any_value(change) AS change, any_value(fall) AS fall, avg(fwd) AS ret FROM be JOIN fw USING (ts) WHERE fwd IS NOT NULL GROUP BY 1),
+    ru AS (SELECT ts, ret, unnest([{'rule': 'baseline', 'base': 1.0, 'watch': false}, {'rule': 'vix25', 'base': CASE WHEN mean > 25 THEN 0.5 ELSE 1 END, 'watch': false}, {'rule': 'vix30', 'base': CASE WHEN mean > 30 THEN 0.5 ELSE 1 END, 'watch': false}, {'rule': 'gradient', 'base': greatest(0.3, least(1, 1 - (mean - 20) / 15.0 * 0.7)), 'watch': false}, {'rule': 'spike', 'base': CASE WHEN change > 0.4 THEN 0.5 ELSE 1 END, 'watch': false},
+        {'rule': 'market_dd5', 'base': CASE WHEN fall < -0.05 THEN 0.5 ELSE 1 END, 'watch': false}, {'rule': 'market_dd10', 'base': CASE WHEN fall < -0.1 THEN 0.5 ELSE 1 END, 'watch': false}, {'rule': 'port_trail10', 'base': 1.0, 'watch': true}, {'rule': 'combo', 'base': CASE WHEN fall < -0.08 THEN 0.5 ELSE 1 END, 'watch': true}], recursive := true) FROM bk),
+    ro AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts) AS n FROM ru),
+    eq AS (SELECT DISTINCT rule, 0::BIGINT AS n, NULL::DATE AS ts, 1.0::DOUBLE AS exposure, 1.0::DOUBLE AS equity, 1.0::DOUBLE AS peak FROM ro
+        UNION ALL SELECT rule, n, ts, x, equity * (1 + ret * x), peak FROM (SELECT ro.rule, ro.n, ro.ts, ro.ret, eq.equity, greatest(eq.peak, eq.equity) AS peak, CASE WHEN ro.watch AND eq.equity / greatest(eq.peak, eq.equity) - 1 < -0.1 THEN 0.5 ELSE ro.base END AS x FROM eq JOIN ro ON ro.rule = eq.rule AND ro.n = eq.n + 1))"""
+
+
+@query(f"{MARKET} SELECT rule, ts, round(exposure, 6)::DOUBLE AS exposure, round(equity, 6) AS equity FROM eq WHERE n > 0")
 def pf_exposure_rules(spark, sf):
-    b = src.daily(spark, sf).withColumn("dd", F.round(1 - F.col("close") / f.over(F.max("close"), 252), 9))
-    calm = F.round(F.col("close") - f.full(F.avg("close"), 200), 6) > 0
-    return b.select("symbol", "ts", F.when(F.col("dd") > 0.2, 0.0).when(F.col("dd") > 0.1, 0.5).otherwise(1.0).alias("drawdown_rule"), F.when(F.coalesce(calm, F.lit(True)), 1.0).otherwise(0.3).alias("average_rule"))
+    """All nine schedules over the same book; the tables have no volatility index, so the market's own volatility stands for it."""
+    w = Window.orderBy("ts")  # a row a date
+    b = src.benchmark(spark, sf, "day").withColumn("ret", F.col("bench") / F.lag("bench").over(w) - 1)
+    last = w.rowsBetween(-20, 0)
+    b = b.withColumns({"vix": F.when(F.count("ret").over(last) >= 21, F.stddev_samp("ret").over(last) * 252**0.5 * 10), "fall": F.col("bench") / F.max("bench").over(w.rowsBetween(-251, 0)) - 1})
+    b = b.withColumns({"mean": F.avg("vix").over(last), "change": F.col("vix") / F.first("vix").over(last) - 1}).where("vix IS NOT NULL")
+    end = b.withColumn("__n", F.row_number().over(Window.partitionBy(F.trunc("ts", "month")).orderBy(F.desc("ts")))).where("__n = 1")
+    ahead = src.daily(spark, sf).select("ts", (F.lead("close", 21).over(f.series()) / F.col("close") - 1).alias("fwd")).where("fwd IS NOT NULL")
+    book = end.join(ahead, "ts").groupBy("ts", "mean", "change", "fall").agg(F.avg("fwd").alias("ret"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), x.cast("double").alias("base"), F.lit(watch).alias("watch")) for k, (x, watch) in exposure.schedules(F.col("mean"), F.col("change"), F.col("fall")).items())))
+    rows = book.select("ts", "ret", each.alias("r")).select("ts", "ret", "r.*", F.lit(None).cast("array<struct<symbol:string,weight:double>>").alias("weights"))
+    return exposure.run(rows, ["rule"]).select("rule", "ts", *r("exposure", "equity"))
 
 
 @query(f"WITH {MONTHLY}, x AS (SELECT series_id, month, value / lag(value) OVER (PARTITION BY series_id ORDER BY month) - 1 AS ret FROM mo) SELECT series_id, month, round(ret, 6) AS ret, round(ret - 0.002 + greatest(0, -0.05 - ret), 6) AS with_put FROM x WHERE ret IS NOT NULL")

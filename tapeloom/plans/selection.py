@@ -130,9 +130,16 @@ def set_turnover(spark, sf):
     return xs.turnover(holdings(spark, sf)).select("ts", *r("turnover"))
 
 
-@query(f"{TURN} SELECT ts, round(sum(abs(c)), 6) AS turnover FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query(f"""{HOLD}, ye AS (SELECT max(ts) AS ts FROM h GROUP BY year(ts)), yn AS (SELECT ts, lead(ts) OVER (ORDER BY ts) AS nx FROM ye), pv AS (SELECT yn.ts, nx, symbol FROM yn JOIN h USING (ts) WHERE nx IS NOT NULL),
+    ls AS (SELECT pv.ts, nx, count(*) AS n, count(*) FILTER (c.symbol IS NULL) AS lost FROM pv LEFT JOIN h c ON c.ts = pv.nx AND c.symbol = pv.symbol GROUP BY 1, 2) SELECT ts, nx AS next_ts, n, lost, round(lost / n / (date_diff('day', ts, nx) / 365.25), 6) AS turnover FROM ls""")
 def set_top_turnover(spark, sf):
-    return xs.turnover(holdings(spark, sf)).select("ts", *r("turnover")).orderBy(F.desc("turnover"), "ts").limit(10)
+    """Names of a year's last list that the next year's lacks, over the list, per year between the two."""
+    h = holdings(spark, sf).select("ts", "symbol")
+    ends = h.groupBy(F.year("ts").alias("y")).agg(F.max("ts").alias("ts")).withColumn("next_ts", F.lead("ts").over(Window.orderBy("y"))).where("next_ts IS NOT NULL")  # a row a year
+    before = h.join(ends, "ts").select("ts", "next_ts", "symbol")
+    lost = before.join(h.select(F.col("ts").alias("next_ts"), "symbol"), ["next_ts", "symbol"], "left_anti").groupBy("ts").agg(F.count("*").alias("lost"))
+    x = before.groupBy("ts", "next_ts").agg(F.count("*").alias("n")).join(lost, "ts", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+    return x.select("ts", "next_ts", "n", "lost", F.round(F.col("lost") / F.col("n") / (F.datediff("next_ts", "ts") / 365.25), 6).alias("turnover"))
 
 
 @query(f"{HOLD} SELECT DISTINCT symbol FROM h UNION SELECT 'BENCH'")
@@ -298,9 +305,13 @@ def pf_weighted_return(spark, sf):
     return j.groupBy("ts").agg(F.round(F.sum(F.col("weight") * F.col("nxt")), 6).alias("strategy"), F.round(F.avg("nxt"), 6).alias("benchmark"))
 
 
-@query(f"{HOLD}, l AS (SELECT max(ts) AS ts FROM h) SELECT h.symbol, CAST(floor(1000000 * weight / close) AS BIGINT) AS shares, round(floor(1000000 * weight / close) * close, 4) AS value FROM h JOIN l USING (ts) JOIN bars_w USING (symbol, ts)")
+@query(f"""{HOLD}, l AS (SELECT max(ts) AS ts FROM h), pl AS (SELECT max(ts) AS ts FROM h WHERE ts < (SELECT ts FROM l)), mk AS (SELECT symbol, close AS mark FROM bars_w JOIN l USING (ts)), tg AS (SELECT symbol, floor(1000000 * weight / mark) AS target FROM h JOIN l USING (ts) JOIN mk USING (symbol)),
+    hd AS (SELECT symbol, floor(1000000 * weight / close) AS held FROM h JOIN pl USING (ts) JOIN bars_w USING (symbol, ts)), dl AS (SELECT symbol, coalesce(held, 0) AS held, coalesce(target, 0) AS target, coalesce(target, 0) - coalesce(held, 0) AS delta, mark FROM tg FULL JOIN hd USING (symbol) LEFT JOIN mk USING (symbol))
+    SELECT CAST(row_number() OVER (ORDER BY delta > 0, symbol) AS INT) AS place, symbol, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side, CAST(held AS BIGINT) AS held, CAST(target AS BIGINT) AS target, CAST(abs(delta) AS BIGINT) AS qty, round(abs(delta) * mark, 4) AS notional FROM dl WHERE delta <> 0 AND NOT coalesce(mark > 0 AND abs(delta) * mark < 500, false)""")
 def pf_targets(spark, sf):
-    h = holdings(spark, sf).select("ts", "symbol", "weight")
-    last = h.agg(F.max("ts").alias("ts"))
-    n = F.floor(1_000_000 * F.col("weight") / F.col("close"))
-    return h.join(last, "ts").join(src.weekly(spark, sf), ["symbol", "ts"]).select("symbol", n.alias("shares"), F.round(n * F.col("close"), 4).alias("value"))
+    """Whole-share targets of the last list against the shares of the list before: sells first, then buys, by symbol, without dust."""
+    h, bars = holdings(spark, sf).select("ts", "symbol", "weight"), src.weekly(spark, sf).select("symbol", "ts", "close")
+    two = h.select("ts").distinct().orderBy(F.desc("ts")).limit(2).withColumn("__k", F.row_number().over(Window.orderBy(F.desc("ts"))))
+    sized = h.join(F.broadcast(two), "ts").join(bars, ["symbol", "ts"]).withColumn("qty", F.floor(1_000_000 * F.col("weight") / F.col("close")))
+    marks = bars.join(F.broadcast(two.where("__k = 1")), "ts").select("symbol", F.col("close").alias("mark"))
+    return pf.plan(sized.where("__k = 1").select("symbol", F.col("qty").alias("target")), sized.where("__k = 2").select("symbol", F.col("qty").alias("held")), marks, dust=500.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators import catalog as c
@@ -184,11 +185,15 @@ def asof_join_fundamentals(spark, sf):
 SPARSE = "SELECT symbol, ts, close FROM bars_d WHERE day(ts) <= 3"
 
 
-@query(f"SELECT b.symbol, b.ts, CASE WHEN date_diff('day', s.ts, b.ts) <= 10 THEN s.close END AS mark FROM bars_d b ASOF LEFT JOIN ({SPARSE}) s ON b.symbol = s.symbol AND b.ts >= s.ts")
+@query(f"""WITH gp AS (SELECT symbol, date_diff('day', min(ts) FILTER (n = 1), min(ts) FILTER (n = 2)) AS gap FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars_w) GROUP BY 1)
+    SELECT b.symbol, b.ts, CASE WHEN date_diff('day', s.ts, b.ts) <= 2 * gap THEN s.close END AS mark FROM bars_w b JOIN gp USING (symbol) ASOF LEFT JOIN (SELECT symbol, ts, close FROM bars_w WHERE month(ts) % 2 = 0) s ON b.symbol = s.symbol AND b.ts >= s.ts""")
 def asof_join_stale(spark, sf):
-    b = src.daily(spark, sf).select("symbol", "ts", "close")
-    out = j.asof_backward(b.select("symbol", "ts"), b.where(F.dayofmonth("ts") <= 3), ("symbol",), "ts", "ts", ("close",))
-    return out.select("symbol", "ts", j.fresh(F.col("fact.close"), F.col("fact.known"), F.col("ts"), 10).alias("mark"))
+    """Records as of each bar, null where they are older than twice the gap between the series' first two bars."""
+    b = src.weekly(spark, sf).select("symbol", "ts", "close")
+    out = j.asof_backward(b.select("symbol", "ts"), b.where(F.month("ts") % 2 == 0), ("symbol",), "ts", "ts", ("close",))
+    w = Window.partitionBy("symbol").orderBy("ts")
+    gaps = b.withColumns({"__n": F.row_number().over(w), "__gap": F.datediff("ts", F.lag("ts").over(w))}).where("__n = 2").select("symbol", "__gap")
+    return out.join(gaps, "symbol", "left").select("symbol", "ts", F.when(F.datediff("ts", "fact.known") <= 2 * F.col("__gap"), F.col("fact.close")).alias("mark"))
 
 
 @query(f"SELECT b.symbol, b.ts, s.close AS mark, s.ts AS mark_ts FROM bars_d b ASOF JOIN ({SPARSE}) s ON b.symbol = s.symbol AND b.ts >= s.ts WHERE date_diff('day', s.ts, b.ts) <= 5")
