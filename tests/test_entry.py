@@ -27,7 +27,7 @@ def test_imports_with_and_without_the_training_data_folders(tmp_path):
     (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     after = names(copy)
     assert after[1] == 0 and after[0] >= 340
-    assert before == (after[0] + 11, 10) if had else before == after
+    assert before[1] >= 13 and before[0] == after[0] + before[1] + 1 if had else before == after
 
 
 def test_entry_runs(spark):
