@@ -5,9 +5,9 @@ length a shift table tells, for a block of BLOCK words, how far the search may j
 texts are read about every ninth word. Where the shift is 0 the block's bucket names the patterns that end with it,
 and direct comparison confirms an occurrence.
 
-A benchmark of at most ``part_bytes`` of text is broadcast. A larger one is dealt into files of about that size in the
-shared folder, by tasks; each task searches its texts, in stretches of HELD bytes, for one file after the other, and
-holds the tables of one.
+A benchmark of at most ``part_bytes`` of text is broadcast. A larger one is dealt into parts of about that size, whose
+tables tasks build once and write to the shared folder; each task searches its texts, in stretches of HELD bytes, for
+one part after the other, and holds the tables of one: arrays of a bounded size, about 20 times the part's text.
 
 Defined results: null or wordless texts have no words and no hits; very long texts are searched whole; an item without
 words can't occur; an item without an id hits words but is not listed; repeated items count once, and items of one id
@@ -17,11 +17,15 @@ benchmark no hits; columns named like a result are replaced.
 
 from __future__ import annotations
 
+import io
+import json
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,80 +44,122 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Search:
-    """Wu-Manber tables for the windows of one length."""
-
-    def __init__(self, length: int):
-        self.length, self.block = length, min(BLOCK, length)
-        self.shift: dict[bytes, int] = {}
-        self.bucket: dict[bytes, dict[bytes, set]] = {}
-        self.far = length - self.block + 1
-
-    def add(self, window: list[bytes], item) -> None:
-        for end in range(self.block, self.length + 1):
-            key = b" ".join(window[end - self.block : end])
-            self.shift[key] = min(self.shift.get(key, self.far), self.length - end)
-        self.bucket.setdefault(b" ".join(window[-self.block :]), {}).setdefault(b" ".join(window), set()).add(item)
+    """Wu-Manber tables for the windows of one length, as arrays.
+
+    shift: for each slot of a block's checksum the least jump of any block that falls into it; a shared slot only makes
+    a jump shorter. Windows are known by a sorted 64-bit hash, their place in the texts and their item; the text itself
+    confirms an occurrence. About 30 bytes a window and 8 to 16 a block's slot, beside the texts once.
+    """
+
+    def __init__(self, length: int, text: bytes, start: np.ndarray, end: np.ndarray, item: np.ndarray, key: np.ndarray, shift: np.ndarray):
+        self.length, self.block, self.far = length, min(BLOCK, length), length - min(BLOCK, length) + 1
+        self.text, self.start, self.end, self.item, self.key, self.shift = text, start, end, item, key, shift
+        self.mask = len(shift) - 1
+
+    @classmethod
+    def build(cls, length: int, items: list[tuple[int, list[bytes]]]) -> Search:
+        """Tables over (item, words); an item's text is kept once, its words joined by spaces."""
+        block = min(BLOCK, length)
+        n = sum(len(w) - length + 1 for _, w in items)
+        shift = np.full(1 << max(10, (8 * n * (length - block + 1)).bit_length() - 1), length - block + 1, np.uint8)
+        mask, parts, start, end, item, key, at = len(shift) - 1, [], [], [], [], [], 0
+        for number, words in items:
+            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            begins = np.concatenate([[0], ends[:-1] + 1])
+            text = b" ".join(words)
+            slots = np.fromiter((zlib.crc32(text[b:e]) & mask for b, e in zip(begins[: len(words) - block + 1].tolist(), ends[block - 1 :].tolist(), strict=True)), np.int64, len(words) - block + 1)
+            for jump in range(length - block + 1):  # a block that ends jump words before a window does
+                np.minimum.at(shift, slots[length - block - jump : len(slots) - jump], np.uint8(jump))
+            for b, e in zip(begins[: len(words) - length + 1].tolist(), ends[length - 1 :].tolist(), strict=True):
+                start.append(at + b)
+                end.append(at + e)
+                item.append(number)
+                key.append(xxhash.xxh64_intdigest(text[b:e]))
+            parts.append(text)
+            at += len(text)
+        order = np.argsort(np.array(key, np.uint64), kind="stable")
+        return cls(length, b"".join(parts), np.array(start, np.int64)[order], np.array(end, np.int64)[order], np.array(item, np.int32)[order], np.array(key, np.uint64)[order], shift)
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
         """(start, items) of every occurrence."""
-        end, n, get, far, two = self.length, len(words), self.shift.get, self.far, self.block == 2
+        end, n, shift, mask, crc, two = self.length, len(words), self.shift.data, self.mask, zlib.crc32, self.block == 2
         while end <= n:
-            key = words[end - 2] + b" " + words[end - 1] if two else words[end - 1]
-            jump = get(key, far)
+            jump = shift[crc(words[end - 2] + b" " + words[end - 1] if two else words[end - 1]) & mask]
             if jump:
                 end += jump
                 continue
-            items = self.bucket[key].get(b" ".join(words[end - self.length : end]))
+            window = b" ".join(words[end - self.length : end])
+            own = np.uint64(xxhash.xxh64_intdigest(window))
+            at = int(self.key.searchsorted(own))
+            items = set()
+            while at < len(self.key) and self.key[at] == own:
+                if self.text[self.start[at] : self.end[at]] == window:
+                    items.add(int(self.item[at]))
+                at += 1
             if items:
                 yield end - self.length, items
             end += 1
 
 
-def tables(items: list[tuple[int, bytes]]) -> list[Search]:
-    by: dict[int, Search] = {}
-    for item, text in items:
+def tables(items: list[tuple[str | None, bytes]]) -> tuple[list[str | None], list[Search]]:
+    """(ids, searches): the searches of every length of window, by the place of an item's id."""
+    ids = [i for i, _ in items]
+    by: dict[int, list] = {}
+    for number, (_, text) in enumerate(items):
         words = words_of(text)
-        size = min(WINDOW, len(words))
-        for at in range(len(words) - size + 1 if words else 0):
-            by.setdefault(size, Search(size)).add(words[at : at + size], item)
-    return list(by.values())
+        if words:
+            by.setdefault(min(WINDOW, len(words)), []).append((number, words))
+    return ids, [Search.build(size, own) for size, own in sorted(by.items())]
+
+
+def _saved(made: tuple[list[str | None], list[Search]]) -> bytes:
+    ids, searches = made
+    arrays = {f"{k}{c}": getattr(x, c) for k, x in enumerate(searches) for c in ("start", "end", "item", "key", "shift")}
+    arrays |= {f"{k}text": np.frombuffer(x.text, np.uint8) for k, x in enumerate(searches)} | {"lengths": np.array([x.length for x in searches], np.int64)}
+    names = json.dumps(ids).encode()
+    np.savez(out := io.BytesIO(), ids=np.frombuffer(names, np.uint8), **arrays)
+    return out.getvalue()
+
+
+def _loaded(data: bytes) -> tuple[list[str | None], list[Search]]:
+    with np.load(io.BytesIO(data)) as x:
+        searches = [Search(int(n), x[f"{k}text"].tobytes(), *(x[f"{k}{c}"] for c in ("start", "end", "item", "key", "shift"))) for k, n in enumerate(x["lengths"])]
+        return json.loads(x["ids"].tobytes()), searches
 
 
 def _files(items: DataFrame, n: int) -> list[str]:
-    """The items as n files in the shared folder, dealt by a hash of id and text."""
+    """The tables of the items in n files in the shared folder, dealt by a hash of id and text and built by tasks."""
     path = fresh_path(items.sparkSession, "benchmark")
 
     def run(batches):
         fs, base = filesystem(path)
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()
-        own, rows = f"{base}/_attempt-{task.taskAttemptId()}", 0
-        with fs.open_output_stream(own) as sink, pa.ipc.new_file(sink, pa.schema([("i", pa.string()), ("t", pa.binary())])) as out:
-            for b in batches:
-                out.write_batch(pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.binary())], names=["i", "t"]))
-                rows += b.num_rows
-        fs.move(own, name := f"{base}/part-{task.partitionId():07d}.arrow")
-        yield pa.RecordBatch.from_arrays([pa.array([name] if rows else [], pa.string())], names=["name"])
+        own = [(i, t) for b in batches for i, t in zip(b.column(0).cast(pa.string()).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True)]
+        if own:
+            with fs.open_output_stream(attempt := f"{base}/_attempt-{task.taskAttemptId()}") as sink:
+                sink.write(_saved(tables(own)))
+            fs.move(attempt, name := f"{base}/part-{task.partitionId():07d}.npz")
+        yield pa.RecordBatch.from_arrays([pa.array([name] if own else [], pa.string())], names=["name"])
 
     dealt = items.withColumn("__part", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int")).repartitionById(n, "__part").drop("__part")
     whole = path.split("://")[0] + "://" if "://" in path else ""
     return sorted((whole if whole != "file://" else "") + r["name"] for r in dealt.mapInArrow(run, "name string").collect())
 
 
-def _read(name: str) -> list[tuple[str | None, bytes]]:
+def _read(name: str) -> tuple[list[str | None], list[Search]]:
     fs, path = filesystem(name)
-    with fs.open_input_file(path) as source:
-        t = pa.ipc.open_file(source).read_all()
-    return list(zip(t.column("i").to_pylist(), t.column("t").to_pylist(), strict=True))
+    with fs.open_input_stream(path) as source:
+        return _loaded(source.read())
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", part_bytes: int = 4 << 20) -> DataFrame:
     """docs with n_words, n_hit and hit_items (ids as text, sorted)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("t IS NOT NULL").distinct()
     size = items.agg(F.sum(F.length("t") + 16)).first()[0] or 0
     if size <= part_bytes:  # a proven bound of what is collected and sent
         held = docs.sparkSession.sparkContext.broadcast([(r["i"], bytes(r["t"])) for r in items.collect()])
-        parts = [lambda: held.value]
+        parts = [lambda: tables(held.value)]
     else:
         parts = [partial(_read, name) for name in _files(items, -(-size // part_bytes))]
     names = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit_items")]
@@ -132,14 +178,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", part_
             yield held
 
     def run(batches):
-        only = tables(parts[0]()) if len(parts) == 1 else None
+        only = parts[0]() if len(parts) == 1 else None
         for held in stretches(batches):
             texts = [x for b in held for x in b.column(at).cast(pa.binary()).to_pylist()]
             marks: dict[int, np.ndarray] = {}
             items: dict[int, set] = {}
             counts = [0] * len(texts)
             for part in parts:
-                searches = only or tables(part())
+                ids, searches = only or part()
                 for i, text in enumerate(texts):
                     words = words_of(text)
                     counts[i] = len(words)
@@ -150,7 +196,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", part_
                                 mark = marks[i] = np.zeros(len(words) + 1, np.int32)
                             mark[start] += 1
                             mark[start + s.length] -= 1
-                            items.setdefault(i, set()).update(own)
+                            items.setdefault(i, set()).update(ids[k] for k in own)
             n_hit = [int((np.cumsum(marks[i]) > 0).sum()) if i in marks else 0 for i in range(len(texts))]
             listed = [sorted(items.get(i, set()) - {None}) for i in range(len(texts))]
             done = 0
