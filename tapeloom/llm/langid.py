@@ -7,7 +7,9 @@ shortest code wins (ties: the lower name), and its posterior under equal priors
 
 Learning reads about ``per_lang`` texts of each language, by a hash of their ids, and keeps every language and every
 context that occurs in them. The tree is kept sparse, as sorted strings of one to four bytes for each language, so
-its size follows the sample's text alone. Texts are coded by their different four-byte strings: each is priced once
+its size follows the sample's text alone. Counts of up to PART_STRINGS strings are collected and broadcast (16 bytes each);
+of more, groups of languages of that size are written to the shared folder by tasks, and the driver sees one row a
+language. Workers read the groups one after the other and keep those ready that fit HELD_STRINGS. Texts are coded by their different four-byte strings: each is priced once
 for all languages, and remembered by the worker for a while.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled text every
@@ -17,17 +19,22 @@ result are replaced.
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import held_out, slices, stash
+from tapeloom.llm.common import filesystem, fresh_path, held_out, slices, stash
 
 ORDER = 3
 PAD = b"\0" * ORDER
 BLOCK = 1 << 22  # bytes coded at once
-MEMO = 1 << 18  # strings whose prices a worker remembers, 4 bytes a language each
+MEMO_BYTES = 16 << 20  # prices that a worker remembers
+PRICED_BYTES = 64 << 20  # prices of one block: fewer bytes are coded at once where there are many languages
+PART_STRINGS, HELD_STRINGS = 1 << 21, 1 << 23  # strings that the driver collects, or a part holds; and that a worker keeps ready
 _TABLES: dict[str, Tables] = {}
 
 
@@ -51,8 +58,8 @@ def _grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return gram[own], sizes - ORDER
 
 
-def train(docs: DataFrame, *, per_lang: int = 400, seed: int = 7) -> dict:
-    """Frozen counts: arrays of (language, four-byte string, count); as large as the sample's different strings."""
+def train(docs: DataFrame, *, per_lang: int = 400, seed: int = 7, part_strings: int = PART_STRINGS) -> dict:
+    """Frozen counts of (language, four-byte string): arrays up to part_strings strings, else the files of groups of languages."""
 
     def grams(batches):
         """Counts of the four-byte strings per language; what a task holds is bounded by its batch."""
@@ -62,22 +69,63 @@ def train(docs: DataFrame, *, per_lang: int = 400, seed: int = 7) -> dict:
                 code, n = np.unique(_grams([PAD + x for k, x in zip(langs, texts, strict=True) if k == lang])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = sample(docs, per_lang=per_lang, seed=seed).select("lang", "text").mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang = np.array(counted.column("lang").to_pylist(), dtype=object)
-    gram, n = counted.column("gram").to_numpy(), counted.column("n").to_numpy()
-    langs = sorted(set(lang.tolist()))
+    counted = stash(sample(docs, per_lang=per_lang, seed=seed).select("lang", "text").mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm-counts")
+    sizes = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}  # a row a language
+    langs = sorted(sizes)
+    if sum(sizes.values()) > part_strings:
+        return _parted(counted, sizes, part_strings)
+    table = counted.toArrow()
+    lang = np.array(table.column("lang").to_pylist(), dtype=object)
+    gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
     of = np.searchsorted(langs, lang) if langs else np.zeros(0, np.int64)
     order = np.lexsort((gram, of))
     return {"langs": langs, "of": of[order].astype(np.int32), "gram": gram[order].astype(np.uint32), "n": n[order], "id": f"{len(gram)}-{int(n.sum())}-{int((gram * (n + 1) % 1_000_003).sum())}-{per_lang}"}
 
 
+def _parted(counted: DataFrame, sizes: dict[str, int], part_strings: int) -> dict:
+    """The model as files: neighbouring languages by groups of about part_strings strings, one language at least."""
+    groups: list[list[str]] = []
+    room = 0
+    for lang in sorted(sizes):
+        if not groups or room + sizes[lang] > part_strings:
+            groups.append([])
+            room = 0
+        groups[-1].append(lang)
+        room += sizes[lang]
+    spark, path = counted.sparkSession, fresh_path(counted.sparkSession, "ppm")
+    last = [r["b"] for r in counted.select(F.col("gram").bitwiseAND(255).cast("int").alias("b")).distinct().collect()]
+    known = np.zeros(256, bool)
+    known[last] = True
+    of = spark.createDataFrame([(x, g) for g, own in enumerate(groups) for x in own], "lang string, part int")
+
+    def save(t: pa.Table) -> pa.Table:
+        part = t.column("part")[0].as_py()
+        at = np.searchsorted(groups[part], np.array(t.column("lang").to_pylist(), object))
+        gram, n = t.column("gram").to_numpy(), t.column("n").to_numpy()
+        order = np.lexsort((gram, at))
+        np.savez(out := io.BytesIO(), of=at[order].astype(np.int32), gram=gram[order].astype(np.uint32), n=n[order])
+        fs, base = filesystem(path)
+        fs.create_dir(base, recursive=True)
+        own, name = f"{base}/_attempt-{part}-{uuid.uuid4().hex}", f"{base}/part-{part:07d}.npz"
+        with fs.open_output_stream(own) as sink:
+            sink.write(out.getvalue())
+        fs.move(own, name)
+        return pa.table({"part": pa.array([part], pa.int32()), "name": [name]})
+
+    whole = path.split("://")[0] + "://" if "://" in path and not path.startswith("file://") else ""
+    names = {r["part"]: whole + r["name"] for r in counted.join(F.broadcast(of), "lang").groupBy("part").applyInArrow(save, "part int, name string").collect()}
+    return {"langs": sorted(sizes), "known": known, "parts": [(own, names[g]) for g, own in enumerate(groups)]}
+
+
 class Tables:
     """Per language and order: the known strings with their costs, and the known contexts with their escapes."""
 
     def __init__(self, model: dict):
         gram, n, of = model["gram"], model["n"].astype(np.float64), model["of"]
-        known = np.zeros(256, bool)
-        known[gram & 255] = True
+        known = model.get("known")
+        if known is None:
+            known = np.zeros(256, bool)
+            known[gram & 255] = True
         self.symbol = np.where(known, np.arange(256), 0).astype(np.uint8)  # unknown bytes are alike, and like the padding
         parts = [self.symbol[(gram >> s) & 255].astype(np.uint32) << s for s in (24, 16, 8, 0)]
         gram = parts[0] | parts[1] | parts[2] | parts[3]
@@ -91,6 +139,9 @@ class Tables:
                 total, kinds = np.bincount(of_key, weights=count), np.bincount(of_key).astype(np.float64)
                 per.append((keys, np.log2((total + kinds)[of_key] / count), contexts, np.log2((total + kinds) / kinds)))
             self.orders.append(per)
+        self.strings = len(gram)
+        self.memo = MEMO_BYTES // (4 * (len(self.orders) + 1))
+        self.block = min(BLOCK, max(1 << 12, PRICED_BYTES // (4 * (len(self.orders) + 1))))
         self.seen, self.bits = np.zeros(0, np.uint32), np.zeros((len(self.orders), 0), np.float32)
 
     def price(self, grams: np.ndarray) -> np.ndarray:
@@ -115,7 +166,7 @@ class Tables:
         fresh = self.seen[at] != grams if len(self.seen) else np.ones(len(grams), bool)
         if fresh.any():
             new = np.sort(grams[fresh])
-            if len(self.seen) + len(new) > MEMO:
+            if len(self.seen) + len(new) > self.memo:
                 self.seen, self.bits = self.seen[:0], self.bits[:, :0]
                 new = np.sort(grams)
             both, bits = np.concatenate([self.seen, new]), np.concatenate([self.bits, self.price(new)], axis=1)
@@ -130,9 +181,9 @@ class Tables:
         held: list[tuple[int, bytes]] = []
         room = 0
         for i, text in enumerate(texts):
-            for at in range(0, len(text), BLOCK):
-                piece = (PAD if at == 0 else text[at - ORDER : at]) + text[at : at + BLOCK]
-                if room and room + len(piece) > BLOCK:
+            for at in range(0, len(text), self.block):
+                piece = (PAD if at == 0 else text[at - ORDER : at]) + text[at : at + self.block]
+                if room and room + len(piece) > self.block:
                     self._add(held, total)
                     held, room = [], 0
                 held.append((i, piece))
@@ -154,15 +205,30 @@ class Tables:
 
 
 def _tables(model: dict) -> Tables:
+    """Tables of a model, or of one part of it, kept ready while they fit."""
     if model["id"] not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model["id"]] = Tables(model)
+        made = Tables(model | _loaded(model["file"]) if "file" in model else model)
+        while _TABLES and made.strings + sum(t.strings for t in _TABLES.values()) > HELD_STRINGS:
+            _TABLES.pop(next(iter(_TABLES)))
+        _TABLES[model["id"]] = made
     return _TABLES[model["id"]]
 
 
+def _loaded(name: str) -> dict:
+    fs, path = filesystem(name)
+    with fs.open_input_stream(path) as source, np.load(io.BytesIO(source.read())) as x:
+        return {k: x[k] for k in ("of", "gram", "n")}
+
+
+def lengths(texts: list[bytes], model: dict) -> np.ndarray:
+    """bits[text, language] of whole texts, group of languages by group."""
+    parts = [{"langs": own, "known": model["known"], "file": name, "id": name} for own, name in model["parts"]] if "parts" in model else [model]
+    return np.concatenate([_tables(p).lengths(texts) for p in parts], axis=1)
+
+
 def code_lengths(text: bytes, model: dict) -> np.ndarray:
     """Bits of the whole text under each language."""
-    return _tables(model).lengths([text])[0]
+    return lengths([text], model)[0]
 
 
 def predict(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFrame:
@@ -174,12 +240,12 @@ def predict(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFram
 
     def run(batches):
         m = shared.value
-        for b in slices(batches, 4096):
+        for b in slices(batches, max(64, min(4096, (1 << 21) // max(1, len(m["langs"]))))):
             texts, letters = b.column(at).cast(pa.binary()).to_pylist(), b.column(len(names) - 1).to_numpy(zero_copy_only=False)
             pred, post = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
             some = np.flatnonzero(letters) if m["langs"] else np.zeros(0, int)
             if len(some):
-                bits = _tables(m).lengths([texts[i] for i in some])
+                bits = lengths([texts[i] for i in some], m)
                 best = bits.argmin(1)
                 pred[some] = np.array(m["langs"], object)[best]
                 post[some] = 1 / np.exp2(np.minimum(0, bits.min(1)[:, None] - bits)).sum(1)

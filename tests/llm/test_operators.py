@@ -498,6 +498,10 @@ def test_three_hundred_languages_keep_all_their_contexts(spark):
     assert all(int.from_bytes(("\0\0\0" + t).encode()[k : k + 4], "big") in known for i, _, t in rows if i in learnt for k in range(len(t)))
     got = langid.predict(docs, model).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got if r["lang"] in model["langs"]]) >= 0.95
+    parted = langid.train(docs, part_strings=500)  # groups of languages in files give the same codes
+    assert len(parted["parts"]) > 5 and parted["langs"] == model["langs"]
+    assert all(np.allclose(langid.code_lengths(t, parted), langid.code_lengths(t, model)) for t in (b"abc dcb", rows[7][2].encode()))
+    assert sorted(map(tuple, langid.predict(docs, parted).collect())) == sorted(map(tuple, got))
 
 
 def test_long_texts_cost_the_sum_of_their_bytes(spark, monkeypatch):
