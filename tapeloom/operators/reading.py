@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators import features as f
+from tapeloom.operators import gaps
 
 
 def double_tops(bars: DataFrame, *, side: str = "high", tolerance: float = 0.03, apart: int = 5, span: int = 10) -> DataFrame:
@@ -75,21 +76,33 @@ def votes(bars: DataFrame) -> DataFrame:
     return b.withColumns({"confluence": F.greatest("long_score", "short_score"), "direction": F.when(F.col("long_score") > F.col("short_score"), "long").when(F.col("long_score") < F.col("short_score"), "short").otherwise("none")})
 
 
-def decision(confluence: Column, veto: Column) -> Column:
-    return F.when(veto, "AVOID").when(confluence >= 60, "ACT").when(confluence >= 40, "WAIT").otherwise("AVOID")
+def retests(bars: DataFrame, zones: DataFrame, *, horizon: int = 30, multiples: tuple[float, ...] = (1.0, 1.5, 2.0), ahead: tuple[int, ...] = (6, 12, 24)) -> DataFrame:
+    """Trades of zones (of blocks.detect) entered at their middle by the first bar behind the candle that touches it.
 
-
-def target_or_stop(entries: DataFrame, bars: DataFrame, horizon: int = 20) -> DataFrame:
-    """entries (symbol, ts, entry, target, stop) with the first bar that meets either within ``horizon`` bars; the stop wins a tie."""
-    ahead = F.collect_list(F.struct("high", "low")).over(f.series().rowsBetween(1, horizon))  # at most horizon bars a row
-    j = entries.join(bars.withColumn("__next", ahead).select("symbol", "ts", "__next"), ["symbol", "ts"])
-    up = F.col("target") > F.col("entry")
+    The stop is the candle's far end, a target lies a multiple of that risk beyond; rr_<multiple * 10> is what a bar after
+    the entry meets first within ``horizon`` bars, the stop where one bar meets both; fwd_<n>: signed returns after n bars.
+    """
+    up, mid = F.col("direction") == "bullish", (F.col("bottom") + F.col("top")) / 2
+    z = zones.select("symbol", F.col("block_ts").alias("ts"), "direction", mid.alias("entry"), F.col("extreme").alias("stop"), "has_gap", "strength", F.col("ts").alias("__known"))
+    z = z.where(F.when(up, F.col("entry") > F.col("stop")).otherwise(F.col("stop") > F.col("entry")))
+    keys = ("direction", "entry", "stop", "has_gap", "strength", "__known")
+    hit = gaps.first_hits_by_side(z, bars, up, {"entry_ts": ([("low", "<=", F.col("entry"))], [("high", ">=", F.col("entry"))])}, keys).where("entry_ts IS NOT NULL").withColumnRenamed("ts", "block_ts")
+    next_ = F.collect_list(F.struct("high", "low")).over(f.series().rowsBetween(1, horizon))  # at most horizon bars a row
+    b = bars.withColumn("__next", next_).withColumns({f"__c{n}": F.lead("close", n).over(f.series()) for n in ahead}).select("symbol", F.col("ts").alias("entry_ts"), "__next", *(f"__c{n}" for n in ahead))
+    j = hit.join(b, ["symbol", "entry_ts"])
+    sign = F.when(up, 1).otherwise(-1)
     at = lambda test: F.array_min(F.filter(F.transform("__next", lambda x, i: F.when(test(x), i + 1)), lambda i: i.isNotNull()))
-    hit = at(lambda x: F.when(up, x["high"] >= F.col("target")).otherwise(x["low"] <= F.col("target")))
     lost = at(lambda x: F.when(up, x["low"] <= F.col("stop")).otherwise(x["high"] >= F.col("stop")))
-    g = j.withColumns({"target_bar": hit, "stop_bar": lost}).drop("__next").distinct()
-    out = F.when(F.col("stop_bar").isNotNull() & (F.col("target_bar").isNull() | (F.col("stop_bar") <= F.col("target_bar"))), "stop").when(F.col("target_bar").isNotNull(), "target").otherwise("open")
-    return g.withColumn("outcome", out)
+    out = {}
+    for m in multiples:
+        target = F.col("entry") + m * (F.col("entry") - F.col("stop"))
+        won = _first_target(target, up, at)
+        out[f"rr_{int(m * 10)}"] = F.when(lost.isNotNull() & (won.isNull() | (lost <= won)), "stop").when(won.isNotNull(), "target").otherwise("timeout")
+    return j.withColumns(out | {f"fwd_{n}": sign * (F.col(f"__c{n}") / F.col("entry") - 1) for n in ahead})
+
+
+def _first_target(target: Column, up: Column, at) -> Column:
+    return at(lambda x: F.when(up, x["high"] >= target).otherwise(x["low"] <= target))
 
 
 def obv_divergence(bars: DataFrame, *, period: int = 20, lookback: int = 20) -> DataFrame:

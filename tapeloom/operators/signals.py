@@ -149,17 +149,19 @@ def half_life(series: DataFrame, by: list[str], value: str) -> DataFrame:
     return s.groupBy(*by).agg(F.when(slope < 0, -F.log(F.lit(2.0)) / slope).alias("half_life"))
 
 
-def technical_profile(bars: DataFrame) -> DataFrame:
-    """Distances, momenta, volatility and drawdown of each series at its last bar."""
-    b = f.realized_vol(f.high_proximity(bars), 63)
+def technical_profile(bars: DataFrame, bench: DataFrame) -> DataFrame:
+    """Distances, momenta, volatility, drawdown and beta against bench (ts, bench) of each series at its last bar."""
+    b = f.realized_vol(f.high_proximity(bars.join(bench.select("ts", "bench"), "ts")), 63)
+    b = b.withColumns({"__y": F.col("close") / f.lag("close") - 1, "__x": F.col("bench") / f.lag("bench") - 1})
+    b = b.withColumn("beta", f.over(F.covar_pop("__y", "__x"), 252) / F.nullif(f.over(F.var_pop("__x"), 252), F.lit(0.0)))
     b = b.withColumns({"from_low": F.col("close") / f.over(F.min("close"), 252) - 1, "mom_12_1": f.lag("close", 21) / f.lag("close", 252) - 1, "mom_3m": F.col("close") / f.lag("close", 63) - 1, "mom_1m": F.col("close") / f.lag("close", 21) - 1, "dd": 1 - F.col("close") / f.over(F.max("close"), 252)})
     b = b.withColumn("max_dd", f.over(F.max("dd"), 252)).withColumn("__n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts"))))
     return b.where("__n = 1").drop("__n", "dd")
 
 
 def level_percentile(bars: DataFrame, n: int = 252, least: int = 60) -> DataFrame:
-    """Share of the last n closes at or under today's, and the distance from the 200-bar mean."""
+    """Share of the last n closes at or under today's, distances from the 200-bar mean, the n-bar high and the 60-bar low."""
     past = F.collect_list("close").over(f.last(n))
     share = F.size(F.filter("__past", lambda x: x <= F.col("close"))) / F.size("__past")
     b = bars.withColumn("__past", past).withColumn("percentile", F.when(F.size("__past") >= least, share)).drop("__past")
-    return b.withColumn("ma_distance", F.col("close") / f.full(F.avg("close"), 200) - 1)
+    return b.withColumns({"ma_distance": F.col("close") / f.full(F.avg("close"), 200) - 1, "drawdown": F.col("close") / f.over(F.max("close"), n) - 1, "off_low": F.col("close") / f.over(F.min("close"), 60) - 1})

@@ -132,15 +132,22 @@ def xs_latest_prior_fact(spark, sf):
     return q.where("n = 1").select("symbol", "period_end", *r("latest", "prior", n=2), F.round(F.col("latest") / F.col("prior") - 1, 6).alias("growth"))
 
 
-@query(f"""WITH b AS (SELECT ts, bench / lag(bench, 4) OVER (ORDER BY ts) - 1 AS b1, bench / lag(bench, 13) OVER (ORDER BY ts) - 1 AS b3 FROM bench_w), s AS (SELECT symbol, ts, close / lag(close, 4) OVER ({S}) - 1 AS s1, close / lag(close, 13) OVER ({S}) - 1 AS s3 FROM bars_w)
-    SELECT symbol, ts, round(s1 - b1, 6) AS rel_1m, round(s3 - b3, 6) AS rel_3m, round((s1 - b1) - (s3 - b3) / 3, 6) AS acceleration FROM s JOIN b USING (ts) WHERE s3 IS NOT NULL AND b3 IS NOT NULL""")
+@query(f"""WITH b AS (SELECT ts, bench / lag(bench, 4) OVER w - 1 AS b1, bench / lag(bench, 13) OVER w - 1 AS b3, bench / lag(bench, 26) OVER w - 1 AS b6 FROM bench_w WINDOW w AS (ORDER BY ts)), s AS (SELECT symbol, ts, close / lag(close, 4) OVER ({S}) - 1 AS s1, close / lag(close, 13) OVER ({S}) - 1 AS s3, close / lag(close, 26) OVER ({S}) - 1 AS s6 FROM bars_w),
+    x AS (SELECT symbol, ts, 100 * (s1 - b1) AS r1, 100 * (s3 - b3) AS r3, 100 * (s6 - b6) AS r6, 100 * (s1 - s3 / 3) AS acc FROM s JOIN b USING (ts) WHERE s6 IS NOT NULL AND b6 IS NOT NULL), y AS (SELECT *, round(r1 * 0.25 + r3 * 0.40 + r6 * 0.35, 6) AS leadership, round(r1 * 0.45 + acc * 0.30 + r3 * 0.20 - greatest(r6, 0) * 0.05, 6) AS next_leader FROM x)
+    SELECT symbol, ts, round(r1, 6) AS rel_1m, round(r3, 6) AS rel_3m, round(r6, 6) AS rel_6m, round(acc, 6) AS acceleration, leadership, next_leader, CASE WHEN leadership > 10 THEN 'established' WHEN next_leader > 4 AND round(acc, 6) > 0 THEN 'emerging' WHEN leadership > 0 THEN 'positive' WHEN round(acc, 6) > 0 THEN 'improving' ELSE 'lagging' END AS read FROM y""")
 def xs_industry_rotation(spark, sf):
-    w = Window.orderBy("ts")
-    b = src.benchmark(spark, sf).select("ts", *((F.col("bench") / F.lag("bench", k).over(w) - 1).alias(n) for k, n in ((4, "b1"), (13, "b3"))))
-    s = src.weekly(spark, sf).select("symbol", "ts", *((F.col("close") / f.lag("close", k) - 1).alias(n) for k, n in ((4, "s1"), (13, "s3"))))
-    x = s.join(b, "ts").where("s3 IS NOT NULL AND b3 IS NOT NULL")
-    one, three = F.col("s1") - F.col("b1"), F.col("s3") - F.col("b3")
-    return x.select("symbol", "ts", F.round(one, 6).alias("rel_1m"), F.round(three, 6).alias("rel_3m"), F.round(one - three / 3, 6).alias("acceleration"))
+    w = Window.orderBy("ts")  # a row a date
+    back = ((4, "1"), (13, "3"), (26, "6"))
+    b = src.benchmark(spark, sf).select("ts", *((F.col("bench") / F.lag("bench", k).over(w) - 1).alias(f"b{n}") for k, n in back))
+    s = src.weekly(spark, sf).select("symbol", "ts", *((F.col("close") / f.lag("close", k) - 1).alias(f"s{n}") for k, n in back))
+    x = s.join(b, "ts").where("s6 IS NOT NULL AND b6 IS NOT NULL")
+    one, three, six = (100 * (F.col(f"s{n}") - F.col(f"b{n}")) for n in "136")
+    acc = 100 * (F.col("s1") - F.col("s3") / 3)
+    lead, new = F.round(one * 0.25 + three * 0.40 + six * 0.35, 6), F.round(one * 0.45 + acc * 0.30 + three * 0.20 - F.greatest(six, F.lit(0.0)) * 0.05, 6)
+    x = x.select("symbol", "ts", F.round(one, 6).alias("rel_1m"), F.round(three, 6).alias("rel_3m"), F.round(six, 6).alias("rel_6m"), F.round(acc, 6).alias("acceleration"), lead.alias("leadership"), new.alias("next_leader"))
+    grows = F.col("acceleration") > 0
+    read = F.when(F.col("leadership") > 10, "established").when((F.col("next_leader") > 4) & grows, "emerging").when(F.col("leadership") > 0, "positive").when(grows, "improving").otherwise("lagging")
+    return x.withColumn("read", read)
 
 
 @query("""WITH x AS (SELECT symbol, ts, event_id, net_value, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) AS n FROM flows WHERE investor = 'view' AND value_kind = 'reported_value' AND confidence = 'high')

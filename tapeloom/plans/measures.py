@@ -244,10 +244,14 @@ def agg_wilson(spark, sf):
     return g.select("user_id", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("SELECT c_nationkey, round(sum(abs(v)) / 1e6, 6) AS gross, round(sum(v) / 1e6, 6) AS net, round(sum(greatest(v, 0)) / 1e6, 6) AS long, round(sum(least(v, 0)) / 1e6, 6) AS short FROM (SELECT c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN -c_acctbal ELSE c_acctbal END AS v FROM customer) GROUP BY 1")
+@query("""WITH p AS (SELECT c_nationkey, c_custkey, c_mktsegment AS sector, CASE WHEN c_custkey % 3 = 0 THEN -c_acctbal ELSE c_acctbal END / 1e6 AS w FROM customer), s AS (SELECT c_nationkey, sector, sum(abs(w)) AS w FROM p GROUP BY 1, 2), t AS (SELECT c_nationkey, arg_max(sector, (w, sector)) AS top_sector, max(w) AS sector_weight FROM s GROUP BY 1)
+    SELECT c_nationkey, round(sum(abs(w)), 6) AS gross, round(sum(w), 6) AS net, round(sum(greatest(w, 0)), 6) AS long, round(sum(least(w, 0)), 6) AS short, arg_max(c_custkey, (abs(w), -c_custkey)) AS top_name, round(max(abs(w)), 6) AS top_weight, any_value(top_sector) AS top_sector, round(any_value(sector_weight), 6) AS sector_weight FROM p JOIN t USING (c_nationkey) GROUP BY 1""")
 def agg_exposure(spark, sf):
     v = F.when(F.col("c_custkey") % 3 == 0, -F.col("c_acctbal")).otherwise(F.col("c_acctbal"))
-    return src.read(spark, sf, "customer").groupBy("c_nationkey").agg(*a.exposure(v, F.lit(1e6))).select("c_nationkey", *r("gross", "net", "long", "short"))
+    c, size = src.read(spark, sf, "customer"), F.abs(v) / 1e6
+    g = c.groupBy("c_nationkey").agg(*a.exposure(v, F.lit(1e6)), F.max_by("c_custkey", F.struct(size, -F.col("c_custkey"))).alias("top_name"), F.max(size).alias("top_weight"))
+    s = c.groupBy("c_nationkey", F.col("c_mktsegment").alias("sector")).agg(F.sum(size).alias("w")).groupBy("c_nationkey").agg(F.max_by("sector", F.struct("w", "sector")).alias("top_sector"), F.max("w").alias("sector_weight"))
+    return g.join(s, "c_nationkey").select("c_nationkey", *r("gross", "net", "long", "short"), "top_name", *r("top_weight"), "top_sector", *r("sector_weight"))
 
 
 @query(f"WITH x AS (SELECT symbol, ts, close, " + ", ".join(f"round((close / coalesce(lag(close, {k}) OVER ({S}), first_value(close) OVER ({S})) - 1) * 100, 6) AS ret_{k}" for k in (21, 63, 126)) + " FROM bars_d) SELECT symbol, ret_21, ret_63, ret_126 FROM x QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")

@@ -11,7 +11,7 @@ from tapeloom.functions import scalars as sc
 from tapeloom.functions import stats as st
 from tapeloom.operators import candles, gaps, macro as mac, portfolio as pf, reading as rd, risk as rk, signals as sg, states, valuation as val
 from tapeloom.operators import crosssection as xs
-from tapeloom.operators import exposure
+from tapeloom.operators import blocks, exposure
 from tapeloom.operators import features as f
 from tapeloom.operators.pretrade import Policy, check
 from tapeloom.plans.analysis import AQR, FAIR, METRICS as METRICS_SQL, MONTHLY, RATIOS, REG, aqr, compounders, fair_rows, monthly, regimes
@@ -20,6 +20,7 @@ from tapeloom.plans.chart import panel
 from tapeloom.plans.market import PROFILE, exact_cdf, ncdf, profile
 from tapeloom.plans.registry import query
 from tapeloom.plans.selection import HOLD, MOM
+from tapeloom.plans.structure import BLOCKS
 from tapeloom.plans.windows import S, _pivot_sql, r, rows
 from tapeloom.sources import adapters as src
 from tapeloom.streaming.live import written
@@ -202,16 +203,19 @@ def st_promotion_gate(spark, sf):
     return m.select("symbol", F.concat_ws(",", reasons).alias("reasons"), (F.size(reasons) == 0).alias("promoted"))
 
 
-@query(f"""{GAP}, tr AS (SELECT *, row_number() OVER ({S}) AS k, CASE WHEN lag(close) OVER ({S}) IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER ({S})), abs(low - lag(close) OVER ({S}))) END AS tr1 FROM bars_d), ar AS (SELECT *, avg(tr1) OVER {rows(14)} AS atr FROM tr),
-    e AS (SELECT g.symbol, g.ts, g.direction = 'bullish' AS up, ar.k, close AS entry, close + CASE WHEN g.direction = 'bullish' THEN 2 ELSE -2 END * ar.atr AS target, close - CASE WHEN g.direction = 'bullish' THEN 1 ELSE -1 END * ar.atr AS stop FROM g JOIN ar USING (symbol, ts)),
-    h AS (SELECT e.symbol, e.ts, e.entry, e.target, e.stop, min(b.k - e.k) FILTER (CASE WHEN up THEN b.high >= target ELSE b.low <= target END) AS target_bar, min(b.k - e.k) FILTER (CASE WHEN up THEN b.low <= stop ELSE b.high >= stop END) AS stop_bar FROM e LEFT JOIN ar b ON b.symbol = e.symbol AND b.k > e.k AND b.k <= e.k + 20 GROUP BY ALL)
-    SELECT symbol, ts, round(entry, 5) AS entry, round(target, 4) AS target, round(stop, 4) AS stop, target_bar, stop_bar, CASE WHEN stop_bar IS NOT NULL AND (target_bar IS NULL OR stop_bar <= target_bar) THEN 'stop' WHEN target_bar IS NOT NULL THEN 'target' ELSE 'open' END AS outcome FROM h""")
+RETEST = f"""{BLOCKS}, okn AS (SELECT ok.*, s.n AS bn, (bottom + top) / 2 AS mid FROM ok JOIN sw s ON s.symbol = ok.symbol AND s.ts = ok.block_ts),
+    en AS (SELECT o.symbol, o.block_ts, o.ts, o.direction, o.mid, o.extreme, o.has_gap, o.strength, CASE o.direction WHEN 'bullish' THEN 1 ELSE -1 END AS sign, min(b.n) AS k FROM okn o JOIN sw b ON b.symbol = o.symbol AND b.n > o.bn AND CASE o.direction WHEN 'bullish' THEN b.low <= o.mid ELSE b.high >= o.mid END WHERE CASE o.direction WHEN 'bullish' THEN o.mid > o.extreme ELSE o.extreme > o.mid END GROUP BY ALL),
+    oc2 AS (SELECT e.*, rr, min(b.n) FILTER (CASE sign WHEN 1 THEN b.low <= extreme ELSE b.high >= extreme END) AS lost, min(b.n) FILTER (CASE sign WHEN 1 THEN b.high >= mid + rr * (mid - extreme) ELSE b.low <= mid + rr * (mid - extreme) END) AS won FROM en e CROSS JOIN (SELECT unnest([1.0, 1.5, 2.0]) AS rr) LEFT JOIN sw b ON b.symbol = e.symbol AND b.n > e.k AND b.n <= e.k + 30 GROUP BY ALL),
+    rs AS (SELECT symbol, block_ts, ts, direction, mid, extreme, has_gap, strength, sign, k, map_from_entries(list((rr, CASE WHEN lost IS NOT NULL AND (won IS NULL OR lost <= won) THEN 'stop' WHEN won IS NOT NULL THEN 'target' ELSE 'timeout' END))) AS o FROM oc2 GROUP BY ALL)
+    SELECT rs.symbol, block_ts, direction, b.ts AS entry_ts, round(mid, 6) AS entry, round(extreme, 6) AS stop, has_gap, strength, o[1.0] AS rr_10, o[1.5] AS rr_15, o[2.0] AS rr_20, round(sign * (c.close / mid - 1), 6) AS fwd_6, round(sign * (d.close / mid - 1), 6) AS fwd_12, round(sign * (e.close / mid - 1), 6) AS fwd_24
+    FROM rs JOIN sw b ON b.symbol = rs.symbol AND b.n = k LEFT JOIN sw c ON c.symbol = rs.symbol AND c.n = k + 6 LEFT JOIN sw d ON d.symbol = rs.symbol AND d.n = k + 12 LEFT JOIN sw e ON e.symbol = rs.symbol AND e.n = k + 24"""
+
+
+@query(RETEST)
 def st_event_study(spark, sf):
-    b = f.atr(src.daily(spark, sf))
-    z = gaps.detect(src.daily(spark, sf)).join(b.select("symbol", "ts", "close", "atr_prefix"), ["symbol", "ts"])
-    sign = F.when(F.col("direction") == "bullish", 1).otherwise(-1)
-    e = z.select("symbol", "ts", F.col("close").alias("entry"), (F.col("close") + sign * 2 * F.col("atr_prefix")).alias("target"), (F.col("close") - sign * F.col("atr_prefix")).alias("stop"))
-    return rd.target_or_stop(e, src.daily(spark, sf)).select("symbol", "ts", *r("entry", n=5), *r("target", "stop", n=4), F.col("target_bar").cast("long").alias("target_bar"), F.col("stop_bar").cast("long").alias("stop_bar"), "outcome")
+    """Order blocks entered at the first retest of their middle: the target or the stop first within 30 bars, and signed returns."""
+    b = src.daily(spark, sf)
+    return rd.retests(b, blocks.detect(b)).select("symbol", "block_ts", "direction", "entry_ts", *r("entry", "stop"), "has_gap", "strength", "rr_10", "rr_15", "rr_20", *r("fwd_6", "fwd_12", "fwd_24"))
 
 
 @query("SELECT symbol, period_end, round(revenue, 2) AS revenue FROM fund_q QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY md5('7' || symbol || CAST(period_end AS VARCHAR)), period_end) <= greatest(1, round(0.6 * count(*) OVER (PARTITION BY symbol)))")

@@ -124,14 +124,16 @@ def w_rolling_corr(spark, sf):
 
 
 @query(f"""WITH q AS (SELECT *, close / lag(close) OVER ({S}) - 1 AS rt, 1 - close / max(close) OVER {rows(252)} AS dd FROM bars_d), p AS (SELECT symbol, ts, close / max(close) OVER {rows(252)} AS high_proximity, close / min(close) OVER {rows(252)} - 1 AS from_low, lag(close, 21) OVER ({S}) / lag(close, 252) OVER ({S}) - 1 AS mom_12_1, close / lag(close, 63) OVER ({S}) - 1 AS mom_3m, close / lag(close, 21) OVER ({S}) - 1 AS mom_1m, stddev_samp(rt) OVER {rows(63)} * sqrt(252) AS vol, max(dd) OVER {rows(252)} AS max_dd FROM q)
-    SELECT symbol, round(high_proximity, 6) AS high_proximity, round(from_low, 6) AS from_low, round(mom_12_1, 6) AS mom_12_1, round(mom_3m, 6) AS mom_3m, round(mom_1m, 6) AS mom_1m, round(vol, 6) AS vol, round(max_dd, 6) AS max_dd FROM p QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1""")
+, bt AS (SELECT symbol, ts, covar_pop(y, x) OVER {rows(252)} / nullif(var_pop(x) OVER {rows(252)}, 0) AS beta FROM (SELECT symbol, ts, close / lag(close) OVER ({S}) - 1 AS y, bench / lag(bench) OVER ({S}) - 1 AS x FROM bars_d JOIN bench_d USING (ts)))
+    SELECT symbol, round(high_proximity, 6) AS high_proximity, round(from_low, 6) AS from_low, round(mom_12_1, 6) AS mom_12_1, round(mom_3m, 6) AS mom_3m, round(mom_1m, 6) AS mom_1m, round(vol, 6) AS vol, round(max_dd, 6) AS max_dd, round(beta, 6) AS beta FROM p JOIN bt USING (symbol, ts) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1""")
 def w_technical_profile(spark, sf):
-    return sg.technical_profile(src.daily(spark, sf)).withColumnRenamed("vol_sample", "vol").select("symbol", *r("high_proximity", "from_low", "mom_12_1", "mom_3m", "mom_1m", "vol", "max_dd"))
+    x = sg.technical_profile(src.daily(spark, sf), src.benchmark(spark, sf, "day")).withColumnRenamed("vol_sample", "vol")
+    return x.select("symbol", *r("high_proximity", "from_low", "mom_12_1", "mom_3m", "mom_1m", "vol", "max_dd", "beta"))
 
 
-@query(f"WITH l AS (SELECT symbol, ts, close, list(close) OVER {rows(252)} AS past, CASE WHEN count(close) OVER {rows(200)} = 200 THEN avg(close) OVER {rows(200)} END AS ma FROM bars_d) SELECT symbol, ts, round(CASE WHEN len(past) >= 60 THEN len(list_filter(past, lambda x: x <= close)) / len(past) END, 6) AS percentile, round(close / ma - 1, 6) AS ma_distance FROM l")
+@query(f"WITH l AS (SELECT symbol, ts, close, list(close) OVER {rows(252)} AS past, CASE WHEN count(close) OVER {rows(200)} = 200 THEN avg(close) OVER {rows(200)} END AS ma FROM bars_d) SELECT symbol, ts, round(CASE WHEN len(past) >= 60 THEN len(list_filter(past, lambda x: x <= close)) / len(past) END, 6) AS percentile, round(close / ma - 1, 6) AS ma_distance, round(close / list_max(past) - 1, 6) AS drawdown, round(close / list_min(past[-60:]) - 1, 6) AS off_low FROM l")
 def w_vix_percentile(spark, sf):
-    return sg.level_percentile(src.daily(spark, sf)).select("symbol", "ts", *r("percentile", "ma_distance"))
+    return sg.level_percentile(src.daily(spark, sf)).select("symbol", "ts", *r("percentile", "ma_distance", "drawdown", "off_low"))
 
 
 @query(f"""WITH RECURSIVE t AS MATERIALIZED (SELECT symbol, ts, tr, row_number() OVER ({S}) AS n, avg(tr) OVER {rows(14)} AS seed FROM ({TR})), w AS (SELECT symbol, n, seed AS atr FROM t WHERE n = 14 UNION ALL SELECT t.symbol, t.n, w.atr + (t.tr - w.atr) / 14 FROM w JOIN t ON t.symbol = w.symbol AND t.n = w.n + 1)
