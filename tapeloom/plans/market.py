@@ -43,19 +43,27 @@ def obk_depth(spark, sf):
     return src.book(spark, sf).where("close > 0").select("symbol", "ts", ob.depth(F.col("bids"), F.col("close"), 0.0055).alias("bid_depth"), ob.depth(F.col("asks"), F.col("close"), 0.0055).alias("ask_depth"))
 
 
-@query("WITH m AS (SELECT *, (bids[1].price + asks[1].price) / 2 AS mid, list_median(list_transform(asks, lambda x: x.size)) AS med FROM book), e AS (SELECT symbol, ts, mid, med, unnest(asks) AS x FROM m) SELECT symbol, ts, 'asks' AS side, x.price AS price, x.size AS size, abs(x.price - mid) > 0.008 * mid AS suspect FROM e WHERE x.size > 1.7 * med")
+def _walls(times: float, far: float) -> str:
+    side = lambda k: f"list_filter({k}, lambda x: x.size > {times} * list_median(list_transform({k}, lambda y: y.size)))"
+    seen = lambda k: f"CASE WHEN {k}0 IS NULL THEN false ELSE NOT list_contains({k}0, x.price) END"
+    made = lambda k: f"list_transform({k}w, lambda x: {{'side': '{k}', 'price': x.price, 'size': x.size, 'suspect': abs(x.price - mid) > {far} * mid OR {seen(k)}}})"
+    return f"""wa AS (SELECT *, (bids[1].price + asks[1].price) / 2 AS mid, {side('bids')} AS bidsw, {side('asks')} AS asksw FROM book),
+    wb AS (SELECT *, lag(list_transform(bidsw, lambda x: x.price)) OVER ({S}) AS bids0, lag(list_transform(asksw, lambda x: x.price)) OVER ({S}) AS asks0 FROM wa), wl AS (SELECT *, list_concat({made('bids')}, {made('asks')}) AS walls FROM wb)"""
+
+
+@query(f"WITH {_walls(1.7, 0.008)}, e AS (SELECT symbol, ts, unnest(walls) AS x FROM wl) SELECT symbol, ts, x.side AS side, x.price AS price, x.size AS size, x.suspect AS suspect FROM e")
 def obk_walls(spark, sf):
-    return ob.walls(src.book(spark, sf), times=1.7, far=0.008)
+    return ob.walls(src.book(spark, sf), times=1.7, far=0.008).select("symbol", "ts", F.explode("walls").alias("w")).select("symbol", "ts", "w.*")
 
 
-@query(f"""WITH x AS (SELECT symbol, ts, {_obi(5, 0.5)} AS obi FROM book WHERE close > 0), z AS (SELECT *, CASE WHEN count(obi) OVER {rows(20)} >= 10 THEN CASE WHEN stddev_samp(obi) OVER {rows(20)} > 1e-12 THEN (obi - avg(obi) OVER {rows(20)}) / stddev_samp(obi) OVER {rows(20)} ELSE 0 END END AS z FROM x)
-    SELECT symbol, ts, CASE WHEN obi >= 0.2 AND z >= 1 THEN 'long' WHEN obi <= -0.2 AND z <= -1 THEN 'short' ELSE 'none' END AS direction, round(obi, 6) AS obi FROM z""")
+@query(f"""WITH {_walls(1.7, 0.008)}, x AS (SELECT *, {_obi(10, 0.5)} AS obi FROM wl WHERE close > 0), z AS (SELECT *, CASE WHEN count(obi) OVER {rows(60)} >= 10 THEN CASE WHEN stddev_samp(obi) OVER {rows(60)} > 1e-12 THEN (obi - avg(obi) OVER {rows(60)}) / stddev_samp(obi) OVER {rows(60)} ELSE 0 END END AS z,
+        (bids[1].price * asks[1].size + asks[1].price * bids[1].size) / (asks[1].size + bids[1].size) - mid AS lean, (asks[1].price - bids[1].price) / mid * 100 AS spread, round(obi, 9) AS o FROM x),
+    d AS (SELECT *, CASE WHEN spread > 0.5 THEN 'WAIT' WHEN abs(o) < 0.05 THEN 'NEUTRAL' WHEN coalesce(abs(round(z, 9)) <= 1, false) THEN 'WAIT' WHEN o >= 0.1 AND lean > 0 AND len(list_filter(walls, lambda w: w.side = 'asks' AND NOT w.suspect AND abs(w.price - mid) <= 0.01 * mid)) = 0 THEN 'LONG'
+        WHEN o <= -0.1 AND lean < 0 AND len(list_filter(walls, lambda w: w.side = 'bids' AND NOT w.suspect AND abs(w.price - mid) <= 0.01 * mid)) = 0 THEN 'SHORT' WHEN abs(o) >= 0.1 THEN 'WAIT' ELSE 'NEUTRAL' END AS direction FROM z)
+    SELECT symbol, ts, direction, round(obi, 6) AS obi, round(CASE WHEN direction IN ('LONG', 'SHORT') THEN least(1, abs(obi)) ELSE 0 END, 6) AS strength FROM d""")
 def obk_signal(spark, sf):
-    b = src.book(spark, sf).where(ob.valid(F.col("bids"), F.col("asks"))).withColumn("obi", ob.imbalance(F.col("bids"), F.col("asks"), 5, 0.5))
-    sd = f.over(F.stddev_samp("obi"), 20)
-    b = b.withColumn("z", F.when(f.over(F.count("obi"), 20) >= 10, F.when(sd > 1e-12, (F.col("obi") - f.over(F.avg("obi"), 20)) / sd).otherwise(0.0)))
-    side = F.when((F.col("obi") >= 0.2) & (F.col("z") >= 1), "long").when((F.col("obi") <= -0.2) & (F.col("z") <= -1), "short").otherwise("none")
-    return b.select("symbol", "ts", side.alias("direction"), F.round("obi", 6).alias("obi"))
+    x = ob.signal(src.book(spark, sf), wide=0.5, strong=0.1, mild=0.05, times=1.7, far=0.008)  # the derived books lean little
+    return x.select("symbol", "ts", "direction", *r("obi", "strength"))
 
 
 PROFILE = """w AS (SELECT *, year(ts) AS y, min(low) OVER (PARTITION BY symbol, year(ts)) AS wlo, (max(high) OVER (PARTITION BY symbol, year(ts)) - min(low) OVER (PARTITION BY symbol, year(ts))) / 24 AS step FROM bars_d),
