@@ -41,3 +41,12 @@ def net_positions(orders: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Filled quantity per symbol from the last snapshot of each order, buys positive."""
     last = orders.groupBy("symbol", key).agg(F.max_by(F.struct("side", "filled_qty"), F.struct(*order)).alias("s"))
     return last.groupBy("symbol").agg(F.sum(F.when(F.col("s.side") == "buy", F.col("s.filled_qty")).otherwise(-F.col("s.filled_qty"))).alias("net_qty"))
+
+
+def shortability(rows: DataFrame, *, max_fee: float = 500.0, max_age: int = 2, least: str = "medium", need_row: bool = False) -> DataFrame:
+    """rows (symbol, ts, known_date, confidence, shortable, fee) with reasons and passed; without a record it passes unless ``need_row``."""
+    rank = lambda c: F.when(c == "high", 2).when(c == "medium", 1).otherwise(0)
+    found = F.col("known_date").isNotNull()
+    checks = [(F.datediff("ts", "known_date") > max_age, "age"), (rank(F.col("confidence")) < rank(F.lit(least)), "confidence"), (~F.col("shortable"), "not_shortable"), (F.col("fee") > max_fee, "fee")]
+    reasons = F.when(found, F.concat_ws(",", *(F.when(c, F.lit(n)) for c, n in checks))).otherwise("missing" if need_row else "")
+    return rows.withColumns({"confidence": F.coalesce("confidence", F.lit("missing")), "reasons": reasons}).withColumn("passed", F.col("reasons") == "").drop("shortable")

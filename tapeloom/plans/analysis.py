@@ -13,6 +13,7 @@ from tapeloom.operators import joins as j
 from tapeloom.operators import macro as mac
 from tapeloom.operators import risk as rk
 from tapeloom.operators import signals as sg
+from tapeloom.operators import states
 from tapeloom.operators import valuation as val
 from tapeloom.plans.market import MOMENTS, moments, ncdf
 from tapeloom.plans.registry import query
@@ -403,9 +404,15 @@ def mac_regime_rules(spark, sf):
     return regimes(spark, sf)
 
 
-@query(f"WITH {REG}, s AS (SELECT *, CASE WHEN raw = 'crisis' OR raw = lag(raw) OVER w OR lag(raw) OVER w IS NULL THEN raw END AS sure FROM l WINDOW w AS (PARTITION BY series_id ORDER BY month)) SELECT series_id, month, raw, last_value(sure IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY month ROWS UNBOUNDED PRECEDING) AS regime FROM s")
+@query(f"""WITH {REG}, s AS (SELECT *, CASE WHEN raw = 'crisis' OR raw = lag(raw) OVER w OR lag(raw) OVER w IS NULL THEN raw END AS sure FROM l WINDOW w AS (PARTITION BY series_id ORDER BY month)), q AS (SELECT series_id, month, round(1 - value / max(value) OVER w, 9) AS fall FROM mo WINDOW w AS (PARTITION BY series_id ORDER BY month ROWS UNBOUNDED PRECEDING)),
+    z AS (SELECT series_id, month, coalesce(last_value(CASE WHEN fall >= 0.08 THEN false WHEN fall <= 0.03 THEN true END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY month ROWS UNBOUNDED PRECEDING), true) AS invested FROM q)
+    SELECT s.series_id, s.month, raw, last_value(sure IGNORE NULLS) OVER (PARTITION BY s.series_id ORDER BY s.month ROWS UNBOUNDED PRECEDING) AS regime, invested FROM s JOIN z USING (series_id, month)""")
 def w_hysteresis(spark, sf):
-    return mac.hysteresis(regimes(spark, sf), "series_id", "month", "raw", ("crisis",)).select("series_id", "month", "raw", "regime")
+    """Committed regimes, and a stop that opens at a fall of 8 per cent from the peak and closes within 3 of it."""
+    m = monthly(spark, sf).withColumnsRenamed({"series_id": "symbol", "month": "ts"})
+    peak = F.max("value").over(f.series().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    latch = states.drawdown_latch(m.withColumn("drawdown", F.round(1 - F.col("value") / peak, 9))).select(F.col("symbol").alias("series_id"), F.col("ts").alias("month"), "invested")
+    return mac.hysteresis(regimes(spark, sf), "series_id", "month", "raw", ("crisis",)).join(latch, ["series_id", "month"]).select("series_id", "month", "raw", "regime", "invested")
 
 
 RATES = f"""{MONTHLY}, v AS (SELECT *, value / 1000 AS rate, lag(value) OVER w / 1000 AS before, lead(value) OVER w / 1000 AS after, lag(month) OVER w = month - INTERVAL 1 MONTH AND lead(month) OVER w = month + INTERVAL 1 MONTH AS whole FROM mo WINDOW w AS (PARTITION BY series_id ORDER BY month)),
@@ -481,11 +488,16 @@ def rk_daily_limits(spark, sf):
     return src.read(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"), F.round(buy, 2).alias("buy_notional"), ((F.count("*") > 8) | (buy > 2_000_000)).alias("over_limit"))
 
 
-@query("SELECT b.symbol, b.ts, f.period_end, CASE WHEN f.period_end IS NULL THEN 'no_record' WHEN date_diff('day', f.known_date, b.ts) > 60 THEN 'stale' WHEN f.total_debt > f.total_equity THEN 'fee' ELSE 'ok' END AS verdict FROM bars_w b ASOF LEFT JOIN (SELECT * FROM fund_q) f ON b.symbol = f.symbol AND b.ts >= f.known_date")
+@query("""WITH f AS (SELECT symbol, known_date, CASE month(period_end) WHEN 3 THEN 'low' WHEN 6 THEN 'medium' ELSE 'high' END AS confidence, total_debt / total_equity < 1.02 AS shortable, round(1000 * total_debt / total_equity - 300, 6) AS fee FROM fund_q),
+    j AS (SELECT b.symbol, b.ts, f.known_date, f.confidence, f.shortable, f.fee FROM bars_w b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.known_date),
+    c AS (SELECT *, CASE WHEN known_date IS NULL THEN '' ELSE concat_ws(',', CASE WHEN date_diff('day', known_date, ts) > 60 THEN 'age' END, CASE WHEN confidence = 'low' THEN 'confidence' END, CASE WHEN NOT shortable THEN 'not_shortable' END, CASE WHEN fee > 500 THEN 'fee' END) END AS reasons FROM j)
+    SELECT symbol, ts, known_date, coalesce(confidence, 'missing') AS confidence, fee, reasons, reasons = '' AS passed FROM c""")
 def rk_shortability(spark, sf):
-    out = j.asof_backward(src.weekly(spark, sf).select("symbol", "ts"), src.fundamentals(spark, sf), ("symbol",), "ts", "known_date", ("period_end", "total_debt", "total_equity"), ("period_end",))
-    v = F.when(F.col("fact").isNull(), "no_record").when(F.datediff("ts", "fact.known") > 60, "stale").when(F.col("fact.total_debt") > F.col("fact.total_equity"), "fee").otherwise("ok")
-    return out.select("symbol", "ts", "fact.period_end", v.alias("verdict"))
+    """Availability as of each bar; the tables have none, so leverage and the quarter stand for fee, shortable and confidence."""
+    ratio, month = F.col("total_debt") / F.col("total_equity"), F.month("period_end")
+    rows = src.fundamentals(spark, sf).select("symbol", "known_date", "period_end", F.when(month == 3, "low").when(month == 6, "medium").otherwise("high").alias("confidence"), (ratio < 1.02).alias("shortable"), F.round(1000 * ratio - 300, 6).alias("fee"))
+    out = j.asof_backward(src.weekly(spark, sf).select("symbol", "ts"), rows, ("symbol",), "ts", "known_date", ("confidence", "shortable", "fee"), ("period_end",))
+    return rk.shortability(out.select("symbol", "ts", F.col("fact.known").alias("known_date"), "fact.confidence", "fact.shortable", "fact.fee"), max_age=60)
 
 
 @query("SELECT series_id, max(asof_date) AS last_date, arg_max(revision_n, row(asof_date, revision_n)) AS last_revision, date_diff('day', max(asof_date), (SELECT max(asof_date) FROM macro)) > 2 AS stale FROM macro GROUP BY 1")

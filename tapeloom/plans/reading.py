@@ -68,12 +68,19 @@ def vp_shape(spark, sf):
     return g.select("symbol", "year", "poc", "n_peaks", shape.alias("shape"))
 
 
-@query(f"WITH {PROFILE}, c AS (SELECT symbol, year, bin FROM p QUALIFY row_number() OVER (PARTITION BY symbol, year ORDER BY round(volume, 6) DESC, bin) = 1), pr AS (SELECT c.symbol, c.year, any_value(wlo) + (c.bin + 0.5) * any_value(step) AS price FROM c JOIN w ON w.symbol = c.symbol AND w.y = c.year GROUP BY c.symbol, c.year, c.bin), y AS (SELECT symbol, year(ts) AS y, min(low) AS lo, max(high) AS hi FROM bars_d GROUP BY 1, 2) SELECT symbol, year, round(price, 4) AS price FROM pr WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.symbol = pr.symbol AND y.y > pr.year AND round(pr.price, 6) BETWEEN round(lo, 6) AND round(hi, 6))")
+@query(f"""WITH {PROFILE}, c AS (SELECT symbol, year, bin FROM p QUALIFY row_number() OVER (PARTITION BY symbol, year ORDER BY round(volume, 6) DESC, bin) = 1), pr AS (SELECT c.symbol, c.year, any_value(wlo) + (c.bin + 0.5) * any_value(step) AS price, max(w.ts) AS formed_ts FROM c JOIN w ON w.symbol = c.symbol AND w.y = c.year GROUP BY c.symbol, c.year, c.bin),
+    y AS (SELECT symbol, year(ts) AS y, min(low) AS lo, max(high) AS hi FROM bars_d GROUP BY 1, 2), sy AS (SELECT symbol, max(ts) AS ends FROM bars_d GROUP BY 1)
+    SELECT symbol, year, round(price, 4) AS price, formed_ts FROM pr JOIN sy USING (symbol) WHERE date_diff('day', formed_ts, ends) <= 2 * 600 AND NOT EXISTS (SELECT 1 FROM y WHERE y.symbol = pr.symbol AND y.y > pr.year AND round(pr.price, 6) BETWEEN round(lo, 6) AND round(hi, 6))""")
 def vp_naked_poc(spark, sf):
+    """Points of control that no later bar touched, formed at most twice ``sessions`` days before the series' end."""
+    sessions, bars = 600, src.daily(spark, sf)
     best = F.max_by((F.col("lo") + F.col("hi")) / 2, F.struct(F.round("volume", 6), -F.col("bin")))
     poc = profile(spark, sf).groupBy("symbol", "year").agg(F.round(best, 6).alias("price"))
-    later = src.daily(spark, sf).select(F.col("symbol").alias("s"), F.year("ts").alias("y"), "low", "high").groupBy("s", "y").agg(F.round(F.min("low"), 6).alias("low"), F.round(F.max("high"), 6).alias("high"))
-    return poc.join(later, (F.col("symbol") == F.col("s")) & (F.col("y") > F.col("year")) & F.col("price").between(F.col("low"), F.col("high")), "left_anti").select("symbol", "year", *r("price", n=4))
+    by_year = bars.groupBy(F.col("symbol").alias("s"), F.year("ts").alias("y")).agg(F.round(F.min("low"), 6).alias("low"), F.round(F.max("high"), 6).alias("high"), F.max("ts").alias("formed_ts"))
+    ends = by_year.groupBy("s").agg(F.max("formed_ts").alias("ends"))
+    own = by_year.join(ends, "s").where(F.datediff("ends", "formed_ts") <= 2 * sessions).select(F.col("s").alias("symbol"), F.col("y").alias("year"), "formed_ts")
+    naked = poc.join(by_year, (F.col("symbol") == F.col("s")) & (F.col("y") > F.col("year")) & F.col("price").between(F.col("low"), F.col("high")), "left_anti")
+    return naked.join(own, ["symbol", "year"]).select("symbol", "year", *r("price", n=4), "formed_ts")
 
 
 @query()
