@@ -18,6 +18,7 @@ from tapeloom.operators import blocks, candles, gaps, structure
 from tapeloom.operators import features as f
 from tapeloom.operators import signals as sg
 from tapeloom.operators.fold import Machine, fold, schema_of
+from tapeloom.operators.shapes import Shapes
 
 #: How far back a reading looks, the votes' weights, and the location gate of mean-reverting series.
 WINDOW = 250
@@ -32,7 +33,6 @@ CHASE = 0.6
 #: What the bars may bring along for the votes that need more than bars.
 BOOK = {"obi_regime": "string", "obi_z": "double", "delta_vamp": "double", "spread_wide": "boolean", "wall_suspect": "boolean"}
 INTEREST = {"quadrant": "string", "buildup": "boolean", "squeeze": "boolean", "cascade_long": "boolean", "cascade_short": "boolean", "funding": "string"}
-PATTERN = {"bull_strength": "double", "bull_broken": "boolean", "bear_strength": "double", "bear_broken": "boolean"}
 WYCKOFF = {"wyckoff_signal": "string", "wyckoff_phase": "string", "wyckoff_confidence": "double", "spring_low": "double", "range_high": "double"}
 
 
@@ -217,12 +217,12 @@ class LivePools(structure.Sweeps):
 
 
 class Reader(Machine):
-    """All that feeds back on itself in a reading of one series: structure of both scopes, sweeps, profile, zones, divergence."""
+    """All that feeds back on itself in a reading of one series: structure of both scopes, sweeps, profile, zones, shapes, divergence."""
 
     def __init__(self):
         self.scopes = {s: structure.Breaks() for s in structure.SCOPES}
         self.known: dict[str, tuple] = {}  # what happened last: (n, value)
-        self.pools, self.profile, self.zones, self.extremes, self.divergence = LivePools(), Profile(), OpenZones(), blocks.Extremes(), Divergence()
+        self.pools, self.profile, self.zones, self.extremes, self.divergence, self.shapes = LivePools(), Profile(), OpenZones(), blocks.Extremes(), Divergence(), Shapes()
 
     def live(self, what: str, n: int):
         at = self.known.get(what)
@@ -257,7 +257,11 @@ class Reader(Machine):
                 strength = round(c["strength"] + (blocks.STRENGTH["strong"] if c["body"] >= 2 * e["atr"] else 0), 6)
                 if strength >= blocks.LEAST:
                     self.zones.step({"zone": c | {"kind": "block", "direction": e["direction"], "n": n, "strength": strength}})
+        shown = self.shapes.step(row)
         out = self.zones.step({"zone": None, "n": n, "high": row["high"], "low": row["low"], "close": row["close"], "trend": trend})[0]
+        for side, want in (("bull", "bullish"), ("bear", "bearish")):
+            best = max((x for x in shown if x["direction"] == want and not x["mitigated"]), key=lambda x: x["strength"], default=None)
+            out |= {f"{side}_strength": best and best["strength"], f"{side}_broken": best and best["breakout"]}
         sweep = self.pools.newest
         swept = sweep if sweep and n - sweep["n"] < WINDOW else None
         shifted = self.pools.shifted is not None and n - self.pools.shifted < WINDOW
@@ -275,7 +279,7 @@ def told(bars: DataFrame, *, more: DataFrame | None = None) -> DataFrame:
     """bars (symbol, ts, open, ..., volume) with n and all that the votes, vetoes and levels need at each bar.
 
     Windows over (symbol, ts) first, all from one shuffle and sort, then one fold over the same partitions.
-    more: (symbol, ts) with columns of BOOK, INTEREST, PATTERN or WYCKOFF; those it lacks are null and don't vote.
+    more: (symbol, ts) with columns of BOOK, INTEREST or WYCKOFF; those it lacks are null and don't vote.
     """
     b = bars.select("symbol", "ts", "open", "high", "low", "close", "volume")
     b = blocks.marked(b)
@@ -291,11 +295,11 @@ def told(bars: DataFrame, *, more: DataFrame | None = None) -> DataFrame:
     b = f.range_position(b).withColumns({"candle_before": f.lag("candle"), "atr14": F.avg(F.when(F.col("n") > 1, F.col("tr"))).over(f.last(14))})
     kept = ["symbol", "ts", "open", "high", "low", "close", "volume", "n", "evr", "no_supply_confirmed", "no_demand_confirmed", "vdu", "cmf", "rvol", "candle", "candle_before", "range_position", "atr14"]
     per = ", ".join(f"{d}_gap boolean, {d}_fvg string, {d}_block double, {d}_low double, {d}_high double, {d}_extreme double" for d in ("bullish", "bearish"))
-    more_ = "trend string, latest string, latest_swing string, int_bos boolean, int_choch boolean, last_hl double, last_lh double, sweep struct<side:string,wick:double>, has_mss boolean, divergence string, shape string, val double, vah double, flat boolean, "
+    more_ = "trend string, latest string, latest_swing string, int_bos boolean, int_choch boolean, last_hl double, last_lh double, sweep struct<side:string,wick:double>, has_mss boolean, divergence string, bull_strength double, bull_broken boolean, bear_strength double, bear_broken boolean, shape string, val double, vah double, flat boolean, "
     b = fold(b, ["symbol"], ["n"], lambda: Carried(kept, Reader()), schema_of(b, kept, more_ + per))
     if more is not None:
         b = b.join(more, ["symbol", "ts"], "left")
-    return b.withColumns({k: x for k, x in _absent(BOOK | INTEREST | PATTERN | WYCKOFF).items() if k not in b.columns})
+    return b.withColumns({k: x for k, x in _absent(BOOK | INTEREST | WYCKOFF).items() if k not in b.columns})
 
 
 class Carried(Machine):

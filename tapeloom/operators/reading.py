@@ -150,24 +150,3 @@ def flags(bars: DataFrame, *, pole_least: float = 0.04, retrace: float = 0.5) ->
         return pd.DataFrame([(p["symbol"][0], p["ts"][i], *x) for i, x in sorted(found.items())], columns=["symbol", "ts", "direction", "pole", "flag"])
 
     return bars.select("symbol", "ts", "close", "volume").groupBy("symbol").applyInPandas(run, "symbol string, ts date, direction string, pole long, flag long")
-
-
-def lines(bars: DataFrame, *, pivots: int = 8, flat: float = 0.0005) -> DataFrame:
-    """Line fits on the last ``pivots`` pivots at each one: slopes of the upper and lower line per bar and the shape.
-
-    (symbol, ts, upper, lower, kind): rectangle, ascending, descending or symmetrical triangle, rising or falling wedge,
-    or none. The fits are moments over a frame of pivot rows, so no series is collected.
-    """
-    n = bars.withColumn("__n", F.row_number().over(f.series())).select("symbol", "ts", "__n")
-    p = f.pivot_labels(bars).join(n, ["symbol", "ts"])
-    w = Window.partitionBy("symbol").orderBy("ts", "side").rowsBetween(-(pivots - 1), 0)
-
-    def slope(side: str) -> Column:
-        x, y = F.when(F.col("side") == side, F.col("__n")), F.when(F.col("side") == side, F.col("price"))
-        return F.when(F.count(x).over(w) >= 2, F.covar_pop(x, y).over(w) / F.var_pop(x).over(w) / F.avg(y).over(w))
-
-    p = p.withColumns({"upper": slope("high"), "lower": slope("low")}).where("upper IS NOT NULL AND lower IS NOT NULL")
-    up, low = F.col("upper"), F.col("lower")
-    fu, fl = F.abs(up) <= flat, F.abs(low) <= flat
-    kind = F.when(fu & fl, "rectangle").when(fu & (low > flat), "ascending_triangle").when((up < -flat) & fl, "descending_triangle").when((up < -flat) & (low > flat), "symmetrical_triangle").when((up > flat) & (low > up), "rising_wedge").when((low < -flat) & (up < low), "falling_wedge").otherwise("none")
-    return p.select("symbol", "ts", "side", "upper", "lower", kind.alias("kind"))

@@ -13,6 +13,7 @@ from tapeloom.operators import candles, gaps, macro as mac, portfolio as pf, rea
 from tapeloom.operators import crosssection as xs
 from tapeloom.operators import blocks, exposure
 from tapeloom.operators import features as f
+from tapeloom.operators import shapes
 from tapeloom.operators.pretrade import Policy, check
 from tapeloom.plans.analysis import AQR, FAIR, METRICS as METRICS_SQL, MONTHLY, RATIOS, REG, aqr, compounders, fair_rows, monthly, regimes
 from tapeloom.plans.candles import GAP
@@ -556,14 +557,22 @@ def pat_flag(spark, sf):
     return rd.flags(src.daily(spark, sf))
 
 
+SHAPE = ("symbol", "ts", "pattern", "direction", "breakout", "mitigated")
+
+
+def _shapes(spark, sf):
+    x = shapes.at_bars(src.weekly(spark, sf), fit=0.25)  # the derived prices leap, so their lines fit loosely
+    return x.select(*SHAPE, *r("low", "high", "strength", "volume_ratio", "target"))
+
+
 @query()
 def pat_triangle_wedge(spark, sf):
-    return rd.lines(src.daily(spark, sf), flat=0.02).where("kind <> 'none' AND kind <> 'rectangle'")
+    return _shapes(spark, sf).where(F.col("pattern").endswith("triangle") | F.col("pattern").endswith("wedge"))
 
 
 @query()
 def pat_rectangle_cup(spark, sf):
-    return rd.lines(src.daily(spark, sf), pivots=10, flat=0.05).where("kind = 'rectangle'")
+    return _shapes(spark, sf).where(F.col("pattern").isin("rectangle", "cup_and_handle"))
 
 
 @query()
@@ -571,4 +580,4 @@ def pat_scan(spark, sf):
     b = src.daily(spark, sf)
     name = lambda df, kind: df.select("symbol", "ts", F.lit(kind).alias("pattern"))
     found = name(rd.double_tops(b), "double_top").unionByName(name(rd.double_tops(b, side="low"), "double_bottom")).unionByName(name(rd.head_shoulders(b), "head_shoulders")).unionByName(name(rd.flags(b), "flag"))
-    return found.unionByName(rd.lines(b, flat=0.02).where("kind <> 'none'").select("symbol", "ts", F.col("kind").alias("pattern")))
+    return found.unionByName(shapes.at_bars(b).where("NOT mitigated").select("symbol", "ts", "pattern"))

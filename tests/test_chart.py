@@ -109,6 +109,7 @@ BASE = {
     "bull_strength": None, "bull_broken": None, "bear_strength": None, "bear_broken": None, "obi_regime": None, "obi_z": None, "delta_vamp": None, "spread_wide": None, "wall_suspect": None, "quadrant": None, "buildup": None, "squeeze": None,
     "cascade_long": None, "cascade_short": None, "funding": None, "wyckoff_signal": None, "wyckoff_phase": None, "wyckoff_confidence": None, "range_position": 0.5,
 }
+PATTERN = {"bull_strength": "double", "bull_broken": "boolean", "bear_strength": "double", "bear_broken": "boolean"}
 CASES = [
     ({}, {"structure": (0.3, 1), "volume_profile": (0.1, 0)}), ({"trend": "RANGING"}, {"structure": (0.0, 0)}), ({"trend": "BEARISH"}, {"structure": (0.3, -1)}), ({"int_bos": True, "int_choch": True}, {"structure": (0.4, 1)}),
     ({"latest": "CHOCH"}, {"structure": (0.15, 1)}), ({"latest": "CHOCH", "bullish_gap": True}, {"structure": (0.3, 1)}), ({"sweep": "SSL"}, {"liquidity_sweep": (0.1, 1)}), ({"sweep": "BSL", "has_mss": True}, {"liquidity_sweep": (0.3, -1)}),
@@ -128,7 +129,7 @@ VETOES = [({}, None), ({"trend": "RANGING"}, "ranging"), ({"latest_swing": "BEAR
 def test_each_gate_and_veto(spark):
     candle = "pattern string, direction string, strength int, high double, low double"
     kinds = {bool: "boolean", float: "double", str: "string", type(None): None}
-    special = {k: t for group in (chart.BOOK, chart.INTEREST, chart.PATTERN, chart.WYCKOFF) for k, t in group.items()}
+    special = {k: t for group in (chart.BOOK, chart.INTEREST, chart.WYCKOFF, PATTERN) for k, t in group.items()}
     names = list(BASE)
     schema = ", ".join(f"{c} {special.get(c) or kinds[type(BASE[c])] or ('double' if c.endswith('block') else 'string')}" for c in names)
     schema += f", sweep struct<side:string,wick:double>, candle struct<{candle.replace(' ', ':').replace(',:', ',')}>, candle_before struct<{candle.replace(' ', ':').replace(',:', ',')}>, at int"
