@@ -62,7 +62,7 @@ OI = f"o AS (SELECT symbol, ts, close / lag(close) OVER ({S}) - 1 AS p, volume /
 
 
 def _oi(spark, sf):
-    b = f.zscore(src.intraday(spark, sf), n=30, least=15, sample=False).withColumns({"p": F.col("close") / f.lag("close") - 1, "o": F.col("volume") / f.lag("volume") - 1, "funding": funding_label((F.col("close") - F.col("open")) / 100000)})
+    b = f.zscore(src.intraday(spark, sf), n=30, least=15, sample=False).withColumns({"p": f.change("close"), "o": f.change("volume"), "funding": funding_label((F.col("close") - F.col("open")) / 100000)})
     return b.withColumns(sg.squeeze_cascade(F.col("p"), F.col("o"), F.col("funding"), F.col("z")))
 
 

@@ -1,9 +1,11 @@
 """Readings at every bar: no lookahead, the profile and the open zones against plain Python, each gate and veto on a row of its own."""
 
+import datetime as dt
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from tapeloom import plans
 from tapeloom.operators import chart
 from tests.test_structure import blocks_by_hand, frame, random_bars
 
@@ -149,3 +151,22 @@ def test_each_gate_and_veto(spark):
     assert b.where(chart.vetoes("long").isNull()).count() == 4
     short = b.select("at", chart.vetoes("short").alias("v")).where("v IS NOT NULL").collect()
     assert {VETOES[r["at"]][1] or str(VETOES[r["at"]][0]) for r in short} == {"ranging", "{'latest_swing': 'BULLISH'}", "{'cascade_short': True}"}
+
+
+def test_prices_of_zero(spark, tmp_path):
+    pools = chart.LivePools()
+    for n, price in enumerate((0.0, 0.0, 1.0)):
+        pools.add("SSL", price, n)
+    assert [(p["price"], p["n"]) for p in pools.pools] == [(0.0, 1), (1.0, 2)]
+    rng = np.random.default_rng(4)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=30 * (i // 2)), "ab"[i % 2], float(rng.integers(0, 4))) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert plans.QUERIES["chart_votes"](spark, str(tmp_path)).count() > 0
+    got = {(r["symbol"], r["ts"]): r for r in plans.QUERIES["chart_veto"](spark, str(tmp_path)).collect()}
+    bars = {}
+    for _, ts, symbol, value in rows:
+        bars.setdefault((symbol, ts.replace(minute=0)), []).append(value)
+    assert set(got) == set(bars)
+    rises = [k for k in bars if (b := bars.get((k[0], k[1] - dt.timedelta(hours=1)))) and b[-1] == 0 and bars[k][-1] > 0]
+    assert rises  # a close from zero is an unbounded rise; without a fall in volume it is no cascade
+    assert not any("cascade" in (got[k]["long_veto"], got[k]["short_veto"]) for k in rises)
