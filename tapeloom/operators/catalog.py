@@ -65,9 +65,12 @@ def supersede(trades: DataFrame, asof) -> DataFrame:
 
 
 def merge_executions(trades: DataFrame) -> DataFrame:
-    """Executions that share a key become one: shares and values add up, the price is their quotient."""
+    """Executions that share a key become one: shares and values add up, the price is their quotient.
+
+    Values add up as decimals to a millionth, so no order of the rows moves the sum.
+    """
     t = trades.withColumn("value_usd", F.coalesce("value_usd", F.col("shares") * F.col("price")))
-    g = t.groupBy("symbol", "txn_date", "asof_ts", "insider_name", "txn_code").agg(F.sum("shares").alias("shares"), F.sum("value_usd").alias("value_usd"), F.min("price").alias("__price"))
+    g = t.groupBy("symbol", "txn_date", "asof_ts", "insider_name", "txn_code").agg(F.sum("shares").alias("shares"), F.sum(F.col("value_usd").cast("decimal(28,6)")).cast("double").alias("value_usd"), F.min("price").alias("__price"))
     return g.withColumn("price", F.when(F.col("shares") > 0, F.col("value_usd") / F.col("shares")).otherwise(F.col("__price"))).drop("__price")
 
 
