@@ -17,6 +17,24 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 OUT = "symbol string, event_id long, obi double, z double, n_walls int, suspect boolean"
 
 
+def rolling_z(past: np.ndarray, values: np.ndarray, n: int, least: int, chunk: int = 8192) -> np.ndarray:
+    """z of each value among the last n, those of ``past`` before it included; NaN with fewer than ``least`` of them, 0 where they don't vary."""
+    past = past[len(past) - min(len(past), n - 1) :]
+    whole, first = np.concatenate([past, values]), len(past)
+    out = np.full(len(whole), np.nan)
+    for end in range(max(first, least - 1), min(n - 1, len(whole))):  # frames not yet full
+        out[end] = _z(whole[None, : end + 1])[0]
+    for at in range(max(n - 1, first), len(whole), chunk):
+        stop = min(at + chunk, len(whole))
+        out[at:stop] = _z(np.lib.stride_tricks.sliding_window_view(whole[at - n + 1 : stop], n))
+    return out[first:]
+
+
+def _z(frames: np.ndarray) -> np.ndarray:
+    sd = frames.std(1, ddof=1) if frames.shape[1] > 1 else np.zeros(len(frames))
+    return np.divide(frames[:, -1] - frames.mean(1), sd, out=np.zeros(len(frames)), where=sd > 1e-12)
+
+
 class BookState(StatefulProcessor):
     """List state: the last ``history`` imbalances. Value state: the walls of the snapshot before. A symbol that stays
     silent for ``idle_ms`` of event time is forgotten by a timer."""
@@ -33,20 +51,18 @@ class BookState(StatefulProcessor):
         p = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # a micro-batch of one symbol
         past = [x[0] for x in self.past.get()] if self.past.exists() else []
         before = set(self.before.get()[0]) if self.before.exists() else None
-        z, suspect = [], []
-        for obi, far, walls in zip(p["obi"], p["far"], p["walls"], strict=True):
-            past = [*past[-(self.history - 1) :], float(obi)]
-            sd = float(np.std(past, ddof=1)) if len(past) > 1 else 0.0
-            z.append(None if len(past) < self.least else (past[-1] - float(np.mean(past))) / sd if sd > 1e-12 else 0.0)
-            now = {int(w) for w in walls}
+        z = rolling_z(np.array(past, float), p["obi"].to_numpy(float), self.history, self.least)
+        suspect = []
+        for far, walls in zip(p["far"], p["walls"], strict=True):
+            now = set(walls.tolist())
             suspect.append(bool(far) or before is not None and not now <= before)
             before = now
-        self.past.put([(x,) for x in past])
+        self.past.put([(float(x),) for x in [*past, *p["obi"].iloc[-self.history :]][-self.history :]])
         self.before.update((sorted(before),))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(int(p["ts"].max().timestamp() * 1000) + self.idle_ms)
-        yield pd.DataFrame({"symbol": key[0], "event_id": p["event_id"].to_numpy(), "obi": p["obi"].to_numpy(), "z": pd.array(z, dtype="Float64"), "n_walls": p["walls"].map(len).astype("int32").to_numpy(), "suspect": suspect})
+        yield pd.DataFrame({"symbol": key[0], "event_id": p["event_id"].to_numpy(), "obi": p["obi"].to_numpy(), "z": pd.array(pd.Series(z), dtype="Float64"), "n_walls": p["walls"].map(len).astype("int32").to_numpy(), "suspect": suspect})
 
     def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
         self.past.clear()
@@ -57,20 +73,23 @@ class BookState(StatefulProcessor):
         pass
 
 
-def measured(books: DataFrame, *, n: int = 10, times: float = 5.0, far: float = 0.02) -> DataFrame:
-    """books (symbol, ts, event_id, bids, asks) with obi, walls (price ticks, asks negative) and far: a wall lies off by more than ``far``."""
-    mid = (F.col("bids")[0]["price"] + F.col("asks")[0]["price"]) / 2
+def _above(times: float, median: str):
+    return lambda x: x["size"] > times * F.col(median)
+
 
-    def walls(side: str):
-        median = ob.median_size(F.col(side), n)
-        return F.filter(F.slice(side, 1, n), lambda x: x["size"] > times * median)
+def _tick(sign: int):
+    return lambda x: (sign * F.round(x["price"] * 10_000)).cast("long")
 
-    def ticks(side: str, sign: int):
-        return F.transform(walls(side), lambda x: (sign * F.round(x["price"] * 10_000)).cast("long"))
 
-    off = F.exists(F.concat(walls("bids"), walls("asks")), lambda x: F.abs(x["price"] - mid) > far * mid)
-    parts = [ticks("bids", 1), ticks("asks", -1)]
-    return books.withColumns({"obi": ob.imbalance(F.col("bids"), F.col("asks"), n), "walls": F.concat(*parts), "far": off})
+def measured(books: DataFrame, *, n: int = 10, times: float = 5.0, far: float = 0.02) -> DataFrame:
+    """books (symbol, ts, event_id, bids, asks) with obi, walls (price ticks, asks negative) and far: a wall lies off by more than ``far``."""
+    mid = (F.col("bids")[0]["price"] + F.col("asks")[0]["price"]) / 2
+    sides = {"bids": 1, "asks": -1}
+    out = books.withColumns({"__mid": mid} | {f"__median_{s}": ob.median_size(F.col(s), n) for s in sides})  # once a row, not once a level
+    out = out.withColumns({f"__walls_{s}": F.filter(F.slice(s, 1, n), _above(times, f"__median_{s}")) for s in sides})
+    ticks = [F.transform(f"__walls_{s}", _tick(sign)) for s, sign in sides.items()]
+    off = F.exists(F.concat(*(f"__walls_{s}" for s in sides)), lambda x: F.abs(x["price"] - F.col("__mid")) > far * F.col("__mid"))
+    return out.withColumns({"obi": ob.imbalance(F.col("bids"), F.col("asks"), n), "walls": F.concat(*ticks), "far": off}).drop("__mid", *(f"__{k}_{s}" for s in sides for k in ("median", "walls")))
 
 
 def book_state(books: DataFrame, *, history: int = 20, least: int = 10, idle_ms: int = 30 * 86_400_000, late: str = "7 days") -> DataFrame:
