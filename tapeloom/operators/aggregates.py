@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,39 @@ def rebucket(bars: DataFrame, n: int, day: Column) -> DataFrame:
     ).drop("__day", "bucket")
 
 
+def percentiles(rows: DataFrame, by: str, value: str, at: dict[str, float], *, accuracy: int = 2000, margin: float = 0.004, small: int = 10_000) -> DataFrame:
+    """(by, a column for each of ``at``): exact percentiles of the values that aren't null, linear between neighbours.
+
+    Sketches of bounded size give bounds around each percentile, ``margin`` of the rows to either side, eight times what
+    the sketch may err; of a group of ``small`` rows or fewer, its ends. What lies below is counted, and the distinct values between the bounds
+    are counted up by a window. No task holds the values of a group.
+    For few groups: their bounds, a row a group, are broadcast.
+    """
+    x = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("__v"))
+    around = [min(1.0, max(0.0, p + side)) for p in at.values() for side in (-margin, margin)]
+    sketch = F.percentile_approx("__v", around, accuracy)  # one sketch for all
+    marks = x.groupBy(by).agg(F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), sketch.alias("__s"))
+    few = F.col("__n") <= small
+    bounds = [F.when(few, F.col(end)).otherwise(F.col("__s")[2 * i + up]).alias(f"__{mark}_{k}") for i, k in enumerate(at) for up, mark, end in ((0, "lo", "__min"), (1, "hi", "__max"))]
+    j = x.join(F.broadcast(marks.select(F.col(by).alias("__by"), "__n", *bounds)), F.col(by).eqNullSafe(F.col("__by")))
+    below = j.groupBy(by).agg(F.first("__n").alias("__n"), *(F.count(F.when(F.col("__v") < F.col(f"__lo_{k}"), 1)).alias(f"__b_{k}") for k in at))
+    between = F.filter(F.array(*(F.when(F.col("__v").between(F.col(f"__lo_{k}"), F.col(f"__hi_{k}")), F.lit(k)) for k in at)), lambda m: m.isNotNull())
+    inside = j.where(reduce(or_, (F.col("__v").between(F.col(f"__lo_{k}"), F.col(f"__hi_{k}")) for k in at))).select(by, "__v", F.explode(between).alias("__k")).groupBy(by, "__k", "__v").agg(F.count("*").alias("__c"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p"), F.col(f"__b_{k}").alias("b")) for k, p in at.items())))
+    below = below.select(by, "__n", kinds.alias("m")).select(by, F.col("m.k").alias("__k"), F.col("m.p").alias("__p"), "__n", F.lit(None).cast("double").alias("__v"), F.col("m.b").alias("__c"))
+    c = below.unionByName(inside, allowMissingColumns=True)
+    of = Window.partitionBy(by, "__k")
+    c = c.withColumns({"__p": F.max("__p").over(of), "__n": F.max("__n").over(of)})
+    upto = F.sum("__c").over(Window.partitionBy(by, "__k").orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = F.col("__p") * (F.col("__n") - 1)
+    c = c.withColumns({"__end": upto, "__low": F.floor(rank), "__high": F.ceil(rank), "__part": rank - F.floor(rank)})
+    holds = lambda r: (F.col("__end") > F.col(r)) & (F.col("__end") - F.col("__c") <= F.col(r))
+    ranked = c.groupBy(by, "__k").agg(*(F.max(F.when(holds(r), F.col("__v"))).alias(r) for r in ("__low", "__high")), F.max("__part").alias("__part"))
+    missed = F.col("__low").isNull() | F.col("__high").isNull()
+    exact = F.when(missed, F.raise_error(F.lit("a percentile lies outside the bounds of its sketch"))).otherwise((1 - F.col("__part")) * F.col("__low") + F.col("__part") * F.col("__high"))
+    return ranked.withColumn("__x", exact).groupBy(by).agg(*(F.max(F.when(F.col("__k") == k, F.col("__x"))).alias(k) for k in at))
+
+
 def moments(x: str | Column) -> list[Column]:
     """Population skewness, and kurtosis that is 3 for a normal series."""
     return [F.skewness(x).alias("skew"), (F.kurtosis(x) + 3).alias("kurt")]

@@ -233,7 +233,7 @@ def agg_peer_median(spark, sf):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY 1")
 def agg_percentile_linear(spark, sf):
-    return src.read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.expr("percentile(l_extendedprice, 0.1)"), 6).alias("p10"), F.round(F.expr("percentile(l_extendedprice, 0.9)"), 6).alias("p90"))
+    return a.percentiles(src.read(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", {"p10": 0.1, "p90": 0.9}).select("l_returnflag", *r("p10", "p90"))
 
 
 @query("""WITH g AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (value > 50) AS DOUBLE) AS w FROM events GROUP BY 1), p AS (SELECT *, w / n AS p, 1.96 * 1.96 AS z2 FROM g)
